@@ -80,3 +80,22 @@ def first_per_key(df: DataFrame, keys: Sequence[str], k: int, order: Sequence, o
     ``spark.sql.optimizer.windowGroupLimitThreshold``, 1000 by default).
     """
     return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(out) <= k)
+
+
+def previous_value(
+    df: DataFrame, keys: Sequence[str], chunk: Column, order: Sequence[str], value: str, out: str
+) -> DataFrame:
+    """Value of the row before, per key in ``order``, sorting only within the pieces given by ``chunk``."""
+    keys = list(keys)
+    pieces = df.withColumn("_chunk", chunk)
+    ends = pieces.groupBy(*keys, "_chunk").agg(F.max_by(F.struct(value), F.struct(*order)).alias("_end"))
+    carried = ends.withColumn(
+        "_carried", F.lag("_end").over(Window.partitionBy(*keys).orderBy("_chunk"))
+    ).drop("_end")
+    piece = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    inner = pieces.withColumn("_before", F.lag(F.struct(value)).over(piece))
+    return (
+        inner.join(carried, [*keys, "_chunk"])
+        .withColumn(out, F.coalesce("_before", "_carried")[value])
+        .drop("_chunk", "_before", "_carried")
+    )

@@ -89,22 +89,14 @@ def run_summary(t: Tables):
 
 
 @REG.query(
-    "tile_sets",
+    "heat_pixels",
     sql="""
-SELECT max_zoom, z, COUNT(*) AS tiles, COUNT(DISTINCT tileset_id) AS tile_sets, CAST(SUM(tx + ty) AS BIGINT) AS key_sum
-FROM (SELECT s.tileset_id, s.max_zoom, g.z, x.x AS tx, y.y AS ty
-      FROM tile_sets s JOIN range(9) g(z) ON g.z <= LEAST(s.max_zoom, 3)
-      JOIN range(8) x(x) ON x.x < (1 << CAST(g.z AS INT)) JOIN range(8) y(y) ON y.y < (1 << CAST(g.z AS INT))) q
-GROUP BY 1, 2""",
+SELECT s.raster_id, CAST(g.z AS INT) AS z, CAST(x.x AS INT) AS tx, CAST(y.y AS INT) AS ty
+FROM (SELECT DISTINCT raster_id FROM heat_pixels) s JOIN range(4) g(z) ON TRUE
+JOIN range(8) x(x) ON x.x < (1 << CAST(g.z AS INT)) JOIN range(8) y(y) ON y.y < (1 << CAST(g.z AS INT))""",
 )
-def tile_grid_counts(t: Tables):
-    grid = geo.tile_grid(t("tile_sets").select("tileset_id", "max_zoom"), 0, F.least(F.col("max_zoom"), F.lit(3)))
-    per_set = grid.groupBy("tileset_id", "max_zoom", "z").agg(
-        F.count("*").alias("tiles"), F.sum(F.col("tx") + F.col("ty")).alias("key_sum")
-    )
-    return per_set.groupBy("max_zoom", "z").agg(
-        F.sum("tiles").alias("tiles"), F.count("*").alias("tile_sets"), F.sum("key_sum").alias("key_sum")
-    )
+def tile_grid(t: Tables):
+    return geo.tile_grid(raster.image_sizes(t("heat_pixels")).select("raster_id"), 0, 3)
 
 
 # --- georeference ----------------------------------------------------------------------------
@@ -285,7 +277,7 @@ def heat_levels(t: Tables):
     return raster.at_zooms(t("heat_pixels"), HEAT_TS, 0, HEAT_ZOOM)
 
 
-@REG.query("heat_pixels", sql=FITTED_SQL.replace("raster_id, z, canvas, fit_h", "raster_id, z, canvas, fit_w, fit_h", 0) + "SELECT raster_id, z, x, y, r, g, b, a FROM fitted")
+@REG.query("heat_pixels", sql=FITTED_SQL + "SELECT raster_id, z, x, y, r, g, b, a FROM fitted")
 def resample_levels(t: Tables):
     px = raster.resample(heat_levels(t), raster.LEVEL, "width", "height", "fit_w", "fit_h")
     return px.select("raster_id", "z", "x", "y", *CHANNELS)

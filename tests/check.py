@@ -30,5 +30,5 @@ for name, fn in entry.queries().items():
     except Exception as error:  # noqa: BLE001
         problem, ok = f"{type(error).__name__}: {str(error)[:900]}", False
     failed += not ok
-    print(f"{'ok  ' if ok else 'FAIL'} {name} {time.time() - started:.1f}s {problem or ''}", flush=True)
+    print(f"\n{'ok  ' if ok else 'FAIL'} {name} {time.time() - started:.1f}s {problem or ''}", flush=True)
 print("failed:", failed)
