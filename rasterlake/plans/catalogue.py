@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import catalog_queries, raster_queries
+from . import catalog_queries, job_queries, raster_queries
 from .fixtures import Registry
 
 ALL = Registry()
-for module in (raster_queries, catalog_queries):
+for module in (raster_queries, catalog_queries, job_queries):
     ALL.queries.update(module.REG.queries)
     ALL.checks.update(module.REG.checks)

@@ -181,7 +181,7 @@ def check_sql(body: str, *views: str) -> str:
     """
     ctes = ",\n".join(f"{v} AS ({CHECK_VIEWS.get(v) or VIEWS[v]})" for v in views)
     joint = ",\n" if _starts_with_cte(body) else "\n"
-    return f"WITH {ctes}{joint}{body.strip()}" if views else body.strip()
+    return f"WITH RECURSIVE {ctes}{joint}{body.strip()}" if views else body.strip()
 
 
 def _starts_with_cte(body: str) -> bool:

@@ -93,9 +93,9 @@ def previous_value(
         "_carried", F.lag("_end").over(Window.partitionBy(*keys).orderBy("_chunk"))
     ).drop("_end")
     piece = Window.partitionBy(*keys, "_chunk").orderBy(*order)
-    inner = pieces.withColumn("_before", F.lag(F.struct(value)).over(piece))
+    inner = pieces.withColumn("_in_piece", F.lag(F.struct(value)).over(piece))
     return (
         inner.join(carried, [*keys, "_chunk"])
-        .withColumn(out, F.coalesce("_before", "_carried")[value])
-        .drop("_chunk", "_before", "_carried")
+        .withColumn(out, F.coalesce("_in_piece", "_carried")[value])
+        .drop("_chunk", "_in_piece", "_carried")
     )

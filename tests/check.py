@@ -7,7 +7,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from harness import difference  # noqa: E402
+from harness import TIMES, difference  # noqa: E402
 
 import __spark_entry__ as entry  # noqa: E402
 from rasterlake.session import local_session  # noqa: E402
@@ -30,5 +30,5 @@ for name, fn in entry.queries().items():
     except Exception as error:  # noqa: BLE001
         problem, ok = f"{type(error).__name__}: {str(error)[:900]}", False
     failed += not ok
-    print(f"\n{'ok  ' if ok else 'FAIL'} {name} {time.time() - started:.1f}s {problem or ''}", flush=True)
+    print(f"\n{'ok  ' if ok else 'FAIL'} {name} {time.time() - started:.1f}s (spark {TIMES[0]:.1f} sql {TIMES[1]:.1f}) {problem or ''}", flush=True)
 print("failed:", failed)

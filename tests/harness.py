@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import math
+import time
 
 import duckdb
 
 from rasterlake.plans.fixtures import BASE
 
 
+TIMES = [0.0, 0.0]  # seconds of the last comparison: Spark, SQL engine
+
+
 def sql_rows(sf_dir: str, sql: str):
     con = duckdb.connect()
     con.execute("SET TimeZone='UTC'")
@@ -37,8 +41,11 @@ def canonical(names, rows):
 
 
 def difference(df, sf_dir: str, sql: str) -> str | None:
+    started = time.time()
     got_names, got = canonical(df.columns, df.collect())
+    between = time.time()
     want_names, want = canonical(*sql_rows(sf_dir, sql))
+    TIMES[:] = [between - started, time.time() - between]
     if got_names != want_names:
         return f"columns {got_names} != {want_names}"
     if len(got) != len(want):
