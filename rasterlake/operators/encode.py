@@ -1,7 +1,7 @@
 """Tile blocks: one row per tile with its RGBA bytes, for the jobs that need dense tiles.
 
-A block group is one tile (at most size^2 pixels) or one parent with its four children, so the pandas groups are
-bounded whatever the raster size.
+A grouped row is one tile (at most size^2 pixels) or one parent with its four children, so it is bounded whatever
+the raster size.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.color import CHANNELS, Background
@@ -24,16 +24,26 @@ FAST = 1  # zlib level
 
 
 def pack_blocks(tiles: DataFrame, tile_size: int, bg: Background = Background()) -> DataFrame:
-    """Tile pixels to blocks; pixels that are not there take the background."""
-    under = np.array([bg.r, bg.g, bg.b, bg.a], dtype=np.uint8)
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        block = np.tile(under, (tile_size, tile_size, 1))
-        block[pdf["oy"].to_numpy(), pdf["ox"].to_numpy()] = pdf[list(CHANNELS)].to_numpy(dtype=np.uint8)
-        head = pdf[list(TILE)].iloc[[0]].reset_index(drop=True)
-        return head.assign(rgba=[block.tobytes()])
-
-    return tiles.groupBy(*TILE).applyInPandas(pack, BLOCK_DDL)
+    """Tile pixels to blocks; pixels that are not there take the background.
+
+    The sorted pixels of a tile are written as hex with the gaps between them filled, all in column expressions.
+    """
+    blank = "".join(f"{v:02X}" for v in (bg.r, bg.g, bg.b, bg.a))
+    colour = F.concat(*[F.lpad(F.hex(c), 2, "0") for c in CHANNELS])
+    cell = F.struct((F.col("oy") * tile_size + F.col("ox")).cast("int").alias("p"), colour.alias("c"))
+    cells = F.col("_cells")
+
+    def filled(c: Column, i: Column) -> Column:
+        before = F.when(i == 0, F.lit(-1)).otherwise(F.get(cells, i - 1)["p"])
+        return F.concat(F.repeat(F.lit(blank), c["p"] - before - 1), c["c"])
+
+    tail = F.repeat(F.lit(blank), F.lit(tile_size * tile_size - 1) - F.element_at(cells, -1)["p"])
+    text = F.concat(F.array_join(F.transform(cells, filled), ""), tail)
+    return (
+        tiles.groupBy(*TILE)
+        .agg(F.sort_array(F.collect_list(cell)).alias("_cells"))
+        .select(*TILE, F.unhex(text).alias("rgba"))
+    )
 
 
 def unpack_blocks(blocks: DataFrame, tile_size: int) -> DataFrame:
@@ -51,10 +61,13 @@ def unpack_blocks(blocks: DataFrame, tile_size: int) -> DataFrame:
     )
 
 
-def _halve(double: np.ndarray) -> np.ndarray:
-    """Exact ratio-2 triangle filter along the first axis: taps 1,3,3,1 less the ones outside. Returns sums."""
-    padded = np.pad(double, ((1, 1),) + ((0, 0),) * (double.ndim - 1))
-    return padded[0:-2:2] + 3 * padded[1:-1:2] + 3 * padded[2::2] + padded[3::2]
+def _halve(double: np.ndarray, axis: int) -> np.ndarray:
+    """Exact ratio-2 triangle filter along one axis: taps 1,3,3,1 less the ones outside. Returns sums."""
+    pad = [(0, 0)] * double.ndim
+    pad[axis] = (1, 1)
+    padded = np.moveaxis(np.pad(double, pad), axis, 0)
+    sums = padded[0:-2:2] + 3 * padded[1:-1:2] + 3 * padded[2::2] + padded[3::2]
+    return np.moveaxis(sums, 0, axis)
 
 
 def _totals(n: int) -> np.ndarray:
@@ -65,25 +78,34 @@ def _totals(n: int) -> np.ndarray:
 
 
 def merge_blocks(blocks: DataFrame, tile_size: int) -> DataFrame:
-    """Block form of the pyramid merge: groups of at most four tiles, numpy inside the task."""
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        double = np.zeros((2 * tile_size, 2 * tile_size, 4), dtype=np.int64)
-        for tx, ty, rgba in zip(pdf["tx"], pdf["ty"], pdf["rgba"]):
-            x, y = (tx % 2) * tile_size, (ty % 2) * tile_size
-            double[y : y + tile_size, x : x + tile_size] = np.frombuffer(rgba, np.uint8).reshape(tile_size, tile_size, 4)
-        sums = _halve(_halve(double).swapaxes(0, 1)).swapaxes(0, 1)
-        t = _totals(tile_size)
-        total = (t[:, None] * t[None, :])[:, :, None]
-        merged = ((2 * sums + total) // (2 * total)).astype(np.uint8)
-        first = pdf.iloc[0]
-        return pd.DataFrame(
-            {"raster_id": [first["raster_id"]], "z": [first["z"] - 1], "tx": [first["tx"] // 2], "ty": [first["ty"] // 2],
-             "rgba": [merged.tobytes()]}
-        )
-
-    parents = blocks.withColumn("_px", F.floor(F.col("tx") / 2)).withColumn("_py", F.floor(F.col("ty") / 2))
-    return parents.groupBy("raster_id", "z", "_px", "_py").applyInPandas(merge, BLOCK_DDL)
+    """Block form of the pyramid merge: four children side by side in one row, numpy over batches of parents.
+
+    Spark sizes the batches by bytes, so large tiles come a few at a time.
+    """
+    shape = (-1, tile_size, tile_size, 4)
+    nothing = bytes(tile_size * tile_size * 4)
+    t = _totals(tile_size)
+    total = (t[:, None] * t[None, :])[None, :, :, None]
+
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            double = np.zeros((len(pdf), 2 * tile_size, 2 * tile_size, 4), dtype=np.int32)
+            for q in range(4):
+                y, x = (q // 2) * tile_size, (q % 2) * tile_size
+                child = b"".join(nothing if c is None else c for c in pdf[f"_q{q}"])
+                double[:, y : y + tile_size, x : x + tile_size] = np.frombuffer(child, np.uint8).reshape(shape)
+            sums = _halve(_halve(double, 1), 2)
+            merged = ((2 * sums + total) // (2 * total)).astype(np.uint8)
+            yield pdf[list(TILE)].assign(rgba=[m.tobytes() for m in merged])
+
+    quadrant = (F.col("ty") % 2) * 2 + F.col("tx") % 2
+    parents = blocks.groupBy(
+        "raster_id", (F.col("z") - 1).alias("z"), F.floor(F.col("tx") / 2).cast("int").alias("tx"),
+        F.floor(F.col("ty") / 2).cast("int").alias("ty"),
+    ).agg(*[F.max(F.when(quadrant == q, F.col("rgba"))).alias(f"_q{q}") for q in range(4)])
+    return parents.mapInPandas(merge, BLOCK_DDL)
 
 
 def build_blocks(blocks: DataFrame, tile_size: int, top: int, bottom: int = 0) -> DataFrame:

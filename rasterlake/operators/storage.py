@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.hotkeys import running_sum
+from ..plans.sortedruns import map_sorted
 from ..session import cut_lineage
 
 # Quota and the size estimate of an upload.
@@ -56,15 +59,18 @@ def estimate(body_bytes: Column) -> Column:
     return (body_bytes * ESTIMATE_FACTOR).cast("long")
 
 
-def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Admission of one user's bounded list of requests in order."""
-    pdf = pdf.sort_values(["ts", "request_id"])
-    left, verdicts = int(pdf["room"].iloc[0]), []
-    for size in pdf["bytes"].to_numpy():
-        fits = size <= left
-        left -= int(size) if fits else 0
-        verdicts.append(bool(fits))
-    return pd.DataFrame({"request_id": pdf["request_id"], "user_id": pdf["user_id"], "bytes": pdf["bytes"], "admitted": verdicts})
+def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Admission over rows sorted by user and time; only the current user's room is carried along."""
+    current, left = None, 0
+    for pdf in batches:
+        verdicts = []
+        for user, size, room in zip(pdf["user_id"].to_numpy(), pdf["bytes"].to_numpy(), pdf["room"].to_numpy()):
+            if user != current:
+                current, left = user, int(room)
+            fits = size <= left
+            left -= int(size) if fits else 0
+            verdicts.append(bool(fits))
+        yield pdf[["request_id", "user_id", "bytes"]].assign(admitted=verdicts)
 
 
 VERDICT = "request_id bigint, user_id bigint, bytes bigint, admitted boolean"
@@ -98,8 +104,8 @@ def admit(
     """Reserve storage in (ts, request_id) order: each admitted request leaves less room for the next.
 
     ``requests`` has request_id, user_id, ts, bytes; ``balance`` used_bytes and, optionally, reserved_bytes. Users
-    with at most ``group_limit`` requests that fit at all are folded one group each. Larger users go through
-    distributed rounds until few enough requests are left, so no task ever holds an unbounded group.
+    with at most ``group_limit`` requests that fit at all are folded in one sorted pass. Larger users go through
+    distributed rounds until few enough requests are left, so no task ever works through an unbounded group.
     """
     reserved = F.col("reserved_bytes") if "reserved_bytes" in balance.columns else F.lit(0)
     room = balance.select("user_id", (F.lit(quota) - F.col("used_bytes") - reserved).cast("long").alias("room"))
@@ -114,7 +120,7 @@ def admit(
         sizes = pending.groupBy("user_id").agg(F.count("*").alias("_n"))
         large = sizes.filter(F.col("_n") > group_limit).select("user_id")
         small = pending.join(large, "user_id", "left_anti")
-        parts.append(small.groupBy("user_id").applyInPandas(_fold, VERDICT))
+        parts.append(map_sorted(small, ["user_id"], ["ts", "request_id"], _fold, VERDICT))
         if large.isEmpty():
             break
         decided, pending = _bulk_round(pending.join(large, "user_id", "left_semi"), piece)

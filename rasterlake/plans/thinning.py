@@ -8,13 +8,15 @@ thinned on its own.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .sortedruns import group_starts, map_sorted, whole_groups
+
 PIECE_STEPS = 4096
 
 
@@ -28,47 +30,69 @@ def _last_kept(values: np.ndarray, step: int) -> np.ndarray:
     return last
 
 
-def thin(df: DataFrame, keys: Sequence[str], value: str, step: str) -> DataFrame:
+def _kept(values: np.ndarray, step: int, start: float) -> list[int]:
+    """Row numbers kept when nothing below ``start`` may be kept."""
+    following = np.searchsorted(values, values + step)
+    i, kept = int(np.searchsorted(values, start)), []
+    while i < len(values):
+        kept.append(i)
+        i = int(following[i])
+    return kept
+
+
+def thin(df: DataFrame, keys: Sequence[str], value: str, step: str, piece_steps: int = PIECE_STEPS) -> DataFrame:
     """Distinct (keys, value) rows that are kept; ``value`` and ``step`` are whole numbers, step fixed per key."""
     keys = list(keys)
+    piece_keys = [*keys, "_piece"]
     points = (
         df.groupBy(*keys, F.col(value).cast("long").alias("_v"))
         .agg(F.max(F.greatest(F.lit(1).cast("long"), F.col(step).cast("long"))).alias("_step"))
-        .withColumn("_piece", F.floor(F.col("_v") / (F.col("_step") * PIECE_STEPS)))
+        .withColumn("_piece", F.floor(F.col("_v") / (F.col("_step") * piece_steps)))
     )
     key_ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.select(*keys).schema)
 
-    def effects(pdf: pd.DataFrame) -> pd.DataFrame:
-        v, size = np.sort(pdf["_v"].to_numpy()), int(pdf["_step"].iloc[0])
-        reach = int(pdf["_piece"].iloc[0]) * size * PIECE_STEPS + size
-        starts = min(len(v), int(np.searchsorted(v, reach)) + 1)
-        head = pdf[keys + ["_piece", "_step"]].iloc[[0] * starts].reset_index(drop=True)
-        return head.assign(_first=v[:starts], _last=_last_kept(v, size)[:starts])
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        free_from, out = None, []
-        for piece, rows in pdf.sort_values(["_piece", "_first"]).groupby("_piece", sort=True):
-            out.append((piece, free_from))
-            first = rows["_first"].to_numpy()
-            at = 0 if free_from is None else int(np.searchsorted(first, free_from))
-            if at < len(rows):
-                free_from = int(rows["_last"].iloc[at]) + int(rows["_step"].iloc[at])
-        head = pdf[keys].iloc[[0] * len(out)].reset_index(drop=True)
-        pieces, entry = zip(*out)
-        return head.assign(_piece=list(pieces), _from=pd.array(entry, dtype="Int64"))
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        v, size, start = np.sort(pdf["_v"].to_numpy()), int(pdf["_step"].iloc[0]), pdf["_from"].iloc[0]
-        i, kept = 0 if pd.isna(start) else int(np.searchsorted(v, int(start))), []
-        while i < len(v):
-            kept.append(v[i])
-            i = int(np.searchsorted(v, v[i] + size))
-        head = pdf[keys].iloc[[0] * len(kept)].reset_index(drop=True)
-        return head.assign(**{value: np.array(kept, dtype="int64")})
-
-    tables = points.groupBy(*keys, "_piece").applyInPandas(
-        effects, f"{key_ddl}, _piece bigint, _step bigint, _first bigint, _last bigint"
-    )
-    entries = tables.groupBy(*keys).applyInPandas(chain, f"{key_ddl}, _piece bigint, _from bigint")
-    started = points.join(entries, [*keys, "_piece"])
-    return started.groupBy(*keys, "_piece").applyInPandas(keep, f"{key_ddl}, `{value}` bigint")
+    def cut(pdf: pd.DataFrame, names: Sequence[str]) -> Iterator[tuple[int, int]]:
+        starts = group_starts(pdf, names)
+        yield from zip(starts, [*starts[1:], len(pdf)])
+
+    def effects(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in whole_groups(batches, piece_keys):
+            rows, lasts = [], []
+            v, step_of, piece_of = (pdf[c].to_numpy() for c in ("_v", "_step", "_piece"))
+            for a, b in cut(pdf, piece_keys):
+                size = int(step_of[a])
+                reach = int(piece_of[a]) * size * piece_steps + size
+                n = min(b - a, int(np.searchsorted(v[a:b], reach)) + 1)
+                rows.append(np.arange(a, a + n))
+                lasts.append(_last_kept(v[a:b], size)[:n])
+            out = pdf.iloc[np.concatenate(rows)][[*piece_keys, "_step", "_v"]].rename(columns={"_v": "_first"})
+            yield out.assign(_last=np.concatenate(lasts))
+
+    def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, free_from = None, None
+        for pdf in whole_groups(batches, piece_keys):
+            first, last, size = (pdf[c].to_numpy() for c in ("_first", "_last", "_step"))
+            names = [pdf[k].to_numpy() for k in keys]
+            rows, entry = [], []
+            for a, b in cut(pdf, piece_keys):
+                key = tuple(n[a] for n in names)
+                if key != current:
+                    current, free_from = key, None
+                rows.append(a)
+                entry.append(free_from)
+                at = a if free_from is None else a + int(np.searchsorted(first[a:b], free_from))
+                if at < b:
+                    free_from = int(last[at]) + int(size[at])
+            yield pdf.iloc[rows][piece_keys].assign(_from=pd.array(entry, dtype="Int64"))
+
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in whole_groups(batches, piece_keys):
+            v, size, start = pdf["_v"].to_numpy(), pdf["_step"].to_numpy(), pdf["_from"]
+            floor = start.fillna(np.iinfo("int64").min).to_numpy(dtype="int64")
+            rows = [a + i for a, b in cut(pdf, piece_keys) for i in _kept(v[a:b], int(size[a]), int(floor[a]))]
+            yield pdf.iloc[rows][[*keys, "_v"]].rename(columns={"_v": value})
+
+    tables = map_sorted(points, piece_keys, ["_v"], effects, f"{key_ddl}, _piece bigint, _step bigint, _first bigint, _last bigint")
+    entries = map_sorted(tables, keys, ["_piece", "_first"], chain, f"{key_ddl}, _piece bigint, _from bigint")
+    started = points.join(entries, piece_keys)
+    return map_sorted(started, piece_keys, ["_v"], keep, f"{key_ddl}, `{value}` bigint")
