@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.hotkeys import attach
+from ..plans.hotkeys import attach, lookup
 
 # How long a deactivated user can come back.
 WINDOW_DAYS = 30
@@ -110,7 +110,7 @@ def resolve_identities(users: DataFrame, accounts: DataFrame, incoming: DataFram
                 F.lower(F.col("_head.email")).alias("_email"), F.coalesce(F.col("_head.email_verified"), F.lit(False)).alias("_verified"))
     )
     by_email = users.groupBy(F.lower("email").alias("_email")).agg(F.min("user_id").alias("_email_user"))
-    fresh = fresh.join(by_email, "_email", "left").withColumn(
+    fresh = lookup(fresh, by_email, ["_email"], ["_head_id"]).withColumn(
         "_email_user", F.when(F.col("_verified") & F.col("_head_link").isNull(), F.col("_email_user"))
     )
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import color, geo
 from ..functions.color import CHANNELS, Background
 from ..functions.geo import div
+from ..plans.hotkeys import attach
 
 WEIGHT_ONE = 1 << 20
 CATMULL_SUPPORT = 2.0
@@ -63,14 +64,11 @@ def stretched(v: Column, low: Column, high: Column) -> Column:
 def stretch(samples: DataFrame, keys: Sequence[str] = RASTER) -> DataFrame:
     """Add ``level``: every sample stretched over its raster's and channel's finite range.
 
-    The ranges come from a partial aggregate; Spark broadcasts them when small and otherwise joins on the keys,
-    where adaptive execution splits a raster that is much larger than the rest.
+    The ranges come from a partial aggregate and are attached so that one very large raster stays spread out.
     """
-    ranges = samples.groupBy(*keys).agg(
-        F.min(F.when(finite(F.col("v")), F.col("v"))).alias("low"),
-        F.max(F.when(finite(F.col("v")), F.col("v"))).alias("high"),
-    )
-    return samples.join(ranges, list(keys), "left").withColumn(
+    usable = F.when(finite(F.col("v")), F.col("v"))
+    ranges = samples.groupBy(*keys).agg(F.min(usable).alias("low"), F.max(usable).alias("high"), F.count("*").alias("_n"))
+    return attach(samples, ranges, keys, ["x", "y"]).withColumn(
         "level", stretched(F.col("v"), F.col("low"), F.col("high"))
     ).drop("low", "high")
 
@@ -217,6 +215,12 @@ def flat_canvas(levels: DataFrame, bg: Background = Background()) -> DataFrame:
     return _composited(resample(levels, LEVEL, "width", "height", "fit_w", "fit_h"), bg)
 
 
+def over_canvas(px: DataFrame, bg: Background) -> DataFrame:
+    """Composite pixels on the background, keeping all other columns."""
+    out = color.over_background({c: F.col(c) for c in CHANNELS}, bg)
+    return px.select(*[c for c in px.columns if c not in CHANNELS], *[out[c].alias(c) for c in CHANNELS])
+
+
 def image_sizes(px: DataFrame) -> DataFrame:
     """One row per raster; partial aggregation keeps this cheap next to the pixels."""
     return px.groupBy(*RASTER, *SIZE).agg(F.lit(1).alias("_one")).drop("_one")

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.hotkeys import running_sum
+from ..plans.hotkeys import attach, lookup, running_sum
 from ..plans.sortedruns import map_sorted
 from ..session import cut_lineage
 
@@ -74,6 +74,13 @@ def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 VERDICT = "request_id bigint, user_id bigint, bytes bigint, admitted boolean"
+DECIDED = ("request_id", "user_id", "bytes")
+
+
+def _with_counts(pending: DataFrame) -> DataFrame:
+    """Add to every row how many rows its user has, without bringing a user's rows together."""
+    counts = pending.groupBy("user_id").agg(F.count("*").alias("_n")).withColumn("rows_of_user", F.col("_n"))
+    return attach(pending, counts, ["user_id"], ["request_id"])
 
 
 def _bulk_round(pending: DataFrame, piece: Column) -> tuple[DataFrame, DataFrame]:
@@ -83,14 +90,13 @@ def _bulk_round(pending: DataFrame, piece: Column) -> tuple[DataFrame, DataFrame
     longest run from the front that fits together is admitted; what follows waits for the next round with less room.
     """
     fits = F.col("bytes") <= F.col("room")
-    refused = pending.filter(~fits).select("request_id", "user_id", "bytes", F.lit(False).alias("admitted"))
+    refused = pending.filter(~fits).select(*DECIDED, F.lit(False).alias("admitted"))
     summed = running_sum(pending.filter(fits), ["user_id"], piece, ["ts", "request_id"], F.col("bytes"), "_sum")
     inside = F.col("_sum") <= F.col("room")
-    admitted = summed.filter(inside).select("request_id", "user_id", "bytes", F.lit(True).alias("admitted"))
-    taken = summed.filter(inside).groupBy("user_id").agg(F.max("_sum").alias("_taken"))
+    admitted = summed.filter(inside).select(*DECIDED, F.lit(True).alias("admitted"))
+    taken = summed.groupBy("user_id").agg(F.max(F.when(inside, F.col("_sum"))).alias("_taken"), F.count("*").alias("_n"))
     waiting = (
-        summed.filter(~inside)
-        .join(taken, "user_id", "left")
+        attach(summed.filter(~inside), taken, ["user_id"], ["request_id"])
         .withColumn("room", F.col("room") - F.coalesce("_taken", F.lit(0).cast("long")))
         .select(*pending.columns)
     )
@@ -109,23 +115,24 @@ def admit(
     """
     reserved = F.col("reserved_bytes") if "reserved_bytes" in balance.columns else F.lit(0)
     room = balance.select("user_id", (F.lit(quota) - F.col("used_bytes") - reserved).cast("long").alias("room"))
-    asked = requests.select("request_id", "user_id", "ts", F.col("bytes").cast("long").alias("bytes")).join(room, "user_id", "left")
+    sized = requests.select("request_id", "user_id", "ts", F.col("bytes").cast("long").alias("bytes"))
+    asked = lookup(sized, room, ["user_id"], ["request_id"])
     # A user that is not there reserves nothing; a request larger than the whole room never fits.
     never = F.col("room").isNull() | (F.col("bytes") > F.col("room"))
-    parts = [asked.filter(never).select("request_id", "user_id", "bytes", F.lit(False).alias("admitted"))]
+    parts = [asked.filter(never).select(*DECIDED, F.lit(False).alias("admitted"))]
     pending = asked.filter(~never)
     piece = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (piece_seconds * 1_000_000))
 
     while True:
-        sizes = pending.groupBy("user_id").agg(F.count("*").alias("_n"))
-        large = sizes.filter(F.col("_n") > group_limit).select("user_id")
-        small = pending.join(large, "user_id", "left_anti")
+        counted = _with_counts(pending)
+        small = counted.filter(F.col("rows_of_user") <= group_limit).drop("rows_of_user")
         parts.append(map_sorted(small, ["user_id"], ["ts", "request_id"], _fold, VERDICT))
+        large = counted.filter(F.col("rows_of_user") > group_limit).drop("rows_of_user")
         if large.isEmpty():
             break
-        decided, pending = _bulk_round(pending.join(large, "user_id", "left_semi"), piece)
+        decided, waiting = _bulk_round(large, piece)
         parts.append(decided)
-        pending = cut_lineage(pending)
+        pending = cut_lineage(waiting)
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import archive, encode, pyramid
+from ..operators import archive, encode, pyramid, raster
 from ..sources import images, manifest, sinks
+from ..streaming.run import new_folder
 from .fixtures import Registry, Tables
 from .raster_queries import GREY_TILES_SQL, GREY_TS, grey_tiles, merge_sql
 
@@ -165,3 +166,55 @@ def stored_sizes(t: Tables):
     return manifest.tile_set_sizes(objects)
 
 
+# --- writing and reading back -------------------------------------------------------------------------
+
+
+def grey_png_files(t: Tables):
+    return encode.encode_png(encode.pack_blocks(grey_tiles(t), GREY_TS), GREY_TS)
+
+
+@REG.query(
+    "raster_samples",
+    sql=GREY_TILES_SQL + "SELECT raster_id, CAST(tx AS INT) AS tx, CAST(ty AS INT) AS ty, CAST(ox AS INT) AS x, CAST(oy AS INT) AS y, r, g, b, a FROM top",
+)
+def image_file_round_trip(t: Tables):
+    """Encode every tile, write the files, and read them back through the image source."""
+    folder = new_folder(t.spark, "images")
+    sinks.write_files(grey_png_files(t), f"file://{folder}" if folder.startswith("/") else folder)
+    read = images.read_images(t.spark, f"{folder}/*/*/*/*.png")
+    parts = [F.regexp_extract("origin", r"/(\d+)/(\d+)/(\d+)/(\d+)\.png$", i) for i in range(1, 5)]
+    named = read.withColumn("raster_id", F.concat_ws("/", parts[0], parts[2], parts[3]))
+    samples, _ = raster.explode_samples(named)
+    px = raster.band_pixels(samples.withColumn("level", F.col("v").cast("int")))
+    key = F.split("raster_id", "/")
+    return px.select(
+        key[0].cast("long").alias("raster_id"), key[1].cast("int").alias("tx"), key[2].cast("int").alias("ty"), "x", "y", "r", "g", "b", "a"
+    )
+
+
+@REG.query(
+    "raster_samples",
+    sql=TILE_CONTENT_SQL + "SELECT raster_id, CAST(z AS INT) AS z, CAST(tx AS INT) AS tx, CAST(ty AS INT) AS ty, h.tile_id, content, concat(CAST(z AS VARCHAR), '/', CAST(tx AS VARCHAR), '/', CAST(ty AS VARCHAR), '.png') AS path FROM h",
+)
+def tile_table_round_trip(t: Tables):
+    """Write all tiles partitioned by zoom in curve order and read the table back."""
+    folder = new_folder(t.spark, "tiles")
+    sinks.write_tiles(quantised_tiles(t), f"{folder}/tiles")
+    return sinks.read_tiles(t.spark, f"{folder}/tiles").select("raster_id", "z", "tx", "ty", "tile_id", "content", "path")
+
+
+@REG.query(
+    "raster_samples",
+    sql=TILE_CONTENT_SQL + "SELECT 'paths' AS output, COUNT(*) AS rows FROM ct UNION ALL SELECT 'directory', COUNT(*) FROM (SELECT DISTINCT raster_id, digest, tile_id - rn FROM (SELECT *, row_number() OVER (PARTITION BY raster_id, digest ORDER BY tile_id) AS rn FROM en) q) q2",
+)
+def tee_two_outputs(t: Tables):
+    """One computation of the tiles feeds the tile table and the archive directory."""
+    folder = new_folder(t.spark, "tee")
+    sinks.tee(
+        quantised_tiles(t),
+        lambda df: sinks.write_tiles(df, f"{folder}/tiles"),
+        lambda df: archive.directory(df).write.parquet(f"{folder}/directory"),
+    )
+    written = t.spark.read.parquet(f"{folder}/tiles").agg(F.lit("paths").alias("output"), F.count("*").alias("rows"))
+    listed = t.spark.read.parquet(f"{folder}/directory").agg(F.lit("directory").alias("output"), F.count("*").alias("rows"))
+    return written.unionByName(listed)

@@ -46,6 +46,18 @@ def attach(
     )
 
 
+def lookup(
+    rows: DataFrame, table: DataFrame, keys: Sequence[str], spread: Sequence[str], hot_floor: int = HOT_FLOOR
+) -> DataFrame:
+    """Left join with a table that has unique keys, for use before a grouping on the same keys.
+
+    A plain join would leave the rows partitioned by the keys and the grouping would reuse that, hot key and
+    all. The key counts this needs come from one partial aggregate over the key columns alone.
+    """
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    return attach(rows, counts.join(table, list(keys), "left"), keys, spread, hot_floor=hot_floor)
+
+
 def _all_before(keys: Sequence[str], order: Sequence) -> Window:
     return Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import color, geo, text, validate
 from ..functions.color import CHANNELS, Background
-from ..operators import pyramid, raster
+from ..operators import pyramid, raster, tiling
 from .fixtures import Registry, Tables
 
 REG = Registry()
@@ -595,3 +595,24 @@ def object_keys(t: Tables):
     return t("image_dims").select(
         "raster_id", path.alias("path"), text.upload_key(rid).alias("upload_key"), text.tile_prefix(rid).alias("prefix")
     )
+
+
+CUT_SQL = FITTED_SQL.replace("FROM heat_pixels p CROSS JOIN", "FROM small_px p CROSS JOIN")
+
+
+@REG.query(
+    "heat_pixels",
+    sql="p2 AS (SELECT *, 16 AS w2, 12 AS h2 FROM heat_pixels)," + resample_sql("p2", "small", "raster_id", "width", "height", "w2", "h2")
+    + ", small_px AS (SELECT raster_id, 16 AS width, 12 AS height, x, y, r, g, b, a FROM small),"
+    + CUT_SQL.replace("range(3) t(z)", "range(2) t(z)")
+    + f", over AS (SELECT raster_id, z, x // 10 AS tx, y // 10 AS ty, x % 10 AS ox, y % 10 AS oy, {blend_sql(SAND, False)} FROM fitted) SELECT {TILE_COLS} FROM over",
+)
+def cut_images_scaled(t: Tables):
+    """The whole run from one set of options: half size, automatic zooms, opaque background."""
+    return tiling.cut_images(t("heat_pixels"), tiling.TileConfig(tile_size=HEAT_TS, scale=0.5, background=SAND))
+
+
+@REG.query("heat_pixels", sql=STRIP_SQL + f", al AS ({STRIP_ALL}) SELECT raster_id, z, tx, ty, ox, oy, {blend_sql(GLASS, False)} FROM al WHERE z >= 1")
+def cut_images_by_window(t: Tables):
+    config = tiling.TileConfig(tile_size=HEAT_TS, min_zoom=1, background=GLASS, method="window")
+    return tiling.cut_images(t("heat_pixels"), config)

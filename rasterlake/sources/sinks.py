@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tile_path
@@ -30,6 +30,35 @@ def write_tiles(tiles: DataFrame, path: str, fmt: str = "png", mode: str = "erro
     ordered.write.mode(mode).partitionBy("z").option("compression", "none").parquet(path)
 
 
+def write_files(tiles: DataFrame, root: str, fmt: str = "png") -> None:
+    """Write each tile to ``root/raster_id/z/x/y.ext`` from the tasks, on any file system that Arrow knows.
+
+    A task that runs again writes the same files again.
+    """
+
+    def save(rows) -> None:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(root)
+        made = set()
+        for row in rows:
+            target = f"{base}/{row['raster_id']}/{row['path']}"
+            folder = target.rsplit("/", 1)[0]
+            if folder not in made:
+                store.create_dir(folder, recursive=True)
+                made.add(folder)
+            with store.open_output_stream(target) as out:
+                out.write(bytes(row["content"]))
+
+    with_paths(tiles, fmt).select("raster_id", "path", "content").foreachPartition(save)
+
+
+def watched(df: DataFrame, name: str, *metrics: Column) -> tuple[DataFrame, Observation]:
+    """Count rows (and any further metrics) as they pass, without a second pass."""
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), *metrics), seen
+
+
 def read_tiles(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
