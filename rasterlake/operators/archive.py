@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import div, shift, tiles_at
 from ..plans.hotkeys import running_sum
+from ..session import cut_lineage
 
 PIECE = 4096  # consecutive tile ids that are sorted together
 TILE_TYPES = {"png": 2, "jpeg": 3, "webp": 4}  # fixed values of the archive format
@@ -60,7 +61,8 @@ def directory(tiles: DataFrame) -> DataFrame:
     or different, found by one equi join on the id; runs are numbered by an ordered sum over pieces of ids, so
     a raster with millions of tiles is never sorted in one task.
     """
-    listed = entries(tiles)
+    # The listing is small next to the tiles and is used three times: keep it, so that tiles are read once.
+    listed = cut_lineage(entries(tiles))
     before = listed.select("raster_id", (F.col("tile_id") + 1).alias("tile_id"), F.col("digest").alias("_before"))
     marked = listed.join(before, ["raster_id", "tile_id"], "left")
     start = F.when(F.col("_before") == F.col("digest"), 0).otherwise(1)

@@ -118,11 +118,12 @@ def apply_commands(jobs: DataFrame, commands: DataFrame, uploads: DataFrame, roo
 def reap(jobs: DataFrame, as_of: Column, seconds: int = STALE_SECONDS) -> DataFrame:
     """Processing jobs without an update for too long become failed and give back their reservation."""
     stale = (F.col("status") == "processing") & (F.col("updated_at") < as_of - F.expr(f"INTERVAL {seconds} SECONDS"))
+    reaped = F.col("reaped")
     return (
-        jobs.withColumn("reaped", stale)
-        .withColumn("status", F.when(stale, "failed").otherwise(F.col("status")))
-        .withColumn("error", F.when(stale, STALE_ERROR).otherwise(F.col("error")))
-        .withColumn("updated_at", F.when(stale, as_of).otherwise(F.col("updated_at")))
+        jobs.withColumn("reaped", F.coalesce(stale, F.lit(False)))
+        .withColumn("status", F.when(reaped, "failed").otherwise(F.col("status")))
+        .withColumn("error", F.when(reaped, STALE_ERROR).otherwise(F.col("error")))
+        .withColumn("updated_at", F.when(reaped, as_of).otherwise(F.col("updated_at")))
     )
 
 

@@ -15,15 +15,17 @@ TILE = ("raster_id", "z", "tx", "ty")
 
 
 def _axis_taps(tile: Column, offset: Column, tile_size: int) -> Column:
-    """Outputs of the parent tile that one child row or column reaches, with weights in eighths (3 or 1)."""
+    """Outputs of the parent tile that one child row or column reaches, with weights in eighths (3 or 1).
+
+    The further one lies outside the parent at its borders and has to be filtered out.
+    """
     pos = (tile % 2) * tile_size + offset
     near = div(pos, 2).cast("int")
     far = F.when(pos % 2 == 0, near - 1).otherwise(near + 1)
-    taps = F.array(
+    return F.array(
         F.struct(near.alias("o"), F.lit(3).alias("w")),
         F.struct(far.alias("o"), F.lit(1).alias("w")),
     )
-    return F.filter(taps, lambda t: (t["o"] >= 0) & (t["o"] < tile_size))
 
 
 def _axis_total(o: Column, tile_size: int) -> Column:
@@ -35,7 +37,9 @@ def merge(level: DataFrame, tile_size: int) -> DataFrame:
     """One level up: 2x2 tiles become one with the triangle filter; neighbouring parents do not bleed."""
     spread = (
         level.withColumn("_x", F.explode(_axis_taps(F.col("tx"), F.col("ox"), tile_size)))
+        .filter(F.col("_x.o").between(0, tile_size - 1))
         .withColumn("_y", F.explode(_axis_taps(F.col("ty"), F.col("oy"), tile_size)))
+        .filter(F.col("_y.o").between(0, tile_size - 1))
         .withColumn("_w", F.col("_x.w") * F.col("_y.w"))
     )
     sums = spread.groupBy(

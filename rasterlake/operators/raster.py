@@ -100,54 +100,56 @@ def grey_pixels(levels: DataFrame) -> DataFrame:
 # --- resampling -------------------------------------------------------------------------------
 
 
-def _stretch_factor(n: Column, n2: Column) -> tuple[Column, Column]:
-    ratio = n.cast("double") / n2
-    return ratio, F.greatest(F.lit(1.0), ratio)
-
-
 def catmull_rom(t: Column) -> Column:
+    """Kernel for distances below two."""
     near = 1.5 * t * t * t - 2.5 * t * t + 1.0
     far = -0.5 * t * t * t + 2.5 * t * t - 4.0 * t + 2.0
-    return F.when(t < 1.0, near).when(t < 2.0, far).otherwise(F.lit(0.0))
+    return F.when(t < 1.0, near).otherwise(far)
 
 
-def tap_weight(i: Column, o: Column, n: Column, n2: Column) -> Column:
-    """Fixed-point weight of source index i for output index o when n samples become n2."""
-    ratio, s = _stretch_factor(n, n2)
-    t = F.abs((i + 0.5) - (o + 0.5) * ratio) / s
+def fixed_weight(t: Column, s: Column) -> Column:
     return F.round(catmull_rom(t) / s * float(WEIGHT_ONE)).cast("long")
 
 
-def tap_total(o: Column, n: Column, n2: Column) -> Column:
-    """Sum of the weights of all source indices inside the image for output o."""
-    ratio, s = _stretch_factor(n, n2)
-    centre = (o + 0.5) * ratio - 0.5
-    low = F.greatest(F.lit(0), F.ceil(centre - CATMULL_SUPPORT * s).cast("int"))
-    high = F.least(n.cast("int") - 1, F.floor(centre + CATMULL_SUPPORT * s).cast("int"))
-    weights = F.transform(F.sequence(low, high), lambda i: tap_weight(i, o, n, n2))
-    return F.aggregate(weights, F.lit(0).cast("long"), lambda acc, w: acc + w)
-
+def tap_total(o: Column, n: Column, ratio: Column, s: Column) -> Column:
+    """Sum of the weights of all source indices inside the image for output o.
 
-def _outputs(i: Column, n: Column, n2: Column) -> Column:
-    """All output indices that source index i can reach."""
-    ratio, s = _stretch_factor(n, n2)
-    low = F.ceil((i + 0.5 - CATMULL_SUPPORT * s) / ratio - 0.5).cast("int")
-    high = F.floor((i + 0.5 + CATMULL_SUPPORT * s) / ratio - 0.5).cast("int")
-    return F.sequence(F.greatest(F.lit(0), low), F.least(n2.cast("int") - 1, high))
+    The distances are made first, so that the kernel reads each from a variable instead of working it out again.
+    """
+    centre = (o + 0.5) * ratio
+    low = F.greatest(F.lit(0), F.ceil(centre - 0.5 - CATMULL_SUPPORT * s).cast("int"))
+    high = F.least(n.cast("int") - 1, F.floor(centre - 0.5 + CATMULL_SUPPORT * s).cast("int"))
+    distances = F.transform(F.sequence(low, high), lambda i: F.abs((i + 0.5) - centre) / s)
+    zero = F.lit(0).cast("long")
+    return F.aggregate(distances, zero, lambda acc, t: acc + F.when(t < 2.0, fixed_weight(t, s)).otherwise(zero))
 
 
 def _pass(px: DataFrame, keys: Sequence[str], axis: str, n: Column, n2: Column, total: str) -> DataFrame:
-    """One separable pass: scaled integer sums per output index of ``axis``, and their divisor."""
+    """One separable pass: scaled integer sums per output index of ``axis``, and their divisor.
+
+    Each source index is scattered to all outputs it can reach. Scale, distance and weight are separate columns,
+    which keeps every one of them evaluated once per row.
+    """
     other = "y" if axis == "x" else "x"
+    ratio, s, i = F.col("_ratio"), F.col("_s"), F.col(axis)
+    low = F.ceil((i + 0.5 - CATMULL_SUPPORT * s) / ratio - 0.5).cast("int")
+    high = F.floor((i + 0.5 + CATMULL_SUPPORT * s) / ratio - 0.5).cast("int")
+    outputs = F.sequence(F.greatest(F.lit(0), low), F.least(n2.cast("int") - 1, high))
+    ratio_of = n.cast("double") / n2
+    # Keys that carry a divisor of an earlier pass or a size stay as they are; n and n2 must be part of the keys.
+    values = [F.col(c) for c in (*keys, other, *CHANNELS)]
+    scaled = px.select("*", ratio_of.alias("_ratio")).select("*", F.greatest(F.lit(1.0), ratio).alias("_s"))
     spread = (
-        px.withColumn("_o", F.explode(_outputs(F.col(axis), n, n2)))
-        .withColumn("_w", tap_weight(F.col(axis), F.col("_o"), n, n2))
-        .filter(F.col("_w") != 0)
+        scaled.select(*values, axis, "_ratio", "_s", F.explode(outputs).alias("_o"))
+        .select("*", (F.abs((i + 0.5) - (F.col("_o") + 0.5) * ratio) / s).alias("_t"))
+        .filter((F.col("_t") < 2.0) & (F.col("_t") != 1.0))
+        .select("*", fixed_weight(F.col("_t"), s).alias("_w"))
     )
     sums = spread.groupBy(*keys, other, F.col("_o").alias(axis)).agg(
         *[F.sum(F.col("_w") * F.col(c)).alias(c) for c in CHANNELS]
     )
-    return sums.withColumn(total, tap_total(F.col(axis), n, n2))
+    again = sums.select("*", ratio_of.alias("_ratio")).select("*", F.greatest(F.lit(1.0), ratio).alias("_s"))
+    return again.select("*", tap_total(F.col(axis), n, ratio, s).alias(total)).drop("_ratio", "_s")
 
 
 def _rounded(total: Column, divisor: Column) -> Column:
