@@ -79,6 +79,13 @@ def mercator_y(t: ColumnLike) -> Column:
     return (MERCATOR_LIMIT - latitude) / (2.0 * MERCATOR_LIMIT)
 
 
+def mercator_t(y: ColumnLike) -> Column:
+    """Inverse of ``mercator_y``, for finding candidate rows; inputs are clamped to 0..1."""
+    inside = F.greatest(F.lit(0.0), F.least(F.lit(1.0), as_col(y)))
+    latitude = MERCATOR_LIMIT * (1.0 - 2.0 * inside)
+    return (1.0 - F.asinh(F.tan(latitude)) / math.pi) / 2.0
+
+
 def row_range(row: ColumnLike, grid: ColumnLike) -> tuple[Column, Column]:
     """Normalised source range of one tile row under Mercator."""
     g = as_col(grid).cast("double")

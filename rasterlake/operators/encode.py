@@ -15,7 +15,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import color, geo
 from ..functions.color import CHANNELS, Background
+from . import raster
 
 TILE = ("raster_id", "z", "tx", "ty")
 BLOCK_DDL = "raster_id bigint, z int, tx int, ty int, rgba binary"
@@ -108,6 +110,67 @@ def merge_blocks(blocks: DataFrame, tile_size: int) -> DataFrame:
     return parents.mapInPandas(merge, BLOCK_DDL)
 
 
+def _weights(n: int, n2: int) -> np.ndarray:
+    """Fixed-point weights (n2 x n) of the cubic filter, the same numbers as the relational form."""
+    ratio = n / n2
+    s = max(1.0, ratio)
+    t = np.abs((np.arange(n) + 0.5)[None, :] - ((np.arange(n2) + 0.5) * ratio)[:, None]) / s
+    near = 1.5 * t * t * t - 2.5 * t * t + 1.0
+    far = -0.5 * t * t * t + 2.5 * t * t - 4.0 * t + 2.0
+    scaled = np.where(t < 1.0, near, np.where(t < 2.0, far, 0.0)) / s * float(raster.WEIGHT_ONE)
+    return np.sign(scaled) * np.floor(np.abs(scaled) + 0.5)
+
+
+def _resize(crop: np.ndarray, out_h: int, out_w: int, cache: dict) -> np.ndarray:
+    """Exact integer resize of (h, w, 4): every partial sum stays below 2^53, so float matrices hold it exactly."""
+    def table(n: int, n2: int) -> tuple[np.ndarray, np.ndarray]:
+        if (n, n2) not in cache:
+            w = _weights(n, n2)
+            cache[n, n2] = w, w.sum(axis=1)
+        return cache[n, n2]
+
+    wy, dy = table(crop.shape[0], out_h)
+    wx, dx = table(crop.shape[1], out_w)
+    sums = np.einsum("hwc,xw->hxc", np.tensordot(wy, crop, (1, 0)), wx, optimize=True)
+    total = (dy[:, None] * dx[None, :]).astype(np.int64)[:, :, None]
+    level = np.floor_divide(2 * sums.astype(np.int64) + total, 2 * total)
+    return np.clip(level, 0, 255).astype(np.uint8)
+
+
+def window_blocks(px: DataFrame, tile_size: int, zmax: Column | int, projection: str = "flat") -> DataFrame:
+    """Block form of ``raster.extract_windows``: one shuffle brings each tile's source window together.
+
+    At the highest zoom a window is hardly larger than the tile, so the grouped rows are bounded; pixels are
+    moved once or twice instead of once per filter tap.
+    """
+    sized = px.withColumn("z", geo.as_col(zmax).cast("int"))
+    placed = raster.into_windows(raster.into_windows(sized, "y", tile_size, projection), "x", tile_size, projection)
+    packed = color.pack(*[F.col(c) for c in CHANNELS])
+    grouped = placed.groupBy(*TILE, "n_x", "out_x", "n_y", "out_y").agg(
+        F.collect_list((F.col("y") * F.col("n_x") + F.col("x")).cast("long") * (1 << 32) + packed).alias("cells")
+    )
+
+    def resize(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cache: dict = {}
+        for pdf in batches:
+            done = []
+            for cells, nx, ox, ny, oy in zip(*(pdf[c] for c in ("cells", "n_x", "out_x", "n_y", "out_y"))):
+                crop = np.zeros((ny * nx, 4))
+                place, rgba = cells >> 32, cells & 0xFFFFFFFF
+                crop[place] = (rgba[:, None] >> np.array([24, 16, 8, 0])) & 255
+                block = np.zeros((tile_size, tile_size, 4), np.uint8)
+                block[:oy, :ox] = _resize(crop.reshape(ny, nx, 4), oy, ox, cache)
+                done.append(block.tobytes())
+            yield pdf[list(TILE)].assign(rgba=done)
+
+    return grouped.mapInPandas(resize, BLOCK_DDL)
+
+
+def strip_blocks(px: DataFrame, tile_size: int, top: int, projection: str = "flat") -> DataFrame:
+    """The window method in block form, all levels."""
+    return build_blocks(window_blocks(px, tile_size, top, projection), tile_size, top)
+
+
 def build_blocks(blocks: DataFrame, tile_size: int, top: int, bottom: int = 0) -> DataFrame:
     """All levels in block form."""
     current = blocks.filter(F.col("z") == top)

@@ -364,39 +364,65 @@ def crop_tiles(canvas_px: DataFrame, tile_size: int) -> DataFrame:
 # --- window method ----------------------------------------------------------------------------
 
 
-def axis_windows(sizes: DataFrame, axis: str, tile_size: int, projection: str) -> DataFrame:
-    """Source window and output size of every tile along one axis; blank tiles have no window.
+def _window(tile: Column, axis: str, tile_size: int, projection: str) -> tuple[Column, Column]:
+    """Source start and end of a tile along one axis, as fractions of a pixel."""
+    n = F.col("width" if axis == "x" else "height").cast("double")
+    grid = geo.grid_size(F.col("z"))
+    if projection == "mercator" and axis == "y":
+        low, high = geo.row_range(tile, grid)
+        return low * n, high * n
+    canvas_px = (grid * tile_size).cast("double")
+    longest = F.greatest("width", "height").cast("double")
+    return tile * float(tile_size) * longest / canvas_px, (tile + 1) * float(tile_size) * longest / canvas_px
+
+
+def axis_windows(rows: DataFrame, axis: str, tile_size: int, projection: str) -> DataFrame:
+    """For rows with a tile number ``t{axis}``: first source index, number of indices and output size.
 
-    ``sizes`` has one row per raster with ``z`` (the level to cut), ``width`` and ``height``.
+    Tiles that begin beyond the image are left out.
     """
     n = F.col("width" if axis == "x" else "height").cast("double")
-    mercator = projection == "mercator" and axis == "y"
-    canvas_px = (geo.grid_size(F.col("z")) * tile_size).cast("double")
-    longest = F.greatest("width", "height").cast("double")
-    tile = F.col("tile")
-    if mercator:
-        low, high = geo.row_range(tile, geo.grid_size(F.col("z")))
-        start, end = low * n, high * n
-    else:
-        start, end = tile * float(tile_size) * longest / canvas_px, (tile + 1) * float(tile_size) * longest / canvas_px
-    span = tile_size * longest / canvas_px
-    covered = F.greatest(F.lit(0.0), F.least(n - F.col("start"), span)) / span
-    out = F.lit(tile_size) if mercator else F.greatest(F.lit(1.0), F.round(covered * tile_size)).cast("int")
-    last = (geo.grid_size(F.col("z")) - 1).cast("int")
+    start, end = _window(F.col(f"t{axis}"), axis, tile_size, projection)
+    span = tile_size * F.greatest("width", "height").cast("double") / (geo.grid_size(F.col("z")) * tile_size).cast("double")
+    covered = F.greatest(F.lit(0.0), F.least(n - F.col("_start"), span)) / span
+    whole = projection == "mercator" and axis == "y"
+    out = F.lit(tile_size) if whole else F.greatest(F.lit(1.0), F.round(covered * tile_size)).cast("int")
+    low, high = F.least(F.floor("_start"), n - 1).cast("int"), F.least(F.ceil("_end") + 1, n).cast("int")
     return (
-        sizes.withColumn("tile", F.explode(F.sequence(F.lit(0), last)))
-        .withColumn("start", start)
-        .withColumn("end", end)
-        .filter(F.col("start") < n)
-        .withColumn("low", F.least(F.floor("start"), n - 1).cast("int"))
-        .withColumn("high", F.least(F.ceil("end") + 1, n).cast("int"))
-        .select(
-            *RASTER, "z", F.col("tile").alias(f"t{axis}"), F.col("low").alias(f"low_{axis}"),
-            F.greatest(F.lit(1), F.col("high") - F.col("low")).alias(f"n_{axis}"), out.alias(f"out_{axis}"),
-        )
+        rows.select("*", start.alias("_start"), end.alias("_end"))
+        .filter(F.col("_start") < n)
+        .select("*", low.alias(f"low_{axis}"), high.alias("_high"), out.alias(f"out_{axis}"))
+        .select("*", F.greatest(F.lit(1), F.col("_high") - F.col(f"low_{axis}")).alias(f"n_{axis}"))
+        .drop("_start", "_end", "_high")
     )
 
 
+def _candidates(axis: str, tile_size: int, projection: str) -> Column:
+    """Tile numbers whose window may hold the row's source index: the exact ones and a few more."""
+    i = F.col(axis)
+    grid = geo.grid_size(F.col("z"))
+    if projection == "mercator" and axis == "y":
+        h = F.col("height").cast("double")
+        low, high = geo.mercator_t((i - 2) / h) * grid, geo.mercator_t((i + 2) / h) * grid
+    else:
+        span = F.greatest("width", "height").cast("double") / grid
+        low, high = (i - 2) / span, (i + 2) / span
+    first = F.greatest(F.lit(0), F.floor(low).cast("int") - 1)
+    last = F.least((grid - 1).cast("int"), F.ceil(high).cast("int"))
+    return F.sequence(F.least(first, last), last)
+
+
+def into_windows(px: DataFrame, axis: str, tile_size: int, projection: str) -> DataFrame:
+    """Give every source pixel to the tiles whose window holds it along one axis, numbered from the window's start.
+
+    The range join is plain arithmetic on each row: candidate tiles are generated and checked, nothing is shuffled.
+    """
+    spread = px.withColumn(f"t{axis}", F.explode(_candidates(axis, tile_size, projection)))
+    placed = axis_windows(spread, axis, tile_size, projection)
+    offset = F.col(axis) - F.col(f"low_{axis}")
+    return placed.filter((offset >= 0) & (offset < F.col(f"n_{axis}"))).withColumn(axis, offset).drop(f"low_{axis}")
+
+
 def source_rows(sizes: DataFrame, tile_size: int, projection: str) -> DataFrame:
     """Source rows [low, high) that each tile row needs, with a margin of one, for pruning a scan on y."""
     n = F.col("height").cast("double")
@@ -423,23 +449,12 @@ def source_rows(sizes: DataFrame, tile_size: int, projection: str) -> DataFrame:
 
 
 def extract_windows(px: DataFrame, tile_size: int, zmax: Column | int, projection: str) -> DataFrame:
-    """Tiles of the highest zoom, each cropped and resampled from its own source window.
-
-    The window tables are exploded to source rows and columns, which turns the range join into two equi joins
-    on (raster, row) and (raster, column).
-    """
+    """Tiles of the highest zoom, each cropped and resampled from its own source window."""
     sized = px.withColumn("z", geo.as_col(zmax).cast("int"))
-    sizes = sized.groupBy(*RASTER, *SIZE, "z").agg(F.lit(1).alias("_one")).drop("_one")
-
-    def lookup(axis: str) -> DataFrame:
-        first, count = F.col(f"low_{axis}"), F.col(f"n_{axis}")
-        return axis_windows(sizes, axis, tile_size, projection).withColumn(
-            axis, F.explode(F.sequence(first, first + count - 1))
-        )
-
-    down = sized.join(lookup("y"), [*RASTER, "z", "y"]).withColumn("y", F.col("y") - F.col("low_y"))
-    columns = _pass(down, [*RASTER, "z", "ty", "n_y", "out_y"], "y", F.col("n_y"), F.col("out_y"), "_dy")
-    across = columns.join(lookup("x"), [*RASTER, "z", "x"]).withColumn("x", F.col("x") - F.col("low_x"))
+    down = into_windows(sized, "y", tile_size, projection)
+    kept = [*RASTER, *SIZE, "z", "ty", "n_y", "out_y"]
+    columns = _pass(down, kept, "y", F.col("n_y"), F.col("out_y"), "_dy")
+    across = into_windows(columns, "x", tile_size, projection)
     keys = [*RASTER, "z", "tx", "ty", "n_x", "out_x", "_dy"]
     both = _pass(across, keys, "x", F.col("n_x"), F.col("out_x"), "_dx")
     divisor = F.col("_dx") * F.col("_dy")

@@ -8,7 +8,7 @@ from ..operators import archive, encode, pyramid, raster
 from ..sources import images, manifest, sinks
 from ..streaming.run import new_folder
 from .fixtures import Registry, Tables
-from .raster_queries import GREY_TILES_SQL, GREY_TS, grey_tiles, merge_sql
+from .raster_queries import GREY_TILES_SQL, GREY_TS, HEAT_TS, HEAT_ZOOM, STRIP_ALL, STRIP_SQL, grey_tiles, merge_sql, window_sql
 
 REG = Registry()
 
@@ -140,6 +140,26 @@ def encoded_png_headers(t: Tables):
     return images.sniff_headers(files).select("raster_id", "z", "tx", "ty", "is_png", "width", "height")
 
 
+def dense_sql(source: str) -> str:
+    """Hex of whole 10x10 tiles, clear where there is no pixel, from tile pixels in ``source``."""
+    colour = "concat(" + ", ".join(f"lpad(hex({c}), 2, '0')" for c in "rgba") + ")"
+    return f"""
+SELECT k.raster_id, CAST(k.z AS INT) AS z, CAST(k.tx AS INT) AS tx, CAST(k.ty AS INT) AS ty, string_agg(CASE WHEN s.r IS NULL THEN '00000000' ELSE {colour} END, '' ORDER BY p.p) AS rgba
+FROM (SELECT DISTINCT raster_id, z, tx, ty FROM {source}) k JOIN range(100) p(p) ON TRUE
+LEFT JOIN {source} s ON s.raster_id = k.raster_id AND s.z = k.z AND s.tx = k.tx AND s.ty = k.ty AND s.oy * 10 + s.ox = p.p GROUP BY 1, 2, 3, 4"""
+
+
+@REG.query("heat_pixels", sql=STRIP_SQL + f", al AS ({STRIP_ALL})" + dense_sql("al"))
+def block_strip_pyramid(t: Tables):
+    """Window method in block form, checked against the same SQL as the relational form."""
+    return encode.strip_blocks(t("heat_pixels"), HEAT_TS, HEAT_ZOOM).withColumn("rgba", F.hex("rgba"))
+
+
+@REG.query("heat_pixels", sql=window_sql("win", "mercator") + dense_sql("win"))
+def block_windows_mercator(t: Tables):
+    return encode.window_blocks(t("heat_pixels"), HEAT_TS, HEAT_ZOOM, "mercator").withColumn("rgba", F.hex("rgba"))
+
+
 @REG.query(
     "headers",
     sql="""

@@ -14,6 +14,8 @@ def local_session(app: str = "rasterlake", cpus: str = "*", partitions: int = 8)
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
+        # Pixel work is heavy per byte, so small local shuffles should still use all cores.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
