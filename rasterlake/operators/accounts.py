@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.hotkeys import attach, lookup
+from ..session import cut_lineage
 
 # How long a deactivated user can come back.
 WINDOW_DAYS = 30
@@ -113,6 +114,8 @@ def resolve_identities(users: DataFrame, accounts: DataFrame, incoming: DataFram
     fresh = lookup(fresh, by_email, ["_email"], ["_head_id"]).withColumn(
         "_email_user", F.when(F.col("_verified") & F.col("_head_link").isNull(), F.col("_email_user"))
     )
+    # One row per new pair, used several times below.
+    fresh = cut_lineage(fresh)
 
     # New users: a verified email joins the user that the earliest new identity with that email made.
     makes = F.col("_head_link").isNull() & F.col("_email_user").isNull()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,29 +18,32 @@ STATE = "status string, progress int, tiles_done bigint, updated_ms bigint, appl
 OUTPUT = "job_id bigint, " + STATE
 
 
-def _known(value, before):
-    return before if pd.isna(value) else int(value)
+def _in_order(pdf: pd.DataFrame, *columns: str) -> Iterator[tuple]:
+    """Values of some columns in (ts, event_id) order, without building sorted frames for every small group."""
+    order = np.lexsort((pdf["event_id"].to_numpy(), pdf["ts"].to_numpy()))
+    return zip(*(pdf[c].to_numpy()[order].tolist() for c in columns))
+
+
+def _millis(pdf: pd.DataFrame) -> pd.DataFrame:
+    return pdf.assign(ms=pdf["ts"].to_numpy().astype("datetime64[ms]").astype("int64"))
 
 
 def _advance(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Apply updates while the job is open; afterwards only count them."""
     status, progress, done, updated, applied, ignored = state.get if state.exists else (None, None, None, None, 0, 0)
     for pdf in batches:
-        for row in pdf.sort_values(list(jobs.ORDER)).itertuples(index=False):
+        for new, share, tiles, ms in _in_order(_millis(pdf), "status", "progress", "tiles_done", "ms"):
             if status is not None and status not in jobs.OPEN:
                 ignored += 1
                 continue
-            status = row.status
-            progress = min(100, max(0, int(row.progress)))
-            done = _known(row.tiles_done, done)
-            updated = int(row.ts.value // 1_000_000)
+            status, progress, updated = new, min(100, max(0, int(share))), ms
+            done = done if tiles is None or tiles != tiles else int(tiles)
             applied += 1
     state.update((status, progress, done, updated, applied, ignored))
-    out = pd.DataFrame(
-        {"job_id": [key[0]], "status": [status], "progress": [progress], "tiles_done": [done], "updated_ms": [updated],
-         "applied": [applied], "ignored": [ignored]}
+    yield pd.DataFrame(
+        {"job_id": [key[0]], "status": [status], "progress": [progress], "tiles_done": pd.array([done], "Int64"),
+         "updated_ms": [updated], "applied": [applied], "ignored": [ignored]}
     )
-    yield out.astype({"tiles_done": "Int64"})
 
 
 def states(updates: DataFrame) -> DataFrame:
@@ -58,8 +62,8 @@ def _watch(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[
         return
     status, seen = state.get if state.exists else (None, -1)
     for pdf in batches:
-        for row in pdf.sort_values(list(jobs.ORDER)).itertuples(index=False):
-            status, seen = row.status, max(seen, int(row.ts.value // 1_000_000))
+        for status, ms in _in_order(_millis(pdf), "status", "ms"):  # noqa: B007
+            seen = max(seen, ms)
     state.update((status, seen))
     if status == "processing":
         state.setTimeoutTimestamp(max(seen + jobs.STALE_SECONDS * 1000, state.getCurrentWatermarkMs() + 1))
