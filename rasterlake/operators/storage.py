@@ -94,7 +94,7 @@ def _bulk_round(pending: DataFrame, piece: Column) -> tuple[DataFrame, DataFrame
     summed = running_sum(pending.filter(fits), ["user_id"], piece, ["ts", "request_id"], F.col("bytes"), "_sum")
     inside = F.col("_sum") <= F.col("room")
     admitted = summed.filter(inside).select(*DECIDED, F.lit(True).alias("admitted"))
-    taken = summed.groupBy("user_id").agg(F.max(F.when(inside, F.col("_sum"))).alias("_taken"), F.count("*").alias("_n"))
+    taken = summed.groupBy("user_id").agg(F.max(F.when(inside, F.col("_sum"))).alias("_taken"), F.count_if(~inside).alias("_n"))
     waiting = (
         attach(summed.filter(~inside), taken, ["user_id"], ["request_id"])
         .withColumn("room", F.col("room") - F.coalesce("_taken", F.lit(0).cast("long")))

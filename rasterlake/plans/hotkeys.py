@@ -23,18 +23,21 @@ def attach(
 ) -> DataFrame:
     """Left join of ``rows`` with one value row per key, safe for hot keys.
 
-    ``per_key`` carries in ``weight`` how many rows each key has. The hot keys, at most HOT_SHARE of them
-    whatever the data size, are broadcast. All other keys meet their rows in a shuffle join, in which the rows
-    already served (and rows with a null key) are spread by a salt over ``spread`` instead of piling up.
+    ``per_key`` carries in ``weight`` how many of the rows each key has (never more). The hot keys, at most
+    HOT_SHARE of them whatever the data size, are broadcast. All other keys meet their rows in a shuffle join, in which the rows
+    already served (and rows with a null key) are spread by a salt over ``spread`` instead of piling up. Both
+    sides use the same aggregate, so its shuffle runs once; the row count needs no columns.
     """
     keys = list(keys)
     values = [c for c in per_key.columns if c not in keys and c != weight]
-    total = per_key.select(F.sum(weight)).scalar()
+    total = rows.select(F.count(F.lit(1))).scalar()
     is_hot = (F.col(weight) > hot_floor) & (F.col(weight) > total / HOT_SHARE)
 
     hot = per_key.filter(is_hot).select(*keys, F.lit(True).alias("_hot"), *[F.col(v).alias(f"_hot_{v}") for v in values])
+    # Always -1, but not a literal: the optimiser would take a literal out of the join keys, and with it the salt.
+    unsalted = F.when(F.col(weight) >= 0, -1).otherwise(-2)
     cold = per_key.filter(~is_hot).select(
-        *keys, F.lit(-1).alias("_salt"), F.lit(True).alias("_cold"), *[F.col(v).alias(f"_cold_{v}") for v in values]
+        *keys, unsalted.alias("_salt"), *[F.col(v).alias(f"_cold_{v}") for v in values]
     )
     served = F.col("_hot").isNotNull()
     for key in keys:

@@ -36,6 +36,20 @@ def test_lookup_keeps_rows_without_match(rows):
     assert len(got) == len(data) and all(r.flag == {"hot": 1, "k1": 2}.get(r.k) for r in got)
 
 
+def test_salt_is_part_of_the_shuffle_key(rows):
+    _, df = rows
+    spark = df.sparkSession
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = lookup(df, spark.createDataFrame([("hot", 1)], "k string, flag int"), ["k"], ["id"], hot_floor=0)
+        plan = joined.groupBy("k").agg(F.sum("flag"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    salted = [line for line in plan.splitlines() if "Exchange hashpartitioning(k#" in line and "_salt#" in line]
+    assert len(salted) == 2, plan
+
+
 def test_running_sum_and_previous(rows):
     data, df = rows
     keyed = df.filter("k IS NOT NULL")
