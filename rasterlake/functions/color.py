@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .geo import div
+from .geo import div, nearest
 
 CHANNELS = ("r", "g", "b", "a")
 
@@ -37,9 +37,9 @@ def parse_hex(text: Column) -> Column:
 
 
 def blend(c: Column, a: Column, under: int) -> Column:
-    """One channel over an opaque background, rounded half away from zero."""
+    """One channel over an opaque background, rounded."""
     alpha = a.cast("double") / 255.0
-    return F.round(c * alpha + under * (1.0 - alpha)).cast("int")
+    return nearest(c * alpha + under * (1.0 - alpha)).cast("int")
 
 
 def over_background(px: dict[str, Column], bg: Background, mercator: bool = False) -> dict[str, Column]:

@@ -118,7 +118,7 @@ def _weights(n: int, n2: int) -> np.ndarray:
     near = 1.5 * t * t * t - 2.5 * t * t + 1.0
     far = -0.5 * t * t * t + 2.5 * t * t - 4.0 * t + 2.0
     scaled = np.where(t < 1.0, near, np.where(t < 2.0, far, 0.0)) / s * float(raster.WEIGHT_ONE)
-    return np.sign(scaled) * np.floor(np.abs(scaled) + 0.5)
+    return np.floor(scaled + 0.5)
 
 
 def _resize(crop: np.ndarray, out_h: int, out_w: int, cache: dict) -> np.ndarray:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import color, geo
 from ..functions.color import CHANNELS, Background
-from ..functions.geo import div
+from ..functions.geo import div, nearest
 from ..plans.hotkeys import attach
 
 WEIGHT_ONE = 1 << 20
@@ -55,8 +55,8 @@ def finite(v: Column) -> Column:
 
 def stretched(v: Column, low: Column, high: Column) -> Column:
     """A sample on the 0..255 scale of its channel's range."""
-    level = F.round((v - low) / (high - low) * 255.0)
-    scaled = F.greatest(F.lit(0.0), F.least(F.lit(255.0), level)).cast("int")
+    level = nearest((v - low) / (high - low) * 255.0)
+    scaled = F.greatest(F.lit(0), F.least(F.lit(255), level)).cast("int")
     flat = F.when(high > 0, 255).otherwise(0)
     return F.when(v.isNull() | ~finite(v), 0).when(high > low, scaled).otherwise(flat)
 
@@ -108,7 +108,7 @@ def catmull_rom(t: Column) -> Column:
 
 
 def fixed_weight(t: Column, s: Column) -> Column:
-    return F.round(catmull_rom(t) / s * float(WEIGHT_ONE)).cast("long")
+    return nearest(catmull_rom(t) / s * float(WEIGHT_ONE))
 
 
 def tap_total(o: Column, n: Column, ratio: Column, s: Column) -> Column:
@@ -264,7 +264,7 @@ def mercator_canvas(levels: DataFrame, bg: Background = Background()) -> DataFra
     p0, p1, frac = _tap_channels("_p0"), _tap_channels("_p1"), F.col("frac")
     mixed = pairs.select(
         *RASTER, "z", "canvas", "x", F.col("cy").alias("y"),
-        *[F.round(p0[c] * (1.0 - frac) + p1[c] * frac).cast("int").alias(c) for c in CHANNELS],
+        *[nearest(p0[c] * (1.0 - frac) + p1[c] * frac).cast("int").alias(c) for c in CHANNELS],
     )
     return _composited(mixed, bg, mercator=True)
 
@@ -321,7 +321,7 @@ def isometric_canvas(levels: DataFrame, bg: Background = Background()) -> DataFr
     def mixed(c: str) -> Column:
         top = p[0][c] * (1.0 - fx) + p[1][c] * fx
         bottom = p[2][c] * (1.0 - fx) + p[3][c] * fx
-        return F.round(top * (1.0 - fy) + bottom * fy).cast("int").alias(c)
+        return nearest(top * (1.0 - fy) + bottom * fy).cast("int").alias(c)
 
     sampled = met.select(*RASTER, "z", "canvas", "x", "y", *[mixed(c) for c in CHANNELS])
     if bg.transparent:
@@ -386,7 +386,7 @@ def axis_windows(rows: DataFrame, axis: str, tile_size: int, projection: str) ->
     span = tile_size * F.greatest("width", "height").cast("double") / (geo.grid_size(F.col("z")) * tile_size).cast("double")
     covered = F.greatest(F.lit(0.0), F.least(n - F.col("_start"), span)) / span
     whole = projection == "mercator" and axis == "y"
-    out = F.lit(tile_size) if whole else F.greatest(F.lit(1.0), F.round(covered * tile_size)).cast("int")
+    out = F.lit(tile_size) if whole else F.greatest(F.lit(1), nearest(covered * tile_size)).cast("int")
     low, high = F.least(F.floor("_start"), n - 1).cast("int"), F.least(F.ceil("_end") + 1, n).cast("int")
     return (
         rows.select("*", start.alias("_start"), end.alias("_end"))

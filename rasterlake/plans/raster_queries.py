@@ -245,7 +245,7 @@ def taps_sql(name: str, pairs: str) -> str:
     """Weight table (n, n2, i, o, w, d) of the cubic filter for the size pairs given by a SELECT."""
     return f"""
 {name} AS (SELECT *, SUM(w) OVER (PARTITION BY n, n2, o) AS d FROM (
-  SELECT n, n2, i, o, t, CAST(round(CASE WHEN t < 1 THEN 1.5 * t * t * t - 2.5 * t * t + 1.0
+  SELECT n, n2, i, o, t, CAST(floor(0.5e0 + CASE WHEN t < 1 THEN 1.5 * t * t * t - 2.5 * t * t + 1.0
                                       WHEN t < 2 THEN -0.5 * t * t * t + 2.5 * t * t - 4.0 * t + 2.0 ELSE 0.0 END / s * 1048576.0) AS BIGINT) AS w
   FROM (SELECT n, n2, i, o, s, abs((i + 0.5) - (o + 0.5) * ratio) / s AS t
         FROM (SELECT n, n2, i, o, CAST(n AS DOUBLE) / n2 AS ratio, greatest(1.0, CAST(n AS DOUBLE) / n2) AS s
