@@ -35,21 +35,21 @@ def _axis_total(o: Column, tile_size: int) -> Column:
 
 def merge(level: DataFrame, tile_size: int) -> DataFrame:
     """One level up: 2x2 tiles become one with the triangle filter; neighbouring parents do not bleed."""
+    # Children meet by parent tile before they are scattered to its pixels, so only child pixels are moved.
+    parent = [div(F.col("tx"), 2).cast("int").alias("_px"), div(F.col("ty"), 2).cast("int").alias("_py")]
+    family = level.select("*", *parent).repartition("raster_id", "z", "_px", "_py")
     spread = (
-        level.withColumn("_x", F.explode(_axis_taps(F.col("tx"), F.col("ox"), tile_size)))
+        family.withColumn("_x", F.explode(_axis_taps(F.col("tx"), F.col("ox"), tile_size)))
         .filter(F.col("_x.o").between(0, tile_size - 1))
         .withColumn("_y", F.explode(_axis_taps(F.col("ty"), F.col("oy"), tile_size)))
         .filter(F.col("_y.o").between(0, tile_size - 1))
         .withColumn("_w", F.col("_x.w") * F.col("_y.w"))
     )
-    sums = spread.groupBy(
-        "raster_id",
-        (F.col("z") - 1).alias("z"),
-        div(F.col("tx"), 2).cast("int").alias("tx"),
-        div(F.col("ty"), 2).cast("int").alias("ty"),
-        F.col("_x.o").alias("ox"),
-        F.col("_y.o").alias("oy"),
-    ).agg(*[F.sum(F.col(c) * F.col("_w")).alias(c) for c in CHANNELS])
+    sums = (
+        spread.groupBy("raster_id", "z", "_px", "_py", F.col("_x.o").alias("ox"), F.col("_y.o").alias("oy"))
+        .agg(*[F.sum(F.col(c) * F.col("_w")).alias(c) for c in CHANNELS])
+        .select("raster_id", (F.col("z") - 1).alias("z"), F.col("_px").alias("tx"), F.col("_py").alias("ty"), "ox", "oy", *CHANNELS)
+    )
     total = _axis_total(F.col("ox"), tile_size) * _axis_total(F.col("oy"), tile_size)
     return sums.select(
         *TILE, "ox", "oy", *[div(F.col(c) * 2 + total, total * 2).cast("int").alias(c) for c in CHANNELS]
@@ -87,7 +87,7 @@ def naive_pyramid(
     bg: Background = Background(),
 ) -> DataFrame:
     """Every level rendered from the source, all zooms in one job with z as a grouping key."""
-    levels = raster.at_zooms(px, tile_size, zmin, zmax)
+    levels = raster.at_zooms(px, tile_size, zmin, zmax, "y" if projection == "mercator" else "x")
     return raster.crop_tiles(raster.canvas(levels, projection, bg), tile_size)
 
 

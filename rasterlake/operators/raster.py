@@ -161,10 +161,12 @@ def resample(px: DataFrame, keys: Sequence[str], width: str, height: str, out_w:
     """Catmull-Rom resize of every raster from (width, height) to (out_w, out_h).
 
     ``keys`` must determine the four size columns and include them. Vertical pass first, rounding once at the
-    end. Same size gives the same pixels.
+    end. Same size gives the same pixels. Pixels are brought together by column, then by row, before they are
+    scattered to their outputs, so each pass moves pixels and not filter taps.
     """
     columns = _pass(px, keys, "y", F.col(height), F.col(out_h), "_dy")
-    both = _pass(columns, [*keys, "_dy"], "x", F.col(width), F.col(out_w), "_dx")
+    rows = columns.repartition(*keys, "y")
+    both = _pass(rows, [*keys, "_dy"], "x", F.col(width), F.col(out_w), "_dx")
     divisor = F.col("_dx") * F.col("_dy")
     return both.select(*keys, "x", "y", *[_rounded(F.col(c), divisor).alias(c) for c in CHANNELS])
 
@@ -177,7 +179,7 @@ def resample_columns(px: DataFrame, keys: Sequence[str], width: str, out_w: str)
 
 def prescale(px: DataFrame, scale: float) -> DataFrame:
     """Resize by a factor before tiling; the new size replaces the old one."""
-    sized = px.withColumn("_w2", geo.prescale(F.col("width"), scale)).withColumn(
+    sized = px.repartition(*RASTER, "x").withColumn("_w2", geo.prescale(F.col("width"), scale)).withColumn(
         "_h2", geo.prescale(F.col("height"), scale)
     )
     keys = [*RASTER, *SIZE, "_w2", "_h2"]
@@ -192,15 +194,20 @@ LEVEL = (*RASTER, *SIZE, "z", "canvas", "fit_w", "fit_h")
 CANVAS = (*RASTER, "z", "canvas", "x", "y", *CHANNELS)
 
 
-def at_zooms(px: DataFrame, tile_size: int, zmin: Column | int, zmax: Column | int) -> DataFrame:
-    """Repeat every row for its zoom levels, with the canvas and the fitted size of each."""
+def at_zooms(px: DataFrame, tile_size: int, zmin: Column | int, zmax: Column | int, by: str = "x") -> DataFrame:
+    """Repeat every row for its zoom levels, with the canvas and the fitted size of each.
+
+    Pixels are first brought together by column, or by row where only rows are resampled (``by="y"``, for
+    Mercator); the first pass then needs no further shuffle.
+    """
     zooms = F.filter(
         F.sequence(F.lit(0), F.lit(geo.MAX_SERVICE_ZOOM)),
         lambda z: (z >= geo.as_col(zmin)) & (z <= geo.as_col(zmax)),
     )
     w, h, z = F.col("width"), F.col("height"), F.col("z")
     return (
-        px.withColumn("z", F.explode(zooms))
+        px.repartition(*RASTER, by)
+        .withColumn("z", F.explode(zooms))
         .withColumn("canvas", geo.canvas_size(z, tile_size).cast("int"))
         .withColumn("fit_w", geo.fit(w, w, h, z, tile_size))
         .withColumn("fit_h", geo.fit(h, w, h, z, tile_size))
@@ -450,11 +457,11 @@ def source_rows(sizes: DataFrame, tile_size: int, projection: str) -> DataFrame:
 
 def extract_windows(px: DataFrame, tile_size: int, zmax: Column | int, projection: str) -> DataFrame:
     """Tiles of the highest zoom, each cropped and resampled from its own source window."""
-    sized = px.withColumn("z", geo.as_col(zmax).cast("int"))
+    sized = px.repartition(*RASTER, "x").withColumn("z", geo.as_col(zmax).cast("int"))
     down = into_windows(sized, "y", tile_size, projection)
     kept = [*RASTER, *SIZE, "z", "ty", "n_y", "out_y"]
     columns = _pass(down, kept, "y", F.col("n_y"), F.col("out_y"), "_dy")
-    across = into_windows(columns, "x", tile_size, projection)
+    across = into_windows(columns.repartition(*RASTER, "z", "ty", "y"), "x", tile_size, projection)
     keys = [*RASTER, "z", "tx", "ty", "n_x", "out_x", "_dy"]
     both = _pass(across, keys, "x", F.col("n_x"), F.col("out_x"), "_dx")
     divisor = F.col("_dx") * F.col("_dy")

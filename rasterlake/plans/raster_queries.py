@@ -273,8 +273,8 @@ FITTED_SQL = LEVELS_SQL + "," + resample_sql("lv", "fitted", "raster_id, z, canv
 CANVAS_COLS = "raster_id, CAST(z AS INT) AS z, canvas, CAST(x AS INT) AS x, CAST(y AS INT) AS y, r, g, b, a"
 
 
-def heat_levels(t: Tables):
-    return raster.at_zooms(t("heat_pixels"), HEAT_TS, 0, HEAT_ZOOM)
+def heat_levels(t: Tables, by: str = "x"):
+    return raster.at_zooms(t("heat_pixels"), HEAT_TS, 0, HEAT_ZOOM, by)
 
 
 @REG.query("heat_pixels", sql=FITTED_SQL + "SELECT raster_id, z, x, y, r, g, b, a FROM fitted")
@@ -359,7 +359,7 @@ mixed AS (SELECT m.raster_id, m.z, m.canvas, k.x, m.cy AS y, {mix}
 
 @REG.query("heat_pixels", sql=mercator_sql(f"SELECT {CANVAS_COLS} FROM mixed"))
 def mercator_canvas(t: Tables):
-    return raster.canvas(heat_levels(t), "mercator")
+    return raster.canvas(heat_levels(t, "y"), "mercator")
 
 
 @REG.query(
@@ -367,7 +367,7 @@ def mercator_canvas(t: Tables):
     sql=mercator_sql(f", over AS (SELECT raster_id, z, x, y, {blend_sql(GLASS, True)} FROM mixed)" + fill_sql("over", GLASS)),
 )
 def mercator_canvas_on_background(t: Tables):
-    levels = heat_levels(t)
+    levels = heat_levels(t, "y")
     return raster.fill(raster.canvas(levels, "mercator", GLASS), _sizes(levels), GLASS)
 
 
