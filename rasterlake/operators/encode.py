@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import color, geo
 from ..functions.color import CHANNELS, Background
+from ..session import cut_lineage
 from . import raster
 
 TILE = ("raster_id", "z", "tx", "ty")
@@ -171,14 +172,16 @@ def strip_blocks(px: DataFrame, tile_size: int, top: int, projection: str = "fla
     return build_blocks(window_blocks(px, tile_size, top, projection), tile_size, top)
 
 
-def build_blocks(blocks: DataFrame, tile_size: int, top: int, bottom: int = 0) -> DataFrame:
-    """All levels in block form."""
-    current = blocks.filter(F.col("z") == top)
+def build_blocks(blocks: DataFrame, tile_size: int, top: int, bottom: int = 0, cut_every: int = 4) -> DataFrame:
+    """All levels in block form; rasters may begin at different zooms up to ``top``."""
+    current = blocks
     out = current
-    for z in range(top - 1, bottom - 1, -1):
-        current = merge_blocks(current, tile_size).unionByName(blocks.filter(F.col("z") == z))
+    for step in range(1, top - bottom + 1):
+        current = merge_blocks(current.filter(F.col("z") > bottom), tile_size)
+        if step % cut_every == 0 and step < top - bottom:
+            current = cut_lineage(current)
         out = out.unionByName(current)
-    return out
+    return out.filter(F.col("z") >= bottom)
 
 
 def _chunk(kind: bytes, data: bytes) -> bytes:

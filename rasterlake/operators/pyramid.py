@@ -37,7 +37,7 @@ def merge(level: DataFrame, tile_size: int) -> DataFrame:
     """One level up: 2x2 tiles become one with the triangle filter; neighbouring parents do not bleed."""
     # Children meet by parent tile before they are scattered to its pixels, so only child pixels are moved.
     parent = [div(F.col("tx"), 2).cast("int").alias("_px"), div(F.col("ty"), 2).cast("int").alias("_py")]
-    family = level.select("*", *parent).repartition("raster_id", "z", "_px", "_py")
+    family = level.select("*", *parent).repartition("raster_id", "_px", "_py")
     spread = (
         family.withColumn("_x", F.explode(_axis_taps(F.col("tx"), F.col("ox"), tile_size)))
         .filter(F.col("_x.o").between(0, tile_size - 1))
@@ -59,22 +59,21 @@ def merge(level: DataFrame, tile_size: int) -> DataFrame:
 def build(tiles: DataFrame, tile_size: int, top: int, bottom: int = 0, cut_every: int = 4) -> DataFrame:
     """All levels from the finished tiles at each raster's own highest zoom down to ``bottom``.
 
-    ``top`` bounds the zooms in ``tiles``. Each level is a quarter of the one above and is rounded to whole
-    levels before the next. The loop runs over levels, at most thirteen, and every few levels the lineage is cut.
+    ``top`` bounds the zooms in ``tiles``; rasters may begin at different ones, each step takes all of them one level
+    down. A level is a quarter of the one above and is rounded to whole numbers before the next. The loop runs at
+    most thirteen times, and every few steps the lineage is cut.
     """
-    columns = [*TILE, "ox", "oy", *CHANNELS]
-    tiles = tiles.select(*columns)
-    current = tiles.filter(F.col("z") == top)
+    current = tiles.select(*TILE, "ox", "oy", *CHANNELS)
     levels = [current]
-    for step, z in enumerate(range(top - 1, bottom - 1, -1), start=1):
-        current = merge(current, tile_size).unionByName(tiles.filter(F.col("z") == z))
-        if step % cut_every == 0 and z > bottom:
+    for step in range(1, top - bottom + 1):
+        current = merge(current.filter(F.col("z") > bottom), tile_size)
+        if step % cut_every == 0 and step < top - bottom:
             current = cut_lineage(current)
         levels.append(current)
     out = levels[0]
     for level in levels[1:]:
         out = out.unionByName(level)
-    return out
+    return out.filter(F.col("z") >= bottom)
 
 
 def strip_pyramid(px: DataFrame, tile_size: int, top: int, projection: str = "flat") -> DataFrame:

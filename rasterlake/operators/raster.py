@@ -165,7 +165,7 @@ def resample(px: DataFrame, keys: Sequence[str], width: str, height: str, out_w:
     scattered to their outputs, so each pass moves pixels and not filter taps.
     """
     columns = _pass(px, keys, "y", F.col(height), F.col(out_h), "_dy")
-    rows = columns.repartition(*keys, "y")
+    rows = columns.repartition(*[k for k in keys if k in (*RASTER, "z")], "y")
     both = _pass(rows, [*keys, "_dy"], "x", F.col(width), F.col(out_w), "_dx")
     divisor = F.col("_dx") * F.col("_dy")
     return both.select(*keys, "x", "y", *[_rounded(F.col(c), divisor).alias(c) for c in CHANNELS])
@@ -461,7 +461,7 @@ def extract_windows(px: DataFrame, tile_size: int, zmax: Column | int, projectio
     down = into_windows(sized, "y", tile_size, projection)
     kept = [*RASTER, *SIZE, "z", "ty", "n_y", "out_y"]
     columns = _pass(down, kept, "y", F.col("n_y"), F.col("out_y"), "_dy")
-    across = into_windows(columns.repartition(*RASTER, "z", "ty", "y"), "x", tile_size, projection)
+    across = into_windows(columns.repartition(*RASTER, "ty", "y"), "x", tile_size, projection)
     keys = [*RASTER, "z", "tx", "ty", "n_x", "out_x", "_dy"]
     both = _pass(across, keys, "x", F.col("n_x"), F.col("out_x"), "_dx")
     divisor = F.col("_dx") * F.col("_dy")

@@ -83,6 +83,22 @@ def test_four_tiles_merge(spark):
     assert np.array_equal(np.frombuffer(bytes(blocks.rgba), np.uint8).reshape(4, 4, 4), out)
 
 
+def test_rasters_with_different_depths(spark):
+    px = image(spark, solid(32, 32, (255, 0, 0, 255)), 1).unionByName(image(spark, solid(8, 8, (0, 255, 0, 255)), 2))
+    tiles = tiling.cut_images(px, tiling.TileConfig(tile_size=8, method="window"))
+    found = {(r.raster_id, r.z): r.n for r in tiles.groupBy("raster_id", "z").agg(F.countDistinct("tx", "ty").alias("n")).collect()}
+    assert found == {(1, 0): 1, (1, 1): 4, (1, 2): 16, (2, 0): 1}
+    blocks = encode.build_blocks(encode.pack_blocks(tiles.filter("z = 2 OR raster_id = 2"), 8), 8, 2)
+    assert {(r.raster_id, r.z): r["count"] for r in blocks.groupBy("raster_id", "z").count().collect()} == found
+
+
+def test_deep_pyramid_with_checkpoint(spark):
+    px = image(spark, solid(64, 64, (7, 8, 9, 255)))
+    tiles = pyramid.build(raster.extract_windows(px, 2, 5, "flat"), 2, 5, 0, cut_every=2)
+    assert {r.z: r["count"] for r in tiles.groupBy("z").count().collect()} == {z: 4 * 4**z for z in range(6)}
+    assert tiles.filter("r <> 7 OR g <> 8 OR b <> 9 OR a <> 255").count() == 0
+
+
 @pytest.mark.parametrize("size", [1, 2, 3])
 def test_merge_of_tiny_tiles_keeps_solid(spark, size):
     rows = [(1, 1, tx, ty, x, y, 9, 8, 7, 255) for tx in range(2) for ty in range(2) for x in range(size) for y in range(size)]
