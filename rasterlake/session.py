@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,15 +27,19 @@ def local_session(app: str = "rasterlake", cpus: str = "*", partitions: int = 8)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors can reach, as the cluster names it.
+    """The folder all executors can reach, as the cluster names it in ``spark.checkpoint.dir``.
 
-    A machine-local folder is made only when the session names none, which is the case in tests.
+    A session in local mode, where driver and executors are one machine, gets a folder of its own when it names none, removed when
+    Python ends. Any other session must name one.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="rasterlake-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", named)
     return named
 
