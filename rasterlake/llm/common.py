@@ -31,3 +31,28 @@ def free_name(taken: list[str], wanted: str) -> str:
     while wanted.lower() in low:
         wanted = f"_{wanted}"
     return wanted
+
+
+def without(docs: DataFrame, key: dict[str, Column], decisions: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``decisions`` (the columns of ``key`` and ``kept``) keep, one for each key.
+
+    ``key`` says how the key columns are made from a row. The texts stay where they are read as long as the dropped keys are few enough
+    to broadcast (they are counted); beyond that they are shuffled by the key, which is nearly unique. Keys may be null.
+    """
+    own = {k: free_name(docs.columns, k) for k in key}
+    renamed = decisions.select(*[F.col(k).alias(own[k]) for k in key], "kept")
+    dropped = sized(renamed.filter(~F.col("kept")).select(*own.values()).distinct())
+    counts = renamed.filter("kept").groupBy(*own.values()).agg(F.count("*").alias("n_of_key"))
+    repeated = sized(counts.filter("n_of_key > 1").select(*own.values()))
+
+    def against(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+        on = F.lit(True)
+        for k in own.values():
+            on = on & left[k].eqNullSafe(right[k])
+        return left.join(right, on, how)
+
+    kept = against(docs.withColumns({own[k]: v for k, v in key.items()}), dropped, "left_anti")
+    if not repeated.isEmpty():
+        twice = against(kept, repeated, "left_semi").dropDuplicates(list(own.values()))
+        kept = against(kept, repeated, "left_anti").unionByName(twice)
+    return kept.select(*docs.columns)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import free_name, sized, text_or_empty
+from .common import text_or_empty, without
 
 HOT = 1000
 TRACKED = 65_536
@@ -54,25 +54,6 @@ def mark_copies(
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text no row with a larger id has, with all their columns.
-
-    The texts stay where they are read as long as the dropped ids are few enough to broadcast (their number is counted); beyond that
-    they are shuffled by id and digest.
-    """
+    """The rows of ``docs`` whose text no row with a larger id has, with all their columns."""
     marked = cut_lineage(mark_copies(docs, id_col, text_col))
-    sha, rid = free_name(docs.columns, "text_sha256"), free_name(docs.columns, "row_id")
-    key = [F.col("doc_id").alias(rid), F.col("text_sha256").alias(sha)]
-    dropped = sized(marked.filter(~F.col("kept")).select(*key).distinct())
-    repeated = sized(marked.filter("kept").groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1").select(rid, sha))
-
-    rows = docs.withColumns({rid: F.col(id_col), sha: F.sha2(text_or_empty(text_col), 256)})
-
-    def against(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
-        on = left[rid].eqNullSafe(right[rid]) & (left[sha] == right[sha])
-        return left.join(right, on, how)
-
-    kept = against(rows, dropped, "left_anti")
-    if not repeated.isEmpty():
-        once = against(kept, repeated, "left_anti")
-        kept = once.unionByName(against(kept, repeated, "left_semi").dropDuplicates([rid, sha]))
-    return kept.select(*docs.columns)
+    return without(docs, {"doc_id": F.col(id_col), "text_sha256": F.sha2(text_or_empty(text_col), 256)}, marked)
