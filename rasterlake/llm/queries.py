@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, html_text, mixing, pii, simhash
+from . import chat, exact_dedup, html_text, mixing, pieces, pii, simhash, token_counts
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +96,14 @@ def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     casts = [F.col(f.name).cast(f.dataType).alias(f.name) for f in turns.schema]
     return chat.read_back(chat.format_conversations(turns.unionByName(marked.select(*casts))))
+
+
+@query("op5_sentencepiece")
+def sentencepiece_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op8_token_counts")
+def token_counts_of_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
