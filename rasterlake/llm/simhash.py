@@ -202,7 +202,7 @@ def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): ``fp`` and ``root``, its smallest member, by alternating large and small stars.
 
     Stars need a logarithmic number of rounds in the length of a chain; every round is written to the shared folder. Minima are partial
-    aggregates and the joins with them can be split where a star's centre is hot.
+    aggregates and written too, so that Spark can split the joins with them where a star's centre is hot.
     """
     now = cut_lineage(
         edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
@@ -214,10 +214,10 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("u").alias("fp"), F.col("v").alias("root"))
         before = state
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = cut_lineage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = cut_lineage(large)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = cut_lineage(large.groupBy("u").agg(F.min("v").alias("m")))
         moved = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         now = cut_lineage(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
 
