@@ -1,10 +1,10 @@
 """Near-duplicates by SimHash fingerprints and a segment-popcount embedding.
 
-A fingerprint of 64 bits is mapped to its popcounts per segment of 2 bits. The Manhattan distance of two such vectors never exceeds the
-Hamming distance of the fingerprints. Of two fingerprints that differ in at most 4 bits, one half of 32 bits differs in at most 2, so
-its vectors of 16 counts are at most 2 apart and meet in a grid cell at most 1 away from both. Every fingerprint is put into these
-cells (about 25 for each half), and the members of a cell are compared exactly. Only distinct fingerprints take part, so copies cost
-nothing; a cell gives a star for each connected group of its members and never all pairs.
+A fingerprint of 64 or 128 bits is mapped to its popcounts per segment of 2 bits. The Manhattan distance of two such vectors never
+exceeds the Hamming distance of the fingerprints. If two fingerprints differ in at most d bits and are cut into (d + 1) / 3 parts, rounded
+up, one part differs in at most 2 bits, so its count vectors are at most 2 apart and meet in a grid cell at most 1 away from both. Every
+fingerprint is put into these cells of each part, and the members of a cell are compared exactly. Only distinct fingerprints take part,
+so copies cost nothing; a cell gives a star for each connected group of its members and never all pairs.
 
 Cells that hold very many fingerprints (found by a Misra-Gries summary, counted exactly, a bounded number) are cut into chunks and
 compared chunk against chunk in separate groups, so no link is lost and no task gets the whole cell.
@@ -16,7 +16,8 @@ stays in ``drop_near_copies``; other columns pass through under any name; an emp
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +28,6 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from .common import text_or_empty, without
 
-SHINGLE = 5
-DISTANCE = 4
-SEED = 42
 HASH_BLOCK = 1 << 16
 FEW = 8  # groups up to this size are compared row against row for a whole batch at once
 MATRIX = 1024  # groups up to this size are compared as one matrix
@@ -37,69 +35,115 @@ HOT_CELLS = 1000
 HOT_SIZE = 20_000
 
 
-def fingerprint(data: bytes, shingle: int = SHINGLE) -> int:
-    """SimHash of the word shingles of a UTF-8 text; A-Z are read as a-z and words end at ASCII white space."""
+class Rule(NamedTuple):
+    """What a fingerprint is made of and how far linked ones may be apart."""
+
+    shingle: int
+    words: int  # of 64 bits
+    distance: int
+
+    def digest(self) -> Callable[[memoryview], bytes]:
+        return (lambda x: xxhash.xxh64_digest(x, 42)) if self.words == 1 else (lambda x: xxhash.xxh3_128_digest(x, 42))
+
+    def parts(self) -> list[tuple[int, int, int]]:
+        """Word, first bit and bits of each part; parts have whole segments and lie within a word."""
+        per_word = -(-(-(-(self.distance + 1) // 3)) // self.words)
+        borders = [2 * round(32 * p / per_word) for p in range(per_word + 1)]
+        return [(w, a, b - a) for w in range(self.words) for a, b in zip(borders, borders[1:])]
+
+
+# Five words; 17 of 128 bits are an angle whose cosine is 0.91, which sets of shingles have at a Jaccard similarity of about 0.84.
+SIMILAR = Rule(shingle=5, words=2, distance=17)
+
+
+def fingerprint(data: bytes, rule: Rule) -> bytes:
+    """SimHash of the word shingles of a UTF-8 text, high bits first; A-Z are read as a-z and words end at ASCII white space."""
     words = data.lower().split()
     if not words:
-        return 0
+        return bytes(8 * rule.words)
     joined = memoryview(b" ".join(words))
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
-    n = max(1, len(words) - shingle + 1)
-    starts, ends = starts[:n], ends[min(shingle, len(words)) - 1:]
-    counts = np.zeros(64, np.int64)
-    digest = xxhash.xxh64_intdigest
+    n = max(1, len(words) - rule.shingle + 1)
+    starts, ends = starts[:n], ends[min(rule.shingle, len(words)) - 1:]
+    bits = 64 * rule.words
+    counts = np.zeros(bits, np.int64)
+    digest = rule.digest()
     for at in range(0, n, HASH_BLOCK):
         pairs = zip(starts[at:at + HASH_BLOCK].tolist(), ends[at:at + HASH_BLOCK].tolist())
-        hashes = np.array([digest(joined[s:e], SEED) for s, e in pairs], dtype="<u8")
-        counts += np.unpackbits(hashes.view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
-    bits = np.packbits(2 * counts > n, bitorder="little")
-    return int(bits.view("<u8")[0])
+        hashes = np.frombuffer(b"".join([digest(joined[s:e]) for s, e in pairs]), np.uint8)
+        counts += np.unpackbits(hashes).reshape(-1, bits).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > n).tobytes()
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+def names(rule: Rule, stem: str = "fp") -> list[str]:
+    return [f"{stem}{w}" for w in range(rule.words)]
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id`` and ``fp``, the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id`` and the words of the fingerprint as signed longs, ``fp0``, ..."""
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).cast("binary").alias("data"))
     kind = rows.schema["doc_id"].dataType.simpleString()
+    columns = names(rule)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [_signed(fingerprint(x, shingle)) for x in batch.column("data").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.int64())], ["doc_id", "fp"])
+            found = np.frombuffer(b"".join([fingerprint(x, rule) for x in batch.column("data").to_pylist()]), ">i8")
+            found = found.astype(np.int64).reshape(-1, rule.words)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), *[pa.array(found[:, w]) for w in range(rule.words)]], ["doc_id", *columns]
+            )
 
-    return rows.mapInArrow(step, f"doc_id {kind}, fp bigint")
+    return rows.mapInArrow(step, ", ".join([f"doc_id {kind}", *[f"{c} bigint" for c in columns]]))
 
 
-def _cells(fp: Column) -> Column:
-    """Keys of the grid cells within 1 of the fingerprint's popcount vector, for each half.
+def _columns(batch: pa.RecordBatch, columns: list[str]) -> np.ndarray:
+    return np.stack([batch.column(c).to_numpy() for c in columns], axis=1).view(np.uint64)
 
-    A vector of 16 counts (0, 1 or 2) is kept as 16 fields of 2 bits, which is how the counts come out of the usual bit trick.
+
+def _in_cells(distinct: DataFrame, rule: Rule) -> DataFrame:
+    """``key`` of each grid cell within 1 of a fingerprint's counts, for each part, with the fingerprint.
+
+    The counts (0, 1 or 2) of a part are fields of 2 bits in one number, which is how they come out of the usual bit trick.
     """
-    every = None
-    for half in (0, 1):
-        bits = F.shiftrightunsigned(fp, 32 * half).bitwiseAND(F.lit(0xFFFFFFFF))
-        odd = F.lit(0x55555555)
-        cell = bits.bitwiseAND(odd) + F.shiftright(bits, 1).bitwiseAND(odd) + F.lit(half << 33)
-        around = [cell]
-        for segment in range(16):
-            one = F.lit(1 << (2 * segment))
-            count = F.shiftright(cell, 2 * segment).bitwiseAND(F.lit(3))
-            around += [F.when(count < 2, cell + one), F.when(count > 0, cell - one)]
-        keys = F.array(*around)
-        every = keys if every is None else F.concat(every, keys)
-    return F.array_compact(every)
-
-
-def _links(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each member that has a linked one: a pair of it and the first of its connected group."""
+    columns = names(rule)
+    odd = np.uint64(0x5555555555555555)
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = _columns(batch, columns)
+            for number, (word, first, bits) in enumerate(rule.parts()):
+                part = fps[:, word] >> np.uint64(first) & np.uint64((1 << bits) - 1)
+                cell = (part & odd) + (part >> np.uint64(1) & odd)
+                keys, rows = [cell], [np.arange(len(cell))]
+                for at in range(0, bits, 2):
+                    count = cell >> np.uint64(at) & np.uint64(3)
+                    for able, moved in ((count < 2, cell + np.uint64(1 << at)), (count > 0, cell - np.uint64(1 << at))):
+                        rows.append(np.flatnonzero(able))
+                        keys.append(moved[rows[-1]])
+                key = (np.concatenate(keys) | np.uint64(number << 48)).view(np.int64)
+                own = fps[np.concatenate(rows)].view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key), *[pa.array(own[:, w]) for w in range(rule.words)]], ["key", *columns]
+                )
+
+    return distinct.select(*columns).mapInArrow(step, ", ".join(["key bigint", *[f"{c} bigint" for c in columns]]))
+
+
+def _near(a: np.ndarray, b: np.ndarray, distance: int) -> np.ndarray:
+    """Which rows of ``a`` and ``b``, broadcast against each other, are at most ``distance`` bits apart."""
+    bits = np.bitwise_count(a[..., 0] ^ b[..., 0])
+    for word in range(1, a.shape[-1]):
+        bits = bits + np.bitwise_count(a[..., word] ^ b[..., word])
+    return bits <= distance
+
+
+def _links(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each member that has a linked one, but the first of its connected group: a pair of it and that first one."""
     n = len(fps)
     if n <= MATRIX:
-        near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= DISTANCE
-        if near.sum() == n:
+        near = _near(fps[:, None], fps[None, :], distance)
+        if np.count_nonzero(near) == n:
             return fps[:0], fps[:0]
         label = np.arange(n)
         while True:
@@ -109,74 +153,83 @@ def _links(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             label = new
         moved = label != np.arange(n)
         return fps[moved], fps[label[moved]]
-    left, heads, rest = [], [], fps
+    linked = np.zeros(n, dtype=bool)  # nearly all members of a large cell have no link at all
+    for at in range(0, n, MATRIX):
+        block = fps[at:at + MATRIX]
+        for other in range(at, n, MATRIX):
+            near = _near(block[:, None], fps[None, other:other + MATRIX], distance)
+            if other == at:
+                np.fill_diagonal(near, False)
+            if near.any():
+                linked[at:at + MATRIX] |= near.any(axis=1)
+                linked[other:other + MATRIX] |= near.any(axis=0)
+    left, heads, rest = [], [], fps[linked]
     while len(rest):  # grow one group at a time; what it reaches leaves the rest
-        head, front, rest = rest[0], rest[:1], rest[1:]
+        head, front, rest = rest[:1], rest[:1], rest[1:]
         while len(front) and len(rest):
             reached = np.zeros(len(rest), dtype=bool)
             for f in front[:256]:
-                reached |= np.bitwise_count(rest ^ f) <= DISTANCE
+                reached |= _near(rest, f[None, :], distance)
             left.append(rest[reached])
-            heads.append(np.full(int(reached.sum()), head))
+            heads.append(np.repeat(head, int(reached.sum()), axis=0))
             front = np.concatenate((front[256:], rest[reached]))
             rest = rest[~reached]
     return np.concatenate(left or [fps[:0]]), np.concatenate(heads or [fps[:0]])
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of (key, chunk, fp) sorted by key and chunk; gives links (a, b) between the members of a group."""
-    held: list[np.ndarray] = []
+def _verify(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
+    """Batches sorted by key and chunk; gives links (a0, ..., b0, ...) between the members of a group."""
+    columns, ends = names(rule), [*names(rule, "a"), *names(rule, "b")]
+    held: list[np.ndarray] = []  # the group at the border of two batches
     held_key = None
 
     def out(a, b):
         if len(a):
-            pairs = np.unique(np.stack((a, b), axis=1), axis=0).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            pairs = np.unique(np.concatenate((a, b), axis=1), axis=0).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, i]) for i in range(len(ends))], ends)
 
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
-        key = batch.column("key").to_numpy()
-        chunk = batch.column("chunk").to_numpy()
-        fps = batch.column("fp").to_numpy().view(np.uint64)
+        key, chunk, fps = batch.column("key").to_numpy(), batch.column("chunk").to_numpy(), _columns(batch, columns)
         new = np.concatenate(([True], (key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1])))
         starts = np.append(np.flatnonzero(new), n)
-        first = (key[0], chunk[0])
         begin = 0
-        if held:  # the group at the border of two batches
-            if first == held_key:
+        if held:
+            if (key[0], chunk[0]) == held_key:
                 held.append(fps[:starts[1]])
                 begin = 1
-            if begin == 0 or len(starts) > 2:
-                yield from out(*_links(np.concatenate(held)))
-                held = []
-            elif begin == 1:
-                continue
+                if len(starts) == 2:
+                    continue
+            yield from out(*_links(np.concatenate(held), rule.distance))
         last = starts[-2]
         held, held_key = [fps[last:]], (key[last], chunk[last])
-        sizes = np.diff(starts)[begin:-1]
-        where = starts[begin:-2]
+        sizes, where = np.diff(starts)[begin:-1], starts[begin:-2]
         for big in np.flatnonzero(sizes > FEW):
-            yield from out(*_links(fps[where[big]:where[big] + sizes[big]]))
+            yield from out(*_links(fps[where[big]:where[big] + sizes[big]], rule.distance))
         left, right = [], []
         for step in range(1, FEW):
-            rows = where[(sizes > step) & (sizes <= FEW)]
-            size = sizes[(sizes > step) & (sizes <= FEW)]
+            few = (sizes > step) & (sizes <= FEW)
+            rows, size = where[few], sizes[few]
             for offset in range(FEW - step):
                 i = rows[size > offset + step] + offset
-                near = np.bitwise_count(fps[i] ^ fps[i + step]) <= DISTANCE
+                near = _near(fps[i], fps[i + step], rule.distance)
                 left.append(fps[i + step][near])
                 right.append(fps[i][near])
-        if left:
-            yield from out(np.concatenate(left), np.concatenate(right))
+        yield from out(np.concatenate(left), np.concatenate(right))
     if held:
-        yield from out(*_links(np.concatenate(held)))
+        yield from out(*_links(np.concatenate(held), rule.distance))
+
+
+def vertex(columns: list[str]) -> Column:
+    """A fingerprint's hex digits."""
+    return F.concat(*[F.lower(F.lpad(F.hex(c), 16, "0")) for c in columns])
 
 
-def links(distinct: DataFrame, hot_size: int = HOT_SIZE) -> DataFrame:
-    """Links (a, b) between distinct fingerprints ``fp`` whose closure is that of all pairs at most DISTANCE bits apart."""
-    placed = distinct.select("fp", F.explode(_cells(F.col("fp"))).alias("key"))
+def links(distinct: DataFrame, rule: Rule, hot_size: int = HOT_SIZE) -> DataFrame:
+    """Links (a, b) between distinct fingerprints, in hex, whose closure is that of all pairs at most ``rule.distance`` bits apart."""
+    placed = _in_cells(distinct, rule)
     proposed = placed.agg(F.expr(f"approx_top_k(key, {HOT_CELLS}, 65536)").alias("top")).select(F.explode("top.item").alias("key"))
     proposed = F.broadcast(cut_lineage(proposed))
     hot = (
@@ -186,16 +239,17 @@ def links(distinct: DataFrame, hot_size: int = HOT_SIZE) -> DataFrame:
     )
     # A member of chunk c of a hot cell joins the groups of all pairs of chunks that include c.
     cut = placed.join(F.broadcast(cut_lineage(hot)), "key", "left")
-    mine = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
+    mine = F.pmod(F.xxhash64(*names(rule)), F.col("chunks")).cast("int")
     pairs = F.transform(
         F.sequence(F.lit(0), F.col("chunks") - 1),
         lambda other: F.least(mine, other) * F.col("chunks") + F.greatest(mine, other),
     )
-    groups = cut.select("key", "fp", F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(0))).otherwise(pairs)).alias("chunk"))
-    return (
-        groups.repartition("key", "chunk").sortWithinPartitions("key", "chunk")
-        .mapInArrow(_verify, "a bigint, b bigint").distinct()
+    groups = cut.select(
+        "key", *names(rule), F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(0))).otherwise(pairs)).alias("chunk")
     )
+    schema = ", ".join(f"{c} bigint" for c in [*names(rule, "a"), *names(rule, "b")])
+    found = groups.repartition("key", "chunk").sortWithinPartitions("key", "chunk").mapInArrow(lambda x: _verify(x, rule), schema)
+    return found.distinct().select(vertex(names(rule, "a")).alias("a"), vertex(names(rule, "b")).alias("b"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -223,22 +277,23 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_copies(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, hot_size: int = HOT_SIZE
+    docs: DataFrame, rule: Rule = SIMILAR, id_col: str = "doc_id", text_col: str = "text", hot_size: int = HOT_SIZE
 ) -> DataFrame:
-    """One row per document: ``doc_id``, ``fingerprint`` (16 hex digits), ``component_id`` (smallest id of its component)."""
-    rows = cut_lineage(fingerprints(docs, id_col, text_col, shingle))
-    distinct = cut_lineage(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = components(links(distinct.select("fp"), hot_size))
-    placed = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    names = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = placed.join(names, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    """One row per document: ``doc_id``, ``fingerprint`` (hex digits), ``component_id`` (smallest id of its component)."""
+    rows = cut_lineage(fingerprints(docs, rule, id_col, text_col))
+    distinct = cut_lineage(rows.groupBy(*names(rule)).agg(F.min("doc_id").alias("first_id")))
+    roots = components(links(distinct, rule, hot_size))
+    placed = distinct.select(vertex(names(rule)).alias("fp"), "first_id").join(roots, "fp", "left")
+    placed = placed.withColumn("root", F.coalesce("root", "fp"))
+    of_root = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    named = placed.join(of_root, "root").select(F.col("fp").alias("fingerprint"), "component_id")
+    return rows.select("doc_id", vertex(names(rule)).alias("fingerprint")).join(named, "fingerprint").select(
+        "doc_id", "fingerprint", "component_id"
     )
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+def drop_near_copies(docs: DataFrame, rule: Rule = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` of which each component leaves one, that with the smallest id, with all their columns."""
-    marked = near_copies(docs, id_col, text_col, shingle)
+    marked = near_copies(docs, rule, id_col, text_col)
     kept = cut_lineage(marked.select("doc_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")))
     return without(docs, {"doc_id": F.col(id_col)}, kept)
