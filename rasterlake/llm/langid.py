@@ -131,7 +131,9 @@ def train(
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            batch = batch[batch["text"].map(has_letter)]
+            batch = batch[batch["text"].map(has_letter).astype(bool)]
+            if not len(batch):
+                continue
             yield pd.DataFrame({"lang": batch["lang"], "tf": [counts(x).astype(np.float32) for x in batch["text"]]})
 
     def fit(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
