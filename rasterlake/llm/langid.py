@@ -30,6 +30,7 @@ from .common import free_name, sized
 BITS = 13
 SIZE = 1 << BITS
 SAMPLE = 300
+MARGIN = 4
 CENTROIDS = 4
 ROUNDS = 12
 REJECT = 0.5  # of the cosine that nearly all training texts of a centroid reach
@@ -126,7 +127,12 @@ def train(
     every[df["at"].to_numpy(dtype=np.int64)] = df["n"].to_numpy(dtype=np.int64)
     idf = (np.log((1 + every[SIZE]) / (1 + every[:SIZE])) + 1).astype(np.float32)
 
-    least = sized(first_per_key(rows.select("lang", "h", "id"), ["lang"], per_lang, ["h", "id"]).select("lang", "h", "id").distinct())
+    # Of a large language only a narrow range of hashes is looked at; its share holds several times the sample, so what is taken is
+    # the same, and the rows sorted do not grow with the table.
+    labels = rows.select("lang", "h", "id")
+    share = sized(labels.groupBy("lang").agg((F.lit(MARGIN * per_lang) / F.count("*") + F.lit(1e-9)).alias("share")))
+    low = labels.join(share, "lang").filter(F.col("h") / F.lit(2.0**64) + 0.5 <= F.col("share")).drop("share")
+    least = sized(first_per_key(low, ["lang"], per_lang, ["h", "id"]).select("lang", "h", "id").distinct())
     sample = rows.join(least, ["lang", "h"], "left_semi").select("lang", "text")
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
