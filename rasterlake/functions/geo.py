@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.grids import levels, with_square
+
 # Fixed values that results depend on.
 MERCATOR_LIMIT = 1.4844222297453324  # atan(sinh(pi)), radians
 LARGE_IMAGE_BYTES = 256 * 1024 * 1024
@@ -108,14 +110,9 @@ def strategy(is_png: Column, width: ColumnLike, height: ColumnLike) -> Column:
 
 
 def tile_grid(df: DataFrame, zmin: ColumnLike, zmax: ColumnLike) -> DataFrame:
-    """One row per (input row, z, tx, ty); rows come from nested generators, no join."""
-    zooms = F.filter(F.sequence(F.lit(0), F.lit(MAX_SERVICE_ZOOM)), lambda z: (z >= as_col(zmin)) & (z <= as_col(zmax)))
-    last = (grid_size(F.col("z")) - 1).cast("int")
-    return (
-        df.withColumn("z", F.explode(zooms))
-        .withColumn("tx", F.explode(F.sequence(F.lit(0), last)))
-        .withColumn("ty", F.explode(F.sequence(F.lit(0), last)))
-    )
+    """One row per (input row, z, tx, ty) for all zooms of the row's own range; made by generators, column by column."""
+    zooms = df.withColumn("z", F.explode(levels(as_col(zmin), as_col(zmax))))
+    return with_square(zooms, "tx", "ty", grid_size(F.col("z")), [*df.columns, "z"])
 
 
 # --- georeference -----------------------------------------------------------------------------

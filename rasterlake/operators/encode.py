@@ -24,10 +24,13 @@ TILE = ("raster_id", "z", "tx", "ty")
 BLOCK_DDL = "raster_id bigint, z int, tx int, ty int, rgba binary"
 PNG_SIGNATURE = b"\x89PNG\r\n\x1a\n"
 FAST = 1  # zlib level
+UNPACK_ROWS = 1 << 18
+WINDOW_TILES = 4  # a tile's source window is taken as a block up to so many tile sides
 
 
 def pack_blocks(tiles: DataFrame, tile_size: int, bg: Background = Background()) -> DataFrame:
-    """Tile pixels to blocks; pixels that are not there take the background.
+    """Tile pixels to blocks; pixels that are not there take the background. A tile that has a row without offsets only is blank and has
+    no bytes (null).
 
     The sorted pixels of a tile are written as hex with the gaps between them filled, all in column expressions.
     """
@@ -40,28 +43,33 @@ def pack_blocks(tiles: DataFrame, tile_size: int, bg: Background = Background())
         before = F.when(i == 0, F.lit(-1)).otherwise(F.get(cells, i - 1)["p"])
         return F.concat(F.repeat(F.lit(blank), c["p"] - before - 1), c["c"])
 
-    tail = F.repeat(F.lit(blank), F.lit(tile_size * tile_size - 1) - F.element_at(cells, -1)["p"])
+    tail = F.repeat(F.lit(blank), F.lit(tile_size * tile_size - 1) - F.get(cells, F.size(cells) - 1)["p"])
     text = F.concat(F.array_join(F.transform(cells, filled), ""), tail)
     return (
         tiles.groupBy(*TILE)
-        .agg(F.sort_array(F.collect_list(cell)).alias("_cells"))
-        .select(*TILE, F.unhex(text).alias("rgba"))
+        .agg(F.sort_array(F.collect_list(F.when(F.col("ox").isNotNull(), cell))).alias("_cells"))
+        .select(*TILE, F.when(F.size("_cells") > 0, F.unhex(text)).alias("rgba"))
     )
 
 
 def unpack_blocks(blocks: DataFrame, tile_size: int) -> DataFrame:
-    """Blocks back to tile pixels."""
-    hexed = F.hex("rgba")
-    index = F.explode(F.sequence(F.lit(0), F.lit(tile_size * tile_size - 1)))
+    """Blocks back to tile pixels; blank blocks (null) have none. The rows of a few blocks are made at a time."""
+    cells = tile_size * tile_size
+    at_once = max(1, UNPACK_ROWS // cells)
 
-    def byte(k: int):
-        return F.conv(F.substring(F.col("_h"), F.col("_i") * 8 + 1 + 2 * k, F.lit(2)), 16, 10).cast("int")
+    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), at_once):
+                part = pdf.iloc[at : at + at_once]
+                levels = np.frombuffer(b"".join(part["rgba"]), np.uint8).reshape(-1, 4).astype(np.int32)
+                place = np.tile(np.arange(cells, dtype=np.int32), len(part))
+                keys = {k: np.repeat(part[k].to_numpy(), cells) for k in TILE}
+                yield pd.DataFrame(
+                    keys | {"ox": place % tile_size, "oy": place // tile_size} | {c: levels[:, k] for k, c in enumerate(CHANNELS)}
+                )
 
-    cells = blocks.select(*TILE, hexed.alias("_h"), index.alias("_i"))
-    return cells.select(
-        *TILE, (F.col("_i") % tile_size).alias("ox"), F.floor(F.col("_i") / tile_size).cast("int").alias("oy"),
-        *[byte(k).alias(c) for k, c in enumerate(CHANNELS)],
-    )
+    rows = ", ".join(f"{c} int" for c in ("z", "tx", "ty", "ox", "oy", *CHANNELS))
+    return blocks.select(*TILE, "rgba").filter("rgba is not null").mapInPandas(unpack, f"raster_id bigint, {rows}")
 
 
 def _halve(double: np.ndarray, axis: int) -> np.ndarray:
@@ -141,9 +149,17 @@ def _resize(crop: np.ndarray, out_h: int, out_w: int, cache: dict) -> np.ndarray
 def window_blocks(px: DataFrame, tile_size: int, zmax: Column | int, projection: str = "flat") -> DataFrame:
     """Block form of ``raster.extract_windows``: one shuffle brings each tile's source window together.
 
-    At the highest zoom a window is hardly larger than the tile, so the grouped rows are bounded; pixels are
-    moved once or twice instead of once per filter tap.
+    Pixels are moved once or twice instead of once per filter tap. At an image's highest zoom a window is hardly larger than the tile;
+    images whose windows are wider than a few tiles take the relational form, which gives the same bytes, so grouped rows are bounded.
     """
+    longest = F.greatest("width", "height")
+    wide = longest > geo.grid_size(geo.as_col(zmax)) * (WINDOW_TILES * tile_size)
+    return _gathered(px.filter(~wide), tile_size, zmax, projection).unionByName(
+        pack_blocks(raster.extract_windows(px.filter(wide), tile_size, zmax, projection), tile_size)
+    )
+
+
+def _gathered(px: DataFrame, tile_size: int, zmax: Column | int, projection: str) -> DataFrame:
     sized = px.withColumn("z", geo.as_col(zmax).cast("int"))
     placed = raster.into_windows(raster.into_windows(sized, "y", tile_size, projection), "x", tile_size, projection)
     packed = color.pack(*[F.col(c) for c in CHANNELS])
@@ -196,11 +212,12 @@ def png_bytes(rgba: bytes, size: int) -> bytes:
     return PNG_SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(raw, FAST)) + _chunk(b"IEND", b"")
 
 
-def encode_png(blocks: DataFrame, tile_size: int) -> DataFrame:
-    """Blocks to PNG files, batch by batch."""
+def encode_png(blocks: DataFrame, tile_size: int, bg: Background = Background()) -> DataFrame:
+    """Blocks to PNG files, batch by batch; all blank blocks (null) share the file of the background."""
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        blank = png_bytes(bytes((bg.r, bg.g, bg.b, bg.a)) * (tile_size * tile_size), tile_size)
         for pdf in batches:
-            yield pdf[list(TILE)].assign(content=[png_bytes(b, tile_size) for b in pdf["rgba"]])
+            yield pdf[list(TILE)].assign(content=[blank if b is None else png_bytes(b, tile_size) for b in pdf["rgba"]])
 
     return blocks.select(*TILE, "rgba").mapInPandas(encode, "raster_id bigint, z int, tx int, ty int, content binary")

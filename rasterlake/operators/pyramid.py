@@ -106,21 +106,24 @@ def tile_content(tiles: DataFrame) -> DataFrame:
 def compare(left: DataFrame, right: DataFrame) -> DataFrame:
     """Two tile sets side by side: tiles on either side, pixels that differ, largest difference.
 
-    The full outer join is on the pixel key, so it is balanced; a pixel missing on one side is clear there.
+    Both sides meet by tile in one shuffle, then two hash aggregates finish the work: by pixel (the two sides' levels subtracted, a pixel
+    missing on one side being clear there) and by tile. A tile has at most size^2 pixels on each side.
     """
     keys = [*TILE, "ox", "oy"]
 
-    def side(df: DataFrame, tag: str) -> DataFrame:
-        return df.select(*keys, *[F.col(c).alias(f"{tag}_{c}") for c in CHANNELS], F.lit(1).alias(f"in_{tag}"))
+    def side(df: DataFrame, sign: int) -> DataFrame:
+        levels = [(F.col(c) * sign).alias(c) for c in CHANNELS]
+        return df.select(*keys, *levels, F.lit(int(sign > 0)).alias("in_l"), F.lit(int(sign < 0)).alias("in_r"))
 
-    both = side(left, "l").join(side(right, "r"), keys, "full_outer")
-    gaps = [F.abs(F.coalesce(f"l_{c}", F.lit(0)) - F.coalesce(f"r_{c}", F.lit(0))) for c in CHANNELS]
+    met = side(left, 1).unionByName(side(right, -1)).repartition(*TILE)
+    both = met.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in CHANNELS], F.max("in_l").alias("in_l"), F.max("in_r").alias("in_r"))
+    gap = F.greatest(*[F.abs(F.col(c)) for c in CHANNELS]).cast("int")
     return (
-        both.withColumn("gap", F.greatest(*gaps))
+        both.withColumn("gap", gap)
         .groupBy(*TILE)
         .agg(
-            F.max(F.coalesce("in_l", F.lit(0))).alias("in_left"),
-            F.max(F.coalesce("in_r", F.lit(0))).alias("in_right"),
+            F.max("in_l").alias("in_left"),
+            F.max("in_r").alias("in_right"),
             F.count_if(F.col("gap") > 0).alias("pixels_differ"),
             F.max("gap").alias("largest_gap"),
         )

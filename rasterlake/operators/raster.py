@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import color, geo
 from ..functions.color import CHANNELS, Background
 from ..functions.geo import div, nearest
+from ..plans import grids
 from ..plans.hotkeys import attach
 
 WEIGHT_ONE = 1 << 20
@@ -111,21 +112,28 @@ def fixed_weight(t: Column, s: Column) -> Column:
     return nearest(catmull_rom(t) / s * float(WEIGHT_ONE))
 
 
-def tap_total(o: Column, n: Column, ratio: Column, s: Column) -> Column:
+def tap_total(o: Column, n: Column, n2: Column) -> Column:
     """Sum of the weights of all source indices inside the image for output o.
 
-    The distances are made first, so that the kernel reads each from a variable instead of working it out again.
+    An enlarged axis has at most five taps, which are written out; a reduced one folds over its taps, but has few outputs.
     """
+    ratio = n.cast("double") / n2
+    s = F.greatest(F.lit(1.0), ratio)
     centre = (o + 0.5) * ratio
     low = F.greatest(F.lit(0), F.ceil(centre - 0.5 - CATMULL_SUPPORT * s).cast("int"))
     high = F.least(n.cast("int") - 1, F.floor(centre - 0.5 + CATMULL_SUPPORT * s).cast("int"))
     distances = F.transform(F.sequence(low, high), lambda i: F.abs((i + 0.5) - centre) / s)
     zero = F.lit(0).cast("long")
-    return F.aggregate(distances, zero, lambda acc, t: acc + F.when(t < 2.0, fixed_weight(t, s)).otherwise(zero))
+    folded = F.aggregate(distances, zero, lambda acc, t: acc + F.when(t < 2.0, fixed_weight(t, s)).otherwise(zero))
+    written = zero
+    for k in range(5):
+        t = F.abs((low + k + 0.5) - centre)
+        written = written + F.when((low + k <= high) & (t < 2.0), fixed_weight(t, F.lit(1.0))).otherwise(zero)
+    return F.when(ratio <= 1.0, written).otherwise(folded)
 
 
-def _pass(px: DataFrame, keys: Sequence[str], axis: str, n: Column, n2: Column, total: str) -> DataFrame:
-    """One separable pass: scaled integer sums per output index of ``axis``, and their divisor.
+def _pass(px: DataFrame, keys: Sequence[str], axis: str, n: Column, n2: Column) -> DataFrame:
+    """One separable pass: scaled integer sums per output index of ``axis``; ``tap_total`` gives their divisor.
 
     Each source index is scattered to all outputs it can reach. Scale, distance and weight are separate columns,
     which keeps every one of them evaluated once per row.
@@ -136,7 +144,7 @@ def _pass(px: DataFrame, keys: Sequence[str], axis: str, n: Column, n2: Column,
     high = F.floor((i + 0.5 + CATMULL_SUPPORT * s) / ratio - 0.5).cast("int")
     outputs = F.sequence(F.greatest(F.lit(0), low), F.least(n2.cast("int") - 1, high))
     ratio_of = n.cast("double") / n2
-    # Keys that carry a divisor of an earlier pass or a size stay as they are; n and n2 must be part of the keys.
+    # n and n2 must be part of the keys.
     values = [F.col(c) for c in (*keys, other, *CHANNELS)]
     scaled = px.select("*", ratio_of.alias("_ratio")).select("*", F.greatest(F.lit(1.0), ratio).alias("_s"))
     spread = (
@@ -145,11 +153,9 @@ def _pass(px: DataFrame, keys: Sequence[str], axis: str, n: Column, n2: Column,
         .filter((F.col("_t") < 2.0) & (F.col("_t") != 1.0))
         .select("*", fixed_weight(F.col("_t"), s).alias("_w"))
     )
-    sums = spread.groupBy(*keys, other, F.col("_o").alias(axis)).agg(
+    return spread.groupBy(*keys, other, F.col("_o").alias(axis)).agg(
         *[F.sum(F.col("_w") * F.col(c)).alias(c) for c in CHANNELS]
     )
-    again = sums.select("*", ratio_of.alias("_ratio")).select("*", F.greatest(F.lit(1.0), ratio).alias("_s"))
-    return again.select("*", tap_total(F.col(axis), n, ratio, s).alias(total)).drop("_ratio", "_s")
 
 
 def _rounded(total: Column, divisor: Column) -> Column:
@@ -164,17 +170,24 @@ def resample(px: DataFrame, keys: Sequence[str], width: str, height: str, out_w:
     end. Same size gives the same pixels. Pixels are brought together by column, then by row, before they are
     scattered to their outputs, so each pass moves pixels and not filter taps.
     """
-    columns = _pass(px, keys, "y", F.col(height), F.col(out_h), "_dy")
+    columns = _pass(px, keys, "y", F.col(height), F.col(out_h))
     rows = columns.repartition(*[k for k in keys if k in (*RASTER, "z")], "y")
-    both = _pass(rows, [*keys, "_dy"], "x", F.col(width), F.col(out_w), "_dx")
-    divisor = F.col("_dx") * F.col("_dy")
-    return both.select(*keys, "x", "y", *[_rounded(F.col(c), divisor).alias(c) for c in CHANNELS])
+    both = _pass(rows, keys, "x", F.col(width), F.col(out_w))
+    return _divided(both, F.col(width), F.col(out_w), F.col(height), F.col(out_h)).select(*keys, "x", "y", *CHANNELS)
+
+
+def _divided(sums: DataFrame, n_x: Column, out_x: Column, n_y: Column, out_y: Column) -> DataFrame:
+    """The sums of both passes as levels; the divisors are worked out once for each output pixel."""
+    totals = sums.select("*", tap_total(F.col("x"), n_x, out_x).alias("_dx"), tap_total(F.col("y"), n_y, out_y).alias("_dy"))
+    product = totals.select("*", (F.col("_dx") * F.col("_dy")).alias("_d")).drop("_dx", "_dy")
+    return product.withColumns({c: _rounded(F.col(c), F.col("_d")) for c in CHANNELS}).drop("_d")
 
 
 def resample_columns(px: DataFrame, keys: Sequence[str], width: str, out_w: str) -> DataFrame:
     """Horizontal resize only."""
-    across = _pass(px, keys, "x", F.col(width), F.col(out_w), "_dx")
-    return across.select(*keys, "x", "y", *[_rounded(F.col(c), F.col("_dx")).alias(c) for c in CHANNELS])
+    across = _pass(px, keys, "x", F.col(width), F.col(out_w))
+    total = across.select("*", tap_total(F.col("x"), F.col(width), F.col(out_w)).alias("_dx"))
+    return total.select(*keys, "x", "y", *[_rounded(F.col(c), F.col("_dx")).alias(c) for c in CHANNELS])
 
 
 def prescale(px: DataFrame, scale: float) -> DataFrame:
@@ -200,10 +213,7 @@ def at_zooms(px: DataFrame, tile_size: int, zmin: Column | int, zmax: Column | i
     Pixels are first brought together by column, or by row where only rows are resampled (``by="y"``, for
     Mercator); the first pass then needs no further shuffle.
     """
-    zooms = F.filter(
-        F.sequence(F.lit(0), F.lit(geo.MAX_SERVICE_ZOOM)),
-        lambda z: (z >= geo.as_col(zmin)) & (z <= geo.as_col(zmax)),
-    )
+    zooms = grids.levels(geo.as_col(zmin), geo.as_col(zmax))
     w, h, z = F.col("width"), F.col("height"), F.col("z")
     return (
         px.repartition(*RASTER, by)
@@ -242,7 +252,7 @@ def mercator_rows(sizes: DataFrame) -> DataFrame:
     y0 = F.least(F.floor(F.col("_f")).cast("int"), h - 1)
     y1 = F.least(F.col("_y0") + 1, h - 1)
     return (
-        sizes.withColumn("cy", F.explode(F.sequence(F.lit(0), F.col("canvas") - 1)))
+        grids.with_range(sizes, "cy", F.col("canvas"), [*RASTER, "z"])
         .withColumn("_f", source)
         .withColumn("_y0", y0)
         .withColumn("frac", F.col("_f") - F.col("_y0"))
@@ -287,11 +297,8 @@ def isometric_map(sizes: DataFrame) -> DataFrame:
     dx = (F.col("x") - canvas / 2.0) / F.col("_s")
     dy = (F.col("y") - canvas / 2.0) / F.col("_s") / ISO_FORESHORTENING
     inside = (F.col("sx") >= 0) & (F.col("sx") < w - 1) & (F.col("sy") >= 0) & (F.col("sy") < h - 1)
-    span = F.sequence(F.lit(0), F.col("canvas") - 1)
     return (
-        sizes.withColumn("_s", scale)
-        .withColumn("y", F.explode(span))
-        .withColumn("x", F.explode(span))
+        grids.with_square(sizes.withColumn("_s", scale), "y", "x", F.col("canvas"), [*RASTER, "z"])
         .withColumn("_dx", dx)
         .withColumn("_dy", dy)
         .withColumn("sx", F.col("_dx") * ISO_ROTATION + F.col("_dy") * ISO_ROTATION + w / 2.0)
@@ -343,10 +350,7 @@ def canvas(levels: DataFrame, projection: str, bg: Background = Background()) ->
 
 def fill(px: DataFrame, sizes: DataFrame, bg: Background) -> DataFrame:
     """Complete a sparse canvas with background pixels: one generated grid, one equi join."""
-    span = F.sequence(F.lit(0), F.col("canvas") - 1)
-    grid = (
-        sizes.select(*RASTER, "z", "canvas").withColumn("y", F.explode(span)).withColumn("x", F.explode(span))
-    )
+    grid = grids.with_square(sizes.select(*RASTER, "z", "canvas"), "y", "x", F.col("canvas"), [*RASTER, "z"])
     keys = [*RASTER, "z", "canvas", "x", "y"]
     return grid.join(px, keys, "left").select(
         *keys, *[F.coalesce(F.col(c), F.lit(getattr(bg, c))).alias(c) for c in CHANNELS]
@@ -441,9 +445,8 @@ def source_rows(sizes: DataFrame, tile_size: int, projection: str) -> DataFrame:
         start, end = low * n, high * n
     else:
         start, end = row * float(tile_size) * longest / canvas_px, (row + 1) * float(tile_size) * longest / canvas_px
-    last = (geo.grid_size(F.col("z")) - 1).cast("int")
     return (
-        sizes.withColumn("ty", F.explode(F.sequence(F.lit(0), last)))
+        grids.with_range(sizes, "ty", geo.grid_size(F.col("z")), [*RASTER, "z"])
         .withColumn("start", start)
         .withColumn("end", end)
         .filter(F.col("start") < n)
@@ -460,14 +463,21 @@ def extract_windows(px: DataFrame, tile_size: int, zmax: Column | int, projectio
     sized = px.repartition(*RASTER, "x").withColumn("z", geo.as_col(zmax).cast("int"))
     down = into_windows(sized, "y", tile_size, projection)
     kept = [*RASTER, *SIZE, "z", "ty", "n_y", "out_y"]
-    columns = _pass(down, kept, "y", F.col("n_y"), F.col("out_y"), "_dy")
+    columns = _pass(down, kept, "y", F.col("n_y"), F.col("out_y"))
     across = into_windows(columns.repartition(*RASTER, "ty", "y"), "x", tile_size, projection)
-    keys = [*RASTER, "z", "tx", "ty", "n_x", "out_x", "_dy"]
-    both = _pass(across, keys, "x", F.col("n_x"), F.col("out_x"), "_dx")
-    divisor = F.col("_dx") * F.col("_dy")
-    return both.select(
-        *RASTER, "z", "tx", "ty", F.col("x").alias("ox"), F.col("y").alias("oy"),
-        *[_rounded(F.col(c), divisor).alias(c) for c in CHANNELS],
+    keys = [*RASTER, "z", "tx", "ty", "n_x", "out_x", "n_y", "out_y"]
+    both = _pass(across, keys, "x", F.col("n_x"), F.col("out_x"))
+    return _divided(both, F.col("n_x"), F.col("out_x"), F.col("n_y"), F.col("out_y")).select(
+        *RASTER, "z", "tx", "ty", F.col("x").alias("ox"), F.col("y").alias("oy"), *CHANNELS
+    )
+
+
+def ground_tiles(sizes: DataFrame, zmin: Column | int, zmax: Column | int, bg: Background) -> DataFrame:
+    """One row for every tile of the complete grid, without offsets: the colour of all its pixels that have no row of their own."""
+    ranges = sizes.select(*RASTER, geo.as_col(zmin).alias("_lo"), geo.as_col(zmax).alias("_hi"))
+    offset = F.lit(None).cast("int")
+    return geo.tile_grid(ranges, F.col("_lo"), F.col("_hi")).select(
+        *RASTER, "z", "tx", "ty", offset.alias("ox"), offset.alias("oy"), *[F.lit(getattr(bg, c)).alias(c) for c in CHANNELS]
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +31,19 @@ class TileConfig:
 
 
 def cut_images(px: DataFrame, config: TileConfig) -> DataFrame:
-    """Pixels of any number of images to the pixels of all their tiles.
+    """Pixels of any number of images to all their tiles: every tile of every level, also where the image has no pixel.
+
+    Each tile has one row without offsets (ox and oy null) that gives the colour of all its pixels without a row: the background, or
+    clear. So a blank tile costs one row.
+    """
+    if config.scale is not None:
+        px, config = raster.prescale(px, config.scale), replace(config, scale=None)
+    ground = raster.ground_tiles(raster.image_sizes(px), config.min_zoom, config.top(), config.background)
+    return cut_pixels(px, config).unionByName(ground)
+
+
+def cut_pixels(px: DataFrame, config: TileConfig) -> DataFrame:
+    """The tiles' pixels that come from the images.
 
     Scale and background apply with both methods, and isometric images always use the naive one, which is the only
     one that can turn them.
@@ -53,6 +65,6 @@ def cut_images(px: DataFrame, config: TileConfig) -> DataFrame:
 
 
 def encode_images(px: DataFrame, config: TileConfig) -> DataFrame:
-    """All the way to PNG files, one row per tile that has any pixel."""
-    tiles = cut_images(px, config)
-    return encode.encode_png(encode.pack_blocks(tiles, config.tile_size, config.background), config.tile_size)
+    """All the way to PNG files, one row per tile of the complete grid."""
+    blocks = encode.pack_blocks(cut_images(px, config), config.tile_size, config.background)
+    return encode.encode_png(blocks, config.tile_size, config.background)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import color, geo, text, validate
 from ..functions.color import CHANNELS, Background
 from ..operators import pyramid, raster, tiling
+from ..sources import images
 from .fixtures import Registry, Tables
 
 REG = Registry()
@@ -597,6 +598,15 @@ def object_keys(t: Tables):
     )
 
 
+def ground_sql(low: str, top: str, bg: Background) -> str:
+    """Every tile of levels ``low`` to ``top`` of each raster, without offsets, in the background's colour."""
+    colour = ", ".join(f"{getattr(bg, c)} AS {c}" for c in CHANNELS)
+    return f"""
+SELECT s.raster_id, CAST(z.z AS INT) AS z, CAST(gx.x AS INT) AS tx, CAST(gy.y AS INT) AS ty, NULL AS ox, NULL AS oy, {colour}
+FROM (SELECT DISTINCT raster_id FROM heat_pixels) s JOIN range({low}, {top} + 1) z(z) ON TRUE
+JOIN range(16) gx(x) ON gx.x < (1 << z.z) JOIN range(16) gy(y) ON gy.y < (1 << z.z)"""
+
+
 CUT_SQL = FITTED_SQL.replace("FROM heat_pixels p CROSS JOIN", "FROM small_px p CROSS JOIN")
 
 
@@ -605,14 +615,57 @@ CUT_SQL = FITTED_SQL.replace("FROM heat_pixels p CROSS JOIN", "FROM small_px p C
     sql="p2 AS (SELECT *, 16 AS w2, 12 AS h2 FROM heat_pixels)," + resample_sql("p2", "small", "raster_id", "width", "height", "w2", "h2")
     + ", small_px AS (SELECT raster_id, 16 AS width, 12 AS height, x, y, r, g, b, a FROM small),"
     + CUT_SQL.replace("range(3) t(z)", "range(2) t(z)")
-    + f", over AS (SELECT raster_id, z, x // 10 AS tx, y // 10 AS ty, x % 10 AS ox, y % 10 AS oy, {blend_sql(SAND, False)} FROM fitted) SELECT {TILE_COLS} FROM over",
+    + f", over AS (SELECT raster_id, z, x // 10 AS tx, y // 10 AS ty, x % 10 AS ox, y % 10 AS oy, {blend_sql(SAND, False)} FROM fitted) SELECT {TILE_COLS} FROM over UNION ALL " + ground_sql("0", "1", SAND),
 )
 def cut_images_scaled(t: Tables):
     """The whole run from one set of options: half size, automatic zooms, opaque background."""
     return tiling.cut_images(t("heat_pixels"), tiling.TileConfig(tile_size=HEAT_TS, scale=0.5, background=SAND))
 
 
-@REG.query("heat_pixels", sql=STRIP_SQL + f", al AS ({STRIP_ALL}) SELECT raster_id, z, tx, ty, ox, oy, {blend_sql(GLASS, False)} FROM al WHERE z >= 1")
+@REG.query("heat_pixels", sql=STRIP_SQL + f", al AS ({STRIP_ALL}) SELECT raster_id, z, tx, ty, ox, oy, {blend_sql(GLASS, False)} FROM al WHERE z >= 1 UNION ALL " + ground_sql("1", "2", GLASS))
 def cut_images_by_window(t: Tables):
     config = tiling.TileConfig(tile_size=HEAT_TS, min_zoom=1, background=GLASS, method="window")
     return tiling.cut_images(t("heat_pixels"), config)
+
+
+# One pixel here and there of images 16,384 pixels wide, whose own highest zoom at tiles of 2 pixels is 13.
+DEEP_SQL = """deep AS (SELECT c_custkey % 7 AS raster_id, 16384 AS width, 9 AS height, CAST((c_custkey * 131) % 16384 AS INT) AS x, CAST(c_custkey % 9 AS INT) AS y,
+  CAST(c_custkey % 200 AS INT) AS r, 10 AS g, 20 AS b, 255 AS a, row_number() OVER (PARTITION BY c_custkey % 7, (c_custkey * 131) % 16384, c_custkey % 9 ORDER BY c_custkey) AS nth
+  FROM customer)"""
+DEEP_TILES = "SELECT raster_id, 13 AS z, x // 2 AS tx, y // 2 AS ty, x % 2 AS ox, y % 2 AS oy, r, g, b, a FROM deep WHERE nth = 1"
+
+
+def deep_pixels(t: Tables):
+    key = F.col("c_custkey")
+    px = t("customer").select(
+        (key % 7).alias("raster_id"), F.lit(16384).alias("width"), F.lit(9).alias("height"), ((key * 131) % 16384).cast("int").alias("x"),
+        (key % 9).cast("int").alias("y"), F.struct(key, (key % 200).cast("int").alias("r")).alias("first"),
+    )
+    return px.groupBy("raster_id", "width", "height", "x", "y").agg(F.min("first")["r"].alias("r")).select(
+        "*", F.lit(10).alias("g"), F.lit(20).alias("b"), F.lit(255).alias("a")
+    )
+
+
+@REG.query(sql=f"WITH {DEEP_SQL} {DEEP_TILES}")
+def deep_zoom_naive(t: Tables):
+    """The highest of 14 zooms, rendered from the source."""
+    return tiling.cut_pixels(deep_pixels(t), tiling.TileConfig(tile_size=2, min_zoom=13))
+
+
+@REG.query(sql=f"WITH {DEEP_SQL} SELECT raster_id, 13 AS z, COUNT(DISTINCT (x // 2, y // 2)) AS tiles FROM deep GROUP BY 1")
+def deep_zoom_by_window(t: Tables):
+    """The same by the window method: tiles at the highest zoom that show a pixel in the place of one of the source."""
+    px = deep_pixels(t)
+    tiles = raster.visible(tiling.cut_pixels(px, tiling.TileConfig(tile_size=2, min_zoom=12, method="window"))).filter("z = 13")
+    own = px.select("raster_id", F.floor(F.col("x") / 2).cast("int").alias("tx"), F.floor(F.col("y") / 2).cast("int").alias("ty"))
+    return tiles.join(own.distinct(), ["raster_id", "tx", "ty"], "left_semi").groupBy("raster_id", "z").agg(
+        F.countDistinct("tx", "ty").alias("tiles")
+    )
+
+
+@REG.query("heat_pixels", sql="SELECT raster_id, CAST(z.z AS INT) AS z, CAST(1 << (2 * z.z) AS BIGINT) AS tiles FROM (SELECT DISTINCT raster_id FROM heat_pixels) s JOIN range(3) z(z) ON TRUE")
+def encoded_complete_grid(t: Tables):
+    """PNG files of a whole run counted per level: every tile of the grid has one."""
+    files = tiling.encode_images(t("heat_pixels"), tiling.TileConfig(tile_size=HEAT_TS, max_zoom=2, method="window", background=SAND))
+    ok = files.filter(images.is_png(F.col("content")))
+    return ok.groupBy("raster_id", "z").agg(F.count("*").alias("tiles"))

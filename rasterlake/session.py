@@ -44,6 +44,13 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme of the file system that the session would use for it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
+    return full.replace("file:/", "file:///", 1) if full.startswith("file:/") and not full.startswith("file://") else full
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder, so that a lost executor does not replay the whole plan."""
     spark = df.sparkSession

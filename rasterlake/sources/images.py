@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+SAMPLES_AT_ONCE = 1 << 18
+HEAD = "origin string, width int, height int, channels int"
+
 # File signatures as hex.
 PNG_HEX = "89504E470D0A1A0A"
 TIFF_HEX = ("49492A00", "4D4D002A", "49492B00", "4D4D002B")
@@ -45,23 +52,48 @@ def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """One row per readable image: origin, width, height, channels and the samples in red-first order.
+    """One row per readable image: origin, width, height, channels and the samples in red-first order."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for image in pdf.itertuples(index=False):
+                samples = _red_first(image).astype(np.float64).ravel()
+                yield pd.DataFrame({
+                    "origin": [image.origin], "width": [image.width], "height": [image.height], "channels": [image.nChannels],
+                    "samples": [samples],
+                })
+
+    return _decoded(spark, path).mapInPandas(read, f"{HEAD}, samples array<double>")
 
-    Spark hands out blue-first bytes; they are reordered by an array expression.
+
+def read_samples(spark: SparkSession, path: str) -> DataFrame:
+    """One row per sample of every readable image: origin, width, height, channels, channel, x, y and v.
+
+    What ``raster.explode_samples`` gives, without an array for a whole image: the rows of a few image lines are made at a time.
     """
-    images = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
-    n = F.col("nChannels")
-    hexed = F.hex("data")
-
-    def source(i: Column) -> Column:
-        # Byte of sample i: blue and red change places, grey and alpha stay.
-        k = i % n
-        swapped = F.when((n >= 3) & (k < 3), 2 - k).otherwise(k)
-        return i - k + swapped
-
-    count = (F.col("width") * F.col("height") * n).cast("int")
-    samples = F.transform(
-        F.sequence(F.lit(0), count - 1),
-        lambda i: F.conv(F.substring(hexed, (source(i) * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("double"),
-    )
-    return images.select("origin", "width", "height", n.alias("channels"), samples.alias("samples"))
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for image in pdf.itertuples(index=False):
+                lines, n = _red_first(image), image.nChannels
+                step = max(1, SAMPLES_AT_ONCE // max(1, image.width * n))
+                for top in range(0, image.height, step):
+                    part = lines[top : top + step]
+                    y, x, channel = np.indices(part.shape, dtype=np.int32)
+                    yield pd.DataFrame({
+                        "origin": image.origin, "width": image.width, "height": image.height, "channels": n,
+                        "channel": channel.ravel(), "x": x.ravel(), "y": y.ravel() + top, "v": part.ravel().astype(np.float64),
+                    })
+
+    return _decoded(spark, path).mapInPandas(read, f"{HEAD}, channel int, x int, y int, v double")
+
+
+def _decoded(spark: SparkSession, path: str) -> DataFrame:
+    images = spark.read.format("image").option("dropInvalid", True).load(path)
+    return images.select("image.origin", "image.width", "image.height", "image.nChannels", "image.data")
+
+
+def _red_first(image) -> np.ndarray:
+    """Samples by line, column and channel. Spark hands out blue first: blue and red change places, grey and alpha stay."""
+    data = np.frombuffer(image.data, np.uint8).reshape(image.height, image.width, image.nChannels)
+    return data[..., [2, 1, 0, 3][: image.nChannels]] if image.nChannels >= 3 else data

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tile_path
 from ..operators.archive import tile_id
+from ..session import qualified
 
 
 def with_paths(tiles: DataFrame, fmt: str = "png") -> DataFrame:
@@ -33,8 +34,9 @@ def write_tiles(tiles: DataFrame, path: str, fmt: str = "png", mode: str = "erro
 def write_files(tiles: DataFrame, root: str, fmt: str = "png") -> None:
     """Write each tile to ``root/raster_id/z/x/y.ext`` from the tasks, on any file system that Arrow knows.
 
-    A task that runs again writes the same files again.
+    A root without a scheme is in the session's own file system, which on a cluster is the one all executors share. A task that runs again writes the same files again.
     """
+    root = qualified(tiles.sparkSession, root)
 
     def save(rows) -> None:
         from pyarrow import fs

@@ -33,7 +33,54 @@ def test_solid_image_has_all_tiles(spark):
     tiles = tiling.cut_images(px, tiling.TileConfig(tile_size=16))
     per_zoom = {r.z: r.n for r in tiles.groupBy("z").agg(F.countDistinct("tx", "ty").alias("n")).collect()}
     assert per_zoom == {0: 1, 1: 4}
-    assert tiles.filter("r <> 255 OR g <> 0 OR b <> 0 OR a <> 255").count() == 0
+    assert tiles.filter("ox IS NULL AND a = 0").count() == 5
+    assert tiles.filter("ox IS NOT NULL AND (r <> 255 OR g <> 0 OR b <> 0 OR a <> 255)").count() == 0
+
+
+def test_every_tile_of_the_grid_is_made(spark):
+    """A 512 square in tiles of 256 has 1 + 4 tiles; a wide image has blank ones too, as many as the summary says."""
+    for w, h in ((512, 512), (512, 100)):
+        px = image(spark, solid(8, 8, (1, 2, 3, 255))).withColumn("width", F.lit(w)).withColumn("height", F.lit(h))
+        said = raster.run_summary(px.select("raster_id", "width", "height").distinct().withColumns({"tile_size": F.lit(256), "max_zoom": F.lit(None).cast("int")}))
+        for method in ("naive", "window"):
+            made = tiling.cut_images(px, tiling.TileConfig(tile_size=256, method=method)).select("z", "tx", "ty").distinct().count()
+            assert made == said.first().total_tiles == 5
+
+
+def test_blank_tiles_share_one_file(spark):
+    px = image(spark, solid(32, 4, (9, 9, 9, 255)))
+    files = tiling.encode_images(px, tiling.TileConfig(tile_size=8, background=Background(1, 2, 3, 255))).collect()
+    assert len(files) == 21 and len({bytes(f.content) for f in files if f.z == 2 and f.ty > 0}) == 1
+
+
+def test_large_blocks_and_images_are_read_quickly(spark, tmp_path):
+    """Both take time in proportion to their size: seconds here, where a quadratic form would take hours."""
+    side = 256
+    raw = np.random.default_rng(3).integers(0, 256, (side, side, 4), dtype=np.uint8)
+    blocks = spark.createDataFrame([(1, 0, 0, k, bytearray(raw.tobytes())) for k in range(8)], "raster_id long, z int, tx int, ty int, rgba binary")
+    px = encode.unpack_blocks(blocks, side)
+    assert px.count() == 8 * side * side
+    assert px.filter("ty = 3 AND ox = 5 AND oy = 7").first()[-4:] == tuple(int(v) for v in raw[7, 5])
+    big = np.random.default_rng(4).integers(0, 256, (1024, 1024, 4), dtype=np.uint8)
+    (tmp_path / "big.png").write_bytes(encode.png_bytes(big.tobytes(), 1024))
+    samples = images.read_samples(spark, str(tmp_path))
+    assert samples.count() == 4 * 1024 * 1024
+    assert [int(r.v) for r in samples.filter("x = 10 AND y = 1000").orderBy("channel").collect()] == big[1000, 10].tolist()
+    one = images.read_images(spark, str(tmp_path)).select("width", "channels", F.slice("samples", 1, 4).alias("s")).first()
+    assert (one.width, one.channels, [int(v) for v in one.s]) == (1024, 4, big[0, 0].tolist())
+
+
+def test_wide_windows_take_the_relational_form(spark):
+    array = np.random.default_rng(5).integers(0, 256, (40, 70, 4), dtype=np.uint8)
+    px = image(spark, array)
+    got = {(r.tx, r.ty): bytes(r.rgba) for r in encode.window_blocks(px, 4, 1).collect()}
+    want = {(r.tx, r.ty): bytes(r.rgba) for r in encode._gathered(px, 4, 1, "flat").collect()}
+    assert got == want and len(got) > 1
+
+
+def test_square_is_dealt_out(spark):
+    plan = raster.fill(image(spark, solid(4, 4, (1, 1, 1, 1))).selectExpr("raster_id", "0 AS z", "4 AS canvas", "x", "y", "r", "g", "b", "a"), spark.sql("SELECT 1L AS raster_id, 0 AS z, 2048 AS canvas"), Background(0, 0, 0, 0))
+    assert plan.count() == 2048 * 2048
 
 
 @pytest.mark.parametrize("projection", ["flat", "mercator"])
@@ -49,7 +96,7 @@ def test_two_colour_image(spark):
     array = solid(16, 8, (255, 0, 0, 255))
     array[:, 8:] = (0, 0, 255, 255)
     tiles = tiling.cut_images(image(spark, array), tiling.TileConfig(tile_size=4, max_zoom=2))
-    top = tiles.filter("z = 2")
+    top = tiles.filter("z = 2 AND ox IS NOT NULL")
     assert top.filter("tx <= 1 AND r <> 255").count() == 0 and top.filter("tx >= 2 AND b <> 255").count() == 0
     assert top.agg(F.max("ty")).first()[0] == 1
 
@@ -88,7 +135,7 @@ def test_rasters_with_different_depths(spark):
     tiles = tiling.cut_images(px, tiling.TileConfig(tile_size=8, method="window"))
     found = {(r.raster_id, r.z): r.n for r in tiles.groupBy("raster_id", "z").agg(F.countDistinct("tx", "ty").alias("n")).collect()}
     assert found == {(1, 0): 1, (1, 1): 4, (1, 2): 16, (2, 0): 1}
-    blocks = encode.build_blocks(encode.pack_blocks(tiles.filter("z = 2 OR raster_id = 2"), 8), 8, 2)
+    blocks = encode.build_blocks(encode.pack_blocks(tiles.filter("ox IS NOT NULL AND (z = 2 OR raster_id = 2)"), 8), 8, 2)
     assert {(r.raster_id, r.z): r["count"] for r in blocks.groupBy("raster_id", "z").count().collect()} == found
 
 
