@@ -96,7 +96,7 @@ def resolve_identities(users: DataFrame, accounts: DataFrame, incoming: DataFram
     pair = ["provider", "provider_account_id"]
     known = accounts.groupBy(*pair).agg(F.min("user_id").alias("_pair_user"))
     alive = users.select(F.col("user_id").alias("link_user_id"), F.lit(True).alias("_link_ok"))
-    rows = incoming.join(known, pair, "left").join(alive, "link_user_id", "left").withColumn(
+    rows = lookup(incoming.join(known, pair, "left"), alive, ["link_user_id"], ["identity_id"]).withColumn(
         "_missing",
         F.col("_pair_user").isNull() & F.col("link_user_id").isNotNull() & F.col("_link_ok").isNull(),
     )

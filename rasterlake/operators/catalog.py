@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text, validate
-from ..plans.hotkeys import attach, first_per_key
+from ..plans.hotkeys import attach, first_per_key, lookup
 
 # Page sizes and windows.
 TILE_SET_PAGE, JOB_PAGE, MAX_PAGE = 50, 20, 100
@@ -71,12 +71,16 @@ def first_pages(rows: DataFrame, key: str, per_page: int) -> DataFrame:
 
 
 def visible_by_slug(requests: DataFrame, tile_sets: DataFrame) -> DataFrame:
-    """Requests (caller, slug) with the tile set when it is public or the caller's own, else not found."""
-    found = requests.join(tile_sets.select("slug", "tileset_id", "user_id", "is_public"), "slug", "left")
-    seen = F.col("is_public") | (F.col("user_id") == F.col("caller"))
-    return found.select(
-        "request_id", "caller", "slug", F.when(seen, F.col("tileset_id")).alias("tileset_id"),
-        F.when(seen, "ok").otherwise("not_found").alias("outcome"),
+    """Requests (caller, slug) with the tile set that is public or the caller's own, else not found.
+
+    Slugs are unique for a user only; of several that the caller may see, the one with the smallest id is shown.
+    """
+    public = tile_sets.filter("is_public").groupBy("slug").agg(F.min("tileset_id").alias("_public"))
+    own = tile_sets.groupBy("slug", F.col("user_id").alias("caller")).agg(F.min("tileset_id").alias("_own"))
+    met = lookup(lookup(requests, public, ["slug"], ["request_id"]), own, ["slug", "caller"], ["request_id"])
+    found = F.least("_public", "_own")
+    return met.select(
+        "request_id", "caller", "slug", found.alias("tileset_id"), F.when(found.isNotNull(), "ok").otherwise("not_found").alias("outcome")
     )
 
 
@@ -128,12 +132,15 @@ def object_keys(paths: DataFrame) -> DataFrame:
 def finalise(tile_sets: DataFrame, incoming: DataFrame, finished: DataFrame, objects: DataFrame) -> DataFrame:
     """What each incoming catalogue row does: update its owner's row, insert, or be turned away.
 
-    ``finished`` holds (storage_path, user_id) of complete jobs, ``objects`` the stored size per path.
+    ``finished`` holds (storage_path, user_id) of complete jobs, ``objects`` the stored size per path. An update may not take a slug of
+    another row. Of several rows of one batch that would insert the same path, the first (by request_id) does; the others of its user
+    update that new row, whose id is not known yet, and those of other users find nothing. Then, of several that would insert the same
+    slug of a user, the first does and the others conflict.
     """
     by_path = tile_sets.groupBy("storage_path").agg(
         F.min(F.struct("tileset_id", "user_id")).alias("_old"), F.lit(0).alias("_zero")
     ).select("storage_path", F.col("_old.tileset_id").alias("_old_id"), F.col("_old.user_id").alias("_old_user"))
-    slugs = tile_sets.groupBy("user_id", "slug").agg(F.lit(True).alias("_slug_taken"))
+    slugs = tile_sets.groupBy("user_id", "slug").agg(F.min("tileset_id").alias("_slug_id"))
     done = finished.groupBy("storage_path", "user_id").agg(F.lit(True).alias("_finished"))
     rows = (
         incoming.join(by_path, "storage_path", "left")
@@ -141,13 +148,28 @@ def finalise(tile_sets: DataFrame, incoming: DataFrame, finished: DataFrame, obj
         .join(done, ["storage_path", "user_id"], "left")
         .join(objects.select("storage_path", F.col("size_bytes").alias("_stored")), "storage_path", "left")
     )
+    mine = F.col("_old_id").isNotNull() & (F.col("_old_user") == F.col("user_id"))
     action = (
-        F.when(F.col("_old_id").isNotNull() & (F.col("_old_user") == F.col("user_id")), "update")
+        F.when(mine & (F.col("_slug_id") != F.col("_old_id")), "conflict")
+        .when(mine, "update")
         .when(F.col("_old_id").isNotNull() | F.col("_finished").isNull() | F.col("_stored").isNull(), "not_found")
-        .when(F.col("_slug_taken"), "conflict")
+        .when(F.col("_slug_id").isNotNull(), "conflict")
         .otherwise("insert")
     )
-    return rows.withColumn("action", action).select(
+    judged = rows.withColumn("action", action)
+
+    def first_of(rows: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:
+        firsts = rows.filter("action = 'insert'").groupBy(*keys).agg(F.min_by(value, "request_id").alias(name), F.count("*").alias("_n"))
+        return attach(rows, firsts, keys, ["request_id"])
+
+    inserts = F.col("action") == "insert"
+    by_path = first_of(judged, ["storage_path"], F.struct("request_id", "user_id"), "_head")
+    later = inserts & (F.col("_head.request_id") != F.col("request_id"))
+    same = F.col("_head.user_id") == F.col("user_id")
+    by_path = by_path.withColumn("action", F.when(later & same, "update").when(later, "not_found").otherwise(F.col("action")))
+    by_slug = first_of(by_path, ["user_id", "slug"], F.col("request_id"), "_slug_head")
+    taken = inserts & (F.col("_slug_head") != F.col("request_id"))
+    return by_slug.withColumn("action", F.when(taken, "conflict").otherwise(F.col("action"))).select(
         *incoming.columns, "action",
         F.when(F.col("action") == "update", F.col("_old_id")).alias("tileset_id"),
         F.when(F.col("action") == "insert", F.col("_stored")).alias("stored_bytes"),
@@ -180,7 +202,7 @@ def archive_access(requests: DataFrame, progress: DataFrame, tile_sets: DataFram
     owner = progress.groupBy("job_id").agg(F.max_by("user_id", F.struct("ts", "event_id")).alias("_progress_owner"))
     stored = tile_sets.groupBy("storage_path").agg(F.min_by("user_id", "tileset_id").alias("_stored_owner"))
     asked = requests.withColumn("storage_path", text.tile_prefix(F.col("job_id")))
-    met = asked.join(owner, "job_id", "left").join(stored, "storage_path", "left")
+    met = lookup(lookup(asked, owner, ["job_id"], ["request_id"]), stored, ["storage_path"], ["request_id"])
     allowed = F.coalesce("_progress_owner", "_stored_owner") == F.col("caller")
     return met.select(
         "request_id", "job_id", "caller", F.when(allowed, "ok").otherwise("not_found").alias("outcome")
@@ -226,6 +248,33 @@ def create_projects(projects: DataFrame, wanted: DataFrame) -> DataFrame:
     return met.select("request_id", "user_id", "name", "description", outcome.alias("outcome"))
 
 
+def update_projects(projects: DataFrame, wanted: DataFrame, as_of: Column) -> DataFrame:
+    """Outcome per wanted change (request_id, project_id, user_id, name, description): updated, conflict, not_found or invalid.
+
+    Only the owner's project is changed. Names are trimmed and an empty description becomes null. A name that another project of the owner
+    has, or that an earlier request of the batch gives to another project, is a conflict.
+    """
+    clean = validate.report(wanted, validate.PROJECT).withColumn("name", F.trim("name")).withColumn(
+        "description", F.nullif(F.trim("description"), F.lit(""))
+    )
+    owned = projects.select("project_id", "user_id", F.lit(True).alias("_mine"))
+    named = projects.groupBy("user_id", "name").agg(F.min("project_id").alias("_named"))
+    met = clean.join(owned, ["project_id", "user_id"], "left").join(named, ["user_id", "name"], "left")
+    able = (F.size("violations") == 0) & F.col("_mine").isNotNull() & (F.col("_named").isNull() | (F.col("_named") == F.col("project_id")))
+    first = met.filter(able).groupBy("user_id", "name").agg(F.min_by("project_id", "request_id").alias("_first"), F.count("*").alias("_n"))
+    rows = attach(met, first, ["user_id", "name"], ["request_id"])
+    outcome = (
+        F.when(F.size("violations") > 0, "invalid")
+        .when(F.col("_mine").isNull(), "not_found")
+        .when(~able | (F.col("_first") != F.col("project_id")), "conflict")
+        .otherwise("updated")
+    )
+    changed = rows.withColumn("outcome", outcome)
+    return changed.select(
+        "request_id", "project_id", "user_id", "name", "description", "outcome", F.when(F.col("outcome") == "updated", as_of).alias("updated_at")
+    )
+
+
 def delete_projects(projects: DataFrame, tile_sets: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(remaining projects, tile sets with the deleted projects cleared); ``gone`` has (project_id, user_id)."""
     ids = projects.join(gone, ["project_id", "user_id"], "left_semi").select("project_id")
@@ -258,8 +307,11 @@ def clear_notifications(notifications: DataFrame, users: DataFrame) -> DataFrame
     return notifications.join(users.select("user_id"), "user_id", "left_anti")
 
 
-def new_notifications(wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return validate.split(wanted, validate.NOTIFICATION)
+def new_notifications(wanted: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
+    """(unread rows to store, rejected requests with their violations) of wanted notifications (user_id, type, title, message)."""
+    valid, rejected = validate.split(wanted, validate.NOTIFICATION)
+    rows = valid.select("user_id", "type", "title", "message", F.lit(False).alias("is_read"), as_of.alias("created_at"))
+    return rows, rejected
 
 
 def broadcast(users: DataFrame, kind: str, title: str, message: str | None, as_of: Column) -> DataFrame:
@@ -289,6 +341,21 @@ def active_keys(keys: DataFrame, users: DataFrame) -> DataFrame:
     return keys.filter(~F.col("revoked")).join(active, "user_id")
 
 
+def key_access(requests: DataFrame, keys: DataFrame, users: DataFrame, scope: str) -> DataFrame:
+    """Requests (request_id, raw_key) with the user and plan behind their key and whether it has the scope.
+
+    Keys are found by their digest, so the stored table never holds a key itself; unknown, revoked and malformed keys and those of
+    deactivated users are turned away.
+    """
+    known = active_keys(keys, users).select(
+        "key_hash", F.struct("key_id", "user_id", "plan", allows(F.col("scopes"), scope).alias("may")).alias("_key")
+    )
+    hashed = requests.withColumn("key_hash", F.when(validate.is_api_key(F.col("raw_key")), validate.key_hash(F.col("raw_key"))))
+    met = lookup(hashed, known, ["key_hash"], ["request_id"])
+    outcome = F.when(F.col("_key").isNull(), "unauthorized").when(~F.col("_key.may"), "forbidden").otherwise("ok")
+    return met.select("request_id", *[F.col(f"_key.{c}").alias(c) for c in ("key_id", "user_id", "plan")], outcome.alias("outcome"))
+
+
 def allows(scopes: Column, needed: str) -> Column:
     return F.array_contains(scopes, needed)
 

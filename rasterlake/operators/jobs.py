@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..plans.hotkeys import attach, first_per_key, previous_value, running_sum
+from ..plans.hotkeys import attach, first_per_key, lookup, previous_value, running_sum
 from ..plans.thinning import thin
+from ..session import cut_lineage
+from . import catalog, storage
 
 # States, times and retry delays.
 STATUSES = ("queued", "processing", "complete", "failed", "cancelled")
@@ -41,17 +43,41 @@ def percent(done: Column, total: Column) -> Column:
     return F.least(F.lit(99), F.coalesce(share, F.lit(0).cast("long"))).cast("int")
 
 
-def fold(updates: DataFrame) -> DataFrame:
+def _runs(updates: DataFrame, retries: DataFrame) -> DataFrame:
+    """Add ``_run``: how many accepted retries of its job came before an update."""
+    marks = retries.select("job_id", *ORDER, F.lit(1).alias("_mark"))
+    both = updates.withColumn("_mark", F.lit(0)).unionByName(marks, allowMissingColumns=True)
+    piece = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600)
+    return running_sum(both, ["job_id"], piece, list(ORDER), F.col("_mark"), "_run").filter(F.col("_mark") == 0).drop("_mark")
+
+
+def fold(updates: DataFrame, retries: DataFrame | None = None) -> DataFrame:
     """Final state of every job. Updates count only up to the first one that leaves the open states.
 
-    Two partial aggregates: the first finds each job's closing update, the second takes latest values up to
-    it. In between, the closing point is attached in a way that keeps a very busy job spread over many tasks.
+    An accepted retry (job_id, ts, event_id) opens its job again: the state is that of the last run, and queued when that has no update
+    yet. Two partial aggregates: the first finds the closing update of each run, the second takes latest values up to it. In between, the
+    closing point is attached in a way that keeps a very busy job spread over many tasks.
     """
     order = F.struct(*ORDER)
-    closing = updates.groupBy("job_id").agg(
-        F.min(F.when(~is_open(F.col("status")), order)).alias("_close"), F.count("*").alias("_n")
-    )
-    rows = attach(updates, closing, ["job_id"], ["event_id"])
+    if retries is not None:
+        again = retries.groupBy("job_id").agg(F.count("*").alias("_retries"), F.max("ts").alias("_retried_at"))
+        found = _fold_runs(_runs(updates, retries), order).join(again, "job_id", "left")
+        waiting = F.coalesce(F.col("_retries") > F.col("_last_run"), F.lit(False))
+        reset = {
+            "status": F.when(waiting, "queued").otherwise(F.col("status")), "progress": F.when(waiting, 0).otherwise(F.col("progress")),
+            "error": F.when(~waiting, F.col("error")), "completed_at": F.when(~waiting, F.col("completed_at")),
+            "updated_at": F.when(waiting, F.greatest("updated_at", "_retried_at")).otherwise(F.col("updated_at")),
+        }
+        return found.withColumns(reset).drop("_retries", "_retried_at", "_last_run")
+    return _fold_runs(updates.withColumn("_run", F.lit(0)), order).drop("_last_run")
+
+
+def _fold_runs(updates: DataFrame, order: Column) -> DataFrame:
+    keys = ["job_id", "_run"]
+    closing = updates.groupBy(*keys).agg(F.min(F.when(~is_open(F.col("status")), order)).alias("_close"), F.count("*").alias("_n"))
+    rows = attach(updates, closing, keys, ["event_id"])
+    last = updates.groupBy("job_id").agg(F.max("_run").alias("_last_run"), F.count("*").alias("_n"))
+    rows = attach(rows, last, ["job_id"], ["event_id"])
     applied = F.col("_close").isNull() | (order <= F.col("_close"))
 
     def latest(name: str) -> Column:
@@ -70,7 +96,8 @@ def fold(updates: DataFrame) -> DataFrame:
         F.coalesce(latest_known("retry_count"), F.lit(0)).alias("retry_count"),
         F.min("ts").alias("created_at"),
         F.max(F.when(applied, F.col("ts"))).alias("updated_at"),
-        F.max(F.when(applied & (F.col("status") == "complete"), F.col("ts"))).alias("completed_at"),
+        F.max(F.when(applied & (F.col("status") == "complete") & (F.col("_run") == F.col("_last_run")), F.col("ts"))).alias("completed_at"),
+        F.max("_last_run").alias("_last_run"),
         F.count_if(applied).alias("applied"),
         F.count_if(~applied).alias("ignored"),
     )
@@ -81,40 +108,82 @@ def should_stop(jobs: DataFrame) -> DataFrame:
 
 
 def apply_commands(jobs: DataFrame, commands: DataFrame, uploads: DataFrame, room: DataFrame, as_of: Column) -> DataFrame:
-    """Cancel and retry commands (command_id, job_id, user_id, command), one per job: the earliest counts.
+    """Verdict of every cancel and retry command (command_id, job_id, user_id, command), as if they came in order of their ids.
 
-    ``uploads`` lists the jobs whose source is still stored; ``room`` the bytes each user has left. Every command
-    gets a verdict and the state it leaves the job in.
+    A command of somebody else finds nothing. The first cancel of an open job cancels it. The first retry of a failed job whose source is
+    stored asks for its reservation, in command order with the user's other retries; if it fits the job is queued, and the first cancel
+    after that cancels it. A command that is turned away changes nothing and blocks nobody. A retry that does not fit never fits later.
+    ``uploads`` lists the jobs whose source is still stored; ``room`` the bytes each user has left; what cancels give back counts from
+    the next call on. A job without a reservation needs no room.
     """
-    first = commands.groupBy("job_id").agg(F.min("command_id").alias("_first"), F.count("*").alias("_n"))
-    rows = attach(commands, first, ["job_id"], ["command_id"])
-    mine = jobs.select("job_id", F.col("user_id").alias("_owner"), "status", "reserved_bytes", F.lit(True).alias("_job"))
     stored = uploads.select("job_id").distinct().withColumn("_stored", F.lit(True))
-    met = rows.join(mine, "job_id", "left").join(stored, "job_id", "left").join(room, "user_id", "left")
-    owned = F.coalesce(F.col("_owner") == F.col("user_id"), F.lit(False))
-    late = F.col("command_id") != F.col("_first")
+    mine = jobs.select("job_id", F.col("user_id").alias("_owner"), "status", "reserved_bytes").join(stored, "job_id", "left")
+    met = cut_lineage(
+        lookup(commands, mine, ["job_id"], ["command_id"]).withColumn("_owned", F.coalesce(F.col("_owner") == F.col("user_id"), F.lit(False)))
+    )
     cancel, retry = F.col("command") == "cancel", F.col("command") == "retry"
-    fits = F.coalesce(F.col("reserved_bytes"), F.lit(0)) <= F.coalesce(F.col("room"), F.lit(0))
+    failed = F.col("status") == "failed"
+    owned = met.filter("_owned")
+
+    def first(condition: Column) -> Column:
+        return F.min(F.when(condition, F.col("command_id")))
+
+    facts = owned.groupBy("job_id").agg(
+        F.min("user_id").alias("user_id"), F.min("reserved_bytes").alias("_bytes"), F.min("status").alias("_status"),
+        first(cancel & is_open(F.col("status"))).alias("_cancel"), first(retry & failed & F.col("_stored")).alias("_retry"), F.count("*").alias("_n"),
+    )
+    # The order of ids stands for the time; a piece holds a thousand of them.
+    asked = facts.filter("_retry IS NOT NULL AND _bytes IS NOT NULL").select(
+        F.col("_retry").alias("request_id"), "user_id", F.col("_retry").alias("ts"), F.col("_bytes").alias("bytes")
+    )
+    limit = (1 << 62) - 1
+    balance = room.select("user_id", (F.lit(limit) - F.col("room")).alias("used_bytes"))
+    fits = storage.admit(asked, balance, limit, F.floor(F.col("ts") / 1000)).select(F.col("request_id").alias("_retry"), F.col("admitted").alias("_fits"))
+    queued = F.col("_retry").isNotNull() & (F.col("_bytes").isNull() | F.coalesce("_fits", F.lit(False)))
+    known = facts.join(fits, "_retry", "left").select("job_id", "_n", "_cancel", "_retry", queued.alias("_queued"))
+    rows = attach(met, cut_lineage(known), ["job_id"], ["command_id"])
+    again = rows.filter("_owned").groupBy("job_id").agg(
+        first(cancel & F.col("_queued") & (F.col("command_id") > F.col("_retry"))).alias("_undo"), F.count("*").alias("_n")
+    )
+    rows = attach(rows, again, ["job_id"], ["command_id"])
+    this = F.col("command_id")
+    undo = F.col("_undo")
+    # What the command finds: a queued job once its retry has gone through, and a cancelled one after the cancel that did it.
+    cancelled_at = F.coalesce(F.col("_cancel"), undo)
     verdict = (
-        F.when(~owned, "not_found")
-        .when(late, "conflict")
-        .when(cancel & is_open(F.col("status")), "cancelled")
-        .when(cancel | (F.col("status") != "failed"), "conflict")
-        .when(retry & F.col("_stored").isNull(), "source_gone")
-        .when(retry & ~fits, "quota_exceeded")
-        .otherwise("queued")
+        F.when(~F.col("_owned"), "not_found")
+        .when(cancel & (this == cancelled_at), "cancelled")
+        .when(cancel | ~failed, "conflict")
+        .when(F.col("_stored").isNull(), "source_gone")
+        .when(~F.col("_queued"), "quota_exceeded")
+        .when(this == F.col("_retry"), "queued")
+        .otherwise("conflict")
     )
-    changed = met.withColumn("verdict", verdict)
+    found = (
+        F.when(this >= cancelled_at, "cancelled").when(F.col("_queued") & (this >= F.col("_retry")), "queued").otherwise(F.col("status"))
+    )
+    changed = rows.withColumn("verdict", verdict)
     done = F.col("verdict").isin("cancelled", "queued")
     return changed.select(
         "command_id", "job_id", "verdict",
-        F.when(done, F.col("verdict")).otherwise(F.when(owned, F.col("status"))).alias("status"),
+        F.when(F.col("_owned"), found).alias("status"),
         F.when(done, as_of).alias("updated_at"),
         F.when(F.col("verdict") == "cancelled", as_of).alias("cancelled_at"),
         F.when(F.col("verdict") == "cancelled", True).when(F.col("verdict") == "queued", False).alias("reservation_released"),
     )
 
 
+def list_jobs(
+    jobs: DataFrame, user_id: int, status: str | None = None, page: int | None = None, per_page: int | None = None
+) -> DataFrame:
+    """One page of a user's jobs, newest first; a status that is not one of the five is an error."""
+    if status is not None and status not in STATUSES:
+        raise ValueError(f"status must be one of {', '.join(STATUSES)}")
+    mine = jobs.filter(F.col("user_id") == user_id)
+    shown = mine if status is None else mine.filter(F.col("status") == status)
+    return catalog.newest_first(shown, "job_id", *catalog.page_window(page, per_page, catalog.JOB_PAGE))
+
+
 def reap(jobs: DataFrame, as_of: Column, seconds: int = STALE_SECONDS) -> DataFrame:
     """Processing jobs without an update for too long become failed and give back their reservation."""
     stale = (F.col("status") == "processing") & (F.col("updated_at") < as_of - F.expr(f"INTERVAL {seconds} SECONDS"))
@@ -150,14 +219,16 @@ def progress_view(wanted: DataFrame, latest: DataFrame, as_of: Column, seconds:
     )
 
 
-def attempts(failures: DataFrame) -> DataFrame:
-    """Delivery attempts that ended in failure, numbered up to the last one allowed, with what follows each.
+def attempts(failures: DataFrame, message: str = "job_id", first_is_final: bool = False) -> DataFrame:
+    """Delivery attempts that ended in failure, numbered per message up to the last one allowed, with what follows each.
 
-    Later rows of a job cannot happen after the final attempt and are left out; the number filter prunes before
-    the shuffle.
+    A job that is retried gets a new message, whose count starts again; name its column in ``message``. A message is gone after its final
+    attempt (the first one on the fallback queue, which does not deliver again), so later rows of a message can't happen and are left
+    out; the number filter prunes before the shuffle.
     """
-    numbered = first_per_key(failures, ["job_id"], MAX_DELIVERIES, list(ORDER), out="attempt")
-    final = F.col("attempt") >= MAX_DELIVERIES
+    allowed = 1 if first_is_final else MAX_DELIVERIES
+    numbered = first_per_key(failures, [message], allowed, list(ORDER), out="attempt")
+    final = F.col("attempt") >= allowed
     delay = F.element_at(F.array(*[F.lit(d) for d in RETRY_DELAYS]), F.least(F.col("attempt"), F.lit(len(RETRY_DELAYS))))
     return (
         numbered.withColumn("next_status", F.when(final, "failed").otherwise("queued"))
@@ -166,10 +237,10 @@ def attempts(failures: DataFrame) -> DataFrame:
     )
 
 
-def dead_letters(failures: DataFrame, as_of: Column, days: int = DEAD_LETTER_DAYS) -> DataFrame:
+def dead_letters(failures: DataFrame, as_of: Column, days: int = DEAD_LETTER_DAYS, message: str = "job_id") -> DataFrame:
     """Messages given up after the last attempt, kept for seven days."""
     kept = F.col("ts") > as_of - F.expr(f"INTERVAL {days} DAYS")
-    return attempts(failures).filter((F.col("attempt") >= MAX_DELIVERIES) & kept)
+    return attempts(failures, message).filter((F.col("attempt") >= MAX_DELIVERIES) & kept)
 
 
 def queued_messages(messages: DataFrame, as_of: Column, hours: int = JOB_RETENTION_HOURS) -> DataFrame:

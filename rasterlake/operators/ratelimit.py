@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..plans.hotkeys import first_per_key
+from ..plans.hotkeys import first_per_key, lookup
 
 # Requests per window by endpoint for callers without account, free and pro users.
 WINDOW_SECONDS = 60
@@ -16,6 +16,7 @@ LIMITS = {
     "download": (15, 30, 120),
     "mutations": (10, 30, 120),
 }
+STREAM_SALTS = 16
 LARGEST_LIMIT = max(max(limits) for limits in LIMITS.values())
 WARN_AT = 3
 
@@ -30,13 +31,22 @@ def limit_of(endpoint: Column, plan: Column) -> Column:
 
 
 def with_window(requests: DataFrame, users: DataFrame) -> DataFrame:
-    """Add identity, plan, limit and the window number to requests (user_id may be null)."""
+    """Add identity, plan, limit and the window number to requests (user_id may be null).
+
+    Anonymous requests and those of one busy user do not meet in one task: a table uses the hot-key join; a stream, which can't be
+    counted, spreads its rows over salts, with the users repeated for each.
+    """
     plans = users.select("user_id", "plan")
+    if requests.isStreaming:
+        salt = F.pmod(F.xxhash64("event_id"), F.lit(STREAM_SALTS)).cast("int")
+        wide = plans.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(STREAM_SALTS - 1))))
+        known = requests.withColumn("_salt", salt).join(wide, ["user_id", "_salt"], "left").drop("_salt")
+    else:
+        known = lookup(requests, plans, ["user_id"], ["event_id"])
     ip = text.client_ip(F.col("cf_ip"), F.col("forwarded_for"), F.col("peer_ip"))
     seconds = F.unix_seconds(F.col("ts").cast("timestamp"))
     return (
-        requests.join(plans, "user_id", "left")
-        .withColumn("plan", F.when(F.col("user_id").isNotNull(), F.coalesce("plan", F.lit("free"))))
+        known.withColumn("plan", F.when(F.col("user_id").isNotNull(), F.coalesce("plan", F.lit("free"))))
         .withColumn(
             "identity",
             F.when(F.col("user_id").isNotNull(), F.concat(F.lit("user:"), F.col("user_id").cast("string"))).otherwise(

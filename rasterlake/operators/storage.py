@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.hotkeys import attach, lookup, running_sum
-from ..plans.sortedruns import map_sorted
 from ..session import cut_lineage
 
 # Quota and the size estimate of an upload.
@@ -17,8 +13,6 @@ QUOTA_BYTES = 5 * 1024**3
 ESTIMATE_FACTOR = 2
 CRITICAL_PERCENT = 90.0
 
-GROUP_LIMIT = 50_000
-
 
 def used(users: DataFrame, tile_sets: DataFrame) -> DataFrame:
     """Used bytes of every user, zero without tile sets."""
@@ -59,83 +53,63 @@ def estimate(body_bytes: Column) -> Column:
     return (body_bytes * ESTIMATE_FACTOR).cast("long")
 
 
-def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Admission over rows sorted by user and time; only the current user's room is carried along."""
-    current, left = None, 0
-    for pdf in batches:
-        verdicts = []
-        for user, size, room in zip(pdf["user_id"].to_numpy(), pdf["bytes"].to_numpy(), pdf["room"].to_numpy()):
-            if user != current:
-                current, left = user, int(room)
-            fits = size <= left
-            left -= int(size) if fits else 0
-            verdicts.append(bool(fits))
-        yield pdf[["request_id", "user_id", "bytes"]].assign(admitted=verdicts)
-
-
-VERDICT = "request_id bigint, user_id bigint, bytes bigint, admitted boolean"
 DECIDED = ("request_id", "user_id", "bytes")
+ASKED = ("request_id", "user_id", "ts", "bytes")
 
 
-def _with_counts(pending: DataFrame) -> DataFrame:
-    """Add to every row how many rows its user has, without bringing a user's rows together."""
-    counts = pending.groupBy("user_id").agg(F.count("*").alias("_n")).withColumn("rows_of_user", F.col("_n"))
-    return attach(pending, counts, ["user_id"], ["request_id"])
-
+def _round(pending: DataFrame, piece: Column) -> DataFrame:
+    """One step of admission for all users at once: ``admitted`` of the rows it decides, and ``room`` lessened for the others.
 
-def _bulk_round(pending: DataFrame, piece: Column) -> tuple[DataFrame, DataFrame]:
-    """One distributed step for users with very many requests: (decided rows, still pending rows).
-
-    Requests larger than the room left can never be admitted, as the room only shrinks. Of the others the
-    longest run from the front that fits together is admitted; what follows waits for the next round with less room.
+    Requests larger than the room are refused, and users whose other requests fit together are admitted whole. Otherwise a request of at
+    most half the room is small. While more than half is left every small request is admitted, and a large one is admitted where it fits
+    beside the small ones before it. The step ends for a user with the request that uses up half of the room, which is found from running
+    sums; so the room of a user with pending requests halves at least.
     """
-    fits = F.col("bytes") <= F.col("room")
-    refused = pending.filter(~fits).select(*DECIDED, F.lit(False).alias("admitted"))
-    summed = running_sum(pending.filter(fits), ["user_id"], piece, ["ts", "request_id"], F.col("bytes"), "_sum")
-    inside = F.col("_sum") <= F.col("room")
-    admitted = summed.filter(inside).select(*DECIDED, F.lit(True).alias("admitted"))
-    taken = summed.groupBy("user_id").agg(F.max(F.when(inside, F.col("_sum"))).alias("_taken"), F.count_if(~inside).alias("_n"))
-    waiting = (
-        attach(summed.filter(~inside), taken, ["user_id"], ["request_id"])
-        .withColumn("room", F.col("room") - F.coalesce("_taken", F.lit(0).cast("long")))
-        .select(*pending.columns)
+    # A user that is not there reserves nothing.
+    never = F.col("room").isNull() | (F.col("bytes") > F.col("room"))
+    small = F.col("bytes") * 2 <= F.col("room")
+    able = pending.filter(~never)
+    summed = running_sum(able, ["user_id"], piece, ["ts", "request_id"], F.when(small, F.col("bytes")).otherwise(0), "_sum")
+    order = F.struct("ts", "request_id")
+    ends = F.when(small, F.col("_sum") * 2 > F.col("room")).otherwise(F.col("_sum") + F.col("bytes") <= F.col("room"))
+    taken = F.col("_sum") + F.when(small, 0).otherwise(F.col("bytes"))
+    of_user = summed.groupBy("user_id").agg(
+        F.min(F.when(ends, F.struct("ts", "request_id", taken.alias("taken")))).alias("_end"), F.sum("bytes").alias("_total"), F.count("*").alias("_n")
     )
-    return refused.unionByName(admitted), waiting
+    met = attach(summed, of_user, ["user_id"], ["request_id"])
+    end = F.struct("_end.ts", "_end.request_id")
+    whole = F.col("_total") <= F.col("room")
+    waits = ~whole & F.col("_end").isNotNull() & (order > end)
+    admitted = F.when(whole | small, True).otherwise(F.col("_end").isNotNull() & (order == end))
+    judged = met.select(
+        *ASKED, F.when(waits, F.col("room") - F.col("_end.taken")).alias("room"), F.when(~waits, admitted).alias("admitted")
+    )
+    refused = pending.filter(never).select(*ASKED, "room", F.lit(False).alias("admitted"))
+    return cut_lineage(judged.unionByName(refused))
 
 
-def admit(
-    requests: DataFrame, balance: DataFrame, quota: int = QUOTA_BYTES, group_limit: int = GROUP_LIMIT,
-    piece_seconds: int = 60,
-) -> DataFrame:
+def admit(requests: DataFrame, balance: DataFrame, quota: int = QUOTA_BYTES, piece: Column | None = None) -> DataFrame:
     """Reserve storage in (ts, request_id) order: each admitted request leaves less room for the next.
 
-    ``requests`` has request_id, user_id, ts, bytes; ``balance`` used_bytes and, optionally, reserved_bytes. Users
-    with at most ``group_limit`` requests that fit at all are folded in one sorted pass. Larger users go through
-    distributed rounds until few enough requests are left, so no task ever works through an unbounded group.
+    ``requests`` has request_id, user_id, ts, bytes; ``balance`` used_bytes and, optionally, reserved_bytes. The work goes in steps, each
+    of which halves the room of the users it leaves undecided, so there are at most as many as the quota has binary digits, however many
+    requests there are. ``piece`` cuts a user's requests into pieces in time order (by minute of ``ts`` unless given), so that no task
+    sorts a whole user.
     """
     reserved = F.col("reserved_bytes") if "reserved_bytes" in balance.columns else F.lit(0)
     room = balance.select("user_id", (F.lit(quota) - F.col("used_bytes") - reserved).cast("long").alias("room"))
     sized = requests.select("request_id", "user_id", "ts", F.col("bytes").cast("long").alias("bytes"))
-    asked = lookup(sized, room, ["user_id"], ["request_id"])
-    # A user that is not there reserves nothing; a request larger than the whole room never fits.
-    never = F.col("room").isNull() | (F.col("bytes") > F.col("room"))
-    parts = [asked.filter(never).select(*DECIDED, F.lit(False).alias("admitted"))]
-    pending = asked.filter(~never)
-    piece = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (piece_seconds * 1_000_000))
-
-    while True:
-        counted = _with_counts(pending)
-        small = counted.filter(F.col("rows_of_user") <= group_limit).drop("rows_of_user")
-        parts.append(map_sorted(small, ["user_id"], ["ts", "request_id"], _fold, VERDICT))
-        large = counted.filter(F.col("rows_of_user") > group_limit).drop("rows_of_user")
-        if large.isEmpty():
+    pending = lookup(sized, room, ["user_id"], ["request_id"])
+    if piece is None:
+        piece = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 60_000_000)
+    out = None
+    for _ in range(int(quota).bit_length() + 2):
+        judged = _round(pending, piece)
+        decided = judged.filter("admitted IS NOT NULL").select(*DECIDED, "admitted")
+        out = decided if out is None else out.unionByName(decided)
+        pending = judged.filter("admitted IS NULL").drop("admitted")
+        if pending.isEmpty():
             break
-        decided, waiting = _bulk_round(large, piece)
-        parts.append(decided)
-        pending = cut_lineage(waiting)
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
     return out
 
 

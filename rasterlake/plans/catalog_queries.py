@@ -91,6 +91,24 @@ def tile_set_by_slug(t: Tables):
     return catalog.visible_by_slug(slug_requests(t), t("tile_sets"))
 
 
+@REG.query(
+    "tile_sets",
+    sql="""
+req AS (SELECT o_orderkey AS request_id, o_custkey AS caller, concat('s', CAST(o_orderkey % 40 AS VARCHAR)) AS slug FROM orders),
+ts AS (SELECT tileset_id, user_id, is_public AND tileset_id % 5 = 0 AS is_public, concat('s', CAST(tileset_id % 60 AS VARCHAR)) AS slug FROM tile_sets),
+f AS (SELECT request_id, MIN(tileset_id) AS id FROM req JOIN ts ON ts.slug = req.slug AND (is_public OR user_id = caller) GROUP BY 1)
+SELECT req.*, f.id AS tileset_id, CASE WHEN f.id IS NULL THEN 'not_found' ELSE 'ok' END AS outcome FROM req LEFT JOIN f USING (request_id)""",
+)
+def tile_set_by_shared_slug(t: Tables):
+    """Slugs that many users have: one row for each request all the same."""
+    key = F.col("o_orderkey")
+    asked = t("orders").select(key.alias("request_id"), F.col("o_custkey").alias("caller"), F.concat(F.lit("s"), (key % 40).cast("string")).alias("slug"))
+    sets = t("tile_sets").withColumns({
+        "slug": F.concat(F.lit("s"), (F.col("tileset_id") % 60).cast("string")), "is_public": F.col("is_public") & (F.col("tileset_id") % 5 == 0),
+    })
+    return catalog.visible_by_slug(asked, sets)
+
+
 # --- changes -----------------------------------------------------------------------------------------
 
 PATCH_SQL = """
@@ -471,7 +489,7 @@ def plans_from_events(t: Tables):
 
 CHANGE_SQL = """
 ch AS (SELECT o_orderkey AS change_id, CASE o_orderkey % 3 WHEN 0 THEN CAST(o_custkey AS VARCHAR) WHEN 1 THEN concat('Customer#', lpad(CAST(o_custkey AS VARCHAR), 9, '0'))
-        ELSE concat('u', CAST(o_custkey % 100 AS VARCHAR), '@example.test') END AS who, CASE WHEN o_orderkey % 2 = 0 THEN 'pro' ELSE 'free' END AS plan FROM orders WHERE o_orderstatus = 'P'),
+        ELSE concat('u', CAST(o_custkey % 100 AS VARCHAR), '@example.test') END AS who, CASE WHEN o_orderkey % 2 = 0 THEN 'pro' ELSE 'free' END AS plan FROM orders),
 m AS (SELECT u.user_id, c.change_id, c.plan FROM users u JOIN ch c ON c.who = CAST(u.user_id AS VARCHAR) UNION ALL
       SELECT u.user_id, c.change_id, c.plan FROM users u JOIN ch c ON c.who = u.username UNION ALL SELECT u.user_id, c.change_id, c.plan FROM users u JOIN ch c ON c.who = u.email),
 l AS (SELECT user_id, arg_max(plan, change_id) AS plan FROM m GROUP BY 1)
@@ -486,7 +504,7 @@ def set_plan(t: Tables):
         .when(key % 3 == 1, F.concat(F.lit("Customer#"), F.lpad(cust.cast("string"), 9, "0")))
         .otherwise(F.concat(F.lit("u"), (cust % 100).cast("string"), F.lit("@example.test")))
     )
-    changes = t("orders").filter(F.col("o_orderstatus") == "P").select(
+    changes = t("orders").select(
         key.alias("change_id"), who.alias("who"), F.when(key % 2 == 0, "pro").otherwise("free").alias("plan")
     )
     return accounts.set_plan(t("users"), changes).select("user_id", "plan", "changed")
@@ -602,9 +620,9 @@ def reserve_storage(t: Tables):
 
 @REG.query("users", "tile_sets", "upload_requests", sql=ADMIT_SQL)
 def reserve_storage_busy_users(t: Tables):
-    """The same admission with every user over the group limit, so all go through the distributed rounds first."""
+    """The same admission with the requests of a user cut by day."""
     asked = t("upload_requests").withColumn("bytes", storage.estimate(F.col("body_bytes")))
-    return storage.admit(asked, storage.used(t("users"), t("tile_sets")), group_limit=60, piece_seconds=86400)
+    return storage.admit(asked, storage.used(t("users"), t("tile_sets")), piece=F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 86400))
 
 
 @REG.query(
@@ -645,3 +663,75 @@ def archive_access(t: Tables):
     return catalog.archive_access(asked, t("job_updates"), t("tile_sets"))
 
 
+
+
+COLLIDING_SQL = """
+new AS (SELECT o_orderkey AS request_id, o_custkey AS user_id, concat('c', CAST(o_orderkey % 3 AS VARCHAR)) AS slug,
+               concat('tiles/', CAST(20000000 + o_custkey * 4 + o_orderkey % 4 AS VARCHAR)) AS storage_path FROM orders
+        UNION ALL SELECT -1 - o_orderkey, o_custkey + 1, 'mine', concat('tiles/', CAST(20000000 + o_custkey * 4 + o_orderkey % 4 AS VARCHAR)) FROM orders WHERE o_orderkey % 11 = 0),
+p AS (SELECT *, MIN(request_id) OVER (PARTITION BY storage_path) AS head, first_value(user_id) OVER (PARTITION BY storage_path ORDER BY request_id) AS head_user FROM new),
+a AS (SELECT *, CASE WHEN head = request_id THEN 'insert' WHEN head_user = user_id THEN 'update' ELSE 'not_found' END AS action FROM p),
+s AS (SELECT user_id, slug, MIN(request_id) AS slug_head FROM a WHERE action = 'insert' GROUP BY 1, 2),
+z AS (SELECT a.request_id, a.user_id, a.slug, a.storage_path, CASE WHEN action = 'insert' AND slug_head <> request_id THEN 'conflict' ELSE action END AS action FROM a LEFT JOIN s USING (user_id, slug))
+SELECT *, CAST(NULL AS BIGINT) AS tileset_id, CASE WHEN action = 'insert' THEN CAST(7 AS BIGINT) END AS stored_bytes FROM z"""
+
+
+@REG.query("tile_sets", sql=COLLIDING_SQL)
+def finalise_colliding_rows(t: Tables):
+    """Rows of one batch that share paths and slugs."""
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    path = text.tile_prefix(20_000_000 + cust * 4 + key % 4)
+    rows = t("orders").select(key.alias("request_id"), cust.alias("user_id"), F.concat(F.lit("c"), (key % 3).cast("string")).alias("slug"), path.alias("storage_path"))
+    others = t("orders").filter(key % 11 == 0).select((-1 - key).alias("request_id"), (cust + 1).alias("user_id"), F.lit("mine").alias("slug"), path.alias("storage_path"))
+    new = rows.unionByName(others)
+    stored = new.select("storage_path").distinct().withColumn("size_bytes", F.lit(7).cast("long"))
+    return catalog.finalise(t("tile_sets"), new, new.select("storage_path", "user_id").distinct(), stored)
+
+
+@REG.query(
+    "api_keys", "users",
+    sql="""
+k AS (SELECT k.*, u.plan FROM api_keys k JOIN users u ON u.user_id = k.user_id WHERE NOT revoked AND u.deactivated_at IS NULL),
+req AS (SELECT event_id AS request_id, concat('tf_', lpad(CAST(event_id % 60 AS VARCHAR), 32, '0')) AS raw_key FROM events WHERE event_id % 7 <> 0
+        UNION ALL SELECT event_id, 'nonsense' FROM events WHERE event_id % 7 = 0)
+SELECT request_id, key_id, k.user_id, plan, CASE WHEN key_id IS NULL THEN 'unauthorized' WHEN list_contains(string_split(scopes_csv, ','), 'process') THEN 'ok' ELSE 'forbidden' END AS outcome
+FROM req LEFT JOIN k ON k.raw_key = req.raw_key AND strlen(k.raw_key) = 35""",
+)
+def key_access(t: Tables):
+    """Keys looked up by digest, most requests with a few popular ones."""
+    stored = t("api_keys").withColumns({"key_hash": validate.key_hash(F.col("raw_key")), "scopes": F.split("scopes_csv", ",")})
+    raw = F.concat(F.lit("tf_"), F.lpad((F.col("event_id") % 60).cast("string"), 32, "0"))
+    asked = t("events").select(F.col("event_id").alias("request_id"), F.when(F.col("event_id") % 7 == 0, "nonsense").otherwise(raw).alias("raw_key"))
+    return catalog.key_access(asked, stored.drop("raw_key"), t("users"), "process")
+
+
+@REG.query(
+    "projects",
+    sql=f"""
+w AS (SELECT o_orderkey AS request_id, o_custkey * 10 + o_orderkey % 4 AS project_id, CASE WHEN o_orderkey % 9 = 0 THEN o_custkey + 1 ELSE o_custkey END AS user_id,
+             CASE o_orderkey % 5 WHEN 0 THEN 'Project 1' WHEN 1 THEN 'Fresh' WHEN 2 THEN '' ELSE concat('Name ', CAST(o_orderkey % 2 AS VARCHAR)) END AS name FROM orders),
+m AS (SELECT w.*, p.project_id IS NOT NULL AS mine, n.project_id AS named FROM w LEFT JOIN projects p ON p.project_id = w.project_id AND p.user_id = w.user_id
+      LEFT JOIN projects n ON n.user_id = w.user_id AND n.name = w.name),
+b AS (SELECT *, name <> '' AND mine AND (named IS NULL OR named = project_id) AS able FROM m),
+f AS (SELECT user_id, name, arg_min(project_id, request_id) AS head FROM b WHERE able GROUP BY 1, 2),
+o AS (SELECT b.*, CASE WHEN b.name = '' THEN 'invalid' WHEN NOT mine THEN 'not_found' WHEN NOT able OR head <> project_id THEN 'conflict' ELSE 'updated' END AS outcome FROM b LEFT JOIN f USING (user_id, name))
+SELECT request_id, project_id, user_id, name, CASE WHEN request_id % 2 = 0 THEN 'about' END AS description, outcome, CASE WHEN outcome = 'updated' THEN {AS_OF_SQL} END AS updated_at FROM o""",
+)
+def update_projects(t: Tables):
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    name = (
+        F.when(key % 5 == 0, " Project 1 ").when(key % 5 == 1, "Fresh").when(key % 5 == 2, "  ").otherwise(F.concat(F.lit("Name "), (key % 2).cast("string")))
+    )
+    wanted = t("orders").select(
+        key.alias("request_id"), (cust * 10 + key % 4).alias("project_id"), F.when(key % 9 == 0, cust + 1).otherwise(cust).alias("user_id"),
+        name.alias("name"), F.when(key % 2 == 0, " about ").otherwise("  ").alias("description"),
+    )
+    return catalog.update_projects(t("projects"), wanted, as_of())
+
+
+@REG.query(sql=f"SELECT user_id, event_type AS type, concat('Event ', CAST(event_id AS VARCHAR)) AS title, NULL AS message, FALSE AS is_read, {AS_OF_SQL} AS created_at FROM events WHERE event_id % 4 <> 0")
+def new_notifications(t: Tables):
+    """Every fourth title is too long and turned away."""
+    title = F.concat(F.lit("Event "), F.col("event_id").cast("string"), F.when(F.col("event_id") % 4 == 0, F.repeat(F.lit("x"), 300)).otherwise(""))
+    wanted = t("events").select("user_id", F.col("event_type").alias("type"), title.alias("title"), F.lit(None).cast("string").alias("message"))
+    return catalog.new_notifications(wanted, as_of())[0]

@@ -26,11 +26,11 @@ def attach(
     ``per_key`` carries in ``weight`` how many of the rows each key has (never more). The hot keys, at most
     HOT_SHARE of them whatever the data size, are broadcast. All other keys meet their rows in a shuffle join, in which the rows
     already served (and rows with a null key) are spread by a salt over ``spread`` instead of piling up. Both
-    sides use the same aggregate, so its shuffle runs once; the row count needs no columns.
+    sides and the total use the same aggregate, so its shuffle runs once and the rows are not counted by themselves.
     """
     keys = list(keys)
     values = [c for c in per_key.columns if c not in keys and c != weight]
-    total = rows.select(F.count(F.lit(1))).scalar()
+    total = per_key.select(F.sum(weight)).scalar()
     is_hot = (F.col(weight) > hot_floor) & (F.col(weight) > total / HOT_SHARE)
 
     hot = per_key.filter(is_hot).select(*keys, F.lit(True).alias("_hot"), *[F.col(v).alias(f"_hot_{v}") for v in values])

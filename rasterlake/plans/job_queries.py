@@ -66,28 +66,52 @@ def commands(t: Tables):
     )
 
 
+# One command of a user after the other: a job's status is the stored one until a retry queues it or a cancel ends it.
 COMMAND_SQL = FOLD_SQL + f""",
 cm AS (SELECT event_id AS command_id, user_id * 6 + event_id % 6 AS job_id, CASE WHEN event_id % 8 = 0 THEN user_id + 1 ELSE user_id END AS user_id,
               CASE WHEN event_type IN ('click', 'view') THEN 'cancel' ELSE 'retry' END AS command FROM events),
-v AS (SELECT c.command_id, c.job_id, s.status, s.user_id AS owner, CASE
-        WHEN s.user_id IS NULL OR s.user_id <> c.user_id THEN 'not_found'
-        WHEN c.command_id <> MIN(c.command_id) OVER (PARTITION BY c.job_id) THEN 'conflict'
-        WHEN c.command = 'cancel' AND s.status IN ('queued', 'processing') THEN 'cancelled'
-        WHEN c.command = 'cancel' OR s.status <> 'failed' THEN 'conflict'
-        WHEN c.job_id % 5 = 0 THEN 'source_gone' WHEN c.job_id * 1000 > c.user_id * 5900 THEN 'quota_exceeded' ELSE 'queued' END AS verdict, c.user_id
-      FROM cm c LEFT JOIN st s ON s.job_id = c.job_id)
-SELECT command_id, job_id, verdict, CASE WHEN verdict IN ('cancelled', 'queued') THEN verdict WHEN owner = user_id THEN status END AS status,
-       CASE WHEN verdict IN ('cancelled', 'queued') THEN {NOW_SQL} END AS updated_at, CASE WHEN verdict = 'cancelled' THEN {NOW_SQL} END AS cancelled_at,
+own AS (SELECT c.*, s.status, c.job_id * 1000 AS bytes, row_number() OVER (PARTITION BY c.user_id ORDER BY command_id) AS n FROM cm c JOIN st s ON s.job_id = c.job_id AND s.user_id = c.user_id),
+walk AS (
+  SELECT user_id, CAST(0 AS BIGINT) AS n, user_id * 9000 AS room, CAST([] AS BIGINT[]) AS queued, CAST([] AS BIGINT[]) AS gone, CAST(NULL AS BIGINT) AS command_id, '' AS verdict, '' AS status
+  FROM (SELECT DISTINCT user_id FROM own)
+  UNION ALL
+  SELECT user_id, n, CASE WHEN v = 'queued' THEN room - bytes ELSE room END, CASE WHEN v = 'queued' THEN list_append(queued, job_id) ELSE queued END,
+         CASE WHEN v = 'cancelled' THEN list_append(gone, job_id) ELSE gone END, command_id, v, CASE WHEN v IN ('queued', 'cancelled') THEN v ELSE cur END
+  FROM (SELECT *, CASE WHEN command = 'cancel' THEN CASE WHEN cur IN ('queued', 'processing') THEN 'cancelled' ELSE 'conflict' END
+                       WHEN cur <> 'failed' THEN 'conflict' WHEN job_id % 5 = 0 THEN 'source_gone' WHEN bytes > room THEN 'quota_exceeded' ELSE 'queued' END AS v
+        FROM (SELECT o.*, w.room, w.queued, w.gone,
+                     CASE WHEN list_contains(w.gone, o.job_id) THEN 'cancelled' WHEN list_contains(w.queued, o.job_id) THEN 'queued' ELSE o.status END AS cur
+              FROM walk w JOIN own o ON o.user_id = w.user_id AND o.n = w.n + 1) q) q2),
+v AS (SELECT cm.command_id, cm.job_id, COALESCE(w.verdict, 'not_found') AS verdict, w.status FROM cm LEFT JOIN walk w ON w.command_id = cm.command_id)
+SELECT command_id, job_id, verdict, status, CASE WHEN verdict IN ('cancelled', 'queued') THEN {NOW_SQL} END AS updated_at, CASE WHEN verdict = 'cancelled' THEN {NOW_SQL} END AS cancelled_at,
        CASE verdict WHEN 'cancelled' THEN TRUE WHEN 'queued' THEN FALSE END AS reservation_released FROM v"""
 
 
 @REG.query("job_updates", sql=COMMAND_SQL)
 def cancel_and_retry(t: Tables):
+    """Commands of owners and strangers; a user's room holds one retried job, but not two."""
     state = reserved_jobs(t)
     uploads = state.filter(F.col("job_id") % 5 != 0)
-    room = t("events").select("user_id").distinct().withColumn("room", F.col("user_id") * 5900)
-    more = room.select((F.col("user_id") + 1).alias("user_id")).withColumn("room", F.col("user_id") * 5900)
-    return jobs.apply_commands(state, commands(t), uploads, room.unionByName(more).distinct(), now())
+    users = t("events").select("user_id").unionByName(t("events").select((F.col("user_id") + 1).alias("user_id"))).distinct()
+    return jobs.apply_commands(state, commands(t), uploads, users.withColumn("room", F.col("user_id") * 9000), now())
+
+
+RETRIED_SQL = """
+rt AS (SELECT job_id, ts, event_id FROM job_updates WHERE status = 'failed' AND event_id % 2 = 0),
+ru AS (SELECT u.*, (SELECT COUNT(*) FROM rt WHERE rt.job_id = u.job_id AND (rt.ts < u.ts OR rt.ts = u.ts AND rt.event_id * 2 + 1 < u.event_id * 2)) AS run FROM job_updates u),
+cl AS (SELECT job_id, run, MIN(event_id) AS close_id FROM ru WHERE status NOT IN ('queued', 'processing') GROUP BY 1, 2),
+ap AS (SELECT ru.*, cl.close_id IS NULL OR event_id <= cl.close_id AS applied FROM ru LEFT JOIN cl ON cl.job_id = ru.job_id AND cl.run = ru.run),
+st AS (SELECT job_id, MAX(run) AS run, arg_max(status, event_id) FILTER (applied) AS status, COUNT(*) FILTER (applied) AS applied, COUNT(*) FILTER (NOT applied) AS ignored FROM ap GROUP BY 1),
+n AS (SELECT job_id, COUNT(*) AS n FROM rt GROUP BY 1)
+SELECT st.job_id, CASE WHEN COALESCE(n, 0) > run THEN 'queued' ELSE status END AS status, applied, ignored FROM st LEFT JOIN n ON n.job_id = st.job_id"""
+
+
+@REG.query("job_updates", sql=RETRIED_SQL)
+def retried_job_states(t: Tables):
+    """States with jobs reopened by retries, each just after a failure; ids are doubled so that a retry has one between two updates."""
+    updates = t("job_updates").withColumn("event_id", F.col("event_id") * 2)
+    retries = updates.filter((F.col("status") == "failed") & (F.col("event_id") % 4 == 0)).select("job_id", "ts", (F.col("event_id") + 1).alias("event_id"))
+    return jobs.fold(updates, retries).select("job_id", "status", "applied", "ignored")
 
 
 @REG.query(
@@ -123,6 +147,23 @@ def delivery_attempts(t: Tables):
     return jobs.attempts(failures(t)).select("job_id", "event_id", "attempt", "next_status", "delay_seconds", "release_reservation")
 
 
+@REG.query(
+    "job_updates",
+    sql="""
+fl AS (SELECT job_id, event_id, concat(CAST(job_id AS VARCHAR), '#', CAST(event_id % 2 AS VARCHAR)) AS message, row_number() OVER (PARTITION BY job_id, event_id % 2 ORDER BY ts, event_id) AS attempt
+       FROM job_updates WHERE error IS NOT NULL)
+SELECT 'main' AS queue, message, event_id, CAST(attempt AS INT) AS attempt, CASE WHEN attempt >= 5 THEN 'failed' ELSE 'queued' END AS next_status FROM fl WHERE attempt <= 5
+UNION ALL SELECT 'fallback', message, event_id, CAST(attempt AS INT), 'failed' FROM fl WHERE attempt = 1""",
+)
+def attempts_by_message(t: Tables):
+    """Attempts counted per message, which a retry renews; on the fallback queue the first failure is final."""
+    message = F.concat_ws("#", F.col("job_id").cast("string"), (F.col("event_id") % 2).cast("string"))
+    failed = failures(t).withColumn("message", message)
+    both = [("main", jobs.attempts(failed, "message")), ("fallback", jobs.attempts(failed, "message", first_is_final=True))]
+    shown = [df.select(F.lit(queue).alias("queue"), "message", "event_id", "attempt", "next_status") for queue, df in both]
+    return shown[0].unionByName(shown[1])
+
+
 @REG.query("job_updates", sql=FAIL_SQL + f"SELECT job_id, event_id, error FROM fl WHERE attempt = 5 AND ts > {NOW_SQL} - INTERVAL 7 DAYS")
 def dead_letters(t: Tables):
     return jobs.dead_letters(failures(t), now()).select("job_id", "event_id", "error")
@@ -260,8 +301,7 @@ def job_page_per_user(t: Tables):
     sql=FOLD_SQL + "SELECT job_id, created_at FROM st WHERE user_id = 42 AND status = 'failed' ORDER BY created_at DESC, job_id LIMIT 20",
 )
 def list_failed_jobs(t: Tables):
-    mine = jobs.fold(t("job_updates")).filter((F.col("user_id") == 42) & (F.col("status") == "failed"))
-    return catalog.newest_first(mine, "job_id", *catalog.page_window(1, None, catalog.JOB_PAGE)).select("job_id", "created_at")
+    return jobs.list_jobs(jobs.fold(t("job_updates")), 42, "failed").select("job_id", "created_at")
 
 
 @REG.query(

@@ -85,10 +85,13 @@ def stream_idempotent_intake(t: Tables):
 tk AS (SELECT job_id, epoch_us(ts) // 1000 AS at_millis, MIN(event_id) AS event_id FROM progress_ticks GROUP BY 1, 2),
 nx AS (SELECT a.job_id, a.at_millis, (SELECT MIN(b.at_millis) FROM tk b WHERE b.job_id = a.job_id AND b.at_millis >= a.at_millis + 21600000) AS following FROM tk a),
 walk AS (SELECT job_id, MIN(at_millis) AS at_millis FROM tk GROUP BY 1
-         UNION ALL SELECT n.job_id, n.following FROM walk w JOIN nx n ON n.job_id = w.job_id AND n.at_millis = w.at_millis WHERE n.following IS NOT NULL)
-SELECT tk.* FROM tk JOIN walk USING (job_id, at_millis)""",
+         UNION ALL SELECT n.job_id, n.following FROM walk w JOIN nx n ON n.job_id = w.job_id AND n.at_millis = w.at_millis WHERE n.following IS NOT NULL),
+ends AS (SELECT job_id, epoch_us(ts) // 1000 AS at_millis, event_id FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY epoch_us(ts) // 1000 DESC, event_id DESC) AS rn FROM progress_ticks) q
+         WHERE rn = 1 AND epoch_us(ts) // 1000 + 60000 <= (SELECT epoch_us(MAX(ts)) // 1000 - 600000 FROM progress_ticks))
+SELECT tk.* FROM tk JOIN walk USING (job_id, at_millis) UNION SELECT * FROM ends""",
 )
 def stream_throttled_progress(t: Tables):
+    """The last record of a job counts too, once the clock of the stream has passed its idle time."""
     return run_to_table(jobs.throttle(live(t, "progress_ticks"), 6 * 3600 * 1000), "throttle").drop("batch_id")
 
 

@@ -14,73 +14,108 @@ from ..operators import jobs
 from ..sources.messages import split_jobs
 
 LATENESS = "10 minutes"
+IDLE_MILLIS = 60_000
 STATE = "status string, progress int, tiles_done bigint, updated_ms bigint, applied bigint, ignored bigint"
 OUTPUT = "job_id bigint, " + STATE
 
 
-def _in_order(pdf: pd.DataFrame, *columns: str) -> Iterator[tuple]:
-    """Values of some columns in (ts, event_id) order, without building sorted frames for every small group."""
+def _whole(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    """All rows of a key in this micro-batch in (ts, event_id) order, with ``ms``. Spark hands them out in pieces in any order."""
+    pdf = pd.concat(list(batches), ignore_index=True)
     order = np.lexsort((pdf["event_id"].to_numpy(), pdf["ts"].to_numpy()))
-    return zip(*(pdf[c].to_numpy()[order].tolist() for c in columns))
+    pdf = pdf.iloc[order].reset_index(drop=True)
+    return pdf.assign(ms=pdf["ts"].to_numpy().astype("datetime64[ms]").astype("int64"))
 
 
-def _millis(pdf: pd.DataFrame) -> pd.DataFrame:
-    return pdf.assign(ms=pdf["ts"].to_numpy().astype("datetime64[ms]").astype("int64"))
+def _forget_at(state: GroupState, millis: int) -> None:
+    """Time out when the watermark passes the given event time; it must lie ahead of the watermark."""
+    state.setTimeoutTimestamp(max(millis, state.getCurrentWatermarkMs() + 1))
 
 
 def _advance(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Apply updates while the job is open; afterwards only count them."""
+    """Apply updates while the job is open; afterwards only count them. A job without updates for the retention time is forgotten."""
+    if state.hasTimedOut:
+        state.remove()
+        return
     status, progress, done, updated, applied, ignored = state.get if state.exists else (None, None, None, None, 0, 0)
-    for pdf in batches:
-        for new, share, tiles, ms in _in_order(_millis(pdf), "status", "progress", "tiles_done", "ms"):
-            if status is not None and status not in jobs.OPEN:
-                ignored += 1
-                continue
-            status, progress, updated = new, min(100, max(0, int(share))), ms
-            done = done if tiles is None or tiles != tiles else int(tiles)
-            applied += 1
+    pdf = _whole(batches)
+    if status is not None and status not in jobs.OPEN:
+        ignored += len(pdf)
+    else:
+        ends = np.flatnonzero(~pdf["status"].isin(jobs.OPEN).to_numpy())
+        counted = pdf.iloc[: ends[0] + 1] if len(ends) else pdf
+        last, known = counted.iloc[-1], counted["tiles_done"].dropna()
+        status, progress, updated = last["status"], min(100, max(0, int(last["progress"]))), int(last["ms"])
+        done = int(known.iloc[-1]) if len(known) else done
+        applied += len(counted)
+        ignored += len(pdf) - len(counted)
     state.update((status, progress, done, updated, applied, ignored))
+    _forget_at(state, updated + jobs.JOB_RETENTION_HOURS * 3_600_000)
     yield pd.DataFrame(
         {"job_id": [key[0]], "status": [status], "progress": [progress], "tiles_done": pd.array([done], "Int64"),
          "updated_ms": [updated], "applied": [applied], "ignored": [ignored]}
     )
 
 
-def states(updates: DataFrame) -> DataFrame:
+def states(updates: DataFrame, lateness: str = LATENESS) -> DataFrame:
     """State of each job after every micro-batch in which it had updates (update mode)."""
-    return updates.groupBy("job_id").applyInPandasWithState(
-        _advance, OUTPUT, STATE, "update", GroupStateTimeout.NoTimeout
+    return updates.withWatermark("ts", lateness).groupBy("job_id").applyInPandasWithState(
+        _advance, OUTPUT, STATE, "update", GroupStateTimeout.EventTimeTimeout
     )
 
 
 def _watch(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Remember the last update of a processing job; when the watermark is past its deadline the job has failed."""
+    """Remember the newest update; when the watermark is past its deadline a processing job has failed, and any job is forgotten.
+
+    Rows older than the watermark never arrive, so a job that ended can't seem to be processing again.
+    """
     if state.hasTimedOut:
-        _, seen = state.get
+        status, seen, _ = state.get
         state.remove()
-        yield pd.DataFrame({"job_id": [key[0]], "status": ["failed"], "error": [jobs.STALE_ERROR], "seen_ms": [seen]})
+        if status == "processing":
+            yield pd.DataFrame({"job_id": [key[0]], "status": ["failed"], "error": [jobs.STALE_ERROR], "seen_ms": [seen]})
         return
-    status, seen = state.get if state.exists else (None, -1)
-    for pdf in batches:
-        for status, ms in _in_order(_millis(pdf), "status", "ms"):  # noqa: B007
-            seen = max(seen, ms)
-    state.update((status, seen))
-    if status == "processing":
-        state.setTimeoutTimestamp(max(seen + jobs.STALE_SECONDS * 1000, state.getCurrentWatermarkMs() + 1))
+    newest = _whole(batches).iloc[-1]
+    status, seen, event = state.get if state.exists else (None, -1, -1)
+    if (int(newest["ms"]), int(newest["event_id"])) > (seen, event):
+        status, seen, event = newest["status"], int(newest["ms"]), int(newest["event_id"])
+    state.update((status, seen, event))
+    _forget_at(state, seen + jobs.STALE_SECONDS * 1000)
 
 
 def stale(updates: DataFrame, lateness: str = LATENESS) -> DataFrame:
     """Jobs that went quiet while processing, reported once the event-time clock has passed their deadline."""
     return updates.withWatermark("ts", lateness).groupBy("job_id").applyInPandasWithState(
-        _watch, "job_id bigint, status string, error string, seen_ms bigint", "status string, seen_ms bigint", "append",
+        _watch, "job_id bigint, status string, error string, seen_ms bigint", "status string, seen_ms bigint, event_id bigint", "append",
         GroupStateTimeout.EventTimeTimeout,
     )
 
 
-def latest_progress(updates: DataFrame) -> DataFrame:
-    """Latest record per job (update mode)."""
-    newest = F.max_by(F.struct("status", "tiles_done", "ts"), F.struct(*jobs.ORDER)).alias("_r")
-    return updates.groupBy("job_id").agg(newest).select("job_id", "_r.*")
+def _newest(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The newest record of a job, forgotten when no other comes within the time progress is kept."""
+    if state.hasTimedOut:
+        state.remove()
+        return
+    last = _whole(batches).iloc[-1]
+    micros = int(last["ts"].value // 1000)
+    seen = state.get if state.exists else None
+    if seen is None or (micros, int(last["event_id"])) > (seen[2], seen[3]):
+        done = None if pd.isna(last["tiles_done"]) else int(last["tiles_done"])
+        seen = (last["status"], done, micros, int(last["event_id"]))
+    state.update(seen)
+    _forget_at(state, seen[2] // 1000 + jobs.PROGRESS_TTL_SECONDS * 1000)
+    yield pd.DataFrame({
+        "job_id": [key[0]], "status": [seen[0]], "tiles_done": pd.array([seen[1]], "Int64"), "ts_micros": [seen[2]],
+    })
+
+
+def latest_progress(updates: DataFrame, lateness: str = LATENESS) -> DataFrame:
+    """Latest record per job (update mode). As in the table form a record expires after an hour."""
+    newest = updates.withWatermark("ts", lateness).groupBy("job_id").applyInPandasWithState(
+        _newest, "job_id bigint, status string, tiles_done bigint, ts_micros bigint",
+        "status string, tiles_done bigint, ts_micros bigint, event_id bigint", "update", GroupStateTimeout.EventTimeTimeout,
+    )
+    return newest.select("job_id", "status", "tiles_done", F.timestamp_micros("ts_micros").alias("ts"))
 
 
 def first_intake(intake: DataFrame, lateness: str = LATENESS) -> DataFrame:
@@ -98,26 +133,41 @@ def first_intake(intake: DataFrame, lateness: str = LATENESS) -> DataFrame:
 
 
 def _thin(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Pass on a record when enough time has gone by since the last one passed on."""
-    last = state.get[0] if state.exists else None
-    for pdf in batches:
-        pdf = pdf.sort_values(["at_millis", "event_id"])
-        kept = []
-        for i, (at, step) in enumerate(zip(pdf["at_millis"].to_numpy(), pdf["step"].to_numpy())):
-            if last is None or at - last >= step:
-                last = int(at)
-                kept.append(i)
-        yield pdf.iloc[kept][["event_id", "at_millis"]].assign(job_id=key[0])[["job_id", "event_id", "at_millis"]]
-    state.update((last,))
-
-
-def throttle(ticks: DataFrame, millis: int = jobs.TICK_MILLIS) -> DataFrame:
-    """Progress records with at least ``millis`` between them, per job."""
-    timed = ticks.select(
-        "job_id", "event_id", F.unix_millis("ts").alias("at_millis"), F.lit(millis).cast("long").alias("step")
+    """Pass on a record when enough time has gone by since the last one passed on, and the last of all when no other comes."""
+    last, held_at, held_id = state.get if state.exists else (None, None, None)
+    if state.hasTimedOut:
+        state.remove()
+        if held_at is not None:
+            yield pd.DataFrame({"job_id": [key[0]], "event_id": [held_id], "at_millis": [held_at]})
+        return
+    pdf = pd.concat(list(batches), ignore_index=True).sort_values(["at_millis", "event_id"], ignore_index=True)
+    at, step = pdf["at_millis"].to_numpy(), int(pdf["step"].iat[0])
+    kept, place = [], 0
+    while place < len(at):  # one step for each record that is passed on
+        place = place if last is None else max(place, int(np.searchsorted(at, last + step)))
+        if place == len(at):
+            break
+        last = int(at[place])
+        kept.append(place)
+        place += 1
+    if not kept or kept[-1] != len(at) - 1:
+        if held_at is None or at[-1] >= held_at:
+            held_at, held_id = int(at[-1]), int(pdf["event_id"].iat[-1])
+    elif held_at is None or last >= held_at:
+        held_at = held_id = None
+    state.update((last, held_at, held_id))
+    _forget_at(state, int(at[-1]) + IDLE_MILLIS)
+    yield pdf.iloc[kept][["event_id", "at_millis"]].assign(job_id=key[0])[["job_id", "event_id", "at_millis"]]
+
+
+def throttle(ticks: DataFrame, millis: int = jobs.TICK_MILLIS, lateness: str = LATENESS) -> DataFrame:
+    """Progress records with at least ``millis`` between them, per job, and the last one once the job has been idle for a while."""
+    timed = ticks.withWatermark("ts", lateness).select(
+        "job_id", "event_id", "ts", F.unix_millis("ts").alias("at_millis"), F.lit(millis).cast("long").alias("step")
     )
     return timed.groupBy("job_id").applyInPandasWithState(
-        _thin, "job_id bigint, event_id bigint, at_millis bigint", "last bigint", "append", GroupStateTimeout.NoTimeout
+        _thin, "job_id bigint, event_id bigint, at_millis bigint", "last bigint, held_at bigint, held_id bigint", "append",
+        GroupStateTimeout.EventTimeTimeout,
     )
 
 

@@ -81,13 +81,13 @@ def test_thin_equals_fold(spark, pieces):
     assert {(r.k, r.v) for r in got.collect()} == want
 
 
-@pytest.mark.parametrize("limit", [5, 10**6])
-def test_admission_equals_fold(spark, limit):
+@pytest.mark.parametrize("piece", [5, 10**6])
+def test_admission_equals_fold(spark, piece):
     rng = random.Random(11)
     asked = [(i, 1 if rng.random() < 0.5 else rng.randrange(2, 12), i // 7, rng.randrange(1, 400)) for i in range(600)]
     requests = spark.createDataFrame(asked, "request_id long, user_id long, sec long, bytes long").withColumn("ts", F.timestamp_seconds("sec")).drop("sec")
     balance = spark.createDataFrame([(u, u * 10) for u in range(1, 11)], "user_id long, used_bytes long")
-    got = {r.request_id: r.admitted for r in storage.admit(requests, balance, 4000, limit, 10).collect()}
+    got = {r.request_id: r.admitted for r in storage.admit(requests, balance, 4000, F.floor(F.unix_seconds("ts") / piece)).collect()}
     room = {u: 4000 - u * 10 for u in range(1, 11)}
     for i, u, _, size in asked:
         fits = u in room and size <= room[u]
@@ -97,6 +97,38 @@ def test_admission_equals_fold(spark, limit):
     assert len(got) == len(asked)
 
 
+def test_admission_steps_are_bounded(spark, monkeypatch):
+    """Requests of 1, 100, 1, 99, 1, 98, ...: the room halves in every step, however many requests there are."""
+    sizes = [s for k in range(100) for s in (1, 100 - k)]
+    requests = spark.createDataFrame([(i, 1, s) for i, s in enumerate(sizes)], "request_id long, user_id long, bytes long").withColumn("ts", F.timestamp_seconds("request_id"))
+    steps, one = [], storage._round
+    monkeypatch.setattr(storage, "_round", lambda *a: steps.append(1) or one(*a))
+    got = {r.request_id: r.admitted for r in storage.admit(requests, spark.createDataFrame([(1, 0)], "user_id long, used_bytes long"), 100).collect()}
+    room, want = 100, {}
+    for i, size in enumerate(sizes):
+        want[i] = size <= room
+        room -= size if want[i] else 0
+    assert got == want and len(steps) <= 9
+
+
+def test_null_and_busy_keys_are_spread(spark):
+    """Nine tenths of the ids null and one busy user: no partition of the joined rows has more than a few times its share."""
+    rows = spark.range(20_000).select(
+        F.col("id").alias("event_id"), F.when(F.col("id") % 10 == 0, F.when(F.col("id") % 20 == 0, F.lit(7)).otherwise(F.col("id"))).alias("user_id")
+    )
+    table = spark.range(20_000).select(F.col("id").alias("user_id"), F.lit("x").alias("plan"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        met = lookup(rows, table, ["user_id"], ["event_id"], hot_floor=500)
+        sizes = [r.n for r in met.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(sizes) == 20_000 and max(sizes) <= 2 * 20_000 / len(sizes) and len(sizes) == 4
+    assert met.filter("plan IS NOT NULL").count() == 2_000
+
+
 def test_group_limits_run_before_the_shuffle(spark, tables):
     def plan(df):
         return df._jdf.queryExecution().executedPlan().toString()

@@ -30,7 +30,7 @@ def rows(df, *columns):
 
 
 def test_job_states_over_batches(spark, tables, updates_folder):
-    got = newest(run_to_table(jobs.states(stream(spark, updates_folder)), "states", "update"), ["job_id"])
+    got = newest(run_to_table(jobs.states(stream(spark, updates_folder), "400 days"), "states", "update"), ["job_id"])
     want = batch_jobs.fold(tables("job_updates"))
     columns = ("job_id", "status", "progress", "tiles_done", "applied", "ignored")
     assert rows(got, *columns) == rows(want, *columns)
@@ -38,7 +38,7 @@ def test_job_states_over_batches(spark, tables, updates_folder):
 
 def test_throttle_over_batches(spark, tables, updates_folder):
     ticks = stream(spark, updates_folder).select("job_id", "event_id", "ts")
-    got = run_to_table(jobs.throttle(ticks, 86_400_000), "throttle")
+    got = run_to_table(jobs.throttle(ticks, 86_400_000, "400 days"), "throttle")
     ends = tables("job_updates").groupBy("job_id").agg(F.max(F.struct("ts", "event_id")).alias("e")).select("job_id", F.col("e.event_id").alias("event_id"))
     want = batch_jobs.throttle(tables("job_updates"), 86_400_000)
     both = {tuple(r) for r in want.select("job_id", "event_id").collect()}
@@ -96,3 +96,81 @@ def test_quiet_jobs_are_reported(spark, tmp_path):
     got = run_to_table(jobs.stale(stream(spark, folder), "1 minute"), "quiet")
     reported = {(r.job_id, r.seen_ms) for r in got.collect()}
     assert (1, 1_000_000) in reported and not any(j in (2, 4) for j, _ in reported)
+
+
+def test_many_shuffled_updates_of_one_job_in_one_batch(spark, tmp_path):
+    """More rows of a key than one Arrow batch holds, newest first: the same as the fold of the table."""
+    folder = str(tmp_path / "busy")
+    n = 25_000
+    rows = spark.range(n).select(
+        F.lit(1).cast("long").alias("job_id"), F.col("id").alias("event_id"), F.lit(3).cast("long").alias("user_id"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id")).alias("ts"),
+        F.when(F.col("id") == 20_000, "failed").otherwise("processing").alias("status"), (F.col("id") % 100).cast("int").alias("progress"),
+        F.when(F.col("id") % 3 == 0, F.col("id")).alias("tiles_done"), F.lit(None).cast("long").alias("tiles_total"), F.lit(None).cast("string").alias("error"),
+        F.lit(None).cast("int").alias("retry_count"),
+    )
+    rows.orderBy(F.desc("event_id")).coalesce(1).write.parquet(folder)
+    table = spark.read.parquet(folder)
+    got = newest(run_to_table(jobs.states(stream(spark, folder)), "busy", "update"), ["job_id"])
+    columns = ("job_id", "status", "progress", "tiles_done", "applied", "ignored")
+    assert rows.count() == n and rows_of(got, columns) == rows_of(batch_jobs.fold(table), columns) == [(1, "failed", 0, 19_998, 20_001, 4_999)]
+    ticks = table.select("job_id", "event_id", "ts")
+    streamed = {r.event_id for r in run_to_table(jobs.throttle(stream(spark, folder).select("job_id", "event_id", "ts"), 60_000), "busy-ticks").collect()}
+    assert streamed == {r.event_id for r in batch_jobs.throttle(ticks, 60_000).collect()} - {n - 1}
+    latest = newest(run_to_table(jobs.latest_progress(stream(spark, folder)), "busy-latest", "update"), ["job_id"]).first()
+    assert (latest.status, latest.tiles_done) == ("processing", n - 1)
+
+
+def rows_of(df, columns):
+    return rows(df, *columns)
+
+
+class State:
+    """A state as the functions of the streams see it."""
+
+    def __init__(self, value=None, timed_out=False):
+        self.value, self.hasTimedOut, self.timeout = value, timed_out, None
+
+    exists = property(lambda self: self.value is not None)
+    get = property(lambda self: self.value)
+
+    def update(self, value):
+        self.value = value
+
+    def remove(self):
+        self.value = None
+
+    def setTimeoutTimestamp(self, millis):
+        self.timeout = millis
+
+    def getCurrentWatermarkMs(self):
+        return 0
+
+
+def frame(**columns):
+    import pandas as pd
+
+    return pd.DataFrame({k: pd.to_datetime(v, unit="s") if k == "ts" else v for k, v in columns.items()})
+
+
+def test_last_record_is_sent_when_a_job_falls_idle():
+    state = State()
+    ticks = frame(event_id=[1, 2, 3], at_millis=[0, 100, 300], step=[250, 250, 250])
+    assert [list(f["event_id"]) for f in jobs._thin((7,), iter([ticks.iloc[1:], ticks.iloc[:1]]), state)] == [[1, 3]]
+    assert list(jobs._thin((7,), iter([frame(event_id=[4], at_millis=[310], step=[250])]), state))[0].empty
+    state.hasTimedOut = True
+    assert [list(f["event_id"]) for f in jobs._thin((7,), iter([]), state)] == [[4]] and not state.exists
+
+
+def test_late_rows_do_not_hide_the_newest_status():
+    state = State()
+    list(jobs._watch((1,), iter([frame(event_id=[5], ts=[1000], status=["complete"])]), state))
+    list(jobs._watch((1,), iter([frame(event_id=[4], ts=[990], status=["processing"])]), state))
+    assert state.get[0] == "complete"
+    state.hasTimedOut = True
+    assert list(jobs._watch((1,), iter([]), state)) == [] and not state.exists
+
+
+def test_state_of_quiet_jobs_goes():
+    for step, value in ((jobs._advance, ("complete", 100, 1, 1, 1, 0)), (jobs._newest, ("processing", 1, 1, 1))):
+        state = State(value, timed_out=True)
+        assert list(step((1,), iter([]), state)) == [] and not state.exists
