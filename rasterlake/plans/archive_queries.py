@@ -211,6 +211,20 @@ def image_file_round_trip(t: Tables):
     )
 
 
+@REG.query(
+    "raster_samples",
+    sql=GREY_TILES_SQL + "SELECT raster_id, COUNT(*) AS files, TRUE AS sized FROM (SELECT DISTINCT raster_id, tx, ty FROM top) q GROUP BY 1",
+)
+def listed_objects(t: Tables):
+    """Write every tile as a file and list what is stored."""
+    folder = new_folder(t.spark, "objects")
+    sinks.write_files(grey_png_files(t), folder)
+    raster_id = F.regexp_extract("path", r"/(\d+)/\d+/\d+/\d+\.png$", 1).cast("long")
+    return manifest.list_objects(t.spark, folder).groupBy(raster_id.alias("raster_id")).agg(
+        F.count("*").alias("files"), (F.min("bytes") > 60).alias("sized")
+    )
+
+
 @REG.query(
     "raster_samples",
     sql=TILE_CONTENT_SQL + "SELECT raster_id, CAST(z AS INT) AS z, CAST(tx AS INT) AS tx, CAST(ty AS INT) AS ty, h.tile_id, content, concat(CAST(z AS VARCHAR), '/', CAST(tx AS VARCHAR), '/', CAST(ty AS VARCHAR), '.png') AS path FROM h",

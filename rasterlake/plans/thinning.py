@@ -23,11 +23,12 @@ PIECE_STEPS = 4096
 def _last_kept(values: np.ndarray, step: int) -> np.ndarray:
     """For every start index the last value kept when thinning begins there."""
     following = np.searchsorted(values, values + step)
-    last = values.copy()
-    for i in range(len(values) - 1, -1, -1):
-        if following[i] < len(values):
-            last[i] = last[following[i]]
-    return last
+    end = np.where(following < len(values), following, np.arange(len(values)))
+    while True:  # each round doubles the number of steps taken
+        further = end[end]
+        if (further == end).all():
+            return values[end]
+        end = further
 
 
 def _kept(values: np.ndarray, step: int, start: float) -> list[int]:

@@ -5,6 +5,7 @@ import pytest
 
 HERE = os.path.dirname(os.path.abspath(__file__))
 sys.path[:0] = [os.path.dirname(HERE), HERE]
+os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [os.path.dirname(HERE), os.environ.get("PYTHONPATH")]))
 
 from rasterlake.plans.fixtures import Tables  # noqa: E402
 from rasterlake.session import local_session  # noqa: E402
