@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, sized
+from .common import free_name, sized, slices, small_batches
 
 SHARE = 0.05  # of a host's votes that a path needs to be used
 DOMINANT = 0.85  # of the clean text that a child must hold to be entered
@@ -283,7 +283,7 @@ def votes(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Dat
     rows = pages.filter(F.col(html_col).isNotNull()).select(host_of(url_col).alias("host"), F.col(html_col).alias("html"))
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 128):
             found = []
             for html in batch.column("html").to_pylist():
                 page = Page(html)
@@ -306,6 +306,7 @@ def winners(cast: DataFrame, share: float = SHARE) -> DataFrame:
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", share: float = SHARE) -> DataFrame:
     """``pages`` without the html, with ``text`` added (under another name if the pages have one)."""
+    small_batches(pages.sparkSession)
     best = sized(winners(votes(pages, url_col, html_col), share))
     host, paths, text = (free_name(pages.columns, n) for n in ("host", "paths", "text"))
     chosen = pages.withColumn(host, host_of(url_col)).join(
@@ -314,7 +315,7 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", shar
     kept = [c for c in pages.columns if c != html_col]
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 128):
             found = [
                 Page(html).text_at(own or []) if html is not None else ""
                 for html, own in zip(batch.column(html_col).to_pylist(), batch.column(paths).to_pylist())

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.hotkeys import first_per_key
-from .common import free_name, sized
+from .common import free_name, sized, slices, small_batches
 
 BITS = 13
 SIZE = 1 << BITS
@@ -36,7 +36,7 @@ ROUNDS = 12
 REJECT = 0.5  # of the cosine that nearly all training texts of a centroid reach
 FULL = 400  # different n-grams of a text that is judged by its cosine alone
 BLOCK = 1 << 20
-SLICE = 256
+SLICE = 128
 UNKNOWN = "und"
 _ASCII_LETTER = re.compile("[A-Za-z]")
 # Letters and bytes above ASCII are kept, all else is a gap.
@@ -107,13 +107,14 @@ def train(
     per_lang: int = SAMPLE, centroids: int = CENTROIDS,
 ) -> Model:
     """A model from labelled rows; the driver receives the document frequencies and the centroids only."""
+    small_batches(labelled.sparkSession)
     rows = labelled.select(
         F.xxhash64(id_col).alias("h"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")
     ).filter("text is not null and lang is not null")
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, seen = 0, np.zeros(SIZE, np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column("text").to_pylist():
                 if has_letter(text):
                     docs += 1
@@ -161,6 +162,7 @@ def train(
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Columns ``keep`` (all by default) with ``lang_pred``, ``score`` (the cosine) and ``rejected``, under free names."""
+    small_batches(docs.sparkSession)
     keep = docs.columns if keep is None else keep
     text = free_name(docs.columns, "the_text")
     added = [free_name(docs.columns, n) for n in ("lang_pred", "score", "rejected")]
@@ -169,25 +171,23 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[s
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for whole in batches:
-            for at in range(0, whole.num_rows, SLICE):
-                batch = whole.slice(at, SLICE)
-                langs, scores = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
-                rejected = np.ones(batch.num_rows, dtype=bool)
-                texts = batch.column(text).to_pylist()
-                usable = [i for i, x in enumerate(texts) if x and has_letter(x)] if m.langs else []
-                if usable:
-                    tf = np.stack([counts(texts[i]) for i in usable])
-                    cosines = weighted(tf, m.idf) @ m.centroids.T
-                    best = np.argmax(cosines, axis=1)
-                    top = cosines[np.arange(len(usable)), best]
-                    scores[usable] = np.clip(top, 0.0, 1.0)
-                    rejected[usable] = top < m.reach[best] * _fullness(tf)
-                    for i, c in zip(usable, best):
-                        langs[i] = m.langs[c]
-                yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(c) for c in keep], pa.array(langs), pa.array(scores), pa.array(rejected)], [*keep, *added]
-                )
+        for batch in slices(batches, SLICE):
+            langs, scores = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
+            rejected = np.ones(batch.num_rows, dtype=bool)
+            texts = batch.column(text).to_pylist()
+            usable = [i for i, x in enumerate(texts) if x and has_letter(x)] if m.langs else []
+            if usable:
+                tf = np.stack([counts(texts[i]) for i in usable])
+                cosines = weighted(tf, m.idf) @ m.centroids.T
+                best = np.argmax(cosines, axis=1)
+                top = cosines[np.arange(len(usable)), best]
+                scores[usable] = np.clip(top, 0.0, 1.0)
+                rejected[usable] = top < m.reach[best] * _fullness(tf)
+                for i, c in zip(usable, best):
+                    langs[i] = m.langs[c]
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c) for c in keep], pa.array(langs), pa.array(scores), pa.array(rejected)], [*keep, *added]
+            )
 
     schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema][:-1]
     return rows.mapInArrow(step, ", ".join([*schema, f"`{added[0]}` string", f"`{added[1]}` double", f"`{added[2]}` boolean"]))

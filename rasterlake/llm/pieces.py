@@ -30,12 +30,11 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import slices, small_batches, text_or_empty
 
 SPACE = "▁"
-PARTS = 300_000
-PAIRS = 1_000_000
-SLICE = 512
+PARTS = 200_000
+PAIRS = 400_000
 
 
 class Codec:
@@ -195,6 +194,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", rule: str = "bpe"
 
     ``round_trip`` says that decoding the ids gives the text again.
     """
+    small_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c != text_col] if keep is None else keep
     names = [*keep, "ids", "n_tokens", "round_trip"]
     rows = docs.select(*keep, text_or_empty(text_col).alias("__text"))
@@ -202,18 +202,14 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", rule: str = "bpe"
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(path, rule)
-        for whole in batches:
-            for at in range(0, whole.num_rows, SLICE):
-                batch = whole.slice(at, SLICE)
-                texts = batch.column("__text").to_pylist()
-                ids = [tool.encode(x) for x in texts]
-                sizes = np.array([len(x) for x in ids], dtype=np.int64)
-                offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
-                same = [tool.decode(i) == x for i, x in zip(ids, texts)]
-                yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(c) for c in keep], lists, pa.array(sizes), pa.array(same)], names
-                )
+        for batch in slices(batches):
+            texts = batch.column("__text").to_pylist()
+            ids = [tool.encode(x) for x in texts]
+            sizes = np.array([len(x) for x in ids], dtype=np.int64)
+            offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
+            same = [tool.decode(i) == x for i, x in zip(ids, texts)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], lists, pa.array(sizes), pa.array(same)], names)
 
     return rows.mapInArrow(step, ", ".join([*own, "ids array<int>", "n_tokens bigint", "round_trip boolean"]))
 

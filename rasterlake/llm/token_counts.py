@@ -26,10 +26,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import slices, small_batches, text_or_empty
 
-CACHE = 400_000
-SLICE = 512
+CACHE = 300_000
 # The split pattern that the file must name, and white space as that pattern's engine knows it.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SPACE = r"\t-\r\x20\x85\xa0  -     　"
@@ -177,16 +176,15 @@ def counter(path: str) -> Counter:
 
 def count_tokens(docs: DataFrame, path: str, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``n_bytes``, ``n_tokens`` and ``over_limit`` (more than ``limit`` tokens) of every document."""
+    small_batches(docs.sparkSession)
     text = text_or_empty(text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(path).count
-        for batch in batches:
-            found = []
-            for at in range(0, batch.num_rows, SLICE):
-                found += map(count, batch.column("text").slice(at, SLICE).to_pylist())
+        for batch in slices(batches):
+            found = list(map(count, batch.column("text").to_pylist()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("n_bytes"), pa.array(found, pa.int64())], ["doc_id", "n_bytes", "n_tokens"]
             )
