@@ -65,7 +65,8 @@ def exact_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op10_simhash_near_dedup")
 def near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_copies(table(spark, sf_dir, "documents"), simhash.Rule(shingle=4, words=1, distance=4))
+    found = simhash.near_copies(table(spark, sf_dir, "documents"), simhash.Rule(shingle=4, words=1, distance=4))
+    return found.drop("text_hash")
 
 
 @query("op1_html_extraction")

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import text_or_empty, without
+from .common import slices, small_batches, text_or_empty, without
 
 HASH_BLOCK = 1 << 16
 FEW = 8  # groups up to this size are compared row against row for a whole batch at once
@@ -80,21 +80,30 @@ def names(rule: Rule, stem: str = "fp") -> list[str]:
     return [f"{stem}{w}" for w in range(rule.words)]
 
 
+def text_hash(text_col: str) -> Column:
+    """Tells rows with the same id apart."""
+    return F.xxhash64(text_or_empty(text_col))
+
+
 def fingerprints(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id`` and the words of the fingerprint as signed longs, ``fp0``, ..."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).cast("binary").alias("data"))
+    """``doc_id``, ``text_hash`` and the words of the fingerprint as signed longs, ``fp0``, ..."""
+    small_batches(docs.sparkSession)
+    rows = docs.select(
+        F.col(id_col).alias("doc_id"), text_hash(text_col).alias("text_hash"), text_or_empty(text_col).cast("binary").alias("data")
+    )
     kind = rows.schema["doc_id"].dataType.simpleString()
     columns = names(rule)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = np.frombuffer(b"".join([fingerprint(x, rule) for x in batch.column("data").to_pylist()]), ">i8")
             found = found.astype(np.int64).reshape(-1, rule.words)
+            own = [batch.column("doc_id"), batch.column("text_hash")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *[pa.array(found[:, w]) for w in range(rule.words)]], ["doc_id", *columns]
+                [*own, *[pa.array(found[:, w]) for w in range(rule.words)]], ["doc_id", "text_hash", *columns]
             )
 
-    return rows.mapInArrow(step, ", ".join([f"doc_id {kind}", *[f"{c} bigint" for c in columns]]))
+    return rows.mapInArrow(step, ", ".join([f"doc_id {kind}, text_hash bigint", *[f"{c} bigint" for c in columns]]))
 
 
 def _columns(batch: pa.RecordBatch, columns: list[str]) -> np.ndarray:
@@ -110,7 +119,7 @@ def _in_cells(distinct: DataFrame, rule: Rule) -> DataFrame:
     odd = np.uint64(0x5555555555555555)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 2048):
             fps = _columns(batch, columns)
             for number, (word, first, bits) in enumerate(rule.parts()):
                 part = fps[:, word] >> np.uint64(first) & np.uint64((1 << bits) - 1)
@@ -279,21 +288,21 @@ def components(edges: DataFrame) -> DataFrame:
 def near_copies(
     docs: DataFrame, rule: Rule = SIMILAR, id_col: str = "doc_id", text_col: str = "text", hot_size: int = HOT_SIZE
 ) -> DataFrame:
-    """One row per document: ``doc_id``, ``fingerprint`` (hex digits), ``component_id`` (smallest id of its component)."""
+    """One row per document: ``doc_id``, ``fingerprint`` (hex digits), ``component_id`` (smallest id of its component), ``text_hash``."""
     rows = cut_lineage(fingerprints(docs, rule, id_col, text_col))
     distinct = cut_lineage(rows.groupBy(*names(rule)).agg(F.min("doc_id").alias("first_id")))
     roots = components(links(distinct, rule, hot_size))
     placed = distinct.select(vertex(names(rule)).alias("fp"), "first_id").join(roots, "fp", "left")
     placed = placed.withColumn("root", F.coalesce("root", "fp"))
-    of_root = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    of_root = cut_lineage(placed.groupBy("root").agg(F.min("first_id").alias("component_id")))
     named = placed.join(of_root, "root").select(F.col("fp").alias("fingerprint"), "component_id")
-    return rows.select("doc_id", vertex(names(rule)).alias("fingerprint")).join(named, "fingerprint").select(
-        "doc_id", "fingerprint", "component_id"
-    )
+    own = rows.select("doc_id", "text_hash", vertex(names(rule)).alias("fingerprint"))
+    return own.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id", "text_hash")
 
 
 def drop_near_copies(docs: DataFrame, rule: Rule = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` of which each component leaves one, that with the smallest id, with all their columns."""
     marked = near_copies(docs, rule, id_col, text_col)
-    kept = cut_lineage(marked.select("doc_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")))
-    return without(docs, {"doc_id": F.col(id_col)}, kept)
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    kept = cut_lineage(marked.select("doc_id", "text_hash", stays.alias("kept")))
+    return without(docs, {"doc_id": F.col(id_col), "text_hash": text_hash(text_col)}, kept)
