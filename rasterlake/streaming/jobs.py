@@ -19,12 +19,16 @@ STATE = "status string, progress int, tiles_done bigint, updated_ms bigint, appl
 OUTPUT = "job_id bigint, " + STATE
 
 
-def _whole(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    """All rows of a key in this micro-batch in (ts, event_id) order, with ``ms``. Spark hands them out in pieces in any order."""
-    pdf = pd.concat(list(batches), ignore_index=True)
+def _in_order(batches: Iterator[pd.DataFrame], *columns: str) -> list[np.ndarray]:
+    """Columns of all rows of a key in this micro-batch in (ts, event_id) order. Spark hands them out in pieces in any order."""
+    pieces = list(batches)
+    pdf = pieces[0] if len(pieces) == 1 else pd.concat(pieces, ignore_index=True)
     order = np.lexsort((pdf["event_id"].to_numpy(), pdf["ts"].to_numpy()))
-    pdf = pdf.iloc[order].reset_index(drop=True)
-    return pdf.assign(ms=pdf["ts"].to_numpy().astype("datetime64[ms]").astype("int64"))
+    return [pdf[c].to_numpy()[order] for c in columns]
+
+
+def _micros(ts: np.datetime64) -> int:
+    return int(ts.astype("datetime64[us]").astype("int64"))
 
 
 def _forget_at(state: GroupState, millis: int) -> None:
@@ -38,17 +42,17 @@ def _advance(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterato
         state.remove()
         return
     status, progress, done, updated, applied, ignored = state.get if state.exists else (None, None, None, None, 0, 0)
-    pdf = _whole(batches)
+    statuses, shares, tiles, times = _in_order(batches, "status", "progress", "tiles_done", "ts")
     if status is not None and status not in jobs.OPEN:
-        ignored += len(pdf)
+        ignored += len(times)
     else:
-        ends = np.flatnonzero(~pdf["status"].isin(jobs.OPEN).to_numpy())
-        counted = pdf.iloc[: ends[0] + 1] if len(ends) else pdf
-        last, known = counted.iloc[-1], counted["tiles_done"].dropna()
-        status, progress, updated = last["status"], min(100, max(0, int(last["progress"]))), int(last["ms"])
-        done = int(known.iloc[-1]) if len(known) else done
-        applied += len(counted)
-        ignored += len(pdf) - len(counted)
+        ends = np.flatnonzero([s not in jobs.OPEN for s in statuses])
+        counted = int(ends[0]) + 1 if len(ends) else len(times)
+        status, progress, updated = statuses[counted - 1], min(100, max(0, int(shares[counted - 1]))), _micros(times[counted - 1]) // 1000
+        known = np.flatnonzero(pd.notna(tiles[:counted]))
+        done = int(tiles[known[-1]]) if len(known) else done
+        applied += counted
+        ignored += len(times) - counted
     state.update((status, progress, done, updated, applied, ignored))
     _forget_at(state, updated + jobs.JOB_RETENTION_HOURS * 3_600_000)
     yield pd.DataFrame(
@@ -75,10 +79,11 @@ def _watch(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[
         if status == "processing":
             yield pd.DataFrame({"job_id": [key[0]], "status": ["failed"], "error": [jobs.STALE_ERROR], "seen_ms": [seen]})
         return
-    newest = _whole(batches).iloc[-1]
+    statuses, times, events = _in_order(batches, "status", "ts", "event_id")
     status, seen, event = state.get if state.exists else (None, -1, -1)
-    if (int(newest["ms"]), int(newest["event_id"])) > (seen, event):
-        status, seen, event = newest["status"], int(newest["ms"]), int(newest["event_id"])
+    newest = _micros(times[-1]) // 1000, int(events[-1])
+    if newest > (seen, event):
+        status, (seen, event) = statuses[-1], newest
     state.update((status, seen, event))
     _forget_at(state, seen + jobs.STALE_SECONDS * 1000)
 
@@ -96,12 +101,11 @@ def _newest(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator
     if state.hasTimedOut:
         state.remove()
         return
-    last = _whole(batches).iloc[-1]
-    micros = int(last["ts"].value // 1000)
+    statuses, tiles, times, events = (c[-1] for c in _in_order(batches, "status", "tiles_done", "ts", "event_id"))
+    newest = _micros(times), int(events)
     seen = state.get if state.exists else None
-    if seen is None or (micros, int(last["event_id"])) > (seen[2], seen[3]):
-        done = None if pd.isna(last["tiles_done"]) else int(last["tiles_done"])
-        seen = (last["status"], done, micros, int(last["event_id"]))
+    if seen is None or newest > (seen[2], seen[3]):
+        seen = (statuses, None if pd.isna(tiles) else int(tiles), *newest)
     state.update(seen)
     _forget_at(state, seen[2] // 1000 + jobs.PROGRESS_TTL_SECONDS * 1000)
     yield pd.DataFrame({
