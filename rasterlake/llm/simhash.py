@@ -9,6 +9,11 @@ so copies cost nothing; a cell gives a star for each connected group of its memb
 Cells that hold very many fingerprints (found by a Misra-Gries summary, counted exactly, a bounded number) are cut into chunks and
 compared chunk against chunk in separate groups, so no link is lost and no task gets the whole cell.
 
+A rule with ``of_set`` links texts by the exact Jaccard similarity of their sets of shingles, at least ``SIMILARITY``. Two such sets
+share one of the smallest fifth of either one's hashes, so texts meet at these keys instead of grid cells and no pair is missed there.
+Members of a key whose fingerprints are within the rule's distance, which is far above the one expected at ``SIMILARITY``, are
+candidates; the sets of each component of candidates are then compared exactly, large components chunk against chunk.
+
 Defined cases: a null text counts as empty; texts without words have fingerprint zero and are linked like any other; documents with a
 null id belong to their component but never name it, unless all its ids are null; repeated rows get equal results, and one of them
 stays in ``drop_near_copies``; other columns pass through under any name; an empty table gives an empty result.
@@ -16,7 +21,7 @@ stays in ``drop_near_copies``; other columns pass through under any name; an emp
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -26,13 +31,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import slices, small_batches, text_or_empty, without
+from .common import sized, slices, small_batches, text_or_empty, without
 
 HASH_BLOCK = 1 << 16
 FEW = 8  # groups up to this size are compared row against row for a whole batch at once
 MATRIX = 1024  # groups up to this size are compared as one matrix
 HOT_CELLS = 1000
 HOT_SIZE = 20_000
+SIMILARITY = (4, 5)  # 0.8
+COMPARED = 4 << 20  # bytes of sets compared in one group
 
 
 class Rule(NamedTuple):
@@ -41,6 +48,7 @@ class Rule(NamedTuple):
     shingle: int
     words: int  # of 64 bits
     distance: int
+    of_set: bool = False  # repeated shingles count once, and candidates are verified by the sets
 
     def digest(self) -> Callable[[memoryview], bytes]:
         return (lambda x: xxhash.xxh64_digest(x, 42)) if self.words == 1 else (lambda x: xxhash.xxh3_128_digest(x, 42))
@@ -52,27 +60,60 @@ class Rule(NamedTuple):
         return [(w, a, b - a) for w in range(self.words) for a, b in zip(borders, borders[1:])]
 
 
-# Five words; 17 of 128 bits are an angle whose cosine is 0.91, which sets of shingles have at a Jaccard similarity of about 0.84.
-SIMILAR = Rule(shingle=5, words=2, distance=17)
+# Five words. Sets with a Jaccard similarity of 0.8 are expected 19.4 of 128 bits apart, with a deviation of 4.1; 32 bits leave 3 of those.
+SIMILAR = Rule(shingle=5, words=2, distance=32, of_set=True)
 
 
-def fingerprint(data: bytes, rule: Rule) -> bytes:
-    """SimHash of the word shingles of a UTF-8 text, high bits first; A-Z are read as a-z and words end at ASCII white space."""
+def shingle_hashes(data: bytes, rule: Rule) -> Iterator[tuple[int, np.ndarray]]:
+    """Number of the text's shingles and their hashes as rows of bytes, block by block; A-Z are read as a-z and words end at white space."""
     words = data.lower().split()
     if not words:
-        return bytes(8 * rule.words)
+        return
     joined = memoryview(b" ".join(words))
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(words) - rule.shingle + 1)
     starts, ends = starts[:n], ends[min(rule.shingle, len(words)) - 1:]
-    bits = 64 * rule.words
-    counts = np.zeros(bits, np.int64)
     digest = rule.digest()
     for at in range(0, n, HASH_BLOCK):
         pairs = zip(starts[at:at + HASH_BLOCK].tolist(), ends[at:at + HASH_BLOCK].tolist())
-        hashes = np.frombuffer(b"".join([digest(joined[s:e]) for s, e in pairs]), np.uint8)
-        counts += np.unpackbits(hashes).reshape(-1, bits).sum(axis=0, dtype=np.int64)
+        yield n, np.frombuffer(b"".join([digest(joined[s:e]) for s, e in pairs]), np.uint8).reshape(-1, 8 * rule.words)
+
+
+def shingle_set(data: bytes, rule: Rule) -> np.ndarray:
+    """The different hashes of a text's shingles in order, as rows of bytes."""
+    found = [hashes for _, hashes in shingle_hashes(data, rule)]
+    if not found:
+        return np.zeros((0, 8 * rule.words), np.uint8)
+    whole = np.concatenate(found)
+    return whole[np.unique(first_word(whole), return_index=True)[1]]
+
+
+def first_word(hashes: np.ndarray) -> np.ndarray:
+    """The first 64 bits of each hash, by which the sets are ordered and compared."""
+    return np.ascontiguousarray(hashes[:, :8]).view(">u8").ravel().astype(np.uint64)
+
+
+def keys_of(hashes: np.ndarray) -> np.ndarray:
+    """So many of the smallest hashes of a set that any set as similar as SIMILARITY shares one of them; an empty set has the key 0."""
+    own = np.unique(first_word(hashes))
+    part, whole = SIMILARITY
+    return own[:len(own) - -(-part * len(own) // whole) + 1] if len(own) else np.zeros(1, np.uint64)
+
+
+def fingerprint(data: bytes, rule: Rule) -> bytes:
+    """SimHash of the word shingles of a UTF-8 text, high bits first."""
+    return of_set(shingle_set(data, rule), rule) if rule.of_set else _majority(shingle_hashes(data, rule), rule)
+
+
+def of_set(hashes: np.ndarray, rule: Rule) -> bytes:
+    return _majority(((len(hashes), hashes[at:at + HASH_BLOCK]) for at in range(0, len(hashes), HASH_BLOCK)), rule)
+
+
+def _majority(blocks: Iterable[tuple[int, np.ndarray]], rule: Rule) -> bytes:
+    counts, n = np.zeros(64 * rule.words, np.int64), 0
+    for n, hashes in blocks:
+        counts += np.unpackbits(hashes, axis=1).sum(axis=0, dtype=np.int64)
     return np.packbits(2 * counts > n).tobytes()
 
 
@@ -86,7 +127,7 @@ def text_hash(text_col: str) -> Column:
 
 
 def fingerprints(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``text_hash`` and the words of the fingerprint as signed longs, ``fp0``, ..."""
+    """``doc_id``, ``text_hash``, the words of the fingerprint as signed longs, ``fp0``, ..., and the keys a rule of sets needs."""
     small_batches(docs.sparkSession)
     rows = docs.select(
         F.col(id_col).alias("doc_id"), text_hash(text_col).alias("text_hash"), text_or_empty(text_col).cast("binary").alias("data")
@@ -96,14 +137,23 @@ def fingerprints(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col:
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = np.frombuffer(b"".join([fingerprint(x, rule) for x in batch.column("data").to_pylist()]), ">i8")
-            found = found.astype(np.int64).reshape(-1, rule.words)
+            texts = batch.column("data").to_pylist()
+            sets = [shingle_set(x, rule) for x in texts] if rule.of_set else []
+            found = [of_set(x, rule) for x in sets] if rule.of_set else [fingerprint(x, rule) for x in texts]
+            found = np.frombuffer(b"".join(found), ">i8").astype(np.int64).reshape(-1, rule.words)
             own = [batch.column("doc_id"), batch.column("text_hash")]
+            more = [_lists([keys_of(x).view(np.int64) for x in sets])] if rule.of_set else []
             yield pa.RecordBatch.from_arrays(
-                [*own, *[pa.array(found[:, w]) for w in range(rule.words)]], ["doc_id", "text_hash", *columns]
+                [*own, *[pa.array(found[:, w]) for w in range(rule.words)], *more], ["doc_id", "text_hash", *columns, *["keys"] * len(more)]
             )
 
-    return rows.mapInArrow(step, ", ".join([f"doc_id {kind}, text_hash bigint", *[f"{c} bigint" for c in columns]]))
+    schema = [f"doc_id {kind}, text_hash bigint", *[f"{c} bigint" for c in columns], *["keys array<bigint>"] * rule.of_set]
+    return rows.mapInArrow(step, ", ".join(schema))
+
+
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, rows)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *rows])))
 
 
 def _columns(batch: pa.RecordBatch, columns: list[str]) -> np.ndarray:
@@ -238,7 +288,17 @@ def vertex(columns: list[str]) -> Column:
 
 def links(distinct: DataFrame, rule: Rule, hot_size: int = HOT_SIZE) -> DataFrame:
     """Links (a, b) between distinct fingerprints, in hex, whose closure is that of all pairs at most ``rule.distance`` bits apart."""
-    placed = _in_cells(distinct, rule)
+    return _linked(_in_cells(distinct, rule), rule, hot_size)
+
+
+def _pairs_of_chunks(mine: Column, chunks: Column) -> Column:
+    """The groups of all pairs of chunks that include ``mine``; one group where ``chunks`` is null."""
+    pairs = F.transform(F.sequence(F.lit(0), chunks - 1), lambda other: F.least(mine, other) * chunks + F.greatest(mine, other))
+    return F.explode(F.when(chunks.isNull(), F.array(F.lit(0))).otherwise(pairs)).alias("chunk")
+
+
+def _linked(placed: DataFrame, rule: Rule, hot_size: int) -> DataFrame:
+    """Links between fingerprints of a ``key``."""
     proposed = placed.agg(F.expr(f"approx_top_k(key, {HOT_CELLS}, 65536)").alias("top")).select(F.explode("top.item").alias("key"))
     proposed = F.broadcast(cut_lineage(proposed))
     hot = (
@@ -249,13 +309,7 @@ def links(distinct: DataFrame, rule: Rule, hot_size: int = HOT_SIZE) -> DataFram
     # A member of chunk c of a hot cell joins the groups of all pairs of chunks that include c.
     cut = placed.join(F.broadcast(cut_lineage(hot)), "key", "left")
     mine = F.pmod(F.xxhash64(*names(rule)), F.col("chunks")).cast("int")
-    pairs = F.transform(
-        F.sequence(F.lit(0), F.col("chunks") - 1),
-        lambda other: F.least(mine, other) * F.col("chunks") + F.greatest(mine, other),
-    )
-    groups = cut.select(
-        "key", *names(rule), F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(0))).otherwise(pairs)).alias("chunk")
-    )
+    groups = cut.select("key", *names(rule), _pairs_of_chunks(mine, F.col("chunks")))
     schema = ", ".join(f"{c} bigint" for c in [*names(rule, "a"), *names(rule, "b")])
     found = groups.repartition("key", "chunk").sortWithinPartitions("key", "chunk").mapInArrow(lambda x: _verify(x, rule), schema)
     return found.distinct().select(vertex(names(rule, "a")).alias("a"), vertex(names(rule, "b")).alias("b"))
@@ -285,19 +339,93 @@ def components(edges: DataFrame) -> DataFrame:
         now = cut_lineage(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
 
 
+def set_links(sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
+    """For each set that has a similar one, but the first of its connected group: its place and that of the first one."""
+    part, whole = SIMILARITY
+    sizes = np.array([len(x) for x in sets], np.int64)
+    tokens, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    by_token = np.repeat(np.arange(len(sets)), sizes)[np.argsort(ids, kind="stable")]  # the sets of each token, token after token
+    counts = np.bincount(ids, minlength=len(tokens))
+    begins = np.cumsum(counts) - counts
+    starts = np.cumsum(sizes) - sizes
+    rest = np.ones(len(sets), bool)
+    left, heads = [], []
+    for head in range(len(sets)):
+        if not rest[head]:
+            continue
+        rest[head], front = False, [head]
+        while front and rest.any():
+            f = front.pop()
+            mine = ids[starts[f]:starts[f] + sizes[f]]
+            mine = mine[counts[mine] > 1]
+            lists = [by_token[a:b] for a, b in zip(begins[mine].tolist(), (begins[mine] + counts[mine]).tolist())]
+            common = np.bincount(np.concatenate(lists or [by_token[:0]]), minlength=len(sets))
+            near = np.flatnonzero(rest & (whole * common >= part * (sizes + sizes[f] - common)))
+            rest[near] = False
+            front += near.tolist()
+            left += near.tolist()
+            heads += [head] * len(near)
+    return left, heads
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches sorted by root and chunk; gives links (a, b) between the similar units of a group."""
+    held, held_key = [], None
+
+    def out():
+        left, heads = set_links([np.frombuffer(x, np.uint64) for _, x in held]) if len(held) > 1 else ([], [])
+        if left:
+            yield pa.RecordBatch.from_arrays([pa.array([held[i][0] for i in left]), pa.array([held[i][0] for i in heads])], ["a", "b"])
+
+    for batch in batches:
+        for root, chunk, unit, data in zip(*[batch.column(c).to_pylist() for c in ("root", "chunk", "unit", "shingles")]):
+            if (root, chunk) != held_key:
+                yield from out()
+                held, held_key = [], (root, chunk)
+            held.append((unit, data))
+    yield from out()
+
+
+def similar_texts(docs: DataFrame, distinct: DataFrame, rule: Rule, text_col: str, hot_size: int, compared: int = COMPARED) -> DataFrame:
+    """Links (a, b) between texts whose closure is that of all candidates with similar sets of shingles."""
+    near = components(_linked(distinct.select(F.explode("keys").alias("key"), *names(rule)), rule, hot_size))
+    units = distinct.select(vertex([*names(rule), "text_hash"]).alias("unit"), vertex(names(rule)).alias("fp"), "text_hash")
+    units = cut_lineage(units.join(near, "fp", "left").select("unit", "text_hash", F.coalesce("root", "fp").alias("root")))
+    large = sized(units.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1"))
+    members = sized(units.join(large, "root").select("unit", "text_hash", "root"))
+    texts = docs.select(text_hash(text_col).alias("text_hash"), text_or_empty(text_col).cast("binary").alias("data"))
+    texts = texts.join(members, "text_hash").select("unit", "root", "data")
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = [first_word(shingle_set(x, rule)).tobytes() for x in batch.column("data").to_pylist()]
+            own = [batch.column(c) for c in ("unit", "root")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(sets, pa.binary())], ["unit", "root", "shingles"])
+
+    sets = texts.mapInArrow(step, "unit string, root string, shingles binary").dropDuplicates(["unit"])
+    sets = cut_lineage(sets)
+    cut = sets.groupBy("root").agg(F.sum(F.length("shingles")).alias("bytes")).filter(F.col("bytes") > compared)
+    cut = sized(cut.select("root", F.ceil(F.col("bytes") / (compared / 2)).cast("int").alias("chunks")))
+    mine = F.pmod(F.xxhash64("unit"), F.col("chunks")).cast("int")
+    groups = sets.join(cut, "root", "left").select("root", "unit", "shingles", _pairs_of_chunks(mine, F.col("chunks")))
+    return groups.repartition("root", "chunk").sortWithinPartitions("root", "chunk").mapInArrow(_compare, "a string, b string")
+
+
 def near_copies(
     docs: DataFrame, rule: Rule = SIMILAR, id_col: str = "doc_id", text_col: str = "text", hot_size: int = HOT_SIZE
 ) -> DataFrame:
     """One row per document: ``doc_id``, ``fingerprint`` (hex digits), ``component_id`` (smallest id of its component), ``text_hash``."""
     rows = cut_lineage(fingerprints(docs, rule, id_col, text_col))
-    distinct = cut_lineage(rows.groupBy(*names(rule)).agg(F.min("doc_id").alias("first_id")))
-    roots = components(links(distinct, rule, hot_size))
-    placed = distinct.select(vertex(names(rule)).alias("fp"), "first_id").join(roots, "fp", "left")
+    unit = [*names(rule), "text_hash"] if rule.of_set else names(rule)
+    keys = [F.first("keys").alias("keys")] * rule.of_set
+    distinct = cut_lineage(rows.groupBy(*unit).agg(F.min("doc_id").alias("first_id"), *keys))
+    linked = similar_texts(docs, distinct, rule, text_col, hot_size) if rule.of_set else links(distinct, rule, hot_size)
+    placed = distinct.select(vertex(unit).alias("fp"), "first_id").join(components(linked), "fp", "left")
     placed = placed.withColumn("root", F.coalesce("root", "fp"))
     of_root = cut_lineage(placed.groupBy("root").agg(F.min("first_id").alias("component_id")))
-    named = placed.join(of_root, "root").select(F.col("fp").alias("fingerprint"), "component_id")
-    own = rows.select("doc_id", "text_hash", vertex(names(rule)).alias("fingerprint"))
-    return own.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id", "text_hash")
+    named = placed.join(of_root, "root").select(F.col("fp").alias("unit"), "component_id")
+    own = rows.select("doc_id", "text_hash", vertex(unit).alias("unit"), vertex(names(rule)).alias("fingerprint"))
+    return own.join(named, "unit").select("doc_id", "fingerprint", "component_id", "text_hash")
 
 
 def drop_near_copies(docs: DataFrame, rule: Rule = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

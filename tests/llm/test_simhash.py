@@ -118,3 +118,36 @@ def test_edited_copy_is_caught(spark):
     edited = text.replace(" kala0 ", " other ", 1) + " end"
     rows = [(1, text, None, None), (2, edited, None, None), (3, text[::-1], None, None)]
     assert sorted(r.doc_id for r in simhash.drop_near_copies(docs(spark, rows)).collect()) == [1, 3]
+
+
+def test_links_of_the_stage_are_those_of_exact_similarity(spark, monkeypatch):
+    """Words replaced in copies, some just above and some just below a similarity of 0.8, against comparing all pairs of sets."""
+    rng = np.random.default_rng(3)
+    texts = []
+    for base in range(40):
+        words = [f"w{int(x)}" for x in rng.integers(0, 3000, int(rng.integers(40, 300)))]
+        texts.append(" ".join(words))
+        for share in (0.005, 0.012, 0.02, 0.022, 0.025, 0.03, 0.05):
+            copy = [w if rng.random() > share else f"new{int(rng.integers(1 << 30))}" for w in words]
+            texts.append(" ".join(copy))
+    texts += ["a b c d e f g h", "a b c d e f g h i", "a b c d e f g", *[" ".join([texts[0]] * n) for n in (2, 3)], "", " \t"]
+    texts += [texts[8] + f" tail{i} of some words" for i in range(60)]  # more than are compared in one group
+    sets = []
+    for t in texts:
+        w = t.split()
+        sets.append({tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                x, y = sorted((find(i), find(j)))
+                parent[y] = x
+    monkeypatch.setattr(simhash.similar_texts, "__defaults__", (20_000,))
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(docs(spark, [(i, t, None, None) for i, t in enumerate(texts)])).collect()}
+    assert got == {i: find(i) for i in range(len(texts))}
