@@ -1,9 +1,10 @@
 """Main text of web pages by host consensus.
 
-Each page is read into a tree of elements and text blocks. From the root the reader goes down to the child that holds nearly all the
-clean text, until an article or no such child is left; the generalised tag-class path of that container is the page's vote. Spark counts
-the votes per host, and every page is read again with the winning paths of its host. A page on which no winning path is found uses
-its own container.
+Each page is read into a tree of elements and text blocks. Blocks that stand on at least half of a host's different pages (two or more)
+are notices of the site. From the root the reader goes down to the child that holds all other clean text, until an article or no such
+child is left; the generalised tag-class path of that container is the page's vote. Spark counts the votes per host, and every page is
+read again with the winning paths of its host: of those on the page the one with the most clean text, then the most votes. A page whose
+own container holds clean text that this path leaves out uses its own container.
 
 Votes are partial sums, so a host with most of the pages is no hot key; the winners (paths with at least a share of the votes, so a
 bounded number per host) are small rows, broadcast if few, else joined by shuffle, which Spark can split by rows of a hot host.
@@ -16,16 +17,18 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .common import free_name, sized, slices, small_batches
 
 SHARE = 0.05  # of a host's votes that a path needs to be used
-DOMINANT = 0.85  # of the clean text that a child must hold to be entered
+REPEATED = 0.5  # of a host's different pages on which a block stands that is taken for a notice of the site
 
 # Element names and label words.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -223,15 +226,19 @@ class Page:
         self.main.append(main)
         return len(self.parent) - 1
 
-    def container(self) -> int:
-        """The element this page's clean text is in."""
-        n = len(self.parent)
-        weight = [0] * n
+    def weights(self, notices: frozenset[int] = frozenset()) -> list[int]:
+        """Clean text in each element: without blocks that are mostly links and those of the notices."""
+        weight = [0] * len(self.parent)
         for e, text, links in self.blocks:
-            if 2 * links <= len(text):
+            if 2 * links <= len(text) and (not notices or digest(text) not in notices):
                 weight[e] += len(text)
-        for e in range(n - 1, 0, -1):
+        for e in range(len(weight) - 1, 0, -1):
             weight[self.parent[e]] += weight[e]
+        return weight
+
+    def container(self, weight: list[int]) -> int:
+        """The element this page's clean text is in."""
+        n = len(self.parent)
         best = [0] * n
         for e in range(n - 1, 0, -1):
             p = self.parent[e]
@@ -240,7 +247,7 @@ class Page:
         here = 0
         while self.tag[here] != "article":
             child = best[here]
-            if not child or weight[child] < DOMINANT * weight[here] or self.tag[child] not in CONTAINERS:
+            if not child or weight[child] < weight[here] or self.tag[child] not in CONTAINERS:
                 break
             here = child
         return here
@@ -258,8 +265,10 @@ class Page:
             inside[e] = inside[e] or inside[self.parent[e]]
         return "\n".join(text for e, text, _ in self.blocks if inside[e])
 
-    def text_at(self, paths: list[str]) -> str:
+    def text_at(self, paths: list[str], notices: frozenset[int] = frozenset()) -> str:
         """Text under the first of the paths that has any here, else under the page's own container."""
+        weight = self.weights(notices)
+        own = self.container(weight)
         for path in paths:
             at = 0
             for label in path.split(">") if path else ():
@@ -270,24 +279,54 @@ class Page:
                 text = self.text_in([p == at for p in self.path])
                 if text:
                     return text
-        own = self.container()
         return self.text_in([e == own for e in range(len(self.parent))])
 
 
+def digest(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+
+
 def host_of(url: str) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def votes(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``host`` and ``path``: one row for each page that has clean text."""
+def notices(pages: DataFrame, url_col: str = "url", html_col: str = "html", share: float = REPEATED) -> DataFrame:
+    """``host`` and ``notices``: digests of the blocks on so many of its different pages; at most 1 / share times those of a page."""
+    rows = pages.filter(F.col(html_col).isNotNull()).select(host_of(url_col).alias("host"), F.col(html_col).alias("html"))
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 128):
+            found = [sorted({digest(text) for _, text, _ in Page(html).blocks}) for html in batch.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("host"), batch.column("page"), pa.array(found, pa.list_(pa.int64()))], ["host", "page", "blocks"]
+            )
+
+    read = rows.withColumn("page", F.xxhash64("html")).mapInArrow(step, "host string, page bigint, blocks array<bigint>")
+    read = cut_lineage(read.groupBy("host", "page").agg(F.first("blocks").alias("blocks")))
+    of_host = sized(read.groupBy("host").agg(F.count("*").alias("all")).filter("all > 1"))
+    counted = read.select("host", F.explode("blocks").alias("block")).groupBy("host", "block").agg(F.count("*").alias("n"))
+    found = counted.filter("n > 1").join(of_host, "host").filter(F.col("n") >= F.col("all") * share)
+    return found.groupBy("host").agg(F.collect_list("block").alias("notices"))
+
+
+def with_notices(pages: DataFrame, known: DataFrame, host: Column, name: str) -> DataFrame:
+    """``pages`` with the notices of their host in a column ``name``."""
+    own = free_name(pages.columns, "host")
+    return pages.withColumn(own, host).join(known.select(F.col("host").alias(own), F.col("notices").alias(name)), own, "left").drop(own)
+
+
+def votes(pages: DataFrame, url_col: str = "url", html_col: str = "html", known: DataFrame | None = None) -> DataFrame:
+    """``host`` and ``path``: one row for each page that has clean text. ``known`` are the hosts' notices."""
+    known = sized(notices(pages, url_col, html_col)) if known is None else known
     rows = pages.filter(F.col(html_col).isNotNull()).select(host_of(url_col).alias("host"), F.col(html_col).alias("html"))
+    rows = with_notices(rows, known, F.col("host"), "notices").select("host", "html", "notices")
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 128):
             found = []
-            for html in batch.column("html").to_pylist():
+            for html, own in zip(batch.column("html").to_pylist(), batch.column("notices").to_pylist()):
                 page = Page(html)
-                found.append(page.path_of(page.container()) if page.blocks else None)
+                found.append(page.path_of(page.container(page.weights(frozenset(own or ())))) if page.blocks else None)
             yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(found, pa.string())], ["host", "path"])
 
     return rows.mapInArrow(step, "host string, path string").filter(F.col("path").isNotNull())
@@ -307,20 +346,22 @@ def winners(cast: DataFrame, share: float = SHARE) -> DataFrame:
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", share: float = SHARE) -> DataFrame:
     """``pages`` without the html, with ``text`` added (under another name if the pages have one)."""
     small_batches(pages.sparkSession)
-    best = sized(winners(votes(pages, url_col, html_col), share))
-    host, paths, text = (free_name(pages.columns, n) for n in ("host", "paths", "text"))
+    known = sized(notices(pages, url_col, html_col))
+    best = sized(winners(votes(pages, url_col, html_col, known), share))
+    host, paths, text, left = (free_name(pages.columns, n) for n in ("host", "paths", "text", "notices"))
     chosen = pages.withColumn(host, host_of(url_col)).join(
         best.select(F.col("host").alias(host), F.col("paths").alias(paths)), host, "left"
     ).drop(host)
+    chosen = with_notices(chosen, known, host_of(url_col), left)
     kept = [c for c in pages.columns if c != html_col]
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 128):
             found = [
-                Page(html).text_at(own or []) if html is not None else ""
-                for html, own in zip(batch.column(html_col).to_pylist(), batch.column(paths).to_pylist())
+                Page(html).text_at(own or [], frozenset(seen or ())) if html is not None else ""
+                for html, own, seen in zip(*[batch.column(c).to_pylist() for c in (html_col, paths, left)])
             ]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(found, pa.string())], [*kept, text])
 
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema if f.name != html_col], f"`{text}` string"])
-    return chosen.select(*kept, html_col, paths).mapInArrow(step, schema)
+    return chosen.select(*kept, html_col, paths, left).mapInArrow(step, schema)

@@ -56,6 +56,16 @@ def test_hosts_agree_on_a_path(spark):
     assert html_text.winners(html_text.votes(pages(spark, rows))).filter("host = 'h.example'").first().paths[0] == "body>div.c#"
 
 
+def test_title_and_lead_beside_a_long_body_stay(spark):
+    page = "<body><main><h1>Title {0}</h1><div class=lead>Lead {0}.</div><div class=body><p>{1}</p></div><p>Closing {0}.</p></main></body>"
+    for n in (1, 200):
+        body = ("Many words here. " * n).strip()
+        assert own(page.format(1, body)) == f"Title 1\nLead 1.\n{body}\nClosing 1."
+    rows = [(i, "http://h/", page.format(i, f"Page {i}. " + "Many words here. " * 200)) for i in range(6)]
+    got = {r.page_id: r.text for r in html_text.extract(pages(spark, rows)).collect()}
+    assert all(got[i].startswith(f"Title {i}\nLead {i}.\nPage {i}.") and got[i].endswith(f"Closing {i}.") for i in got) and len(got) == 6
+
+
 def test_odd_rows(spark):
     rows = [(1, None, "<p>a"), (2, "http://x/", None), (3, "no url", ""), (None, "http://x/", "<p>b"), (1, None, "<p>a")]
     got = html_text.extract(pages(spark, [r + ("t", "h", 1) for r in rows], ", text string, HOST string, paths int"))
