@@ -266,9 +266,10 @@ class Page:
         return "\n".join(text for e, text, _ in self.blocks if inside[e])
 
     def text_at(self, paths: list[str], notices: frozenset[int] = frozenset()) -> str:
-        """Text under the first of the paths that has any here, else under the page's own container."""
+        """Text under that of the paths with the most clean text here, if it has all that is in the page's own container, else of that one."""
         weight = self.weights(notices)
         own = self.container(weight)
+        best, most = None, weight[own] - 1
         for path in paths:
             at = 0
             for label in path.split(">") if path else ():
@@ -276,10 +277,13 @@ class Page:
                 if at < 0:
                     break
             if at >= 0:
-                text = self.text_in([p == at for p in self.path])
-                if text:
-                    return text
-        return self.text_in([e == own for e in range(len(self.parent))])
+                chosen = [p == at for p in self.path]
+                held = sum(w for w, c in zip(weight, chosen) if c)
+                if held > most:
+                    text = self.text_in(chosen)
+                    if text:
+                        best, most = text, held
+        return best if best is not None else self.text_in([e == own for e in range(len(self.parent))])
 
 
 def digest(text: str) -> int:

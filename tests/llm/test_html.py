@@ -66,6 +66,15 @@ def test_title_and_lead_beside_a_long_body_stay(spark):
     assert all(got[i].startswith(f"Title {i}\nLead {i}.\nPage {i}.") and got[i].endswith(f"Closing {i}.") for i in got) and len(got) == 6
 
 
+def test_each_layout_of_a_host_keeps_its_article(spark):
+    a = "<body><div class=body><p>Article {0} of the first layout. {1}</p></div></body>"
+    b = "<body><div class=body><p>Teaser {0}.</p></div><section class=text><p>Article {0} of the second layout. {1}</p></section></body>"
+    more = "More of it. " * 30
+    rows = [(i, "http://h/", (a if i < 14 else b).format(i, more)) for i in range(20)]
+    got = {r.page_id: r.text for r in html_text.extract(pages(spark, rows)).collect()}
+    assert all(f"Article {i} of the" in got[i] for i in range(20))
+
+
 def test_odd_rows(spark):
     rows = [(1, None, "<p>a"), (2, "http://x/", None), (3, "no url", ""), (None, "http://x/", "<p>b"), (1, None, "<p>a")]
     got = html_text.extract(pages(spark, [r + ("t", "h", 1) for r in rows], ", text string, HOST string, paths int"))
