@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, html_text, langid, mixing, pieces, pii, simhash, token_counts, topk
+from . import chat, collocations, exact_dedup, html_text, langid, lexical, mixing, packing, pieces, pii, simhash, token_counts, topk
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,3 +136,68 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 def exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").filter(topk.usable(F.col("embedding")))
     return topk.search(rows.select("vec_id", topk.scaled(F.col("embedding")).alias("embedding")), F.col("vec_id") % 50 == 0, k=5)
+
+
+@query("op11_best_fit_packing")
+def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+RANK_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row_id, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words
+  FROM documents),
+i AS (
+  SELECT item_id, list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                   '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS words
+  FROM benchmark),
+g AS (SELECT count(*) AS n_docs, sum(len(words)) AS n_terms FROM d WHERE len(words) > 0),
+t AS (SELECT DISTINCT unnest(words) AS term FROM i),
+o AS (SELECT row_id, doc_id, len(words) AS n, unnest(words) AS term FROM d),
+tf AS (SELECT row_id, doc_id, n, term, count(*) AS tf FROM o SEMI JOIN t USING (term) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+      FROM tf, g GROUP BY term, n_docs),
+p AS (SELECT row_id, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + CAST((90 * n * n_docs) // n_terms AS BIGINT)))) AS part
+      FROM tf JOIN w USING (term), g),
+s AS (SELECT item_id, row_id, doc_id, CAST(sum(part) AS BIGINT) AS score
+      FROM (SELECT item_id, unnest(words) AS term FROM i) JOIN p USING (term) GROUP BY ALL)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10"""
+
+
+@query("op12_ranked_lexical_search", RANK_SQL)
+def ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+PHRASE_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+t AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+k AS (SELECT lang, w, unnest(range(1, least(5, len(w)) + 1)) AS k FROM w),
+g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM k)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, k AS words, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k >= 2),
+x AS (SELECT *, unnest(range(1, words)) AS k FROM c),
+s AS (SELECT x.lang, x.phrase, a, x.k, h.f AS l, r.f AS r, n,
+             CAST(1000 * CAST(a AS HUGEINT) * n // (CAST(h.f AS HUGEINT) * r.f) AS BIGINT) AS score
+      FROM x JOIN t USING (lang)
+      JOIN f h ON h.lang = x.lang AND h.phrase = array_to_string(w[1:x.k], ' ')
+      JOIN f r ON r.lang = x.lang AND r.phrase = array_to_string(w[x.k + 1:], ' ')),
+m AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+i AS (SELECT lang, array_to_string(w[b:b + size - 1], ' ') AS phrase, max(a) AS longer
+      FROM (SELECT *, unnest(range(1, words - size + 2)) AS b FROM (SELECT *, unnest(range(2, words)) AS size FROM c)) GROUP BY 1, 2),
+z AS (SELECT m.* FROM m LEFT JOIN i USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 100 * a)
+SELECT lang, rank, phrase, a, l, r, n, score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM z) WHERE rank <= 2000"""
+
+
+@query("op13_phrase_collocations", PHRASE_SQL)
+def phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
