@@ -104,15 +104,19 @@ def test_search_against_brute_force(seed):
     assert packing.improve([[i] for i in range(7)], sizes, 12) is not None
 
 
-def test_every_kind_of_exchange_frees_a_bin():
-    cases = {
-        "move": ([[0], [1]], [3, 7], 1),
-        "one for one": ([[0], [1, 2], [3]], [3, 7, 1, 8], 2),
-        "two for one": ([[0, 1], [2, 3], [4]], [2, 2, 3, 5, 7], 2),
-        "one for two": ([[0], [1, 2, 3], [4, 5]], [3, 1, 1, 7, 4, 4], 2),
-    }
-    for name, (bins, sizes, n) in cases.items():
-        sizes = np.array(sizes)
-        found = packing.improve(bins, sizes, 10)
-        assert len(found) == n and sorted(sum(found, [])) == list(range(len(sizes))), name
-        assert sum(sizes[b].sum() ** 2 for b in found) >= sum(sizes[b].sum() ** 2 for b in bins)
+def test_every_kind_of_exchange():
+    sizes = np.array([3, 7, 1, 8, 2, 2, 4, 4])
+    cases = [
+        ([0], [1], ([0], [])),  # 3 goes to 7
+        ([0], [1, 2], ([0], [2])),  # 3 for the 1 beside 7
+        ([4, 5], [1, 2], ([4, 5], [2])),  # both 2 for the 1, which leaves 11 - 1 too many: the search takes less
+    ]
+    for giver, taker, want in cases:
+        go, come = packing._exchange(packing._Bin(giver, sizes), packing._Bin(taker, sizes), 10)
+        before, after = sizes[taker].sum(), sizes[taker].sum() + sizes[go].sum() - sizes[come].sum()
+        assert before < after <= 10 and set(go) <= set(giver) and set(come) <= set(taker), want
+    two_for_one = packing._exchange(packing._Bin([0, 1], np.array([3, 4, 6, 1])), packing._Bin([2], np.array([3, 4, 6, 1])), 7)
+    assert two_for_one == ([0, 1], [2])
+    one_for_two = packing._exchange(packing._Bin([0], np.array([5, 2, 2, 4])), packing._Bin([1, 2, 3], np.array([5, 2, 2, 4])), 9)
+    assert sorted(one_for_two[1]) == [1, 2] and one_for_two[0] == [0]
+    assert packing._exchange(packing._Bin([0], np.array([5, 5])), packing._Bin([1], np.array([5, 5])), 9) is None
