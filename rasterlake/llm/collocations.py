@@ -37,9 +37,9 @@ SUPPORT = 100
 LONGEST = 5
 TOP = 2000
 SHARE = 8  # one document in so many is in the sample
-LOWERED = 0.4  # of the support expected there
+LOWERED = 0.7  # of the support expected there
 NODES = 1_000_000
-HELD = 1_000_000  # border rows and words that a task holds before it sends them on
+HELD = 400_000  # border rows and words that a task holds before it sends them on
 PARTS = 64
 UNKNOWN, BREAK, NOTHING = -1, -2, -3
 SHIFT = 31
@@ -91,6 +91,20 @@ class Trie:
         self.count = np.concatenate([self.count, singles["n"].to_numpy(np.int64), counts])
         self._index()
 
+    def grow_longer(self, found: list[bytes], times: np.ndarray) -> None:
+        """Add frequent phrases given by the nodes of their words; the first part of each is known or among them."""
+        size = np.array([len(f) // 4 for f in found], np.int64)
+        for longest in range(2, int(size.max(initial=0)) + 1):
+            at = np.flatnonzero(size == longest)
+            nodes = np.frombuffer(b"".join(found[i] for i in at), "<i4").reshape(-1, longest).astype(np.int64)
+            parent = nodes[:, 0]
+            for n in range(1, longest - 1):
+                parent = self.find(parent << SHIFT | nodes[:, n])
+            self.parent = np.concatenate([self.parent, parent])
+            self.last = np.concatenate([self.last, nodes[:, -1]])
+            self.count = np.concatenate([self.count, times[at]])
+            self._index()
+
     def keep(self, kept: np.ndarray) -> None:
         """Only the nodes of the mask; parts of a kept phrase are kept, since they are as frequent."""
         number = np.cumsum(kept) - 1
@@ -123,7 +137,7 @@ class _Held:
         self.keys: list[np.ndarray] = []
         self.times: list[np.ndarray] = []
         self.size = 0
-        self.words: dict[str, Counter] = {}
+        self.words: dict[str | None, Counter] = {}
 
     def add(self, keys: np.ndarray) -> None:
         found, times = np.unique(keys, return_counts=True)
@@ -159,11 +173,12 @@ ROWS = "lang string, word binary, key bigint, n bigint"
 _HERE: dict[str, Trie] = {}
 
 
-def _pass(texts: DataFrame, trie: Trie, new_from: int, first: bool, longest: int) -> DataFrame:
+def _pass(texts: DataFrame, trie: Trie, new_from: int, first: bool, longest: int, leap: bool = False) -> DataFrame:
     """One pass over ``texts`` (lang, text): rows (lang, word, key, n), of which many may have the same key.
 
     ``key`` of a border phrase is its first part's node and last word's node. In the first pass unknown words are counted too, known nodes
-    (key -1 - node), and all words of a language (no word, no key). Later passes look only at phrases with a part from ``new_from`` on.
+    (key -1 - node), and all words of a language (no word, no key). Later passes look only at phrases with a part from ``new_from`` on;
+    with ``leap`` at all phrases that contain one and whose parts may be frequent, which are named by their words' nodes (no language).
     """
     spark = texts.sparkSession
     handed = spark.sparkContext.broadcast((trie.first, trie.parent, trie.last))
@@ -180,6 +195,21 @@ def _pass(texts: DataFrame, trie: Trie, new_from: int, first: bool, longest: int
             _HERE[here] = own
         return _HERE[here]
 
+    def around_new(trie: Trie, word: np.ndarray, held: _Held) -> None:
+        """Count what is unknown around new phrases: where a part is neither known nor holds a new one, no longer phrase is frequent."""
+        node, may, new = word, word >= 0, word >= new_from
+        for size in range(2, longest + 1):
+            may, new = may[:-1] & may[1:], new[:-1] | new[1:]
+            at = np.flatnonzero((node[:-1] >= 0) & may)
+            met = np.full(len(may), UNKNOWN)
+            met[at] = trie.find(node[at] << SHIFT | word[at + size - 1])
+            node, new = met, new | (met >= new_from)
+            may &= (node >= 0) | new
+            at = np.flatnonzero(may & (node < 0))
+            if len(at):
+                phrases = word[at[:, None] + np.arange(size)].astype("<i4").tobytes()
+                held.words.setdefault(None, Counter()).update(phrases[i:i + 4 * size] for i in range(0, len(phrases), 4 * size))
+
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, held = known(), _Held()
         seen, totals = np.zeros(len(trie), np.int64), Counter()
@@ -199,6 +229,11 @@ def _pass(texts: DataFrame, trie: Trie, new_from: int, first: bool, longest: int
             node = word
             if first:
                 seen += np.bincount(node[node >= 0], minlength=len(trie))
+            if leap:
+                around_new(trie, word, held)
+                if held.full():
+                    yield held.rows()
+                continue
             for size in range(2, longest + 1):
                 here_too, beside = node[:-1], node[1:]
                 at = np.flatnonzero((here_too >= 0) & (beside >= 0))
@@ -233,15 +268,18 @@ class TooMany(Exception):
     """The frequent phrases are more than a task should hold."""
 
 
-def _close(texts: DataFrame, trie: Trie, support: int, longest: int, nodes: int) -> dict[str, int]:
-    """Make ``trie`` hold exactly the phrases of ``texts`` that occur ``support`` times or more; the number of words by language."""
+def _close(texts: DataFrame, trie: Trie, support: int, longest: int, nodes: int, leap: bool) -> dict[str, int]:
+    """Make ``trie`` hold exactly the phrases of ``texts`` that occur ``support`` times or more; the number of words by language.
+
+    Without ``leap`` every pass after the first adds phrases longer by a word, with it one adds all.
+    """
     totals: dict[str, int] = {}
     first, new_from = True, 0
     while True:
-        found = cut_lineage(_summed(_pass(texts, trie, new_from, first, longest), support))
+        found = cut_lineage(_summed(_pass(texts, trie, new_from, first, longest, leap and not first), support))
         if found.count() + len(trie) > 2 * nodes:
             raise TooMany
-        rows = found.toPandas()
+        rows = found.toArrow().to_pandas(integer_object_nulls=True)
         if first:
             is_total = rows["key"].isna() & rows["word"].isna()
             totals = {lang: int(n) for lang, n in zip(rows.loc[is_total, "lang"], rows.loc[is_total, "n"])}
@@ -257,6 +295,9 @@ def _close(texts: DataFrame, trie: Trie, support: int, longest: int, nodes: int)
             kept = trie.count >= support
             new_from = int(kept[:old].sum())
             trie.keep(kept)
+        elif leap:
+            trie.grow_longer([bytes(p) for p in rows["word"]], rows["n"].to_numpy(np.int64))
+            new_from = len(trie)
         else:
             new_from = len(trie)
             trie.grow(rows)
@@ -294,17 +335,19 @@ def count_by_shuffle(texts: DataFrame, support: int, longest: int = LONGEST) ->
 
 def frequent_phrases(
     docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST, share: int = SHARE, lowered: float = LOWERED, nodes: int = NODES,
-    text_col: str = "text", lang_col: str = "lang",
+    id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
 ) -> tuple[DataFrame, DataFrame]:
     """Phrases of up to ``longest`` words that occur ``support`` times or more (lang, phrase, words, f), and all words by language (lang, n)."""
     spark = docs.sparkSession
     small_batches(spark)
-    texts = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), text_or_empty(text_col).cast("binary").alias("text"))
+    wanted = F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), text_or_empty(text_col).cast("binary").alias("text")
+    texts = docs.select(*wanted)
     trie = Trie()
     try:
-        sample = texts.filter(F.pmod(F.xxhash64("lang", "text"), F.lit(share)) == 0)
-        _close(sample, trie, max(2, int(support * lowered / share)), longest, nodes)
-        totals = _close(texts, trie, support, longest, nodes)
+        # By id and text: of equal texts with different ids a share is taken, not all or none.
+        sample = docs.filter(F.pmod(F.xxhash64(id_col, text_col), F.lit(share)) == 0).select(*wanted)
+        _close(sample, trie, max(2, int(support * lowered / share)), longest, nodes, leap=False)
+        totals = _close(texts, trie, support, longest, nodes, leap=True)
     except TooMany:
         return count_by_shuffle(texts, support, longest)
     return (
