@@ -117,6 +117,6 @@ def test_every_kind_of_exchange():
         assert before < after <= 10 and set(go) <= set(giver) and set(come) <= set(taker), want
     two_for_one = packing._exchange(packing._Bin([0, 1], np.array([3, 4, 6, 1])), packing._Bin([2], np.array([3, 4, 6, 1])), 7)
     assert two_for_one == ([0, 1], [2])
-    one_for_two = packing._exchange(packing._Bin([0], np.array([5, 2, 2, 4])), packing._Bin([1, 2, 3], np.array([5, 2, 2, 4])), 9)
+    one_for_two = packing._exchange(packing._Bin([0], np.array([5, 2, 2, 1])), packing._Bin([1, 2, 3], np.array([5, 2, 2, 1])), 6)
     assert sorted(one_for_two[1]) == [1, 2] and one_for_two[0] == [0]
     assert packing._exchange(packing._Bin([0], np.array([5, 5])), packing._Bin([1], np.array([5, 5])), 9) is None
