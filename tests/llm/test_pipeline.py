@@ -7,7 +7,32 @@ import corpus_pipeline
 from conftest import SF_DIR
 from rows import DOCS, clashing, empty
 
-from rasterlake.llm import langid, mixing, pieces, simhash
+from rasterlake.llm import langid, mixing, pieces
+
+
+def shingles(text, size=5):
+    """The set of a text's word shingles; the whole sequence if it is shorter."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    return {tuple(words[i:i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
+
+
+def one_of_each_group(texts):
+    """The smallest id of each group of texts linked by a similarity of 0.8 or more, from all pairs."""
+    sets = {i: shingles(t) for i, t in texts.items()}
+    parent = {i: i for i in texts}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    ordered = sorted(texts)
+    for n, a in enumerate(ordered):
+        for b in ordered[:n]:
+            both = len(sets[a] & sets[b])
+            if 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both):
+                parent[max(find(a), find(b))] = min(find(a), find(b))
+    return {find(i) for i in texts}
 
 
 def test_stages(spark):
@@ -19,26 +44,7 @@ def test_stages(spark):
     for i in sorted(kept):
         last[rows[i].text] = i
     kept = set(last.values())
-    points = defaultdict(list)
-    for i in kept:
-        points[simhash.fingerprint((rows[i].text or "").encode(), simhash.SIMILAR)].append(i)
-    heads = {f: int.from_bytes(f) for f in points}
-    parent = {f: f for f in points}
-
-    def find(f):
-        while parent[f] != f:
-            f = parent[f]
-        return f
-
-    ordered = sorted(points)
-    for a, f in enumerate(ordered):
-        for g in ordered[:a]:
-            if (heads[f] ^ heads[g]).bit_count() <= simhash.SIMILAR.distance:
-                parent[find(f)] = find(g)
-    groups = defaultdict(list)
-    for f in ordered:
-        groups[find(f)] += points[f]
-    kept = {min(g) for g in groups.values()}
+    kept = one_of_each_group({i: rows[i].text or "" for i in kept})
     sizes = {i: len(re.findall(r"[^\x20\x09-\x0D]+", rows[i].text or "")) for i in kept}
     plan = {r.doc_id: r.passes for r in mixing.plan_passes(docs.filter(docs.doc_id.isin(list(kept)))).collect()}
     assert set(plan) == kept and all(plan[i] == 0 for i in kept if not sizes[i])
