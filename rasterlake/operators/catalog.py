@@ -85,24 +85,31 @@ def visible_by_slug(requests: DataFrame, tile_sets: DataFrame) -> DataFrame:
 
 
 def apply_patches(tile_sets: DataFrame, patches: DataFrame, projects: DataFrame) -> DataFrame:
-    """New version of the table: given fields replace, the project is cleared, set when owned, or kept.
+    """New version of the table after all patches in order of their ``patch_id``: given fields replace, the project is cleared, set when
+    owned, or kept.
 
-    A patch that names a project of somebody else changes nothing.
+    A patch that names a project of somebody else changes nothing. Of several patches of a tile set each field has the value of the last
+    one that gives it, so they are folded to one row before they meet the table.
     """
     owned = projects.select("project_id", "user_id").withColumn("_owned", F.lit(True))
-    usable = (
-        patches.join(owned, ["project_id", "user_id"], "left")
-        .filter(F.col("project_id").isNull() | F.col("_owned"))
-        .select("user_id", "slug", F.col("name").alias("_name"), F.col("is_public").alias("_public"),
-                F.col("clear_project").alias("_clear"), F.col("project_id").alias("_project"), F.lit(True).alias("_patched"))
+    usable = patches.join(owned, ["project_id", "user_id"], "left").filter(F.col("project_id").isNull() | F.col("_owned"))
+    clears = F.coalesce("clear_project", F.lit(False))
+
+    def last(value: Column, given: Column) -> Column:
+        return F.max_by(value, F.when(given, F.col("patch_id")))
+
+    folded = usable.groupBy("user_id", "slug").agg(
+        last(F.col("name"), F.col("name").isNotNull()).alias("_name"),
+        last(F.col("is_public"), F.col("is_public").isNotNull()).alias("_public"),
+        last(F.struct(F.when(~clears, F.col("project_id")).alias("id")), clears | F.col("project_id").isNotNull()).alias("_project"),
+        F.lit(True).alias("_patched"),
     )
-    project = F.when(F.col("_clear"), F.lit(None)).otherwise(F.coalesce("_project", "project_id"))
-    patched = tile_sets.join(usable, ["user_id", "slug"], "left")
+    patched = tile_sets.join(folded, ["user_id", "slug"], "left")
     return patched.select(
         *[c for c in tile_sets.columns if c not in ("name", "is_public", "project_id")],
         F.coalesce("_name", "name").alias("name"),
         F.coalesce("_public", "is_public").alias("is_public"),
-        project.alias("project_id"),
+        F.when(F.col("_project").isNull(), F.col("project_id")).otherwise(F.col("_project.id")).alias("project_id"),
         F.coalesce("_patched", F.lit(False)).alias("patched"),
     )
 
@@ -177,7 +184,10 @@ def finalise(tile_sets: DataFrame, incoming: DataFrame, finished: DataFrame, obj
 
 
 def rows_from_jobs(done: DataFrame, existing: DataFrame) -> DataFrame:
-    """Catalogue rows of finished jobs, leaving out (user_id, slug) pairs that exist already."""
+    """Catalogue rows of finished jobs, leaving out (user_id, slug) pairs that exist already.
+
+    A job that is delivered again inserts nothing: of the rows of a pair the one with the smallest ``delivery`` counts.
+    """
     from ..functions import geo
 
     zmin, zmax = F.coalesce("min_zoom", F.lit(0)).cast("int"), F.col("max_zoom").cast("int")
@@ -193,7 +203,11 @@ def rows_from_jobs(done: DataFrame, existing: DataFrame) -> DataFrame:
         text.tile_prefix(F.col("job_id")).alias("storage_path"),
         F.coalesce("tile_format", F.lit("png")).alias("tile_format"),
         F.least(F.lit(100), F.greatest(F.lit(1), F.coalesce("quality", F.lit(85)))).alias("tile_quality"),
+        "delivery",
     )
+    values = [c for c in rows.columns if c not in ("user_id", "slug", "delivery")]
+    first = rows.groupBy("user_id", "slug").agg(F.min(F.struct("delivery", *values)).alias("_first"))
+    rows = first.select("user_id", "slug", *[F.col(f"_first.{c}").alias(c) for c in values])
     return rows.join(existing.select("user_id", "slug"), ["user_id", "slug"], "left_anti")
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +17,9 @@ QUOTA_BYTES = 5 * 1024**3
 ESTIMATE_FACTOR = 2
 CRITICAL_PERCENT = 90.0
 
+# A user with more requests than this is brought down to it by steps that sort within pieces only.
+WALKED = 1_000_000
+
 
 def used(users: DataFrame, tile_sets: DataFrame) -> DataFrame:
     """Used bytes of every user, zero without tile sets."""
@@ -88,29 +95,87 @@ def _round(pending: DataFrame, piece: Column) -> DataFrame:
     return cut_lineage(judged.unionByName(refused))
 
 
-def admit(requests: DataFrame, balance: DataFrame, quota: int = QUOTA_BYTES, piece: Column | None = None) -> DataFrame:
+def _take(sizes: list[int], room: int) -> tuple[list[bool], int]:
+    """Which of a user's requests fit, one after the other, and the room they leave."""
+    taken = []
+    for size in sizes:
+        fits = size <= room
+        if fits:
+            room -= size
+        taken.append(fits)
+    return taken, room
+
+
+def _walk(requests: DataFrame, room: DataFrame) -> DataFrame:
+    """Admission in one shuffle: a user's room and then its requests pass by in order, and only the room is remembered."""
+    rows = requests.withColumn("room", F.lit(None).cast("long"))
+    heads = room.filter("room IS NOT NULL").select(*[F.lit(None).cast(rows.schema[c].dataType).alias(c) if c != "user_id" else F.col(c) for c in ASKED], "room")
+    both = heads.unionByName(rows).withColumn("size", F.coalesce("bytes", F.lit((1 << 63) - 1)))
+    # Dealt by a hash of the user: a union of two sides that are dealt by the user already would be left as it is, and its partitions,
+    # once Spark has merged small ones on either side, need not match.
+    dealt = both.repartition(F.xxhash64("user_id")).sortWithinPartitions("user_id", F.col("room").isNull(), "ts", "request_id")
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        user, left = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            users = batch.column("user_id").to_numpy(zero_copy_only=False)
+            rooms, sizes = batch.column("room").to_pylist(), batch.column("size").to_numpy()
+            borders = np.flatnonzero(users[1:] != users[:-1]) + 1
+            admitted: list[bool] = []
+            for a, b in zip([0, *borders.tolist()], [*borders.tolist(), len(users)]):
+                if user is None or users[a] != user:
+                    user, left = users[a], None
+                while a < b and rooms[a] is not None:  # the head of a user
+                    left = rooms[a]
+                    admitted.append(False)
+                    a += 1
+                if left is None:
+                    admitted += [False] * (b - a)
+                elif a < b:
+                    taken, left = _take(sizes[a:b].tolist(), left)
+                    admitted += taken
+            shown = pa.RecordBatch.from_arrays([*[batch.column(c) for c in DECIDED], pa.array(admitted, pa.bool_())], [*DECIDED, "admitted"])
+            yield shown.filter(batch.column("room").is_null())
+
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in DECIDED)
+    return dealt.mapInArrow(step, f"{kinds}, admitted boolean")
+
+
+def admit(requests: DataFrame, balance: DataFrame, quota: int = QUOTA_BYTES, piece: Column | None = None, walked: int = WALKED) -> DataFrame:
     """Reserve storage in (ts, request_id) order: each admitted request leaves less room for the next.
 
-    ``requests`` has request_id, user_id, ts, bytes; ``balance`` used_bytes and, optionally, reserved_bytes. The work goes in steps, each
-    of which halves the room of the users it leaves undecided, so there are at most as many as the quota has binary digits, however many
-    requests there are. ``piece`` cuts a user's requests into pieces in time order (by minute of ``ts`` unless given), so that no task
-    sorts a whole user.
+    ``requests`` has request_id, user_id, ts, bytes; ``balance`` used_bytes and, optionally, reserved_bytes. All users are settled in one
+    pass, but for those with more than ``walked`` requests. These go in steps, each of which halves the room of the users it leaves
+    undecided, until so few of their requests are undecided that the pass takes them too; ``piece`` cuts their requests into pieces in
+    time order (by minute of ``ts`` unless given), so that no task sorts such a user. A request without a user or a size is refused.
     """
     reserved = F.col("reserved_bytes") if "reserved_bytes" in balance.columns else F.lit(0)
     room = balance.select("user_id", (F.lit(quota) - F.col("used_bytes") - reserved).cast("long").alias("room"))
-    sized = requests.select("request_id", "user_id", "ts", F.col("bytes").cast("long").alias("bytes"))
-    pending = lookup(sized, room, ["user_id"], ["request_id"])
+    asked = requests.select("request_id", "user_id", "ts", F.col("bytes").cast("long").alias("bytes"))
+    refused = F.col("user_id").isNull() | F.col("bytes").isNull()
+    nobody = asked.filter(refused).select(*DECIDED, F.lit(False).alias("admitted"))
+    asked = asked.filter(~refused)
+
+    def busy_of(pending: DataFrame) -> DataFrame:
+        return pending.groupBy("user_id").agg(F.count("*").alias("_n")).filter(F.col("_n") > walked).select("user_id")
+
+    busy = busy_of(asked)
+    if busy.isEmpty():
+        return _walk(asked, room).unionByName(nobody)
+    busy = cut_lineage(busy)
+    out = _walk(asked.join(busy, "user_id", "left_anti"), room.join(busy, "user_id", "left_anti")).unionByName(nobody)
+    pending = lookup(asked.join(busy, "user_id", "left_semi"), room, ["user_id"], ["request_id"])
     if piece is None:
         piece = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 60_000_000)
-    out = None
-    for _ in range(int(quota).bit_length() + 2):
+    while True:
         judged = _round(pending, piece)
-        decided = judged.filter("admitted IS NOT NULL").select(*DECIDED, "admitted")
-        out = decided if out is None else out.unionByName(decided)
+        out = out.unionByName(judged.filter("admitted IS NOT NULL").select(*DECIDED, "admitted"))
         pending = judged.filter("admitted IS NULL").drop("admitted")
-        if pending.isEmpty():
-            break
-    return out
+        if busy_of(pending).isEmpty():
+            left = pending.groupBy("user_id").agg(F.max("room").alias("room"))
+            return out.unionByName(_walk(pending.select(*ASKED), left))
 
 
 def release(balance: DataFrame, jobs: DataFrame) -> DataFrame:

@@ -111,25 +111,39 @@ def tile_set_by_shared_slug(t: Tables):
 
 # --- changes -----------------------------------------------------------------------------------------
 
+# One patch after the other, as the table stands then.
 PATCH_SQL = """
-patch AS (SELECT user_id, slug, CASE WHEN tileset_id % 2 = 0 THEN concat('renamed ', slug) END AS new_name, CASE WHEN tileset_id % 5 = 0 THEN TRUE END AS new_public,
+patch AS (SELECT tileset_id * 2 AS patch_id, user_id, slug, CASE WHEN tileset_id % 2 = 0 THEN concat('renamed ', slug) END AS new_name, CASE WHEN tileset_id % 5 = 0 THEN TRUE END AS new_public,
                  tileset_id % 7 = 0 AS clear_project, CASE WHEN tileset_id % 3 = 0 THEN user_id * 10 + tileset_id % 4 END AS new_project
-          FROM tile_sets WHERE max_zoom >= 4),
-ok AS (SELECT * FROM patch p WHERE new_project IS NULL OR EXISTS (SELECT 1 FROM projects j WHERE j.project_id = p.new_project AND j.user_id = p.user_id))
-SELECT t.tileset_id, COALESCE(new_name, name) AS name, COALESCE(new_public, is_public) AS is_public,
-       CASE WHEN clear_project THEN NULL ELSE COALESCE(new_project, project_id) END AS project_id, ok.slug IS NOT NULL AS patched
-FROM tile_sets t LEFT JOIN ok ON ok.user_id = t.user_id AND ok.slug = t.slug"""
+          FROM tile_sets WHERE max_zoom >= 4
+          UNION ALL SELECT tileset_id * 2 + 1, user_id, slug, CASE WHEN tileset_id % 3 = 0 THEN concat('again ', slug) END, CASE WHEN tileset_id % 4 = 0 THEN FALSE END,
+                 tileset_id % 5 = 0, CASE WHEN tileset_id % 2 = 0 THEN user_id * 10 + tileset_id % 3 END
+          FROM tile_sets WHERE max_zoom >= 3),
+ok AS (SELECT *, row_number() OVER (PARTITION BY user_id, slug ORDER BY patch_id) AS n FROM patch p
+       WHERE new_project IS NULL OR EXISTS (SELECT 1 FROM projects j WHERE j.project_id = p.new_project AND j.user_id = p.user_id)),
+walk AS (SELECT tileset_id, user_id, slug, name, is_public, project_id, CAST(0 AS BIGINT) AS n FROM tile_sets
+         UNION ALL
+         SELECT w.tileset_id, w.user_id, w.slug, COALESCE(new_name, name), COALESCE(new_public, is_public),
+                CASE WHEN clear_project THEN NULL ELSE COALESCE(new_project, project_id) END, w.n + 1
+         FROM walk w JOIN ok ON ok.user_id = w.user_id AND ok.slug = w.slug AND ok.n = w.n + 1)
+SELECT tileset_id, name, is_public, project_id, n > 0 AS patched FROM (SELECT *, row_number() OVER (PARTITION BY tileset_id ORDER BY n DESC) AS rn FROM walk) q WHERE rn = 1"""
 
 
 @REG.query("tile_sets", "projects", sql=PATCH_SQL)
 def update_tile_sets(t: Tables):
+    """Up to two patches of a tile set."""
     sets, key = t("tile_sets"), F.col("tileset_id")
-    patches = sets.filter(F.col("max_zoom") >= 4).select(
-        "user_id", "slug", F.when(key % 2 == 0, F.concat(F.lit("renamed "), "slug")).alias("name"),
+    first = sets.filter(F.col("max_zoom") >= 4).select(
+        (key * 2).alias("patch_id"), "user_id", "slug", F.when(key % 2 == 0, F.concat(F.lit("renamed "), "slug")).alias("name"),
         F.when(key % 5 == 0, True).alias("is_public"), (key % 7 == 0).alias("clear_project"),
         F.when(key % 3 == 0, F.col("user_id") * 10 + key % 4).alias("project_id"),
     )
-    return catalog.apply_patches(sets, patches, t("projects")).select(
+    second = sets.filter(F.col("max_zoom") >= 3).select(
+        (key * 2 + 1).alias("patch_id"), "user_id", "slug", F.when(key % 3 == 0, F.concat(F.lit("again "), "slug")).alias("name"),
+        F.when(key % 4 == 0, False).alias("is_public"), (key % 5 == 0).alias("clear_project"),
+        F.when(key % 2 == 0, F.col("user_id") * 10 + key % 3).alias("project_id"),
+    )
+    return catalog.apply_patches(sets, first.unionByName(second), t("projects")).select(
         "tileset_id", "name", "is_public", "project_id", "patched"
     )
 
@@ -188,8 +202,10 @@ def finalise_tile_sets(t: Tables):
 JOB_ROWS_SQL = """
 done AS (SELECT o_orderkey AS job_id, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_custkey END AS user_id,
                 CASE o_orderkey % 4 WHEN 0 THEN concat('maps/', o_orderpriority, '.final.png') WHEN 1 THEN 'plain' WHEN 2 THEN 'dir/.png' END AS file_name,
-                CAST(o_orderkey % 6 AS INT) AS max_zoom, CAST(o_orderkey % 120 AS INT) AS quality, CAST(round(o_totalprice) AS BIGINT) AS zip_bytes FROM orders),
-n AS (SELECT *, regexp_replace(regexp_extract(file_name, '([^/]*)$', 1), '\\.[^.]*$', '') AS base FROM done)
+                CAST(o_orderkey % 6 AS INT) AS max_zoom, CAST(o_orderkey % 120 AS INT) AS quality, CAST(round(o_totalprice) AS BIGINT) + delivery AS zip_bytes, delivery
+         FROM orders, (SELECT unnest([1, 2]) AS delivery) WHERE delivery = 1 OR o_orderkey % 3 = 0),
+once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, job_id ORDER BY delivery) AS rn FROM done) q WHERE rn = 1),
+n AS (SELECT *, regexp_replace(regexp_extract(file_name, '([^/]*)$', 1), '\\.[^.]*$', '') AS base FROM once)
 SELECT user_id, CASE WHEN length(base) > 0 THEN base ELSE concat('Tileset ', substr(CAST(job_id AS VARCHAR), 1, 8)) END AS name, CAST(job_id AS VARCHAR) AS slug,
        'flat' AS projection, 256 AS tile_size, 0 AS min_zoom, max_zoom, ((CAST(1 AS BIGINT) << (2 * max_zoom + 2)) - 1) // 3 AS tile_count, zip_bytes + 77 AS size_bytes,
        concat('tiles/', CAST(job_id AS VARCHAR)) AS storage_path, 'png' AS tile_format, CAST(least(100, greatest(1, quality)) AS INT) AS tile_quality
@@ -206,6 +222,9 @@ def catalogue_rows_from_jobs(t: Tables):
         (key % 6).cast("int").alias("max_zoom"), (key % 120).cast("int").alias("quality"),
         F.lit(None).cast("string").alias("tile_format"), F.round("o_totalprice").cast("long").alias("zip_bytes"), F.lit(77).alias("archive_bytes"),
     )
+    # Every third job is delivered twice, with a larger archive the second time.
+    nth = F.explode(F.when(F.col("job_id") % 3 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+    done = done.withColumn("delivery", nth).withColumn("zip_bytes", F.col("zip_bytes") + F.col("delivery"))
     existing = orders.filter(key % 9 == 0).select(F.col("o_custkey").alias("user_id"), key.cast("string").alias("slug"))
     return catalog.rows_from_jobs(done, existing)
 

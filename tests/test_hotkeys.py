@@ -148,3 +148,23 @@ def test_flood_in_one_window(spark):
     assert sum(r.allowed for r in got if r.identity == "user:1") == 60
     late = [r for r in got if not r.allowed]
     assert all(r.remaining == 0 and r.retry_after == 30 and r.reset == 120 for r in late)
+
+
+@pytest.mark.parametrize("walked", [1_000_000, 2_000])
+def test_admission_of_many_contested_requests(spark, walked):
+    """A hundred thousand requests of one user, of which few fit, beside other users, requests without user or size, and an unknown user."""
+    rng = random.Random(11)
+    asked = [(i, 1, i // 3, rng.choice([1, 7, 50, 400, 9000])) for i in range(100_000)]
+    asked += [(200_000 + i, i % 40, i, rng.randrange(200)) for i in range(2_000)]
+    asked += [(300_000, None, 1, 1), (300_001, 2, 1, None), (300_002, 777, 1, 1), (300_003, 3, 0, 0)]
+    balance = [(u, 100_000 - 60 * u) for u in range(40)] + [(None, 0)]
+    rng.shuffle(asked)
+    requests = spark.createDataFrame(asked, "request_id long, user_id long, sec long, bytes long").select(
+        "request_id", "user_id", F.timestamp_seconds("sec").alias("ts"), "bytes")
+    got = storage.admit(requests, spark.createDataFrame(balance, "user_id long, used_bytes long"), 102_000, walked=walked).collect()
+    room, want = {u: 102_000 - b for u, b in balance if u is not None}, {}
+    for i, u, _, size in sorted(asked, key=lambda r: (r[2], r[0])):
+        want[i] = u in room and size is not None and size <= room[u]
+        if want[i]:
+            room[u] -= size
+    assert len(got) == len(asked) and {r.request_id: r.admitted for r in got} == want
