@@ -58,14 +58,22 @@ def reserved_jobs(t: Tables):
     return jobs.fold(t("job_updates")).withColumn("reserved_bytes", F.col("job_id") * 1000)
 
 
-def commands(t: Tables):
-    return t("events").select(
+def commands_of(events, *more: str):
+    return events.select(
+        *more,
         F.col("event_id").alias("command_id"), (F.col("user_id") * 6 + F.col("event_id") % 6).alias("job_id"),
         F.when(F.col("event_id") % 8 == 0, F.col("user_id") + 1).otherwise(F.col("user_id")).alias("user_id"),
         F.when(F.col("event_type").isin("click", "view"), "cancel").otherwise("retry").alias("command"),
     )
 
 
+def command_tables(t: Tables):
+    """Jobs with their reservations, those whose source is stored, and the room of each user."""
+    state = reserved_jobs(t)
+    users = t("events").select("user_id").unionByName(t("events").select((F.col("user_id") + 1).alias("user_id"))).distinct()
+    return state, state.filter(F.col("job_id") % 5 != 0), users.withColumn("room", F.col("user_id") * 9000)
+
+
 # One command of a user after the other: a job's status is the stored one until a retry queues it or a cancel ends it.
 COMMAND_SQL = FOLD_SQL + f""",
 cm AS (SELECT event_id AS command_id, user_id * 6 + event_id % 6 AS job_id, CASE WHEN event_id % 8 = 0 THEN user_id + 1 ELSE user_id END AS user_id,
@@ -90,10 +98,8 @@ SELECT command_id, job_id, verdict, status, CASE WHEN verdict IN ('cancelled', '
 @REG.query("job_updates", sql=COMMAND_SQL)
 def cancel_and_retry(t: Tables):
     """Commands of owners and strangers; a user's room holds one retried job, but not two."""
-    state = reserved_jobs(t)
-    uploads = state.filter(F.col("job_id") % 5 != 0)
-    users = t("events").select("user_id").unionByName(t("events").select((F.col("user_id") + 1).alias("user_id"))).distinct()
-    return jobs.apply_commands(state, commands(t), uploads, users.withColumn("room", F.col("user_id") * 9000), now())
+    state, uploads, room = command_tables(t)
+    return jobs.apply_commands(state, commands_of(t("events")), uploads, room, now())
 
 
 RETRIED_SQL = """

@@ -8,10 +8,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..streaming import jobs, limits
+from ..streaming import commands, jobs, limits
 from ..streaming.run import new_folder, newest, read_stream, run_to_table
 from .fixtures import VIEWS, Registry, Tables
-from .job_queries import FOLD_SQL, IDENTITY_SQL
+from .job_queries import COMMAND_SQL, FOLD_SQL, IDENTITY_SQL, command_tables, commands_of, now
 
 REG = Registry()
 
@@ -109,3 +109,64 @@ def stream_message_intake(t: Tables):
     return good.select("event_id", F.lit("jobs").alias("went_to"), "job_id").unionByName(
         bad.select("event_id", F.lit("dead").alias("went_to"), F.lit(None).cast("string").alias("job_id"))
     )
+
+
+@REG.query("job_updates", sql=COMMAND_SQL)
+def stream_commands(t: Tables):
+    """The commands of ``cancel_and_retry`` as they come; room and changed jobs are kept in the state of their owner."""
+    events = read_stream(t.spark, t.sf_dir, "events.parquet")
+    asked = commands_of(events, "ts")
+    return run_to_table(commands.apply_commands(asked, *command_tables(t), now()), "commands", rocks=True).drop("batch_id")
+
+
+STREAM_FAIL_SQL = """
+fl AS (SELECT CAST(job_id AS VARCHAR) AS message, event_id, epoch_us(ts) // 1000 AS ms, error, row_number() OVER (PARTITION BY job_id ORDER BY ts, event_id) AS attempt FROM job_updates WHERE error IS NOT NULL),
+dl AS (SELECT *, CASE attempt WHEN 1 THEN 30 WHEN 2 THEN 120 WHEN 3 THEN 300 WHEN 4 THEN 600 END AS delay_seconds FROM fl WHERE attempt <= 5)"""
+
+
+def delivered(t: Tables, first_is_final: bool = False):
+    failed = live(t, "job_updates").filter(F.col("error").isNotNull())
+    written = run_to_table(commands.deliveries(failed, first_is_final=first_is_final), "deliveries", rocks=True)
+    return commands.split_deliveries(written)
+
+
+@REG.query(
+    "job_updates",
+    sql=STREAM_FAIL_SQL + """
+SELECT message, event_id, CAST(attempt AS INT) AS attempt, CASE WHEN attempt >= 5 THEN 'failed' ELSE 'queued' END AS next_status, delay_seconds, attempt >= 5 AS release_reservation FROM dl""",
+)
+def stream_attempts(t: Tables):
+    return delivered(t)["attempt"]
+
+
+@REG.query(
+    "job_updates",
+    sql=STREAM_FAIL_SQL + """
+SELECT message, event_id, CAST(attempt AS INT) AS attempt, ms + delay_seconds * 1000 AS at_millis FROM dl
+WHERE attempt < 5 AND ms + delay_seconds * 1000 <= (SELECT epoch_us(MAX(ts)) // 1000 - 600000 FROM job_updates WHERE error IS NOT NULL)""",
+)
+def stream_redeliveries(t: Tables):
+    """Deliveries that fell due before the clock of the stream stopped."""
+    return delivered(t)["redelivery"]
+
+
+@REG.query("job_updates", sql=STREAM_FAIL_SQL + "SELECT message, event_id, error FROM dl WHERE attempt = 5")
+def stream_dead_letters(t: Tables):
+    return delivered(t)["dead"]
+
+
+@REG.query("job_updates", sql=STREAM_FAIL_SQL + "SELECT message, event_id, error FROM dl WHERE attempt = 1")
+def stream_fallback_dead_letters(t: Tables):
+    """On the fallback queue the first failure is final."""
+    return delivered(t, first_is_final=True)["dead"]
+
+
+@REG.query(
+    "job_updates",
+    sql="""
+SELECT event_id, user_id, idempotency_key, w AS runs_as, w <> event_id AS duplicate, CASE WHEN w <> event_id THEN COALESCE(tiles_done, 0) ELSE 0 END AS given_back FROM (
+  SELECT *, CASE WHEN idempotency_key IS NULL THEN event_id ELSE first_value(event_id) OVER (PARTITION BY user_id, idempotency_key ORDER BY ts, event_id) END AS w FROM job_updates) q""",
+)
+def stream_intake_answers(t: Tables):
+    intake = live(t, "job_updates").withColumn("bytes", F.col("tiles_done"))
+    return run_to_table(commands.answers(intake), "answers", rocks=True).drop("batch_id")

@@ -31,11 +31,28 @@ def write_batches(stream: DataFrame, mode: str, folder: str):
     )
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Process all available input and return what was written, with the batch number."""
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def run_to_table(stream: DataFrame, name: str, mode: str = "append", rocks: bool = False) -> DataFrame:
+    """Process all available input and return what was written, with the batch number.
+
+    ``rocks`` keeps the state of this query in RocksDB; a query takes its settings when it starts, so the session's own come back then.
+    """
     spark = stream.sparkSession
     folder = new_folder(spark, name)
-    write_batches(stream, mode, folder).awaitTermination()
+    before = spark.conf.get(PROVIDER, None)
+    if rocks:
+        spark.conf.set(PROVIDER, ROCKS)
+    try:
+        query = write_batches(stream, mode, folder)
+    finally:
+        if rocks and before is None:
+            spark.conf.unset(PROVIDER)
+        elif rocks:
+            spark.conf.set(PROVIDER, before)
+    query.awaitTermination()
     schema = stream.schema.add(BATCH, "long")
     return spark.read.schema(schema).parquet(f"{folder}/out")
 
