@@ -73,15 +73,15 @@ def test_redelivery_follows_the_clock(spark, tmp_path):
     folder = str(tmp_path / "f")
     for batch in ([(1, "m", 0, "x")], [(2, "m", 40, "x"), (3, "other", 200, "y")], [(4, "other", 5000, "y")], [(5, "other", 5001, "y")]):
         add_file(spark.createDataFrame(batch, "event_id long, job_id string, sec long, error string").select(
-            "event_id", "job_id", F.timestamp_seconds("sec").alias("ts"), "error"), folder)
+            "event_id", "job_id", F.timestamp_seconds(F.col("sec") + 1000).alias("ts"), "error"), folder)
     written = run_to_table(commands.deliveries(stream(spark, folder), lateness="1 minute"), "due", rocks=True)
     due = commands.split_deliveries(written)["redelivery"]
-    assert rows(due, "message", "event_id", "attempt", "at_millis") == [("m", 1, 1, 30_000), ("m", 2, 2, 160_000), ("other", 3, 1, 230_000)]
+    assert rows(due, "message", "event_id", "attempt", "at_millis") == [("m", 1, 1, 1_030_000), ("m", 2, 2, 1_160_000), ("other", 3, 1, 1_230_000)]
 
 
 def test_answers_for_losers_in_later_batches(spark, tables, tmp_path):
     intake = tables("job_updates").select("event_id", "user_id", "idempotency_key", "ts", F.lit(7).alias("bytes"))
-    again = intake.filter(F.col("event_id") % 5 == 0).withColumn("event_id", F.col("event_id") + 1_000_000).withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 MINUTE"))
+    again = intake.filter(F.col("event_id") % 5 == 1).withColumn("event_id", F.col("event_id") + 1_000_000).withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 MINUTE"))
     folder = several_files(intake, tmp_path / "intake")
     add_file(again, folder)
     got = run_to_table(commands.answers(stream(spark, folder), "400 days"), "answers", rocks=True)
