@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import div, shift, tiles_at
-from ..plans.hotkeys import running_sum
+from ..plans.hotkeys import attach, running_sum
 from ..session import cut_lineage
 
 PIECE = 4096  # consecutive tile ids that are sorted together
@@ -96,6 +96,32 @@ def lookup(wanted: DataFrame, tiles: DataFrame) -> DataFrame:
     return wanted.join(tiles, ["raster_id", "z", "tx", "ty"], "left")
 
 
+def directory_lookup(wanted: DataFrame, runs: DataFrame, piece: int = PIECE) -> DataFrame:
+    """Requests (request_id, raster_id, tile_id) with the byte range of their tile, null for a tile that is not there.
+
+    The run of an id is the last one that begins at or before it, if it reaches that far. Runs are cut at the borders of pieces of ids, so
+    run and id meet in the same piece, and one pass in order of ids carries the newest run along; no pair of a run and an id is tried. Each
+    id is sought once, and its range handed to all its requests in a way that spreads a tile that very many ask for.
+    """
+    low = div(F.col("tile_id"), piece)
+    high = div(F.col("tile_id") + F.col("run_length") - 1, piece)
+    found = F.struct("offset", "length", (F.col("tile_id") + F.col("run_length")).alias("end"))
+    heads = runs.select("raster_id", "tile_id", found.alias("run"), F.explode(F.sequence(low, high)).alias("piece")).select(
+        "raster_id", "piece", F.greatest("tile_id", F.col("piece") * piece).alias("tile_id"), "run", F.lit(False).alias("asked")
+    )
+    counts = wanted.groupBy("raster_id", "tile_id").agg(F.count("*").alias("_n"))
+    asked = counts.select(
+        "raster_id", div(F.col("tile_id"), piece).alias("piece"), "tile_id", F.lit(None).cast(heads.schema["run"].dataType).alias("run"),
+        F.lit(True).alias("asked"), "_n",
+    )
+    both = heads.withColumn("_n", F.lit(0).cast("long")).unionByName(asked)
+    in_order = Window.partitionBy("raster_id", "piece").orderBy("tile_id", "asked").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = both.withColumn("run", F.last("run", ignorenulls=True).over(in_order)).filter("asked")
+    inside = F.col("tile_id") < F.col("run.end")
+    ranges = met.select("raster_id", "tile_id", *[F.when(inside, F.col(f"run.{c}")).alias(c) for c in ("offset", "length")], "_n")
+    return attach(wanted, ranges, ["raster_id", "tile_id"], ["request_id"])
+
+
 def visible_window(tiles: DataFrame, z: int, x_low: int, x_high: int, y_low: int, y_high: int) -> DataFrame:
     """Tiles in view: partition pruning on z, pushed-down ranges on tx and ty."""
     return tiles.filter(

@@ -70,6 +70,25 @@ def archive_directory(t: Tables):
     return archive.directory(quantised_tiles(t))
 
 
+@REG.query(
+    "raster_samples",
+    sql=TILE_CONTENT_SQL + """,
+fi AS (SELECT raster_id, digest, MIN(tile_id) AS first_id, MAX(length) AS length FROM en GROUP BY 1, 2),
+os AS (SELECT *, SUM(length) OVER (PARTITION BY raster_id ORDER BY first_id) - length AS off FROM fi),
+rq AS (SELECT raster_id, tile_id + (k * (k - 1)) * 10000 + k AS tile_id, tile_id * 10 + k AS request_id FROM en, range(-1, 3) r(k))
+SELECT rq.request_id, rq.raster_id, rq.tile_id, CAST(os.off AS BIGINT) AS "offset", en.length
+FROM rq LEFT JOIN en ON en.raster_id = rq.raster_id AND en.tile_id = rq.tile_id LEFT JOIN os ON os.raster_id = en.raster_id AND os.digest = en.digest""",
+)
+def directory_lookup(t: Tables):
+    """Ids inside runs, beside their ends, between runs and beyond the last one, each asked for several times."""
+    tiles = quantised_tiles(t)
+    k = F.col("k")
+    asked = archive.entries(tiles).select("raster_id", "tile_id", F.explode(F.array(*[F.lit(n) for n in (-1, 0, 1, 2)])).alias("k")).select(
+        (F.col("tile_id") * 10 + k).alias("request_id"), "raster_id", (F.col("tile_id") + k * (k - 1) * 10000 + k).alias("tile_id")
+    )
+    return archive.directory_lookup(asked, archive.directory(tiles))
+
+
 @REG.query(
     "raster_samples",
     sql=TILE_CONTENT_SQL + """
