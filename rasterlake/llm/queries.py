@@ -46,7 +46,12 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(n * size
 
 @query("op2_source_mixing", MIX_SQL)
 def source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = mixing.plan_passes(table(spark, sf_dir, "documents"))
+    return mix_rows(table(spark, sf_dir, "documents"))
+
+
+def mix_rows(docs: DataFrame) -> DataFrame:
+    """One row per document in training order; rows that are the same are taken together and come back each."""
+    plan = mixing.plan_passes(docs).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return plan.sort("positions", "h").select(
         "doc_id", "size", "source_size", "target", (F.size("positions") * F.col("size")).cast("long").alias("taken")
     )

@@ -67,3 +67,16 @@ def test_reruns_agree_and_empty(spark):
     assert first == mixing.mix_documents(docs(spark, many()[::-1]).repartition(7)).select("doc_id").collect()
     assert mixing.plan_passes(empty(spark)).count() == 0
     assert mixing.mix_documents(empty(spark)).count() == 0
+
+
+def test_repeated_rows_come_back_each(spark):
+    """Rows that are the same are planned together; the query shows each, so that a source's taken words add up to its target."""
+    from rasterlake.llm import queries
+
+    rows = [(i, f"word{i} " * (i % 7 + 1), "en", "ab"[i % 2]) for i in range(40)] + [(4, "word4 " * 5, "en", "a")] * 3
+    got = queries.mix_rows(docs(spark, rows)).collect()
+    assert sorted(r.doc_id for r in got) == sorted(r[0] for r in rows)
+    for target in {r.target for r in got}:
+        mine = [r for r in got if r.target == target]
+        assert abs(sum(r.taken for r in mine) - target) <= 20 and all(r.taken <= 3 * r["size"] for r in mine)
+        assert sum(r["size"] for r in mine) == mine[0].source_size
