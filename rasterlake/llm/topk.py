@@ -8,9 +8,9 @@ list's end) and an upper bound (unread components at the list's frontier). A que
 k-th best lower bound, or all lists are read; the final scores of those candidates decide. The best k of every block are merged by
 query.
 
-Defined cases: vectors that are null, empty, or hold null or non-finite components take no part, nor do rows with a null id; of rows with
-the same id the one with the smallest vector counts; a query meets candidates of its own length only; equal scores go to the smaller
-id; queries with fewer than k candidates get all of them; an empty table gives an empty result; other columns are ignored.
+Defined cases: vectors that are null, empty, or hold null or non-finite components take no part, nor do rows with a null id; rows are
+told apart by a number of their own, so rows with the same id are all candidates, of each other too, and each is a query by itself; a query
+meets candidates of its own length only; equal scores go to the smaller id; queries with fewer than k candidates get all of them; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,8 +41,13 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & (F.size(vector) > 0) & ~bad
 
 
-def search_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of one pair of blocks: query numbers, candidate ids and scores of each query's best k."""
+def search_block(
+    ids: np.ndarray, x: np.ndarray, query_rows: np.ndarray, q: np.ndarray, k: int, rows: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of one pair of blocks: query numbers, candidate ids and scores of each query's best k.
+
+    ``rows`` (the ids by default) number the candidates; a query doesn't meet the one with its own number."""
+    rows = ids if rows is None else rows
     n, size = x.shape
     largest = float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * size
     kind = np.float64 if largest < 2**52 else np.int64  # both add up without rounding
@@ -55,8 +60,9 @@ def search_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.nd
     ends = up @ ordered[0] + down @ ordered[-1]
     live = np.arange(len(q))
     read = np.zeros((len(q), n), kind)  # contributions read so far, less the ends of their lists
-    own = np.searchsorted(ids, query_ids)
-    own = np.where((own < n) & (ids[np.minimum(own, n - 1)] == query_ids), own, -1)
+    by_row = np.argsort(rows)
+    own = by_row[np.minimum(np.searchsorted(rows, query_rows, sorter=by_row), n - 1)]
+    own = np.where(rows[own] == query_rows, own, -1)
     lost = np.finfo(np.float64).min if kind is np.float64 else np.iinfo(np.int64).min // 2
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     before = 0
@@ -100,18 +106,19 @@ def search_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.nd
 def _blocks(vectors: DataFrame, rows: int, name: str) -> tuple[DataFrame, int]:
     """Packed blocks: ``name`` (block number), ``dims``, ``ids`` and ``data``; and how many numbers there are."""
     count = max(1, -(-vectors.count() // rows))
-    kind = vectors.withColumns({name: F.pmod(F.xxhash64("vec_id"), F.lit(count)).cast("int"), "dims": F.size("v")})
+    kind = vectors.withColumns({name: F.pmod(F.xxhash64("row"), F.lit(count)).cast("int"), "dims": F.size("v")})
 
     def pack(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("vec_id")
+        group = group.sort_values(["vec_id", "row"])
         data = np.array(group["v"].to_list(), dtype=np.int64)
         small = np.int16 if np.abs(data).max() < 2**15 else np.int64
         return pd.DataFrame({
             name: [group[name].iat[0]], "dims": [data.shape[1]], "wide": [small is np.int64],
-            "ids": [group["vec_id"].to_numpy(np.int64).tobytes()], "data": [data.astype(small).tobytes()],
+            "ids": [group["vec_id"].to_numpy(np.int64).tobytes()], "rows": [group["row"].to_numpy(np.int64).tobytes()],
+            "data": [data.astype(small).tobytes()],
         })
 
-    packed = kind.groupBy(name, "dims").applyInPandas(pack, f"{name} int, dims int, wide boolean, ids binary, data binary")
+    packed = kind.groupBy(name, "dims").applyInPandas(pack, f"{name} int, dims int, wide boolean, ids binary, rows binary, data binary")
     return cut_lineage(packed), count
 
 
@@ -122,10 +129,10 @@ def search(
     """``query_id``, ``rank`` (from 1), ``vec_id`` and ``score`` for every usable row for which ``is_query`` (an expression of the id column
     ``vec_id``) holds, against every other usable row. Components are taken as they are and must be whole numbers."""
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<bigint>").alias("v"))
-    rows = cut_lineage(rows.filter("vec_id is not null").groupBy("vec_id").agg(F.min("v").alias("v")))
+    rows = cut_lineage(rows.filter("vec_id is not null").withColumn("row", F.monotonically_increasing_id()))
     right, n_right = _blocks(rows, candidates, "cb")
     left, n_left = _blocks(rows.filter(is_query), queries, "qb")
-    left = left.select("qb", "dims", *[F.col(c).alias(f"q_{c}") for c in ("wide", "ids", "data")])
+    left = left.select("qb", "dims", *[F.col(c).alias(f"q_{c}") for c in ("wide", "ids", "rows", "data")])
     # Both sides name the pair, so pairs are spread evenly over the tasks.
     pairs = left.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(n_right - 1)))).join(
         right.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_left - 1)))), ["qb", "cb", "dims"]
@@ -139,8 +146,9 @@ def search(
             for pair in batch.itertuples(index=False):
                 ids, x = unpack(pair.ids, pair.data, pair.wide, pair.dims)
                 query_ids, q = unpack(pair.q_ids, pair.q_data, pair.q_wide, pair.dims)
-                at, found, scores = search_block(ids, x, query_ids, q, k)
-                yield pd.DataFrame({"query_id": query_ids[at], "vec_id": found, "score": scores})
+                rows, query_rows = np.frombuffer(pair.rows, np.int64), np.frombuffer(pair.q_rows, np.int64)
+                at, found, scores = search_block(ids, x, query_rows, q, k, rows)
+                yield pd.DataFrame({"query_row": query_rows[at], "query_id": query_ids[at], "vec_id": found, "score": scores})
 
-    found = pairs.mapInPandas(step, "query_id bigint, vec_id bigint, score bigint")
-    return first_per_key(found, ["query_id"], k, [F.col("score").desc(), "vec_id"], "rank").select("query_id", "rank", "vec_id", "score")
+    found = pairs.mapInPandas(step, "query_row bigint, query_id bigint, vec_id bigint, score bigint")
+    return first_per_key(found, ["query_row"], k, [F.col("score").desc(), "vec_id"], "rank").select("query_id", "rank", "vec_id", "score")

@@ -44,5 +44,15 @@ def test_odd_rows(spark):
     scaled = usable.select("vec_id", topk.scaled(F.col("embedding")).alias("embedding"), "rank", "SCORE")
     for sizes in ((8192, 512), (2, 1)):
         got = topk.search(scaled, F.col("vec_id") % 50 == 0, 2, candidates=sizes[0], queries=sizes[1])
-        assert sorted(map(tuple, got.collect())) == [(0, 1, 1, 5 * 65536), (0, 2, 50, 5 * 65536), (50, 1, 0, 5 * 65536), (50, 2, 1, 5 * 65536)]
+        want = [(0, 1, 1, 27 * 65536), (0, 2, 1, 5 * 65536), (50, 1, 1, 27 * 65536), (50, 2, 0, 5 * 65536)]
+        assert sorted(map(tuple, got.collect())) == sorted(want)
     assert topk.search(scaled.limit(0), F.col("vec_id") % 50 == 0, 2).count() == 0
+
+
+def test_repeated_ids_are_rows_of_their_own(spark):
+    rows = [(50, [1.0]), (50, [3.0]), (1, [2.0]), (1, [2.0]), (2, [0.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for sizes in ((8192, 512), (1, 1)):
+        got = topk.search(table, F.col("vec_id") % 50 == 0, 3, candidates=sizes[0], queries=sizes[1])
+        want = [(50, 1, 50, 3), (50, 2, 1, 2), (50, 3, 1, 2), (50, 1, 1, 6), (50, 2, 1, 6), (50, 3, 50, 3)]
+        assert sorted(map(tuple, got.collect())) == sorted(want)
