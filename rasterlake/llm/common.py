@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-# A side is broadcast only when its counted rows (ids, digests and the like, under 200 bytes each) stay below this.
+# A side is broadcast only when its counted rows and then its measured bytes stay below these.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 40_000_000
 BATCH_ROWS = 1000
 
 
@@ -39,9 +40,15 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
 
 
 def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """The rows written to the shared folder; with a broadcast hint if they are at most ``limit``, else for a shuffle join."""
+    """The rows written to the shared folder; with a broadcast hint if they are few and small, else for a shuffle join.
+
+    At most ``limit`` rows, whose values as text have at most BROADCAST_BYTES bytes in all.
+    """
     kept = cut_lineage(df)
-    return F.broadcast(kept) if kept.count() <= limit else kept
+    if kept.count() > limit:
+        return kept
+    wide = kept.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0]
+    return F.broadcast(kept) if (wide or 0) <= BROADCAST_BYTES else kept
 
 
 def free_name(taken: list[str], wanted: str) -> str:

@@ -4,11 +4,12 @@ A text is a vector of hashed character n-grams (1 to 3 bytes of its lower-cased
 language has several centroids, found by clustering; a text gets the language of the centroid with the largest cosine, and is rejected
 when that cosine is far below what the centroid's own training texts have.
 
-Document frequencies cover all labelled texts. The clustering is fitted on a bounded sample: of every language the ``per_lang`` labelled
-texts (SAMPLE by default, whole texts) whose ids have the smallest hashes. Its size depends on the number of languages alone.
+Document frequencies cover all labelled texts. The clustering is fitted on a bounded sample: of every language the ``per_lang`` different
+labelled texts (SAMPLE by default, whole texts) with the smallest hashes of id and text. Its size depends on the number of languages alone.
 
 Defined cases: a null text or one without any letter is ``und`` with score 0 and rejected, as is every text when there are no labelled
-rows; rows with a null label or text are not learned from; of equal cosines the first language by code point wins; repeated rows get
+rows; rows with a null label or text are not learned from, rows with null or equal ids are; a row that is
+repeated is one of the sample; of equal cosines the first language by code point wins; repeated rows get
 equal results; an empty table gives an empty result; other columns pass through ``identify`` under any name.
 """
 
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.hotkeys import first_per_key
+from ..session import cut_lineage
 from .common import free_name, sized, slices, small_batches
 
 BITS = 13
@@ -109,7 +111,7 @@ def train(
     """A model from labelled rows; the driver receives the document frequencies and the centroids only."""
     small_batches(labelled.sparkSession)
     rows = labelled.select(
-        F.xxhash64(id_col).alias("h"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")
+        F.xxhash64(id_col, text_col).alias("h"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")
     ).filter("text is not null and lang is not null")
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,19 +131,29 @@ def train(
     idf = (np.log((1 + every[SIZE]) / (1 + every[:SIZE])) + 1).astype(np.float32)
 
     # Of a large language only a narrow range of hashes is looked at; its share holds several times the sample, so what is taken is
-    # the same, and the rows sorted do not grow with the table.
-    labels = rows.select("lang", "h", "id")
+    # the same, and the rows sorted do not grow with the table. A language of few different rows, which may have too few hashes in its
+    # range, is taken again without it.
+    labels = rows.filter(F.col("text").rlike(r"\p{L}")).select("lang", "h")
     share = sized(labels.groupBy("lang").agg((F.lit(MARGIN * per_lang) / F.count("*") + F.lit(1e-9)).alias("share")))
-    low = labels.join(share, "lang").filter(F.col("h") / F.lit(2.0**64) + 0.5 <= F.col("share")).drop("share")
-    least = sized(first_per_key(low, ["lang"], per_lang, ["h", "id"]).select("lang", "h", "id").distinct())
-    sample = rows.join(least, ["lang", "h"], "left_semi").select("lang", "text")
+    low = labels.join(share, "lang").filter(F.col("h") / F.lit(2.0**64) + 0.5 <= F.col("share"))
+    taken = cut_lineage(first_per_key(low.select("lang", "h").distinct(), ["lang"], per_lang, ["h"]).select("lang", "h"))
+    had = taken.groupBy("lang").agg(F.count("*").alias("n"))
+    short = sized(share.join(had, "lang", "left").filter((F.col("share") < 1) & (F.coalesce("n", F.lit(0)) < per_lang)).select("lang"))
+    if not short.isEmpty():
+        again = labels.join(short, "lang", "left_semi").distinct()
+        taken = taken.union(first_per_key(again, ["lang"], per_lang, ["h"]).select("lang", "h")).distinct()
+    sample = rows.join(sized(taken), ["lang", "h"], "left_semi").select("lang", "h", "text")
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[tuple[str, int]] = set()  # of the sample, so bounded like it
         for batch in batches:
-            batch = batch[batch["text"].map(has_letter).astype(bool)]
-            if not len(batch):
-                continue
-            yield pd.DataFrame({"lang": batch["lang"], "tf": [counts(x).astype(np.float32) for x in batch["text"]]})
+            new = []
+            for lang, h, text in zip(batch["lang"], batch["h"], batch["text"]):
+                if (lang, h) not in seen and has_letter(text):
+                    seen.add((lang, h))
+                    new.append((lang, h, counts(text).astype(np.float32)))
+            if new:
+                yield pd.DataFrame(new, columns=["lang", "h", "tf"])
 
     def fit(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         tf = np.stack(group["tf"].to_list())
@@ -149,7 +161,8 @@ def train(
         return pd.DataFrame({"lang": key[0], "c": range(len(found)), "centroid": list(found), "reach": reach})
 
     fitted = (
-        sample.mapInPandas(features, "lang string, tf array<float>")
+        sample.mapInPandas(features, "lang string, h bigint, tf array<float>")
+        .groupBy("lang", "h").agg(F.first("tf").alias("tf")).select("lang", "tf")
         .groupBy("lang").applyInPandas(fit, "lang string, c int, centroid array<float>, reach double")
         .toPandas().sort_values(["lang", "c"])
     )

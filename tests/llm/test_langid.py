@@ -52,3 +52,26 @@ def test_nothing_to_learn_from(spark):
     only = langid.train(docs(spark, [(1, LONG, "x", None), (2, None, "y", None), (3, "text", None, None)]))
     assert set(only.langs) == {"x"}
     assert len(DOCS) == langid.identify(docs(spark), only).count()
+
+
+def test_null_and_equal_ids_are_learned_from(spark):
+    de = [f"Der Text Nummer {i} über das schöne Haus und die Straße am Wald." for i in range(400)]
+    en = [(i, f"The text number {i} about the nice house and the road by the wood.", "en", None) for i in range(400)]
+    for the_id in (None, 7):
+        model = langid.train(docs(spark, en + [(the_id, t, "de", None) for t in de]), per_lang=20)
+        assert set(model.langs) == {"de", "en"}
+    same = langid.train(docs(spark, en + [(i % 3, "Immer derselbe deutsche Satz über die Straße.", "de", None) for i in range(900)]), per_lang=20)
+    assert set(same.langs) == {"de", "en"}
+
+
+def test_nearest_centroid_by_brute_force(spark, model):
+    rows = spark.read.parquet(f"{SF_DIR}/documents.parquet").limit(200).collect()
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(rows), model).collect()}
+    for r in rows:
+        tf = [float(c) for c in langid.counts(r.text)]
+        vector = [__import__("math").log1p(c) * float(w) for c, w in zip(tf, model.idf)]
+        norm = sum(v * v for v in vector) ** 0.5
+        live = [(i, v / norm) for i, v in enumerate(vector) if v]
+        cosines = [sum(v * float(c[i]) for i, v in live) for c in model.centroids]
+        assert abs(max(cosines) - got[r.doc_id].score) < 1e-4
+        assert max(c for c, lang in zip(cosines, model.langs) if lang == got[r.doc_id].lang_pred) > max(cosines) - 1e-4
