@@ -1,20 +1,30 @@
 """Main text of web pages by host consensus.
 
-Each page is read into a tree of elements and text blocks. Blocks that stand on at least half of a host's different pages (two or more)
-are notices of the site. From the root the reader goes down to the child that holds all other clean text, until an article or no such
-child is left; the generalised tag-class path of that container is the page's vote. Spark counts the votes per host, and every page is
-read again with the winning paths of its host: of those on the page the one with the most clean text, then the most votes. A page whose
-own container holds clean text that this path leaves out uses its own container.
+Each page is read into a tree of elements and text blocks; of it a skeleton without the texts is kept (parents, paths, and the lengths and
+digests of the blocks). A block is a notice of the site if it stands on LEAST or more of a host's pages that have different text beside it
+(told apart by their longest other block), and on at least half as many as the host has different pages. From the root the reader goes
+down to the child that holds all other clean text, until an article or no such child is left; the generalised tag-class path of that
+container is the page's vote. Spark counts the votes per host, near-equal pages (with the same longest block) once, and every page is read
+again with the winning paths of its host:
+
+* A path with STRONG of the host's votes (and LEAST pages) decides where it holds most of a page's clean text: what stands beside it is no
+  part of the layout of the others and goes, labelled or not. Titles and leads that a host always puts beside the body stay, since then the
+  element around both gets the votes.
+* Else, of the winning paths on the page, the one with the most clean text, then the most votes, if it leaves out no clean text of the
+  page's own container; else that container.
+
+Notices never empty a page: where they would leave less than FLOOR of the clean text, the page is read without them.
 
 Votes are partial sums, so a host with most of the pages is no hot key; the winners (paths with at least a share of the votes, so a
 bounded number per host) are small rows, broadcast if few, else joined by shuffle, which Spark can split by rows of a hot host.
 
 Defined cases: a null page gives an empty text, as does a page without clean text; a null or odd url belongs to the host ''; repeated
-rows vote and are read alike; an empty table gives an empty result; other columns pass through under any name.
+rows vote once and are read alike; an empty table gives an empty result; other columns pass through under any name.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 from hashlib import blake2b
@@ -29,6 +39,9 @@ from .common import free_name, sized, slices, small_batches
 
 SHARE = 0.05  # of a host's votes that a path needs to be used
 REPEATED = 0.5  # of a host's different pages on which a block stands that is taken for a notice of the site
+LEAST = 3  # different pages that a notice or a strong path needs
+STRONG = 0.8  # of a host's votes with which a path leaves out what stands beside it
+FLOOR = 0.25  # of a page's clean text that notices have to leave
 
 # Element names and label words.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -226,38 +239,19 @@ class Page:
         self.main.append(main)
         return len(self.parent) - 1
 
+    def clean(self) -> list[tuple[int, int, int]]:
+        """Element, length and digest of the blocks that are not mostly links."""
+        return [(e, len(text), digest(text)) for e, text, links in self.blocks if 2 * links <= len(text)]
+
     def weights(self, notices: frozenset[int] = frozenset()) -> list[int]:
-        """Clean text in each element: without blocks that are mostly links and those of the notices."""
-        weight = [0] * len(self.parent)
-        for e, text, links in self.blocks:
-            if 2 * links <= len(text) and (not notices or digest(text) not in notices):
-                weight[e] += len(text)
-        for e in range(len(weight) - 1, 0, -1):
-            weight[self.parent[e]] += weight[e]
-        return weight
+        return weights(self.parent, self.clean(), notices)
 
     def container(self, weight: list[int]) -> int:
-        """The element this page's clean text is in."""
-        n = len(self.parent)
-        best = [0] * n
-        for e in range(n - 1, 0, -1):
-            p = self.parent[e]
-            if weight[e] and (not best[p] or weight[e] >= weight[best[p]]):
-                best[p] = e
-        here = 0
-        while self.tag[here] != "article":
-            child = best[here]
-            if not child or weight[child] < weight[here] or self.tag[child] not in CONTAINERS:
-                break
-            here = child
-        return here
-
-    def path_of(self, element: int) -> str:
-        labels, key = [], self.path_key[self.path[element]]
-        while key[0] >= 0:
-            labels.append(key[1])
-            key = self.path_key[key[0]]
-        return ">".join(reversed(labels))
+        return container(self.parent, self.tag, weight)
+
+    def skeleton(self) -> bytes:
+        """What a vote needs of the page."""
+        return pickle.dumps((self.parent, self.tag, self.path, self.path_key, self.clean()), protocol=5)
 
     def text_in(self, chosen: list[bool]) -> str:
         inside = chosen[:]
@@ -265,20 +259,32 @@ class Page:
             inside[e] = inside[e] or inside[self.parent[e]]
         return "\n".join(text for e, text, _ in self.blocks if inside[e])
 
-    def text_at(self, paths: list[str], notices: frozenset[int] = frozenset()) -> str:
-        """Text under that of the paths with the most clean text here, if it has all that is in the page's own container, else of that one."""
+    def elements_at(self, path: str) -> list[bool] | None:
+        """The elements of a path; None if the page has none."""
+        at = 0
+        for label in path.split(">") if path else ():
+            at = self.paths.get((at, label), -1)
+            if at < 0:
+                return None
+        return [p == at for p in self.path]
+
+    def text_at(self, paths: list[str], notices: frozenset[int] = frozenset(), strong: str | None = None) -> str:
+        """Text under the strong path or that of the paths with the most clean text here, as the module says, else under the own container."""
         weight = self.weights(notices)
         own = self.container(weight)
+
+        def held_by(chosen: list[bool]) -> int:
+            return sum(w for w, c in zip(weight, chosen) if c)
+
+        if strong is not None:
+            chosen = self.elements_at(strong)
+            if chosen and 2 * held_by(chosen) > weight[own]:
+                return self.text_in(chosen)
         best, most = None, weight[own] - 1
         for path in paths:
-            at = 0
-            for label in path.split(">") if path else ():
-                at = self.paths.get((at, label), -1)
-                if at < 0:
-                    break
-            if at >= 0:
-                chosen = [p == at for p in self.path]
-                held = sum(w for w, c in zip(weight, chosen) if c)
+            chosen = self.elements_at(path)
+            if chosen:
+                held = held_by(chosen)
                 if held > most:
                     text = self.text_in(chosen)
                     if text:
@@ -286,6 +292,46 @@ class Page:
         return best if best is not None else self.text_in([e == own for e in range(len(self.parent))])
 
 
+def weights(parent: list[int], clean: list[tuple[int, int, int]], notices: frozenset[int] = frozenset()) -> list[int]:
+    """Clean text in each element: without that of the notices, unless they would leave too little."""
+    weight = [0] * len(parent)
+    left = sum(n for _, n, d in clean if d not in notices)
+    if left < FLOOR * sum(n for _, n, _ in clean):
+        notices = frozenset()
+    for e, n, d in clean:
+        if d not in notices:
+            weight[e] += n
+    for e in range(len(weight) - 1, 0, -1):
+        weight[parent[e]] += weight[e]
+    return weight
+
+
+def container(parent: list[int], tag: list[str], weight: list[int]) -> int:
+    """The element a page's clean text is in."""
+    best = [0] * len(parent)
+    for e in range(len(parent) - 1, 0, -1):
+        p = parent[e]
+        if weight[e] and (not best[p] or weight[e] >= weight[best[p]]):
+            best[p] = e
+    here = 0
+    while tag[here] != "article":
+        child = best[here]
+        if not child or weight[child] < weight[here] or tag[child] not in CONTAINERS:
+            break
+        here = child
+    return here
+
+
+def vote_of(skeleton: bytes, notices: frozenset[int]) -> str:
+    """The generalised path of the page's container."""
+    parent, tag, path, path_key, clean = pickle.loads(skeleton)
+    labels, key = [], path_key[path[container(parent, tag, weights(parent, clean, notices))]]
+    while key[0] >= 0:
+        labels.append(key[1])
+        key = path_key[key[0]]
+    return ">".join(reversed(labels))
+
+
 def digest(text: str) -> int:
     return int.from_bytes(blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
 
@@ -294,22 +340,36 @@ def host_of(url: str) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def notices(pages: DataFrame, url_col: str = "url", html_col: str = "html", share: float = REPEATED) -> DataFrame:
-    """``host`` and ``notices``: digests of the blocks on so many of its different pages; at most 1 / share times those of a page."""
+def read_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """Of every page with text: ``host``, ``blocks`` (digests, no two the same), ``longest`` and ``second`` (the longest of them, null if
+    there are none) and ``skeleton``. Written to the shared folder, since notices and votes both read it."""
     rows = pages.filter(F.col(html_col).isNotNull()).select(host_of(url_col).alias("host"), F.col(html_col).alias("html"))
+    kinds = [("blocks", pa.list_(pa.int64())), ("longest", pa.int64()), ("second", pa.int64()), ("skeleton", pa.binary())]
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 128):
-            found = [sorted({digest(text) for _, text, _ in Page(html).blocks}) for html in batch.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("host"), batch.column("page"), pa.array(found, pa.list_(pa.int64()))], ["host", "page", "blocks"]
-            )
-
-    read = rows.withColumn("page", F.xxhash64("html")).mapInArrow(step, "host string, page bigint, blocks array<bigint>")
-    read = cut_lineage(read.groupBy("host", "page").agg(F.first("blocks").alias("blocks")))
-    of_host = sized(read.groupBy("host").agg(F.count("*").alias("all")).filter("all > 1"))
-    counted = read.select("host", F.explode("blocks").alias("block")).groupBy("host", "block").agg(F.count("*").alias("n"))
-    found = counted.filter("n > 1").join(of_host, "host").filter(F.col("n") >= F.col("all") * share)
+            found = []
+            for html in batch.column("html").to_pylist():
+                page = Page(html)
+                size = {digest(text): len(text) for _, text, _ in page.blocks}
+                long = [*sorted(size, key=lambda d: (-size[d], d))[:2], None, None]
+                found.append((sorted(size), long[0], long[1], page.skeleton() if size else None))
+            columns = [pa.array(values, kind) for values, (_, kind) in zip(zip(*found), kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column("host"), *columns], ["host", *[n for n, _ in kinds]])
+
+    read = rows.mapInArrow(step, "host string, blocks array<bigint>, longest bigint, second bigint, skeleton binary")
+    return cut_lineage(read.filter(F.col("longest").isNotNull()))
+
+
+def notices(read: DataFrame, share: float = REPEATED) -> DataFrame:
+    """``host`` and ``notices``: digests of the blocks that stand beside so many different texts."""
+    of_host = sized(read.groupBy("host").agg(F.count_distinct("longest").alias("all")))
+    beside = F.when(F.col("block") == F.col("longest"), F.col("second")).otherwise(F.col("longest"))
+    counted = (
+        read.select("host", "longest", "second", F.explode("blocks").alias("block")).select("host", "block", beside.alias("beside")).distinct()
+        .groupBy("host", "block").agg(F.count("beside").alias("n"))
+    )
+    found = counted.filter(F.col("n") >= LEAST).join(of_host, "host").filter(F.col("n") >= F.col("all") * share)
     return found.groupBy("host").agg(F.collect_list("block").alias("notices"))
 
 
@@ -319,42 +379,42 @@ def with_notices(pages: DataFrame, known: DataFrame, host: Column, name: str) ->
     return pages.withColumn(own, host).join(known.select(F.col("host").alias(own), F.col("notices").alias(name)), own, "left").drop(own)
 
 
-def votes(pages: DataFrame, url_col: str = "url", html_col: str = "html", known: DataFrame | None = None) -> DataFrame:
-    """``host`` and ``path``: one row for each page that has clean text. ``known`` are the hosts' notices."""
-    known = sized(notices(pages, url_col, html_col)) if known is None else known
-    rows = pages.filter(F.col(html_col).isNotNull()).select(host_of(url_col).alias("host"), F.col(html_col).alias("html"))
-    rows = with_notices(rows, known, F.col("host"), "notices").select("host", "html", "notices")
+def votes(read: DataFrame, known: DataFrame) -> DataFrame:
+    """``host``, ``path`` and ``longest``: one row for each page. ``known`` are the hosts' notices."""
+    rows = with_notices(read.select("host", "longest", "skeleton"), known, F.col("host"), "notices")
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 128):
-            found = []
-            for html, own in zip(batch.column("html").to_pylist(), batch.column("notices").to_pylist()):
-                page = Page(html)
-                found.append(page.path_of(page.container(page.weights(frozenset(own or ())))) if page.blocks else None)
-            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(found, pa.string())], ["host", "path"])
+            skeletons, own = batch.column("skeleton").to_pylist(), batch.column("notices").to_pylist()
+            found = [vote_of(s, frozenset(n or ())) for s, n in zip(skeletons, own)]
+            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(found, pa.string()), batch.column("longest")], ["host", "path", "longest"])
 
-    return rows.mapInArrow(step, "host string, path string").filter(F.col("path").isNotNull())
+    return rows.mapInArrow(step, "host string, path string, longest bigint")
 
 
 def winners(cast: DataFrame, share: float = SHARE) -> DataFrame:
-    """``host`` and ``paths``, most voted first; at most 1 / share of them."""
-    counted = cast.groupBy("host", "path").agg(F.count("*").alias("n"))
+    """``host``, ``paths``, most voted first and at most 1 / share of them, and ``strong``: the one path that decides, or null."""
+    counted = cast.distinct().groupBy("host", "path").agg(F.count("*").alias("n"))
     of_host = Window.partitionBy("host")
+    strong = (F.col("n") >= F.col("all") * STRONG) & (F.col("n") >= LEAST)
     return (
         counted.withColumn("all", F.sum("n").over(of_host)).filter(F.col("n") >= F.col("all") * share)
-        .groupBy("host").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "path"))).alias("p"))
-        .select("host", F.col("p.path").alias("paths"))
+        .groupBy("host").agg(
+            F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "path"))).alias("p"), F.max(F.when(strong, F.col("path"))).alias("strong")
+        )
+        .select("host", F.col("p.path").alias("paths"), "strong")
     )
 
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", share: float = SHARE) -> DataFrame:
     """``pages`` without the html, with ``text`` added (under another name if the pages have one)."""
     small_batches(pages.sparkSession)
-    known = sized(notices(pages, url_col, html_col))
-    best = sized(winners(votes(pages, url_col, html_col, known), share))
-    host, paths, text, left = (free_name(pages.columns, n) for n in ("host", "paths", "text", "notices"))
+    read = read_pages(pages, url_col, html_col)
+    known = sized(notices(read))
+    best = sized(winners(votes(read, known), share))
+    host, paths, strong, text, left = (free_name(pages.columns, n) for n in ("host", "paths", "strong", "text", "notices"))
     chosen = pages.withColumn(host, host_of(url_col)).join(
-        best.select(F.col("host").alias(host), F.col("paths").alias(paths)), host, "left"
+        best.select(F.col("host").alias(host), F.col("paths").alias(paths), F.col("strong").alias(strong)), host, "left"
     ).drop(host)
     chosen = with_notices(chosen, known, host_of(url_col), left)
     kept = [c for c in pages.columns if c != html_col]
@@ -362,10 +422,10 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", shar
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 128):
             found = [
-                Page(html).text_at(own or [], frozenset(seen or ())) if html is not None else ""
-                for html, own, seen in zip(*[batch.column(c).to_pylist() for c in (html_col, paths, left)])
+                Page(html).text_at(own or [], frozenset(seen or ()), one) if html is not None else ""
+                for html, own, seen, one in zip(*[batch.column(c).to_pylist() for c in (html_col, paths, left, strong)])
             ]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(found, pa.string())], [*kept, text])
 
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema if f.name != html_col], f"`{text}` string"])
-    return chosen.select(*kept, html_col, paths, left).mapInArrow(step, schema)
+    return chosen.select(*kept, html_col, paths, left, strong).mapInArrow(step, schema)

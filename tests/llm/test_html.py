@@ -48,12 +48,46 @@ def pages(spark, rows, more=""):
 
 
 def test_hosts_agree_on_a_path(spark):
-    long = "<body><div class=c1><p>" + "A full sentence, and more of it. " * 20 + "</p></div><div class=x9><p>Other words of the page.</p></div></body>"
-    short = "<body><div class=c2><p>Short.</p></div><div class=x7><p>Other words of the page.</p></div></body>"
-    rows = [(i, "http://h.example/a", long) for i in range(9)] + [(9, "http://H.example:80/b", short), (10, "http://other.example/", short)]
+    page = "<body><div class=c{0}><p>{1}</p></div><div class=x9><p>Other words of the page.</p></div></body>"
+    text = "Article {}, and what it says. " * 20
+    rows = [(i, "http://h.example/a", page.format(i, text.format(*[i] * 20))) for i in range(9)]
+    rows += [(9, "http://H.example:80/b", page.format(2, "Short, but an article.")), (10, "http://other.example/", page.format(2, "Short."))]
     got = {r.page_id: r.text for r in html_text.extract(pages(spark, rows)).collect()}
-    assert got[9] == "Short." and got[10] == "Short.\nOther words of the page."
-    assert html_text.winners(html_text.votes(pages(spark, rows))).filter("host = 'h.example'").first().paths[0] == "body>div.c#"
+    assert got[9] == "Short, but an article." and got[10] == "Short.\nOther words of the page."
+    assert all(got[i] == text.format(*[i] * 20).strip() for i in range(9))
+    read = html_text.read_pages(pages(spark, rows))
+    best = html_text.winners(html_text.votes(read, html_text.notices(read))).filter("host = 'h.example'").first()
+    assert best.paths[0] == best.strong == "body>div.c#"
+
+
+@pytest.mark.parametrize("crawls", [2, 3, 8])
+def test_an_article_crawled_again_stays_whole(spark, crawls):
+    body = "".join(f"<p>Paragraph {n} of the only article here, with some words in it.</p>" for n in range(8))
+    rows = [(i, "http://h/", f"<body><p>Read on 2024-01-{i:02}.</p><div class=t>{body}</div></body>") for i in range(crawls)]
+    got = html_text.extract(pages(spark, rows)).collect()
+    assert all(r.text == own(rows[r.page_id][2]) and "Paragraph 7" in r.text for r in got) and len(got) == crawls
+    one = [(i, "http://h/", f"<body><p>Read on 2024-01-{i:02}.</p><div class=t><p>{'All in one. ' * 30}</p></div></body>") for i in range(crawls)]
+    assert all("All in one." in r.text for r in html_text.extract(pages(spark, one)).collect())
+
+
+def test_a_teaser_beside_the_path_of_the_host_goes(spark):
+    page = "<body><div class=story><p>Story {0} begins. {1}</p><p>Story {0} ends.</p></div>{2}</body>"
+    rows = [(i, "http://h/", page.format(i, f"Sentence of {i}. " * 20, "<div><p>Something else to read.</p></div>" if i == 7 else "")) for i in range(20)]
+    got = {r.page_id: r.text for r in html_text.extract(pages(spark, rows)).collect()}
+    assert all(got[i] == f"Story {i} begins. {f'Sentence of {i}. ' * 20}".strip() + f"\nStory {i} ends." for i in range(20))
+
+
+def test_notices_of_a_host_with_a_hot_page(spark):
+    """A page crawled a hundred times counts once; the notice on all pages goes, also where it is the longest block."""
+    notice = "<div class=x><p>This site is funded by those who read it, so write to us at once.</p></div>"
+    page = "<body><div class=c><p>Read on day {0}.</p><p>{1} begins, as it has to begin.</p><p>{1} goes on, as it has to go on.</p></div>{2}</body>"
+    rows = [(i, "http://h/", page.format(i, "The one story", notice)) for i in range(100)]
+    rows += [(100 + i, "http://h/", page.format(0, f"Tale {i}", notice)) for i in range(9)]
+    got = {r.page_id: r.text for r in html_text.extract(pages(spark, rows)).collect()}
+    for i in range(109):
+        name = "The one story" if i < 100 else f"Tale {i - 100}"
+        day = i if i < 100 else 0
+        assert got[i] == f"Read on day {day}.\n{name} begins, as it has to begin.\n{name} goes on, as it has to go on."
 
 
 def test_title_and_lead_beside_a_long_body_stay(spark):
