@@ -103,29 +103,42 @@ def tile_content(tiles: DataFrame) -> DataFrame:
     )
 
 
+def tile_digests(tiles: DataFrame) -> DataFrame:
+    """128 bits of each tile's pixels in any order; a clear pixel counts like one that is missing. Partial sums leave one row a tile."""
+    cells = ["ox", "oy", *CHANNELS]
+    seen = F.greatest(*CHANNELS) > 0
+    return tiles.groupBy(*TILE).agg(
+        F.bit_xor(F.when(seen, F.xxhash64(*cells))).alias("d0"), F.bit_xor(F.when(seen, F.xxhash64(F.lit("second"), *cells))).alias("d1")
+    )
+
+
 def compare(left: DataFrame, right: DataFrame) -> DataFrame:
     """Two tile sets side by side: tiles on either side, pixels that differ, largest difference.
 
-    Both sides meet by tile in one shuffle, then two hash aggregates finish the work: by pixel (the two sides' levels subtracted, a pixel
-    missing on one side being clear there) and by tile. A tile has at most size^2 pixels on each side.
+    Tiles meet by their digests, one row each; only the pixels of tiles whose digests differ meet, a pixel missing on one side being clear
+    there. Both sides are read twice, so they are written once. Positions within a tile are unique, as its digest needs.
     """
-    keys = [*TILE, "ox", "oy"]
+    left, right = (cut_lineage(side.select(*TILE, "ox", "oy", *CHANNELS)) for side in (left, right))
+    sides = [tile_digests(side).withColumn("side", F.lit(n)) for n, side in enumerate((left, right))]
+
+    def of(side: int, column: str) -> Column:
+        return F.max(F.when(F.col("side") == side, F.col(column)))
 
-    def side(df: DataFrame, sign: int) -> DataFrame:
-        levels = [(F.col(c) * sign).alias(c) for c in CHANNELS]
-        return df.select(*keys, *levels, F.lit(int(sign > 0)).alias("in_l"), F.lit(int(sign < 0)).alias("in_r"))
+    met = cut_lineage(sides[0].unionByName(sides[1]).groupBy(*TILE).agg(
+        F.max((F.col("side") == 0).cast("int")).alias("in_left"), F.max((F.col("side") == 1).cast("int")).alias("in_right"),
+        (of(0, "d0").eqNullSafe(of(1, "d0")) & of(0, "d1").eqNullSafe(of(1, "d1"))).alias("identical"),
+    ))
+    unlike = met.filter(~F.col("identical")).select(*TILE)
 
-    met = side(left, 1).unionByName(side(right, -1)).repartition(*TILE)
-    both = met.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in CHANNELS], F.max("in_l").alias("in_l"), F.max("in_r").alias("in_r"))
+    def pixels(df: DataFrame, sign: int) -> DataFrame:
+        return df.join(unlike, list(TILE), "left_semi").select(*TILE, "ox", "oy", *[(F.col(c) * sign).alias(c) for c in CHANNELS])
+
+    both = pixels(left, 1).unionByName(pixels(right, -1)).groupBy(*TILE, "ox", "oy").agg(*[F.sum(c).alias(c) for c in CHANNELS])
     gap = F.greatest(*[F.abs(F.col(c)) for c in CHANNELS]).cast("int")
-    return (
-        both.withColumn("gap", gap)
-        .groupBy(*TILE)
-        .agg(
-            F.max("in_l").alias("in_left"),
-            F.max("in_r").alias("in_right"),
-            F.count_if(F.col("gap") > 0).alias("pixels_differ"),
-            F.max("gap").alias("largest_gap"),
-        )
-        .withColumn("identical", F.col("pixels_differ") == 0)
+    gaps = both.withColumn("gap", gap).groupBy(*TILE).agg(
+        F.count_if(F.col("gap") > 0).alias("n"), F.max("gap").alias("most")
+    )
+    return met.join(gaps, list(TILE), "left").select(
+        *TILE, "in_left", "in_right", F.coalesce("n", F.lit(0).cast("long")).alias("pixels_differ"),
+        F.coalesce("most", F.lit(0)).alias("largest_gap"), "identical",
     )

@@ -29,19 +29,28 @@ def used(users: DataFrame, tile_sets: DataFrame) -> DataFrame:
     )
 
 
-def apply_changes(balance: DataFrame, changes: DataFrame) -> DataFrame:
-    """Add a log of tile-set changes (op, user_id, old_bytes, new_bytes) to the used bytes."""
+def deltas(changes: DataFrame) -> DataFrame:
+    """What a log of tile-set changes (op, user_id, old_bytes, new_bytes) adds to each user's bytes: ``user_id``, ``delta``."""
     signed = (
         F.when(F.col("op") == "insert", F.col("new_bytes"))
         .when(F.col("op") == "delete", -F.col("old_bytes"))
         .otherwise(F.col("new_bytes") - F.col("old_bytes"))
     )
-    delta = changes.groupBy("user_id").agg(F.sum(signed).alias("_delta"))
-    return balance.join(delta, "user_id", "left").withColumn(
+    return changes.groupBy("user_id").agg(F.sum(signed).alias("delta"))
+
+
+def apply_deltas(balance: DataFrame, delta: DataFrame) -> DataFrame:
+    """Add one row of ``delta`` per user to the used bytes."""
+    return balance.join(delta.withColumnRenamed("delta", "_delta"), "user_id", "left").withColumn(
         "used_bytes", F.col("used_bytes") + F.coalesce("_delta", F.lit(0).cast("long"))
     ).drop("_delta")
 
 
+def apply_changes(balance: DataFrame, changes: DataFrame) -> DataFrame:
+    """Add a log of tile-set changes to the used bytes."""
+    return apply_deltas(balance, deltas(changes))
+
+
 def storage_view(balance: DataFrame, quota: int = QUOTA_BYTES) -> DataFrame:
     """What a user sees: pro users their use and the quota, free users zeros; percent and a warning flag."""
     pro = F.col("plan") == "pro"

@@ -39,6 +39,22 @@ def curve_positions(t: Tables):
     return t("tile_sets").select("tileset_id", archive.tile_id(F.col("max_zoom"), x, y).alias("tile_id"))
 
 
+@REG.query(
+    "tile_sets",
+    sql="""
+SELECT user_id AS raster_id, max_zoom AS z, (tileset_id * 31) % (1 << max_zoom) AS tx, (tileset_id * 17) % (1 << max_zoom) AS ty,
+       row_number() OVER (ORDER BY user_id, max_zoom, (tileset_id * 17) % (1 << max_zoom), (tileset_id * 31) % (1 << max_zoom)) - 1 AS position FROM tile_sets""",
+)
+def tile_order(t: Tables):
+    """The places that rows have in the files once they are put into tile order."""
+    side = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("max_zoom"))
+    tiles = t("tile_sets").select(
+        F.col("user_id").alias("raster_id"), F.col("max_zoom").alias("z"), ((F.col("tileset_id") * 31) % side).alias("tx"),
+        ((F.col("tileset_id") * 17) % side).alias("ty"),
+    )
+    return sinks.with_positions(sinks.in_tile_order(tiles))
+
+
 def quantised_tiles(t: Tables):
     """Two-tone tiles of the sample rasters, so that equal contents and runs do occur, with all levels."""
     tone = F.when(F.col("r") >= 128, 1).otherwise(0)

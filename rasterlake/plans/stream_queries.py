@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..streaming import commands, jobs, limits
+from ..streaming import balances, commands, jobs, limits
 from ..streaming.run import new_folder, newest, read_stream, run_to_table
 from .fixtures import VIEWS, Registry, Tables
 from .job_queries import COMMAND_SQL, FOLD_SQL, IDENTITY_SQL, command_tables, commands_of, now
@@ -170,3 +170,27 @@ SELECT event_id, user_id, idempotency_key, w AS runs_as, w <> event_id AS duplic
 def stream_intake_answers(t: Tables):
     intake = live(t, "job_updates").withColumn("bytes", F.col("tiles_done"))
     return run_to_table(commands.answers(intake), "answers", rocks=True).drop("batch_id")
+
+
+@REG.query(
+    "users", "tile_sets",
+    sql="""
+SELECT u.user_id, CAST(COALESCE(SUM(CASE tileset_id % 3 WHEN 0 THEN size_bytes WHEN 1 THEN size_bytes // 2 ELSE 0 END), 0) AS BIGINT) AS used_bytes
+FROM users u LEFT JOIN tile_sets s ON s.user_id = u.user_id GROUP BY 1""",
+)
+def stream_storage_balance(t: Tables):
+    """Every tile set is inserted; later one in three is halved and one in three deleted."""
+    sets = t.spark.sql(VIEWS["tile_sets"].replace("FROM orders", "FROM {orders}"), orders=read_stream(t.spark, t.sf_dir, "orders.parquet"))
+    size, kind = F.col("size_bytes"), F.col("tileset_id") % 3
+    none = F.lit(0).cast("long")
+
+    def change(op: str, old, new):
+        return F.struct(F.lit(op).alias("op"), old.alias("old_bytes"), new.alias("new_bytes"))
+
+    log = sets.select("user_id", F.explode(
+        F.when(kind == 0, F.array(change("insert", none, size)))
+        .when(kind == 1, F.array(change("insert", none, size), change("update", size, F.floor(size / 2))))
+        .otherwise(F.array(change("insert", none, size), change("delete", size, none)))
+    ).alias("c")).select("user_id", "c.*")
+    start = t("users").select("user_id", none.alias("used_bytes"))
+    return balances.drain(log, start, new_folder(t.spark, "balances"))

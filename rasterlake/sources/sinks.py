@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tile_path
 from ..operators.archive import tile_id
-from ..session import qualified
+from ..session import cut_lineage, qualified
 
 
 def with_paths(tiles: DataFrame, fmt: str = "png") -> DataFrame:
@@ -25,6 +25,22 @@ def in_archive_order(tiles: DataFrame, partitions: int | None = None) -> DataFra
     return spread.sortWithinPartitions(*keys)
 
 
+def in_tile_order(tiles: DataFrame) -> DataFrame:
+    """Rows of a raster's zooms from the top, each from left to right, across the files and in them."""
+    keys = ("raster_id", "z", "ty", "tx")
+    return tiles.repartitionByRange(*keys).sortWithinPartitions(*keys)
+
+
+def with_positions(ordered: DataFrame, name: str = "position") -> DataFrame:
+    """``ordered`` with the number of each row in the order it has, from 0, without moving rows: places in their partitions and how many
+    rows the partitions before hold (one row per partition, broadcast)."""
+    row = F.monotonically_increasing_id()
+    kept = cut_lineage(ordered.withColumns({"_part": F.shiftright(row, 33), "_at": row.bitwiseAND(2**33 - 1)}))
+    sizes = kept.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).select("_part", "_before")
+    return kept.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
+
+
 def write_tiles(tiles: DataFrame, path: str, fmt: str = "png", mode: str = "errorifexists") -> None:
     """Write encoded tiles partitioned by zoom, in curve order. They are compressed already, so Parquet does not."""
     ordered = with_paths(in_archive_order(tiles), fmt)
