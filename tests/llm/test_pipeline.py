@@ -68,3 +68,13 @@ def test_stages_on_odd_and_empty_rows(spark):
             docs = spark.createDataFrame(out.collect(), table.schema)
         corpus_pipeline.STAGES[-1][1](spark, docs, SF_DIR).collect()
     assert len(DOCS) == 12
+
+
+def test_positions_keep_the_order_of_the_mix(spark, tmp_path):
+    """The mix written and read again, where files come back by size: positions give the order in which it was sorted."""
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    rows = mixing.mix_documents(docs).collect()
+    mixing.mix_documents(docs).write.parquet(str(tmp_path / "mix"))
+    encoded = corpus_pipeline.encode_texts(spark, spark.read.parquet(str(tmp_path / "mix")), SF_DIR).collect()
+    assert len({r.position for r in encoded}) == len(rows)
+    assert [r.doc_id for r in sorted(encoded, key=lambda r: r.position)] == [r.doc_id for r in rows]
