@@ -16,7 +16,6 @@ LIMITS = {
     "download": (15, 30, 120),
     "mutations": (10, 30, 120),
 }
-STREAM_SALTS = 16
 LARGEST_LIMIT = max(max(limits) for limits in LIMITS.values())
 WARN_AT = 3
 
@@ -33,14 +32,14 @@ def limit_of(endpoint: Column, plan: Column) -> Column:
 def with_window(requests: DataFrame, users: DataFrame) -> DataFrame:
     """Add identity, plan, limit and the window number to requests (user_id may be null).
 
-    Anonymous requests and those of one busy user do not meet in one task: a table uses the hot-key join; a stream, which can't be
-    counted, spreads its rows over salts, with the users repeated for each.
+    Anonymous requests do not meet in one task: a table uses the hot-key join, which spreads busy users too; a stream, which can't be
+    counted, spreads its rows without a user by their id. A stream's busy user is one key here as in the counters that follow.
     """
     plans = users.select("user_id", "plan")
     if requests.isStreaming:
-        salt = F.pmod(F.xxhash64("event_id"), F.lit(STREAM_SALTS)).cast("int")
-        wide = plans.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(STREAM_SALTS - 1))))
-        known = requests.withColumn("_salt", salt).join(wide, ["user_id", "_salt"], "left").drop("_salt")
+        spread = F.when(F.col("user_id").isNull(), F.xxhash64("event_id")).otherwise(F.lit(0).cast("long"))
+        once = plans.withColumn("_spread", F.lit(0).cast("long"))
+        known = requests.withColumn("_spread", spread).join(once, ["user_id", "_spread"], "left").drop("_spread")
     else:
         known = lookup(requests, plans, ["user_id"], ["event_id"])
     ip = text.client_ip(F.col("cf_ip"), F.col("forwarded_for"), F.col("peer_ip"))

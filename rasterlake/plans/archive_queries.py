@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import archive, encode, pyramid, raster
-from ..sources import images, manifest, sinks
+from ..operators import archive, encode, pyramid, raster, routing
+from ..sources import images, manifest, sinks, tilefiles
 from ..streaming.run import new_folder
 from .fixtures import Registry, Tables
 from .raster_queries import GREY_TILES_SQL, GREY_TS, HEAT_TS, HEAT_ZOOM, STRIP_ALL, STRIP_SQL, grey_tiles, merge_sql, window_sql
@@ -190,6 +190,23 @@ def block_strip_pyramid(t: Tables):
     return encode.strip_blocks(t("heat_pixels"), HEAT_TS, HEAT_ZOOM).withColumn("rgba", F.hex("rgba"))
 
 
+MIXED = """
+SELECT raster_id, CASE WHEN raster_id % 2 = 0 THEN 16 ELSE 32 END AS width, CASE WHEN raster_id % 2 = 0 THEN 12 ELSE 24 END AS height, x, y, r, g, b, a
+FROM {source} WHERE raster_id % 2 = 1 OR (x < 16 AND y < 12)"""
+MIXED_SQL = (
+    f"mixed AS ({MIXED.format(source='heat_pixels')}), halves AS (SELECT * FROM mixed WHERE width = 16), wholes AS (SELECT * FROM mixed WHERE width = 32),"
+    + window_sql("win16", "flat", "halves", 16, 12, "16") + "," + window_sql("win32", "flat", "wholes", 32, 24, "32")
+    + ", win AS (SELECT * FROM win16 UNION ALL SELECT * FROM win32)," + merge_sql("win", "up1", 10) + "," + merge_sql("up1", "up0", 10)
+)
+
+
+@REG.query("heat_pixels", sql=MIXED_SQL + f", al AS ({STRIP_ALL})" + dense_sql("al"))
+def routed_pyramid(t: Tables):
+    """Rasters of 768 and of 3,072 bytes, of which the larger go by row."""
+    mixed = t.spark.sql(MIXED.format(source="{source}"), source=t("heat_pixels"))
+    return routing.routed_pyramid(mixed, HEAT_TS, HEAT_ZOOM, HEAT_ZOOM, limit=1000).withColumn("rgba", F.hex("rgba"))
+
+
 @REG.query("heat_pixels", sql=window_sql("win", "mercator") + dense_sql("win"))
 def block_windows_mercator(t: Tables):
     return encode.window_blocks(t("heat_pixels"), HEAT_TS, HEAT_ZOOM, "mercator").withColumn("rgba", F.hex("rgba"))
@@ -271,6 +288,17 @@ def tile_table_round_trip(t: Tables):
     return sinks.read_tiles(t.spark, f"{folder}/tiles").select("raster_id", "z", "tx", "ty", "tile_id", "content", "path")
 
 
+@REG.query(
+    "raster_samples",
+    sql=TILE_CONTENT_SQL + "SELECT raster_id, CAST(z AS INT) AS z, CAST(tx AS INT) AS tx, CAST(ty AS INT) AS ty, content FROM h",
+)
+def committed_tile_files(t: Tables):
+    """All tiles written as files by tasks that are committed together, and read by zoom."""
+    folder = new_folder(t.spark, "tilefiles")
+    tilefiles.write_committed(quantised_tiles(t), folder, "txt")
+    return tilefiles.read_committed(t.spark, folder).withColumn("content", F.col("content").cast("string"))
+
+
 @REG.query(
     "raster_samples",
     sql=TILE_CONTENT_SQL + "SELECT 'paths' AS output, COUNT(*) AS rows FROM ct UNION ALL SELECT 'directory', COUNT(*) FROM (SELECT DISTINCT raster_id, digest, tile_id - rn FROM (SELECT *, row_number() OVER (PARTITION BY raster_id, digest ORDER BY tile_id) AS rn FROM en) q) q2",

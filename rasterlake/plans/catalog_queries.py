@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text, validate
-from ..operators import accounts, catalog, storage
+from ..operators import accounts, catalog, search, storage
+from ..streaming.run import new_folder
 from .fixtures import Registry, Tables
 
 REG = Registry()
@@ -42,11 +43,47 @@ def list_unfiled_tile_sets(t: Tables):
     return catalog.list_tile_sets(t("tile_sets"), caller=CALLER, unfiled=True).select(*TS)
 
 
-@REG.query("tile_sets", sql=f"SELECT {TS_COLS} FROM tile_sets WHERE is_public AND name ILIKE '%\\_MAP\\%1%' ESCAPE '\\' ORDER BY created_at DESC, tileset_id LIMIT 100")
+SEARCH_SQL = f"SELECT {TS_COLS} FROM tile_sets WHERE is_public AND name ILIKE '%\\_MAP\\%1%' ESCAPE '\\' ORDER BY created_at DESC, tileset_id LIMIT 100"
+
+
+@REG.query("tile_sets", sql=SEARCH_SQL)
 def search_tile_sets(t: Tables):
     return catalog.list_tile_sets(t("tile_sets"), search="_MAP%1", per_page=500).select(*TS)
 
 
+@REG.query("tile_sets", sql=SEARCH_SQL)
+def search_page_by_pieces(t: Tables):
+    """The same page, of which only rows on the posting lists of the text are looked at."""
+    folder = new_folder(t.spark, "pieces")
+    names = t("tile_sets")
+    search.write_index(names, folder, "tileset_id")
+    ids = search.candidates(t.spark, folder, "_MAP%1").withColumnRenamed("id", "tileset_id")
+    return catalog.list_tile_sets(names.join(ids, "tileset_id", "left_semi"), search="_MAP%1", per_page=500).select(*TS)
+
+
+SEARCHES = """
+SELECT concat(substr(n_name, 1, CAST(n_nationkey % 5 AS INT)), CASE WHEN n_nationkey % 3 = 0 THEN '' ELSE '_map%' END) AS text FROM nation
+UNION ALL SELECT concat(upper(substr(r_name, 1, CAST(r_regionkey AS INT))), '_MAP%4') FROM region
+UNION ALL SELECT concat(CAST(n_nationkey % 6 AS STRING), '-', CASE WHEN n_nationkey % 2 = 0 THEN 'UR' ELSE 'hi' END) FROM nation
+UNION ALL SELECT '%' FROM region UNION ALL SELECT CAST(NULL AS STRING) FROM region"""
+
+
+@REG.query(
+    "tile_sets",
+    sql=f"""
+q AS (SELECT DISTINCT text FROM ({SEARCHES}) s)
+SELECT q.text, tileset_id, slug FROM q JOIN tile_sets ON is_public AND contains(lower(name), lower(q.text))""",
+)
+def search_by_pieces(t: Tables):
+    """Many searches at once through posting lists: short, empty, wildcard and missing texts."""
+    folder = new_folder(t.spark, "pieces")
+    names = t("tile_sets")
+    search.write_index(names, folder, "tileset_id")
+    asked = t.spark.sql(SEARCHES.replace("FROM nation", "FROM {nation}").replace("FROM region", "FROM {region}"), nation=t("nation"), region=t("region"))
+    found = search.matches(t.spark, folder, names.filter("is_public"), asked, "tileset_id")
+    return found.select("text", "tileset_id", "slug")
+
+
 @REG.query(
     "tile_sets",
     sql="""

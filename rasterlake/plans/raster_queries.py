@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import color, geo, text, validate
 from ..functions.color import CHANNELS, Background
 from ..operators import pyramid, raster, tiling
-from ..sources import images
+from ..sources import images, pixels
+from ..streaming.run import new_folder
 from .fixtures import Registry, Tables
 
 REG = Registry()
@@ -414,12 +415,15 @@ def isometric_canvas_on_background(t: Tables):
 # --- window method, pyramids ------------------------------------------------------------------------
 
 
-def window_sql(name: str, projection: str) -> str:
-    """Axis windows at the highest zoom (4x4 tiles of 10 pixels)."""
-    flat = "SELECT {a} AS n, tile * 10.0e0 * 32 / 40 AS lo, (tile + 1) * 10.0e0 * 32 / 40 AS hi, tile FROM range(4) g(tile)"
-    merc = f"SELECT 24 AS n, ({MERC.format(t='tile / 4.0e0')}) * 24.0 AS lo, ({MERC.format(t='(tile + 1) / 4.0e0')}) * 24.0 AS hi, tile FROM range(4) g(tile)"
-    y = merc if projection == "mercator" else flat.format(a=24)
-    out_y = "10" if projection == "mercator" else "CAST(greatest(1, round(least(n - lo, 8.0) / 8.0 * 10)) AS INT)"
+def window_sql(name: str, projection: str, source: str = "heat_pixels", width: int = 32, height: int = 24, mark: str = "") -> str:
+    """Axis windows at the highest zoom (4x4 tiles of 10 pixels); ``mark`` keeps the names of two such chains apart."""
+    span = f"{width / 4}"
+    flat = f"SELECT {{a}} AS n, tile * 10.0e0 * {width} / 40 AS lo, (tile + 1) * 10.0e0 * {width} / 40 AS hi, tile FROM range(4) g(tile)"
+    merc = f"SELECT {height} AS n, ({MERC.format(t='tile / 4.0e0')}) * {height}.0 AS lo, ({MERC.format(t='(tile + 1) / 4.0e0')}) * {height}.0 AS hi, tile FROM range(4) g(tile)"
+    y = merc if projection == "mercator" else flat.format(a=height)
+    out = f"CAST(greatest(1, round(least(n - lo, {span}) / {span} * 10)) AS INT)"
+    out_y = "10" if projection == "mercator" else out
+    wy, wx, wty, wtx, wv, wh = (f"{n}{mark}" for n in ("wy", "wx", "wty", "wtx", "wv", "wh"))
 
     def win(src: str, out: str) -> str:
         return f"""SELECT tile, CAST(least(floor(lo), n - 1) AS INT) AS low, CAST(greatest(1, least(ceil(hi) + 1, n) - least(floor(lo), n - 1)) AS INT) AS cnt,
@@ -427,15 +431,15 @@ def window_sql(name: str, projection: str) -> str:
 
     vs = ", ".join(f"SUM(t.w * s.{c}) AS {c}" for c in CHANNELS)
     hs = ", ".join(f"SUM(t.w * CAST(v.{c} AS HUGEINT)) AS {c}" for c in CHANNELS)
-    out = ", ".join(f"{clamp_sql(c, 'd')} AS {c}" for c in CHANNELS)
+    levels = ", ".join(f"{clamp_sql(c, 'd')} AS {c}" for c in CHANNELS)
     return f"""
-wy AS ({win(y, out_y)}), wx AS ({win(flat.format(a=32), "CAST(greatest(1, round(least(n - lo, 8.0) / 8.0 * 10)) AS INT)")}),
-{taps_sql("wty", "SELECT DISTINCT cnt AS n, out_n AS n2 FROM wy")}, {taps_sql("wtx", "SELECT DISTINCT cnt AS n, out_n AS n2 FROM wx")},
-wv AS (SELECT s.raster_id, s.x, wy.tile AS ty, t.o AS oy, ANY_VALUE(t.d) AS dy, {vs} FROM heat_pixels s JOIN wy ON s.y >= low AND s.y < low + cnt
-       JOIN wty t ON t.n = cnt AND t.n2 = out_n AND t.i = s.y - low GROUP BY 1, 2, 3, 4),
-wh AS (SELECT v.raster_id, wx.tile AS tx, ty, t.o AS ox, oy, CAST(ANY_VALUE(t.d) AS HUGEINT) * dy AS d, {hs} FROM wv v JOIN wx ON v.x >= low AND v.x < low + cnt
-       JOIN wtx t ON t.n = cnt AND t.n2 = out_n AND t.i = v.x - low GROUP BY v.raster_id, wx.tile, ty, t.o, oy, dy),
-{name} AS (SELECT raster_id, 2 AS z, tx, ty, ox, oy, {out} FROM wh)"""
+{wy} AS ({win(y, out_y)}), {wx} AS ({win(flat.format(a=width), out)}),
+{taps_sql(wty, f"SELECT DISTINCT cnt AS n, out_n AS n2 FROM {wy}")}, {taps_sql(wtx, f"SELECT DISTINCT cnt AS n, out_n AS n2 FROM {wx}")},
+{wv} AS (SELECT s.raster_id, s.x, g.tile AS ty, t.o AS oy, ANY_VALUE(t.d) AS dy, {vs} FROM {source} s JOIN {wy} g ON s.y >= low AND s.y < low + cnt
+       JOIN {wty} t ON t.n = cnt AND t.n2 = out_n AND t.i = s.y - low GROUP BY 1, 2, 3, 4),
+{wh} AS (SELECT v.raster_id, g.tile AS tx, ty, t.o AS ox, oy, CAST(ANY_VALUE(t.d) AS HUGEINT) * dy AS d, {hs} FROM {wv} v JOIN {wx} g ON v.x >= low AND v.x < low + cnt
+       JOIN {wtx} t ON t.n = cnt AND t.n2 = out_n AND t.i = v.x - low GROUP BY v.raster_id, g.tile, ty, t.o, oy, dy),
+{name} AS (SELECT raster_id, 2 AS z, tx, ty, ox, oy, {levels} FROM {wh})"""
 
 
 @REG.query("heat_pixels", sql=window_sql("win", "flat") + f"SELECT {TILE_COLS} FROM win")
@@ -507,6 +511,23 @@ def _rows_sql(projection: str) -> str:
        CAST(least(ceil(hi) + 1, height) AS INT) AS row_high FROM (SELECT raster_id, height, ty, {span} FROM image_dims, range(4) g(ty)) q WHERE lo < height"""
 
 
+def _stored_strip(t: Tables, projection: str, ty: int):
+    folder = new_folder(t.spark, "pixels")
+    pixels.write_pixels(t("heat_pixels"), folder)
+    return pixels.strip_tiles(t.spark, folder, HEAT_TS, HEAT_ZOOM, projection, ty)
+
+
+@REG.query("heat_pixels", sql=window_sql("win", "flat") + f"SELECT {TILE_COLS} FROM win WHERE ty = 1")
+def stored_strip_flat(t: Tables):
+    """The second row of tiles from the lines it needs, read from pixels stored by line."""
+    return _stored_strip(t, "flat", 1)
+
+
+@REG.query("heat_pixels", sql=window_sql("win", "mercator") + f"SELECT {TILE_COLS} FROM win WHERE ty = 0")
+def stored_strip_mercator(t: Tables):
+    return _stored_strip(t, "mercator", 0)
+
+
 @REG.query("image_dims", sql=_rows_sql("flat"))
 def source_rows_flat(t: Tables):
     return raster.source_rows(t("image_dims").withColumn("z", F.lit(2)), HEAT_TS, "flat")

@@ -15,20 +15,25 @@ from ..sources.messages import split_jobs
 
 LATENESS = "10 minutes"
 IDLE_MILLIS = 60_000
+UNKNOWN = np.iinfo(np.int64).min
 STATE = "status string, progress int, tiles_done bigint, updated_ms bigint, applied bigint, ignored bigint"
 OUTPUT = "job_id bigint, " + STATE
 
 
-def _in_order(batches: Iterator[pd.DataFrame], *columns: str) -> list[np.ndarray]:
-    """Columns of all rows of a key in this micro-batch in (ts, event_id) order. Spark hands them out in pieces in any order."""
-    pieces = list(batches)
-    pdf = pieces[0] if len(pieces) == 1 else pd.concat(pieces, ignore_index=True)
-    order = np.lexsort((pdf["event_id"].to_numpy(), pdf["ts"].to_numpy()))
-    return [pdf[c].to_numpy()[order] for c in columns]
+def _micros(times: pd.Series) -> np.ndarray:
+    return times.to_numpy().astype("datetime64[us]").astype(np.int64)
 
 
-def _micros(ts: np.datetime64) -> int:
-    return int(ts.astype("datetime64[us]").astype("int64"))
+def _newest_row(batches: Iterator[pd.DataFrame], *columns: str) -> tuple:
+    """(microseconds, event id, *columns) of the last row in (ts, event_id) order; one row is remembered from piece to piece."""
+    best = None
+    for pdf in batches:
+        times, events = _micros(pdf["ts"]), pdf["event_id"].to_numpy()
+        at = np.lexsort((events, times))[-1]
+        found = int(times[at]), int(events[at])
+        if best is None or found > best[:2]:
+            best = (*found, *[pdf[c].iat[at] for c in columns])
+    return best
 
 
 def _forget_at(state: GroupState, millis: int) -> None:
@@ -36,23 +41,69 @@ def _forget_at(state: GroupState, millis: int) -> None:
     state.setTimeoutTimestamp(max(millis, state.getCurrentWatermarkMs() + 1))
 
 
+class _OpenRows:
+    """What has to be known of the updates of an open job to apply them in order, though they come in pieces in any order.
+
+    The first closing row and the newest row are single rows. How many rows come before the closing one, and the last known number of
+    tiles there, are not known until all pieces have come, so times, ids and tiles are kept as plain numbers (24 bytes a row), and
+    only of rows before the first closing row that is known so far.
+    """
+
+    def __init__(self) -> None:
+        self.total, self.close, self.last = 0, None, None
+        self.rows: list[np.ndarray] = []
+
+    def add(self, pdf: pd.DataFrame) -> None:
+        times, events = _micros(pdf["ts"]), pdf["event_id"].to_numpy(np.int64)
+        order = np.lexsort((events, times))
+        ends = order[~pdf["status"].isin(jobs.OPEN).to_numpy()[order]]
+        self.total += len(pdf)
+        row = lambda i: (int(times[i]), int(events[i]), pdf["status"].iat[i], int(pdf["progress"].iat[i]))
+        newest = row(order[-1])
+        self.last = newest if self.last is None or newest[:2] > self.last[:2] else self.last
+        if len(ends) and (self.close is None or row(ends[0])[:2] < self.close[:2]):
+            self.close = row(ends[0])
+            self.rows = [self._before(r) for r in self.rows]
+        known = pdf["tiles_done"].notna().to_numpy()
+        tiles = np.where(known, pdf["tiles_done"].fillna(0).to_numpy(np.int64), UNKNOWN)
+        self.rows.append(self._before(np.stack((times, events, tiles))))
+
+    def _before(self, rows: np.ndarray) -> np.ndarray:
+        if self.close is None:
+            return rows
+        at, event = self.close[:2]
+        return rows[:, (rows[0] < at) | ((rows[0] == at) & (rows[1] <= event))]
+
+    def result(self) -> tuple[tuple, int, int | None]:
+        """The row that gives the state, how many rows count, and the last known number of tiles."""
+        counted = sum(r.shape[1] for r in self.rows)
+        newest = None
+        for times, events, tiles in self.rows:
+            known = np.flatnonzero(tiles != UNKNOWN)
+            if len(known):
+                at = known[np.lexsort((events[known], times[known]))[-1]]
+                found = int(times[at]), int(events[at]), int(tiles[at])
+                newest = found if newest is None or found > newest else newest
+        return self.close or self.last, counted, newest[2] if newest else None
+
+
 def _advance(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Apply updates while the job is open; afterwards only count them. A job without updates for the retention time is forgotten."""
     if state.hasTimedOut:
         state.remove()
         return
     status, progress, done, updated, applied, ignored = state.get if state.exists else (None, None, None, None, 0, 0)
-    statuses, shares, tiles, times = _in_order(batches, "status", "progress", "tiles_done", "ts")
     if status is not None and status not in jobs.OPEN:
-        ignored += len(times)
+        ignored += sum(map(len, batches))
     else:
-        ends = np.flatnonzero([s not in jobs.OPEN for s in statuses])
-        counted = int(ends[0]) + 1 if len(ends) else len(times)
-        status, progress, updated = statuses[counted - 1], min(100, max(0, int(shares[counted - 1]))), _micros(times[counted - 1]) // 1000
-        known = np.flatnonzero(pd.notna(tiles[:counted]))
-        done = int(tiles[known[-1]]) if len(known) else done
+        rows = _OpenRows()
+        for pdf in batches:
+            rows.add(pdf)
+        (micros, _, status, share), counted, tiles = rows.result()
+        progress, updated = min(100, max(0, share)), micros // 1000
+        done = done if tiles is None else tiles
         applied += counted
-        ignored += len(times) - counted
+        ignored += rows.total - counted
     state.update((status, progress, done, updated, applied, ignored))
     _forget_at(state, updated + jobs.JOB_RETENTION_HOURS * 3_600_000)
     yield pd.DataFrame(
@@ -79,11 +130,10 @@ def _watch(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[
         if status == "processing":
             yield pd.DataFrame({"job_id": [key[0]], "status": ["failed"], "error": [jobs.STALE_ERROR], "seen_ms": [seen]})
         return
-    statuses, times, events = _in_order(batches, "status", "ts", "event_id")
     status, seen, event = state.get if state.exists else (None, -1, -1)
-    newest = _micros(times[-1]) // 1000, int(events[-1])
-    if newest > (seen, event):
-        status, (seen, event) = statuses[-1], newest
+    micros, newest, last = _newest_row(batches, "status")
+    if (micros // 1000, newest) > (seen, event):
+        status, seen, event = last, micros // 1000, newest
     state.update((status, seen, event))
     _forget_at(state, seen + jobs.STALE_SECONDS * 1000)
 
@@ -101,11 +151,10 @@ def _newest(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator
     if state.hasTimedOut:
         state.remove()
         return
-    statuses, tiles, times, events = (c[-1] for c in _in_order(batches, "status", "tiles_done", "ts", "event_id"))
-    newest = _micros(times), int(events)
+    micros, event, status, tiles = _newest_row(batches, "status", "tiles_done")
     seen = state.get if state.exists else None
-    if seen is None or newest > (seen[2], seen[3]):
-        seen = (statuses, None if pd.isna(tiles) else int(tiles), *newest)
+    if seen is None or (micros, event) > (seen[2], seen[3]):
+        seen = (status, None if pd.isna(tiles) else int(tiles), micros, event)
     state.update(seen)
     _forget_at(state, seen[2] // 1000 + jobs.PROGRESS_TTL_SECONDS * 1000)
     yield pd.DataFrame({
@@ -144,8 +193,12 @@ def _thin(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[p
         if held_at is not None:
             yield pd.DataFrame({"job_id": [key[0]], "event_id": [held_id], "at_millis": [held_at]})
         return
-    pdf = pd.concat(list(batches), ignore_index=True).sort_values(["at_millis", "event_id"], ignore_index=True)
-    at, step = pdf["at_millis"].to_numpy(), int(pdf["step"].iat[0])
+    step, pieces = 1, []
+    for pdf in batches:  # 16 bytes a row are kept; of rows of one time, the first and the last
+        step = int(pdf["step"].iat[0])
+        times = pdf.groupby("at_millis")["event_id"].agg(["min", "max"])
+        pieces += [np.stack((times.index.to_numpy(np.int64), times[c].to_numpy(np.int64))) for c in ("min", "max")]
+    at, events = np.unique(np.concatenate(pieces, axis=1), axis=1)
     kept, place = [], 0
     while place < len(at):  # one step for each record that is passed on
         place = place if last is None else max(place, int(np.searchsorted(at, last + step)))
@@ -156,12 +209,12 @@ def _thin(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[p
         place += 1
     if not kept or kept[-1] != len(at) - 1:
         if held_at is None or at[-1] >= held_at:
-            held_at, held_id = int(at[-1]), int(pdf["event_id"].iat[-1])
+            held_at, held_id = int(at[-1]), int(events[-1])
     elif held_at is None or last >= held_at:
         held_at = held_id = None
     state.update((last, held_at, held_id))
     _forget_at(state, int(at[-1]) + IDLE_MILLIS)
-    yield pdf.iloc[kept][["event_id", "at_millis"]].assign(job_id=key[0])[["job_id", "event_id", "at_millis"]]
+    yield pd.DataFrame({"job_id": key[0], "event_id": events[kept], "at_millis": at[kept]})
 
 
 def throttle(ticks: DataFrame, millis: int = jobs.TICK_MILLIS, lateness: str = LATENESS) -> DataFrame:
