@@ -1,5 +1,9 @@
 """Streams over several files: state must carry from one micro-batch to the next."""
 
+import tracemalloc
+
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -174,3 +178,76 @@ def test_state_of_quiet_jobs_goes():
     for step, value in ((jobs._advance, ("complete", 100, 1, 1, 1, 0)), (jobs._newest, ("processing", 1, 1, 1))):
         state = State(value, timed_out=True)
         assert list(step((1,), iter([]), state)) == [] and not state.exists
+
+
+class PlainState:
+    """As much of the state handle as the folds use."""
+
+    def __init__(self):
+        self.get, self.exists, self.hasTimedOut = None, False, False
+
+    def update(self, value):
+        self.get, self.exists = value, True
+
+    def setTimeoutTimestamp(self, millis):
+        pass
+
+    def getCurrentWatermarkMs(self):
+        return 0
+
+
+def pieces_of_job(n, closing, seed):
+    """Updates of one job in any order and in pieces, as a micro-batch hands them out; those from ``closing`` on may close it."""
+    rng = np.random.default_rng(seed)
+    at = rng.integers(0, n // 2 + 1, n)
+    status = np.where((rng.random(n) < 0.01) & (at >= closing), "failed", "processing")
+    tiles = pd.array(rng.integers(0, 1000, n), "Int64")
+    tiles[rng.random(n) < 0.3] = pd.NA
+    df = pd.DataFrame({
+        "event_id": rng.permutation(n), "ts": pd.to_datetime(at, unit="s"), "status": status, "progress": rng.integers(-20, 130, n), "tiles_done": tiles,
+    })
+    return df, [df.iloc[i : i + 10_000] for i in range(0, n, 10_000)]
+
+
+@pytest.mark.parametrize("closing", [0, 400, 10**9])
+def test_states_of_pieces_in_any_order(closing):
+    df, pieces = pieces_of_job(1000, closing, 1)
+    pieces = [df.iloc[i : i + 37] for i in range(0, 1000, 37)]
+    (row,) = pd.concat(jobs._advance((5,), iter(pieces), PlainState())).to_dict("records")
+    status, done, applied = None, None, 0
+    for r in df.sort_values(["ts", "event_id"]).to_dict("records"):
+        if status in (None, "queued", "processing"):
+            status, progress, applied = r["status"], min(100, max(0, r["progress"])), applied + 1
+            done = done if pd.isna(r["tiles_done"]) else r["tiles_done"]
+    assert (row["status"], row["progress"], row["tiles_done"], row["applied"], row["ignored"]) == (status, progress, done, applied, 1000 - applied)
+    newest = df.sort_values(["ts", "event_id"]).iloc[-1]
+    (last,) = pd.concat(jobs._newest((5,), iter(pieces), PlainState())).to_dict("records")
+    assert (last["status"], last["ts_micros"]) == (newest["status"], newest["ts"].value // 1000)
+
+
+def test_a_million_updates_of_one_job_take_little_memory():
+    n = 1_000_000
+    df, pieces = pieces_of_job(n, n // 3, 2)
+    cut = df[df["status"] == "failed"].sort_values(["ts", "event_id"]).iloc[0]
+    applied = int(((df["ts"] < cut["ts"]) | ((df["ts"] == cut["ts"]) & (df["event_id"] <= cut["event_id"]))).sum())
+    tracemalloc.start()
+    try:
+        (row,) = pd.concat(jobs._advance((5,), iter(pieces), PlainState())).to_dict("records")
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert (row["status"], row["applied"], row["ignored"]) == ("failed", applied, n - applied)
+    assert peak < 64 << 20  # 24 bytes a row, in plain numbers
+
+
+def test_thinning_of_pieces_in_any_order():
+    rng = np.random.default_rng(4)
+    at = rng.integers(0, 5000, 4000)
+    ticks = pd.DataFrame({"event_id": rng.permutation(4000), "at_millis": at, "step": 70})
+    got = pd.concat(jobs._thin((1,), iter([ticks.iloc[i : i + 300] for i in range(0, 4000, 300)]), PlainState()))
+    want, last = [], None
+    for r in ticks.sort_values(["at_millis", "event_id"]).itertuples():
+        if last is None or r.at_millis >= last + 70:
+            last = r.at_millis
+            want.append((r.event_id, r.at_millis))
+    assert list(zip(got["event_id"], got["at_millis"])) == want
