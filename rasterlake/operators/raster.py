@@ -112,28 +112,35 @@ def fixed_weight(t: Column, s: Column) -> Column:
     return nearest(catmull_rom(t) / s * float(WEIGHT_ONE))
 
 
-def tap_total(o: Column, n: Column, n2: Column) -> Column:
-    """Sum of the weights of all source indices inside the image for output o.
+def with_tap_total(rows: DataFrame, name: str, o: Column, n: Column, n2: Column) -> DataFrame:
+    """Add the sum of the weights of all source indices inside the image for output ``o``.
 
-    An enlarged axis has at most five taps, which are written out; a reduced one folds over its taps, but has few outputs.
+    An enlarged axis has at most five taps, which are columns of their own; a reduced one folds over its taps, but has few outputs. Ratio,
+    centre, bounds and distances are columns too, so each is evaluated once per row.
     """
-    ratio = n.cast("double") / n2
-    s = F.greatest(F.lit(1.0), ratio)
-    centre = (o + 0.5) * ratio
-    low = F.greatest(F.lit(0), F.ceil(centre - 0.5 - CATMULL_SUPPORT * s).cast("int"))
-    high = F.least(n.cast("int") - 1, F.floor(centre - 0.5 + CATMULL_SUPPORT * s).cast("int"))
+    ratio, s, centre, low, high = (F.col(c) for c in ("_ratio", "_s", "_centre", "_low", "_high"))
     distances = F.transform(F.sequence(low, high), lambda i: F.abs((i + 0.5) - centre) / s)
     zero = F.lit(0).cast("long")
     folded = F.aggregate(distances, zero, lambda acc, t: acc + F.when(t < 2.0, fixed_weight(t, s)).otherwise(zero))
-    written = zero
-    for k in range(5):
-        t = F.abs((low + k + 0.5) - centre)
-        written = written + F.when((low + k <= high) & (t < 2.0), fixed_weight(t, F.lit(1.0))).otherwise(zero)
-    return F.when(ratio <= 1.0, written).otherwise(folded)
+    taps = {f"_t{k}": F.abs((low + k + 0.5) - centre) for k in range(5)}
+    written = [
+        F.when((low + k <= high) & (F.col(t) < 2.0), fixed_weight(F.col(t), F.lit(1.0))).otherwise(zero) for k, t in enumerate(taps)
+    ]
+    return (
+        rows.select("*", (n.cast("double") / n2).alias("_ratio"))
+        .select("*", F.greatest(F.lit(1.0), ratio).alias("_s"), ((o + 0.5) * ratio).alias("_centre"))
+        .select(
+            "*", F.greatest(F.lit(0), F.ceil(centre - 0.5 - CATMULL_SUPPORT * s).cast("int")).alias("_low"),
+            F.least(n.cast("int") - 1, F.floor(centre - 0.5 + CATMULL_SUPPORT * s).cast("int")).alias("_high"),
+        )
+        .withColumns(taps)
+        .withColumn(name, F.when(ratio <= 1.0, sum(written, zero)).otherwise(folded))
+        .drop("_ratio", "_s", "_centre", "_low", "_high", *taps)
+    )
 
 
 def _pass(px: DataFrame, keys: Sequence[str], axis: str, n: Column, n2: Column) -> DataFrame:
-    """One separable pass: scaled integer sums per output index of ``axis``; ``tap_total`` gives their divisor.
+    """One separable pass: scaled integer sums per output index of ``axis``; ``with_tap_total`` gives their divisor.
 
     Each source index is scattered to all outputs it can reach. Scale, distance and weight are separate columns,
     which keeps every one of them evaluated once per row.
@@ -178,7 +185,7 @@ def resample(px: DataFrame, keys: Sequence[str], width: str, height: str, out_w:
 
 def _divided(sums: DataFrame, n_x: Column, out_x: Column, n_y: Column, out_y: Column) -> DataFrame:
     """The sums of both passes as levels; the divisors are worked out once for each output pixel."""
-    totals = sums.select("*", tap_total(F.col("x"), n_x, out_x).alias("_dx"), tap_total(F.col("y"), n_y, out_y).alias("_dy"))
+    totals = with_tap_total(with_tap_total(sums, "_dx", F.col("x"), n_x, out_x), "_dy", F.col("y"), n_y, out_y)
     product = totals.select("*", (F.col("_dx") * F.col("_dy")).alias("_d")).drop("_dx", "_dy")
     return product.withColumns({c: _rounded(F.col(c), F.col("_d")) for c in CHANNELS}).drop("_d")
 
@@ -186,7 +193,7 @@ def _divided(sums: DataFrame, n_x: Column, out_x: Column, n_y: Column, out_y: Co
 def resample_columns(px: DataFrame, keys: Sequence[str], width: str, out_w: str) -> DataFrame:
     """Horizontal resize only."""
     across = _pass(px, keys, "x", F.col(width), F.col(out_w))
-    total = across.select("*", tap_total(F.col("x"), F.col(width), F.col(out_w)).alias("_dx"))
+    total = with_tap_total(across, "_dx", F.col("x"), F.col(width), F.col(out_w))
     return total.select(*keys, "x", "y", *[_rounded(F.col(c), F.col("_dx")).alias(c) for c in CHANNELS])
 
 
