@@ -8,10 +8,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.state import GroupState
 
 from ..operators import jobs
 from ..sources.messages import split_jobs
+from .buckets import BUCKETS, fold_keys
 
 LATENESS = "10 minutes"
 IDLE_MILLIS = 60_000
@@ -112,11 +113,10 @@ def _advance(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterato
     )
 
 
-def states(updates: DataFrame, lateness: str = LATENESS) -> DataFrame:
+def states(updates: DataFrame, lateness: str = LATENESS, buckets: int = BUCKETS) -> DataFrame:
     """State of each job after every micro-batch in which it had updates (update mode)."""
-    return updates.withWatermark("ts", lateness).groupBy("job_id").applyInPandasWithState(
-        _advance, OUTPUT, STATE, "update", GroupStateTimeout.EventTimeTimeout
-    )
+    rows = updates.withWatermark("ts", lateness).select("job_id", "event_id", "ts", "status", "progress", "tiles_done")
+    return fold_keys(rows, "job_id", _advance, OUTPUT, STATE, "update", buckets)
 
 
 def _watch(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -138,11 +138,12 @@ def _watch(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[
     _forget_at(state, seen + jobs.STALE_SECONDS * 1000)
 
 
-def stale(updates: DataFrame, lateness: str = LATENESS) -> DataFrame:
+def stale(updates: DataFrame, lateness: str = LATENESS, buckets: int = BUCKETS) -> DataFrame:
     """Jobs that went quiet while processing, reported once the event-time clock has passed their deadline."""
-    return updates.withWatermark("ts", lateness).groupBy("job_id").applyInPandasWithState(
-        _watch, "job_id bigint, status string, error string, seen_ms bigint", "status string, seen_ms bigint, event_id bigint", "append",
-        GroupStateTimeout.EventTimeTimeout,
+    rows = updates.withWatermark("ts", lateness).select("job_id", "event_id", "ts", "status")
+    return fold_keys(
+        rows, "job_id", _watch, "job_id bigint, status string, error string, seen_ms bigint", "status string, seen_ms bigint, event_id bigint",
+        "append", buckets,
     )
 
 
@@ -162,11 +163,12 @@ def _newest(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator
     })
 
 
-def latest_progress(updates: DataFrame, lateness: str = LATENESS) -> DataFrame:
+def latest_progress(updates: DataFrame, lateness: str = LATENESS, buckets: int = BUCKETS) -> DataFrame:
     """Latest record per job (update mode). As in the table form a record expires after an hour."""
-    newest = updates.withWatermark("ts", lateness).groupBy("job_id").applyInPandasWithState(
-        _newest, "job_id bigint, status string, tiles_done bigint, ts_micros bigint",
-        "status string, tiles_done bigint, ts_micros bigint, event_id bigint", "update", GroupStateTimeout.EventTimeTimeout,
+    rows = updates.withWatermark("ts", lateness).select("job_id", "event_id", "ts", "status", "tiles_done")
+    newest = fold_keys(
+        rows, "job_id", _newest, "job_id bigint, status string, tiles_done bigint, ts_micros bigint",
+        "status string, tiles_done bigint, ts_micros bigint, event_id bigint", "update", buckets,
     )
     return newest.select("job_id", "status", "tiles_done", F.timestamp_micros("ts_micros").alias("ts"))
 
@@ -217,14 +219,13 @@ def _thin(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[p
     yield pd.DataFrame({"job_id": key[0], "event_id": events[kept], "at_millis": at[kept]})
 
 
-def throttle(ticks: DataFrame, millis: int = jobs.TICK_MILLIS, lateness: str = LATENESS) -> DataFrame:
+def throttle(ticks: DataFrame, millis: int = jobs.TICK_MILLIS, lateness: str = LATENESS, buckets: int = BUCKETS) -> DataFrame:
     """Progress records with at least ``millis`` between them, per job, and the last one once the job has been idle for a while."""
     timed = ticks.withWatermark("ts", lateness).select(
         "job_id", "event_id", "ts", F.unix_millis("ts").alias("at_millis"), F.lit(millis).cast("long").alias("step")
     )
-    return timed.groupBy("job_id").applyInPandasWithState(
-        _thin, "job_id bigint, event_id bigint, at_millis bigint", "last bigint, held_at bigint, held_id bigint", "append",
-        GroupStateTimeout.EventTimeTimeout,
+    return fold_keys(
+        timed, "job_id", _thin, "job_id bigint, event_id bigint, at_millis bigint", "last bigint, held_at bigint, held_id bigint", "append", buckets
     )
 
 

@@ -251,3 +251,21 @@ def test_thinning_of_pieces_in_any_order():
             last = r.at_millis
             want.append((r.event_id, r.at_millis))
     assert list(zip(got["event_id"], got["at_millis"])) == want
+
+
+@pytest.mark.parametrize("buckets", [1, 5])
+def test_quiet_jobs_of_one_bucket(spark, tmp_path, buckets):
+    """Jobs of a bucket time out each in its own time, also in a micro-batch that has rows of others."""
+    folder = str(tmp_path / "quiet")
+
+    def write(items):
+        df = spark.createDataFrame(items, "job_id long, event_id long, sec long, status string").withColumn("ts", F.timestamp_seconds("sec"))
+        df.drop("sec").coalesce(1).write.mode("append").parquet(folder)
+
+    jobs_at = [(j, j, 1000 + 10 * j, "processing" if j % 3 else "complete") for j in range(40)]
+    write([*jobs_at, (None, 50, 1000, "processing")])
+    write([(100, 100, 1600, "processing"), (7, 101, 1500, None)])
+    write([(101, 102, 1700, "queued")])
+    got = run_to_table(jobs.stale(stream(spark, folder), "1 minute", buckets=buckets), "quiet-bucket")
+    want = {(j, 1000 * at) for j, _, at, status in jobs_at if status == "processing" and j != 7 and 1000 * at + 300_000 < 1_640_000}
+    assert {(r.job_id, r.seen_ms) for r in got.collect()} == want | {(None, 1_000_000)}
