@@ -225,3 +225,33 @@ def test_tile_table_is_partitioned_and_ordered(spark, tmp_path):
     assert back.filter("z = 1").select("path").distinct().count() == 4
     plan = back.filter("z = 1 AND tx = 0")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(z" in plan and "PushedFilters: [IsNotNull(tx), EqualTo(tx,0)]" in plan
+
+
+def _two_sizes(spark, height=24):
+    px = spark.range(3 * 32 * 24).select(
+        F.floor(F.col("id") / 768).alias("raster_id"), F.lit(32).alias("width"), F.lit(height).alias("height"), (F.col("id") % 32).cast("int").alias("x"),
+        F.floor(F.col("id") % 768 / 32).cast("int").alias("y"), *[(F.xxhash64("id", F.lit(c)) % 256).cast("int").alias(c) for c in "rgba"],
+    )
+    return px.withColumns({c: F.abs(c) for c in "rgba"})
+
+
+def test_small_rasters_are_resampled_with_one_shuffle(spark):
+    px = _two_sizes(spark)
+    for df in (
+        raster.flat_canvas(raster.at_zooms(px, 10, 0, 2)), raster.extract_windows(px, 10, 2, "flat"), raster.prescale(px, 0.5),
+        raster.resample_columns(raster.at_zooms(px, 10, 0, 2, "y"), raster.LEVEL, "width", "fit_w"),
+    ):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 1
+        assert df._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+
+
+def test_rasters_by_line_and_as_a_whole_give_the_same(spark, monkeypatch):
+    px = _two_sizes(spark)
+
+    def found():
+        frames = (raster.flat_canvas(raster.at_zooms(px, 10, 0, 2)), raster.extract_windows(px, 10, 2, "mercator"), raster.prescale(px, 0.5))
+        return [sorted(map(tuple, df.collect())) for df in frames]
+
+    whole = found()
+    monkeypatch.setattr(raster, "WHOLE", 0)
+    assert found() == whole and all(whole)
