@@ -255,3 +255,49 @@ def test_rasters_by_line_and_as_a_whole_give_the_same(spark, monkeypatch):
     whole = found()
     monkeypatch.setattr(raster, "WHOLE", 0)
     assert found() == whole and all(whole)
+
+
+def _shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+@pytest.mark.parametrize("projection,by", [("flat", "x"), ("mercator", "y"), ("isometric", "x")])
+def test_canvases_of_small_rasters_need_no_join(spark, projection, by):
+    px, bg = _two_sizes(spark), Background(1, 2, 3, 255)
+    assert _shuffles(raster.canvas(raster.at_zooms(px, 10, 0, 2, by), projection)) == 1
+    # One for the pixels and one for the sizes that the grid is made of.
+    assert _shuffles(raster.filled_canvas(raster.at_zooms(px, 10, 0, 2, by), projection, bg)) == 2
+
+
+@pytest.mark.parametrize("projection,by", [("flat", "x"), ("mercator", "y"), ("isometric", "x")])
+@pytest.mark.parametrize("height", [1, 24])
+def test_canvases_by_line_and_as_a_whole_give_the_same(spark, monkeypatch, projection, by, height):
+    px, bg = _two_sizes(spark, height).filter(F.col("y") < height), Background(1, 2, 3, 200)
+
+    def found():
+        levels = raster.at_zooms(px, 10, 0, 2, by)
+        drawn = raster.canvas(levels, projection, bg)
+        sizes = levels.select("raster_id", "z", "canvas").distinct()
+        full = raster.filled_canvas(levels, projection, bg)
+        assert sorted(map(tuple, full.collect())) == sorted(map(tuple, raster.fill(drawn, sizes, bg).collect()))
+        return sorted(map(tuple, drawn.collect()))
+
+    whole = found()
+    monkeypatch.setattr(raster, "SIDE", 20)
+    assert found() == whole and (whole or height == 1)
+
+
+def test_pyramids_are_compared_with_the_shuffle_of_their_pixels(spark, monkeypatch):
+    px = _two_sizes(spark)
+
+    def compared(held):
+        return pyramid.compare(pyramid.strip_pyramid(px, 10, 2, held=held), pyramid.naive_pyramid(px, 10, 0, 2, held=held))
+
+    whole = compared(True)
+    plan = whole._jdf.queryExecution().optimizedPlan().toString()
+    assert "hashpartitioning" in whole._jdf.queryExecution().executedPlan().toString() and "LogicalRDD" not in plan
+    assert _shuffles(whole) == plan.count("RepartitionByExpression")
+    want = sorted(map(tuple, whole.collect()))
+    assert want == sorted(map(tuple, compared(False).collect())) and any(not r[-1] for r in want)
+    monkeypatch.setattr(raster, "WHOLE", 0)
+    assert want == sorted(map(tuple, compared(True).collect()))
