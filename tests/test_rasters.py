@@ -70,6 +70,24 @@ def test_large_blocks_and_images_are_read_quickly(spark, tmp_path):
     assert (one.width, one.channels, [int(v) for v in one.s]) == (1024, 4, big[0, 0].tolist())
 
 
+def test_many_images_of_nested_folders_are_read_together(spark, tmp_path):
+    """Images of two sizes in folders of different depths, of one task; other files are left out."""
+    rng = np.random.default_rng(6)
+    want = {}
+    for k, folder in enumerate(["", "a", "a/b", "c/d/e"] * 5):
+        place = tmp_path / folder
+        place.mkdir(parents=True, exist_ok=True)
+        raw = rng.integers(0, 256, (2 + k % 2, 2 + k % 2, 4), dtype=np.uint8)
+        (place / f"{k}.png").write_bytes(encode.png_bytes(raw.tobytes(), 2 + k % 2))
+        (place / f"{k}.txt").write_bytes(b"text")
+        want |= {(k, 2 + k % 2, x, y, c): float(raw[y, x, c]) for y, x, c in np.ndindex(raw.shape)}
+    read = images.read_samples(spark, str(tmp_path), "*.png").select(F.regexp_extract("origin", r"(\d+)\.png$", 1).cast("int").alias("k"), "*")
+    got = read.collect()
+    assert {(r.k, r.width, r.x, r.y, r.channel): r.v for r in got} == want and len(got) == len(want)
+    batch = [(type("Image", (), dict(origin=str(k), width=1, height=1, nChannels=1))(), 0, np.full((1, 1, 1), k, np.uint8)) for k in range(3)]
+    assert images._sample_rows(batch)["v"].tolist() == [0.0, 1.0, 2.0]
+
+
 def test_wide_windows_take_the_relational_form(spark):
     array = np.random.default_rng(5).integers(0, 256, (40, 70, 4), dtype=np.uint8)
     px = image(spark, array)
