@@ -2,12 +2,17 @@
 
 A piece has one to three characters. The list of a text's rarest pieces gives few candidates, which are compared exactly; texts of up to
 three characters are a piece themselves. So a search reads the rows of a few pieces and never all names, and gives the rows of a scan.
+The index has a segment per task that reads names, with a row for each piece and batch of names, so postings are never shuffled.
 
 Case does not count; ``%`` and ``_`` stand for themselves. An empty text is in every name, a null text or name in none.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import chain
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,15 +36,37 @@ def pieces(column: Column, sizes: range = range(PIECE + 1)) -> Column:
     return F.array_distinct(F.concat(*[of_size(n) for n in sizes]))
 
 
+def postings(names: DataFrame, id_col: str, name_col: str = "name") -> DataFrame:
+    """(piece, ids): a row for each piece that names of a batch have, with the ids of these names, each as often as it has such a row."""
+    rows = names.filter(F.col(name_col).isNotNull()).select(F.lower(name_col).alias("name"), F.col(id_col).alias("id"))
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            with_piece: dict[str, list[int]] = {"": list(range(batch.num_rows))}
+            for row, name in enumerate(batch.column("name").to_pylist()):
+                for piece in {name[at : at + n] for n in range(1, PIECE + 1) for at in range(len(name) - n + 1)}:
+                    with_piece.setdefault(piece, []).append(row)
+            ends = [0]
+            for found in with_piece.values():
+                ends.append(ends[-1] + len(found))
+            ids = batch.column("id").take(pa.array(chain.from_iterable(with_piece.values()), pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(with_piece.keys(), pa.string()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids)], ["piece", "ids"]
+            )
+
+    return rows.mapInArrow(step, f"piece string, ids array<{rows.schema['id'].dataType.simpleString()}>")
+
+
 def write_index(names: DataFrame, folder: str, id_col: str, name_col: str = "name") -> None:
-    """Posting lists as rows in order of their pieces, so that a search reads the row groups of its pieces only, and their lengths.
+    """Posting lists in order of their pieces in each segment, so that a search reads the row groups of its pieces only, and their lengths.
 
-    A piece that many names have fills many rows and files, never one row.
+    A piece that many names have fills a row for each batch of names, never one row.
     """
-    rows = names.select(F.explode(pieces(F.col(name_col))).alias("piece"), F.col(id_col).alias("id"))
-    rows.repartitionByRange("piece", "id").sortWithinPartitions("piece", "id").write.parquet(f"{folder}/lists")
+    postings(names, id_col, name_col).sortWithinPartitions("piece").write.parquet(f"{folder}/lists")
     written = names.sparkSession.read.parquet(f"{folder}/lists")
-    written.groupBy("piece").agg(F.count("*").alias("n")).write.parquet(f"{folder}/lengths")
+    written.groupBy("piece").agg(F.sum(F.size("ids")).alias("n")).write.parquet(f"{folder}/lengths")
 
 
 def chosen_pieces(texts: DataFrame, lengths: DataFrame, text_col: str) -> DataFrame:
@@ -60,10 +87,11 @@ def matches(
     """One row per different text of ``texts`` and row of ``names`` whose name contains it: ``text`` and the columns of ``names``."""
     chosen = chosen_pieces(texts, spark.read.parquet(f"{folder}/lengths"), text_col)
     lists = spark.read.parquet(f"{folder}/lists")
-    on_all = lists.join(chosen, "piece").groupBy("text", "id").agg(F.count("*").alias("on"), F.first("n").alias("n"))
+    met = lists.join(chosen, "piece").select("text", "n", F.explode("ids").alias("id"))
+    on_all = met.groupBy("text", "id").agg(F.count("*").alias("on"), F.first("n").alias("n"))
     candidates = on_all.filter(F.col("on") == F.col("n")).select(F.col("text").alias("_text"), F.col("id").alias("_id"))
-    met = names.join(candidates, names[id_col] == F.col("_id"))
-    return met.filter(text.contains_ci(F.col(name_col), F.col("_text"))).select(F.col("_text").alias("text"), *names.columns)
+    found = names.join(candidates, names[id_col] == F.col("_id"))
+    return found.filter(text.contains_ci(F.col(name_col), F.col("_text"))).select(F.col("_text").alias("text"), *names.columns)
 
 
 def candidates(spark: SparkSession, folder: str, wanted: str) -> DataFrame:
@@ -71,4 +99,4 @@ def candidates(spark: SparkSession, folder: str, wanted: str) -> DataFrame:
     low = wanted.lower()
     own = [low] if len(low) <= PIECE else sorted({low[i : i + PIECE] for i in range(len(low) - PIECE + 1)})
     lists = spark.read.parquet(f"{folder}/lists").filter(F.col("piece").isin(own))
-    return lists.groupBy("id").agg(F.count("*").alias("on")).filter(F.col("on") == len(own)).select("id")
+    return lists.select(F.explode("ids").alias("id")).groupBy("id").agg(F.count("*").alias("on")).filter(F.col("on") == len(own)).select("id")

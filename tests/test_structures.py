@@ -118,6 +118,18 @@ def test_empty_root_has_no_tiles(spark, tmp_path):
     assert seen(spark, str(tmp_path / "nothing")) == []
 
 
+def test_postings_are_made_without_a_shuffle(spark):
+    """One row for each piece and batch of names, with the ids of all names that have it."""
+    named = [(1, "Abab"), (2, None), (3, "ab"), (3, "AB"), (4, "日本"), (5, "")]
+    made = search.postings(spark.createDataFrame(named, "id long, name string").coalesce(1), "id")
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    assert {r.piece: sorted(r.ids) for r in made.collect()} == {
+        "": [1, 3, 3, 4, 5], "a": [1, 3, 3], "b": [1, 3, 3], "ab": [1, 3, 3], "ba": [1], "aba": [1], "bab": [1],
+        "日": [4], "本": [4], "日本": [4],
+    }
+    assert search.postings(made.limit(0).select(F.lit(1).alias("id"), F.lit("x").alias("name")), "id").count() == 0
+
+
 def test_search_finds_what_a_scan_finds(spark, tmp_path):
     named = ["Alpha_map%1", "ALPHABET", "aaaa", "", None, "ab", "é É ß", "10% off", "a_b", "x" * 300, "banana", "map map", "日本語の地図"]
     names = spark.createDataFrame(list(enumerate(named)), "id long, name string")
