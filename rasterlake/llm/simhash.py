@@ -9,10 +9,11 @@ so copies cost nothing; a cell gives a star for each connected group of its memb
 Cells that hold very many fingerprints (found by a Misra-Gries summary, counted exactly, a bounded number) are cut into chunks and
 compared chunk against chunk in separate groups, so no link is lost and no task gets the whole cell.
 
-A rule with ``of_set`` links texts by the exact Jaccard similarity of their sets of shingles, at least ``SIMILARITY``. Two such sets
-share one of the smallest fifth of either one's hashes, so texts meet at these keys instead of grid cells and no pair is missed there.
-Members of a key whose fingerprints are within the rule's distance, which is far above the one expected at ``SIMILARITY``, are
-candidates; the sets of each component of candidates are then compared exactly, large components chunk against chunk.
+A rule with ``of_set`` links texts by the exact Jaccard similarity of their sets of shingles, at least ``SIMILARITY``. Candidates are
+pairs of fingerprints within the rule's distance, which is far above the one expected at ``SIMILARITY``. Those at most ``GRID`` bits apart
+meet in the grid cells. Cells for the whole distance would be so wide that nearly all meet in them, so the pairs beyond ``GRID`` meet at
+keys: two sets that are similar share one of the smallest fifth of either one's hashes, so no pair is missed there. The sets of each
+component of candidates are then compared exactly, large components chunk against chunk.
 
 Defined cases: a null text counts as empty; texts without words have fingerprint zero and are linked like any other; documents with a
 null id belong to their component but never name it, unless all its ids are null; repeated rows get equal results, and one of them
@@ -39,6 +40,7 @@ MATRIX = 1024  # groups up to this size are compared as one matrix
 HOT_CELLS = 1000
 HOT_SIZE = 20_000
 SIMILARITY = (4, 5)  # 0.8
+GRID = 11  # bits that the cells of a rule of sets cover: four parts of 32 bits
 COMPARED = 4 << 20  # bytes of sets compared in one group
 
 
@@ -189,19 +191,20 @@ def _in_cells(distinct: DataFrame, rule: Rule) -> DataFrame:
     return distinct.select(*columns).mapInArrow(step, ", ".join(["key bigint", *[f"{c} bigint" for c in columns]]))
 
 
-def _near(a: np.ndarray, b: np.ndarray, distance: int) -> np.ndarray:
-    """Which rows of ``a`` and ``b``, broadcast against each other, are at most ``distance`` bits apart."""
+def _near(a: np.ndarray, b: np.ndarray, distance: int, above: int = -1) -> np.ndarray:
+    """Which rows of ``a`` and ``b``, broadcast against each other, are at most ``distance`` and more than ``above`` bits apart."""
     bits = np.bitwise_count(a[..., 0] ^ b[..., 0])
     for word in range(1, a.shape[-1]):
         bits = bits + np.bitwise_count(a[..., word] ^ b[..., word])
-    return bits <= distance
+    return (bits <= distance) & (bits > above)
 
 
-def _links(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+def _links(fps: np.ndarray, distance: int, above: int = -1) -> tuple[np.ndarray, np.ndarray]:
     """For each member that has a linked one, but the first of its connected group: a pair of it and that first one."""
     n = len(fps)
     if n <= MATRIX:
-        near = _near(fps[:, None], fps[None, :], distance)
+        near = _near(fps[:, None], fps[None, :], distance, above)
+        np.fill_diagonal(near, True)
         if np.count_nonzero(near) == n:
             return fps[:0], fps[:0]
         label = np.arange(n)
@@ -216,7 +219,7 @@ def _links(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     for at in range(0, n, MATRIX):
         block = fps[at:at + MATRIX]
         for other in range(at, n, MATRIX):
-            near = _near(block[:, None], fps[None, other:other + MATRIX], distance)
+            near = _near(block[:, None], fps[None, other:other + MATRIX], distance, above)
             if other == at:
                 np.fill_diagonal(near, False)
             if near.any():
@@ -228,7 +231,7 @@ def _links(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
         while len(front) and len(rest):
             reached = np.zeros(len(rest), dtype=bool)
             for f in front[:256]:
-                reached |= _near(rest, f[None, :], distance)
+                reached |= _near(rest, f[None, :], distance, above)
             left.append(rest[reached])
             heads.append(np.repeat(head, int(reached.sum()), axis=0))
             front = np.concatenate((front[256:], rest[reached]))
@@ -236,7 +239,7 @@ def _links(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(left or [fps[:0]]), np.concatenate(heads or [fps[:0]])
 
 
-def _verify(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
+def _verify(batches: Iterator[pa.RecordBatch], rule: Rule, above: int = -1) -> Iterator[pa.RecordBatch]:
     """Batches sorted by key and chunk; gives links (a0, ..., b0, ...) between the members of a group."""
     columns, ends = names(rule), [*names(rule, "a"), *names(rule, "b")]
     held: list[np.ndarray] = []  # the group at the border of two batches
@@ -261,24 +264,24 @@ def _verify(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.Record
                 begin = 1
                 if len(starts) == 2:
                     continue
-            yield from out(*_links(np.concatenate(held), rule.distance))
+            yield from out(*_links(np.concatenate(held), rule.distance, above))
         last = starts[-2]
         held, held_key = [fps[last:]], (key[last], chunk[last])
         sizes, where = np.diff(starts)[begin:-1], starts[begin:-2]
         for big in np.flatnonzero(sizes > FEW):
-            yield from out(*_links(fps[where[big]:where[big] + sizes[big]], rule.distance))
+            yield from out(*_links(fps[where[big]:where[big] + sizes[big]], rule.distance, above))
         left, right = [], []
         for step in range(1, FEW):
             few = (sizes > step) & (sizes <= FEW)
             rows, size = where[few], sizes[few]
             for offset in range(FEW - step):
                 i = rows[size > offset + step] + offset
-                near = _near(fps[i], fps[i + step], rule.distance)
+                near = _near(fps[i], fps[i + step], rule.distance, above)
                 left.append(fps[i + step][near])
                 right.append(fps[i][near])
         yield from out(np.concatenate(left), np.concatenate(right))
     if held:
-        yield from out(*_links(np.concatenate(held), rule.distance))
+        yield from out(*_links(np.concatenate(held), rule.distance, above))
 
 
 def vertex(columns: list[str]) -> Column:
@@ -297,8 +300,8 @@ def _pairs_of_chunks(mine: Column, chunks: Column) -> Column:
     return F.explode(F.when(chunks.isNull(), F.array(F.lit(0))).otherwise(pairs)).alias("chunk")
 
 
-def _linked(placed: DataFrame, rule: Rule, hot_size: int) -> DataFrame:
-    """Links between fingerprints of a ``key``."""
+def _linked(placed: DataFrame, rule: Rule, hot_size: int, above: int = -1) -> DataFrame:
+    """Links between fingerprints of a ``key`` that are more than ``above`` bits apart."""
     proposed = placed.agg(F.expr(f"approx_top_k(key, {HOT_CELLS}, 65536)").alias("top")).select(F.explode("top.item").alias("key"))
     proposed = F.broadcast(cut_lineage(proposed))
     hot = (
@@ -311,7 +314,7 @@ def _linked(placed: DataFrame, rule: Rule, hot_size: int) -> DataFrame:
     mine = F.pmod(F.xxhash64(*names(rule)), F.col("chunks")).cast("int")
     groups = cut.select("key", *names(rule), _pairs_of_chunks(mine, F.col("chunks")))
     schema = ", ".join(f"{c} bigint" for c in [*names(rule, "a"), *names(rule, "b")])
-    found = groups.repartition("key", "chunk").sortWithinPartitions("key", "chunk").mapInArrow(lambda x: _verify(x, rule), schema)
+    found = groups.repartition("key", "chunk").sortWithinPartitions("key", "chunk").mapInArrow(lambda x: _verify(x, rule, above), schema)
     return found.distinct().select(vertex(names(rule, "a")).alias("a"), vertex(names(rule, "b")).alias("b"))
 
 
@@ -388,7 +391,9 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def similar_texts(docs: DataFrame, distinct: DataFrame, rule: Rule, text_col: str, hot_size: int, compared: int = COMPARED) -> DataFrame:
     """Links (a, b) between texts whose closure is that of all candidates with similar sets of shingles."""
-    near = components(_linked(distinct.select(F.explode("keys").alias("key"), *names(rule)), rule, hot_size))
+    in_cells = _in_cells(distinct.select(*names(rule)).distinct(), rule._replace(distance=GRID))
+    at_keys = distinct.select(F.explode("keys").alias("key"), *names(rule))
+    near = components(_linked(in_cells, rule, hot_size).unionByName(_linked(at_keys, rule, hot_size, GRID)))
     units = distinct.select(vertex([*names(rule), "text_hash"]).alias("unit"), vertex(names(rule)).alias("fp"), "text_hash")
     units = cut_lineage(units.join(near, "fp", "left").select("unit", "text_hash", F.coalesce("root", "fp").alias("root")))
     large = sized(units.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1"))

@@ -4,6 +4,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from rows import DOCS, clashing, docs, empty
 
 from rasterlake.llm import simhash
@@ -120,6 +121,24 @@ def test_edited_copy_is_caught(spark):
     assert sorted(r.doc_id for r in simhash.drop_near_copies(docs(spark, rows)).collect()) == [1, 3]
 
 
+def test_cells_lead_to_the_near_copies_of_the_stage(spark, monkeypatch):
+    """Texts that meet at no key at all meet in the grid cells; pairs that the cells cover are left to them."""
+    whole = simhash.fingerprints
+    monkeypatch.setattr(simhash, "fingerprints", lambda *a: whole(*a).withColumn("keys", F.array().cast("array<bigint>")))
+    words = [f"w{i * 7919 % 1009}" for i in range(400)]
+    rows = [(1, " ".join(words), None, None), (2, " ".join([*words, "end"]), None, None), (3, " ".join(words[::-1]), None, None)]
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(docs(spark, rows)).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
+
+
+@pytest.mark.parametrize("matrix", [1024, 2])
+def test_links_above_a_distance(monkeypatch, matrix):
+    monkeypatch.setattr(simhash, "MATRIX", matrix)
+    fps = np.array([[0], [0b11], [0b1111110], [(1 << 60) - (1 << 40)]], np.uint64)
+    assert {(int(a[0]), int(b[0])) for a, b in zip(*simhash._links(fps, 6, 2))} == {(0b11, 0), (0b1111110, 0)}
+    assert len(simhash._links(fps[:2], 6, 2)[0]) == 0 and len(simhash._links(fps[:2], 6)[0]) == 1
+
+
 def test_links_of_the_stage_are_those_of_exact_similarity(spark, monkeypatch):
     """Words replaced in copies, some just above and some just below a similarity of 0.8, against comparing all pairs of sets."""
     rng = np.random.default_rng(3)
