@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text, validate
 from ..plans.hotkeys import attach, first_per_key, lookup
+from ..session import cut_lineage
 
 # Page sizes and windows.
 TILE_SET_PAGE, JOB_PAGE, MAX_PAGE = 50, 20, 100
@@ -143,6 +144,8 @@ def finalise(tile_sets: DataFrame, incoming: DataFrame, finished: DataFrame, obj
     another row. Of several rows of one batch that would insert the same path, the first (by request_id) does; the others of its user
     update that new row, whose id is not known yet, and those of other users find nothing. Then, of several that would insert the same
     slug of a user, the first does and the others conflict.
+
+    The rows meet the four tables once and are kept; only those that would insert go through the steps that look for first ones.
     """
     by_path = tile_sets.groupBy("storage_path").agg(
         F.min(F.struct("tileset_id", "user_id")).alias("_old"), F.lit(0).alias("_zero")
@@ -163,20 +166,22 @@ def finalise(tile_sets: DataFrame, incoming: DataFrame, finished: DataFrame, obj
         .when(F.col("_slug_id").isNotNull(), "conflict")
         .otherwise("insert")
     )
-    judged = rows.withColumn("action", action)
+    judged = cut_lineage(rows.select(*incoming.columns, "_old_id", "_stored", action.alias("action")))
 
     def first_of(rows: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:
         firsts = rows.filter("action = 'insert'").groupBy(*keys).agg(F.min_by(value, "request_id").alias(name), F.count("*").alias("_n"))
         return attach(rows, firsts, keys, ["request_id"])
 
     inserts = F.col("action") == "insert"
-    by_path = first_of(judged, ["storage_path"], F.struct("request_id", "user_id"), "_head")
+    new = judged.filter(inserts)
+    by_path = first_of(new, ["storage_path"], F.struct("request_id", "user_id"), "_head")
     later = inserts & (F.col("_head.request_id") != F.col("request_id"))
     same = F.col("_head.user_id") == F.col("user_id")
-    by_path = by_path.withColumn("action", F.when(later & same, "update").when(later, "not_found").otherwise(F.col("action")))
+    by_path = by_path.withColumn("action", F.when(later & same, "update").when(later, "not_found").otherwise(F.col("action"))).drop("_head")
     by_slug = first_of(by_path, ["user_id", "slug"], F.col("request_id"), "_slug_head")
     taken = inserts & (F.col("_slug_head") != F.col("request_id"))
-    return by_slug.withColumn("action", F.when(taken, "conflict").otherwise(F.col("action"))).select(
+    settled = by_slug.withColumn("action", F.when(taken, "conflict").otherwise(F.col("action"))).drop("_slug_head")
+    return settled.unionByName(judged.filter(~inserts)).select(
         *incoming.columns, "action",
         F.when(F.col("action") == "update", F.col("_old_id")).alias("tileset_id"),
         F.when(F.col("action") == "insert", F.col("_stored")).alias("stored_bytes"),

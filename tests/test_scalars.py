@@ -13,6 +13,21 @@ def one(spark, *columns):
     return spark.range(1).select(*[c.alias(f"c{i}") for i, c in enumerate(columns)]).first()
 
 
+def test_incoming_rows_meet_the_catalogue_once(spark):
+    """The steps that look for first rows read what was kept and not the joins again."""
+    new = spark.range(6).select(
+        F.col("id").alias("request_id"), (F.col("id") % 2).alias("user_id"), F.concat(F.lit("s"), (F.col("id") % 4).cast("string")).alias("slug"),
+        F.concat(F.lit("p"), F.floor(F.col("id") / 4).cast("string")).alias("storage_path"),
+    )
+    sets = spark.createDataFrame([], "tileset_id long, user_id long, slug string, storage_path string")
+    stored = spark.createDataFrame([("p0", 5), ("p1", 7)], "storage_path string, size_bytes long")
+    got = catalog.finalise(sets, new, new.select("storage_path", "user_id"), stored)
+    assert "Range (" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.request_id, r.action, r.stored_bytes) for r in got.orderBy("request_id").collect()] == [
+        (0, "insert", 5), (1, "not_found", None), (2, "update", None), (3, "not_found", None), (4, "conflict", None), (5, "not_found", None),
+    ]
+
+
 @pytest.mark.parametrize("w,h,want", [(256, 256, 0), (512, 512, 1), (1000, 1000, 2), (2000, 500, 3), (10000, 10000, 6)])
 def test_max_zoom(spark, w, h, want):
     assert one(spark, geo.max_zoom(w, h, 256))[0] == want
