@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterlake.llm import exact_dedup, langid, mixing, pieces, simhash
-from rasterlake.session import shared_dir
+from rasterlake.session import remove, shared_dir
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,11 +68,6 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def remove(spark: SparkSession, folder: str) -> None:
-    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage; sort them by ``position`` for training order. What a stage wrote goes when the next has written its own,
     so only the table that the result is read from is left."""

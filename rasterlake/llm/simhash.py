@@ -22,7 +22,9 @@ stays in ``drop_near_copies``; other columns pass through under any name; an emp
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Iterator
+from itertools import count
 from typing import NamedTuple
 
 import numpy as np
@@ -31,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, remove, shared_dir, write_and_read
 from .common import sized, slices, small_batches, text_or_empty, without
 
 HASH_BLOCK = 1 << 16
@@ -321,17 +323,21 @@ def _linked(placed: DataFrame, rule: Rule, hot_size: int, above: int = -1) -> Da
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): ``fp`` and ``root``, its smallest member, by alternating large and small stars.
 
-    Stars need a logarithmic number of rounds in the length of a chain; every round is written to the shared folder. Minima are partial
-    aggregates and written too, so that Spark can split the joins with them where a star's centre is hot.
+    Stars need a logarithmic number of rounds in the length of a chain. Every round is written to the shared folder as a table, which goes
+    when the next one is there. Minima are partial aggregates and written too, so that Spark can split the joins with them where a star's
+    centre is hot.
     """
-    now = cut_lineage(
-        edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    )
+    spark = edges.sparkSession
+    folder = f"{shared_dir(spark).rstrip('/')}/components-{uuid.uuid4().hex}"
+    now = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    now = write_and_read(now, f"{folder}/0")
     before = None
-    while True:
+    for number in count(1):
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state[0] == 0 or state == before:
-            return now.select(F.col("u").alias("fp"), F.col("v").alias("root"))
+            found = cut_lineage(now.select(F.col("u").alias("fp"), F.col("v").alias("root")))
+            remove(spark, folder)
+            return found
         before = state
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = cut_lineage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
@@ -339,7 +345,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = cut_lineage(large)
         least = cut_lineage(large.groupBy("u").agg(F.min("v").alias("m")))
         moved = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        now = cut_lineage(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        now = write_and_read(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), f"{folder}/{number}")
+        remove(spark, f"{folder}/{number - 1}")
 
 
 def set_links(sets: list[np.ndarray]) -> tuple[list[int], list[int]]:

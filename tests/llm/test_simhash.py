@@ -170,3 +170,14 @@ def test_links_of_the_stage_are_those_of_exact_similarity(spark, monkeypatch):
     monkeypatch.setattr(simhash.similar_texts, "__defaults__", (20_000,))
     got = {r.doc_id: r.component_id for r in simhash.near_copies(docs(spark, [(i, t, None, None) for i, t in enumerate(texts)])).collect()}
     assert got == {i: find(i) for i in range(len(texts))}
+
+
+def test_long_chains_leave_small_estimates(spark):
+    """Each round joins tables twice; their estimated sizes are not multiplied from round to round."""
+    n = 300
+    edges = [(f"{i:04d}", f"{(i + 1):04d}") for i in range(n)] + [(f"x{i}", f"x{i}y") for i in range(3)] + [("z", "z")]
+    found = simhash.components(spark.createDataFrame(edges, "a string, b string"))
+    want = {(f"{i:04d}", "0000") for i in range(1, n + 1)} | {(f"x{i}y", f"x{i}") for i in range(3)}
+    assert {(r.fp, r.root) for r in found.collect()} == want
+    assert simhash.components(spark.createDataFrame([("z", "z")], "a string, b string")).count() == 0
+    assert found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 62
