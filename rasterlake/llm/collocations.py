@@ -9,8 +9,8 @@ are and never what is found.
 
 The known phrases form a trie that a task walks for all its words at once with numpy; identities are numbers of words and nodes, not
 hashes, so counts are exact. Tasks add up before they send: one row per node, and one per border phrase or word and some million words.
-The trie is handed to the tasks while it has at most ``NODES`` nodes, which is checked; beyond that all phrases are counted by a
-shuffle, with the same result.
+The trie is handed to the tasks while it has at most ``NODES`` nodes, which is checked; a node takes 20 bytes in a task that counts and 32
+on the driver, where no phrase is ever spelled out. Beyond that all phrases are counted by a shuffle, with the same result.
 
 Defined cases: a null text is empty, a null language is ``und``; words are cut at spaces and tabs only, pieces at the marks below; a text
 without words adds nothing; repeated rows count as often as they are there; an empty table gives an empty result; other columns are ignored.
@@ -24,9 +24,9 @@ from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.hotkeys import first_per_key, lookup
@@ -38,7 +38,9 @@ LONGEST = 5
 TOP = 2000
 SHARE = 8  # one document in so many is in the sample
 LOWERED = 0.7  # of the support expected there
-NODES = 1_000_000
+NODES = 8_000_000
+TASKS = 96  # of a pass at least, if the table has as many: each sends the counts of nearly all nodes
+SENT = 1 << 20  # counts of nodes sent in a batch
 HELD = 400_000  # border rows and words that a task holds before it sends them on
 PARTS = 64
 UNKNOWN, BREAK, NOTHING = -1, -2, -3
@@ -57,39 +59,45 @@ class Trie:
 
     def __init__(self) -> None:
         self.first: dict[str, dict[bytes, int]] = {}
-        self.parent = np.empty(0, np.int64)  # -1 for a single word
-        self.last = np.empty(0, np.int64)
+        self.parent = np.empty(0, np.int32)  # -1 for a single word
+        self.last = np.empty(0, np.int32)
         self.count = np.empty(0, np.int64)
         self._index()
 
     def __len__(self) -> int:
-        return len(self.parent)
+        return self.size
 
     def _index(self) -> None:
-        longer = np.flatnonzero(self.parent >= 0)
-        keys = self.parent[longer] << SHIFT | self.last[longer]
+        self.size = len(self.parent)
+        longer = np.flatnonzero(self.parent >= 0).astype(np.int32)
+        keys = self.parent[longer].astype(np.int64) << SHIFT | self.last[longer]
         order = np.argsort(keys)
         self.keys, self.nodes = keys[order], longer[order]
 
+    def _add(self, parent: np.ndarray, last: np.ndarray, count: np.ndarray) -> None:
+        self.parent = np.concatenate([self.parent, parent.astype(np.int32)])
+        self.last = np.concatenate([self.last, last.astype(np.int32)])
+        self.count = np.concatenate([self.count, count])
+        self._index()
+
     def find(self, keys: np.ndarray) -> np.ndarray:
         if not len(self.keys):
             return np.full(len(keys), UNKNOWN)
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.nodes[at], UNKNOWN)
+        return np.where(self.keys[at] == keys, self.nodes[at].astype(np.int64), UNKNOWN)
 
-    def grow(self, found: pd.DataFrame) -> None:
+    def grow(self, found: pa.Table) -> None:
         """Add frequent single words (lang, word) and longer phrases (key) with their counts ``n``."""
-        singles = found[found["key"].isna()]
+        longer = pc.is_valid(found.column("key"))
+        singles, found = found.filter(pc.invert(longer)), found.filter(longer)
         base = len(self)
-        for n, (lang, word) in enumerate(zip(singles["lang"], singles["word"])):
-            self.first.setdefault(lang, {})[bytes(word)] = base + n
-        keys = found["key"].dropna().astype("int64").to_numpy()
-        counts = found.loc[found["key"].notna(), "n"].to_numpy(np.int64)
-        single = np.arange(base, base + len(singles))
-        self.parent = np.concatenate([self.parent, np.full(len(singles), -1), keys >> SHIFT])
-        self.last = np.concatenate([self.last, single, keys & ((1 << SHIFT) - 1)])
-        self.count = np.concatenate([self.count, singles["n"].to_numpy(np.int64), counts])
-        self._index()
+        for n, (lang, word) in enumerate(zip(singles.column("lang").to_pylist(), singles.column("word").to_pylist())):
+            self.first.setdefault(lang, {})[word] = base + n
+        keys, single = found.column("key").to_numpy(), np.arange(base, base + singles.num_rows)
+        self._add(
+            np.concatenate([np.full(len(single), -1), keys >> SHIFT]), np.concatenate([single, keys & ((1 << SHIFT) - 1)]),
+            np.concatenate([singles.column("n").to_numpy(), found.column("n").to_numpy()]),
+        )
 
     def grow_longer(self, found: list[bytes], times: np.ndarray) -> None:
         """Add frequent phrases given by the nodes of their words; the first part of each is known or among them."""
@@ -100,34 +108,48 @@ class Trie:
             parent = nodes[:, 0]
             for n in range(1, longest - 1):
                 parent = self.find(parent << SHIFT | nodes[:, n])
-            self.parent = np.concatenate([self.parent, parent])
-            self.last = np.concatenate([self.last, nodes[:, -1]])
-            self.count = np.concatenate([self.count, times[at]])
-            self._index()
+            self._add(parent, nodes[:, -1], times[at])
 
     def keep(self, kept: np.ndarray) -> None:
         """Only the nodes of the mask; parts of a kept phrase are kept, since they are as frequent."""
-        number = np.cumsum(kept) - 1
+        number = np.cumsum(kept, dtype=np.int32) - 1
         self.first = {
             lang: {w: int(number[n]) for w, n in known.items() if kept[n]} for lang, known in self.first.items()
         }
         parent, last = self.parent[kept], self.last[kept]
-        self.parent = np.where(parent >= 0, number[parent], -1)
+        self.parent = np.where(parent >= 0, number[parent], np.int32(-1))
         self.last, self.count = number[last], self.count[kept]
         self._index()
 
-    def phrases(self) -> pd.DataFrame:
-        """``lang``, ``phrase``, ``words`` (how many) and ``f`` of every node."""
-        lang, phrase, size = [""] * len(self), [b""] * len(self), [1] * len(self)
-        for name, known in self.first.items():
-            for word, node in known.items():
-                lang[node], phrase[node] = name, word
-        # A node's first part has been added before it.
-        for node in np.flatnonzero(self.parent >= 0).tolist():
-            parent = int(self.parent[node])
-            lang[node], size[node] = lang[parent], size[parent] + 1
-            phrase[node] = phrase[parent] + b" " + phrase[int(self.last[node])]
-        return pd.DataFrame({"lang": lang, "phrase": [p.decode() for p in phrase], "words": size, "f": self.count})
+    def phrases(self, spark: SparkSession) -> DataFrame:
+        """``lang``, ``phrase``, ``words`` (how many) and ``f`` of every node, spelled out by the tasks."""
+        singles = np.concatenate([np.fromiter(of.values(), np.int64, len(of)) for of in [*self.first.values(), {}]])
+        place = np.empty(len(self), np.int32)  # of a single word's node in the three lists
+        place[singles] = np.arange(len(singles))
+        own = pa.array([w for of in self.first.values() for w in of], pa.large_binary())
+        langs, sizes = list(self.first), [len(of) for of in self.first.values()]
+        handed = spark.sparkContext.broadcast((self.parent, self.last, self.count, place, own, langs, np.repeat(np.arange(len(langs)), sizes)))
+
+        def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            parent, last, count, place, own, langs, of = handed.value
+            for batch in slices(batches, 1 << 14):
+                at = node = batch.column("id").to_numpy()
+                words = np.ones(len(at), np.int32)
+                text = own.take(pa.array(place[last[node]]))
+                while True:
+                    longer = parent[node] >= 0
+                    if not longer.any():
+                        break
+                    words += longer
+                    node = np.where(longer, parent[node], node)
+                    before = pc.binary_join_element_wise(own.take(pa.array(place[last[node]])), text, pa.scalar(b" ", pa.large_binary()))
+                    text = pc.if_else(pa.array(longer), before, text)
+                lang = pa.array(langs, pa.string()).take(pa.array(of[place[node]]))
+                yield pa.RecordBatch.from_arrays(
+                    [lang, text.cast(pa.binary()).cast(pa.string()), pa.array(words), pa.array(count[at])], ["lang", "phrase", "words", "f"]
+                )
+
+        return spark.range(len(self)).mapInArrow(step, "lang string, phrase string, words int, f bigint")
 
 
 class _Held:
@@ -181,17 +203,16 @@ def _pass(texts: DataFrame, trie: Trie, new_from: int, first: bool, longest: int
     with ``leap`` at all phrases that contain one and whose parts may be frequent, which are named by their words' nodes (no language).
     """
     spark = texts.sparkSession
-    handed = spark.sparkContext.broadcast((trie.first, trie.parent, trie.last))
+    handed = spark.sparkContext.broadcast((trie.first, trie.keys, trie.nodes, len(trie)))
     here = uuid.uuid4().hex
 
     def known() -> Trie:
         if here not in _HERE:
             _HERE.clear()
             own = Trie()
-            own.first, own.parent, own.last = handed.value
+            own.first, own.keys, own.nodes, own.size = handed.value
             for of in own.first.values():
                 of[b"\n"], of[b""] = BREAK, NOTHING
-            own._index()
             _HERE[here] = own
         return _HERE[here]
 
@@ -212,7 +233,7 @@ def _pass(texts: DataFrame, trie: Trie, new_from: int, first: bool, longest: int
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, held = known(), _Held()
-        seen, totals = np.zeros(len(trie), np.int64), Counter()
+        seen, totals = np.zeros(len(trie) if first else 0, np.int64), Counter()
         for batch in slices(batches, 128):
             parts = []
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
@@ -228,7 +249,7 @@ def _pass(texts: DataFrame, trie: Trie, new_from: int, first: bool, longest: int
             word = np.concatenate(parts) if parts else np.empty(0, np.int64)
             node = word
             if first:
-                seen += np.bincount(node[node >= 0], minlength=len(trie))
+                np.add.at(seen, node[node >= 0], 1)  # its work is that of the words, not of the nodes
             if leap:
                 around_new(trie, word, held)
                 if held.full():
@@ -247,21 +268,23 @@ def _pass(texts: DataFrame, trie: Trie, new_from: int, first: bool, longest: int
                 node = np.full(len(here_too), UNKNOWN)
                 node[at] = met
                 if first:
-                    seen += np.bincount(met[met >= 0], minlength=len(trie))
+                    np.add.at(seen, met[met >= 0], 1)
             if held.full():
                 yield held.rows()
         yield held.rows()
         if first:
-            at = np.flatnonzero(seen)
-            yield _rows(-1 - at, seen[at], list(totals), [None] * len(totals), list(totals.values()))
+            for begin in range(0, len(seen), SENT):
+                at = begin + np.flatnonzero(seen[begin:begin + SENT])
+                yield _rows(-1 - at, seen[at], [], [], [])
+            yield _rows(seen[:0], seen[:0], list(totals), [None] * len(totals), list(totals.values()))
 
-    return texts.mapInArrow(step, ROWS)
+    return texts.coalesce(max(TASKS, 4 * spark.sparkContext.defaultParallelism)).mapInArrow(step, ROWS)
 
 
 def _summed(rows: DataFrame, least: int) -> DataFrame:
-    """Sums by key; what is not frequent goes, but for known nodes and the totals of languages."""
+    """Sums by key; what is not frequent goes, but for the totals of languages."""
     sums = rows.groupBy("lang", "word", "key").agg(F.sum("n").alias("n"))
-    return sums.filter((F.col("n") >= least) | (F.col("key") < 0) | (F.col("key").isNull() & F.col("word").isNull()))
+    return sums.filter((F.col("n") >= least) | (F.col("key").isNull() & F.col("word").isNull()))
 
 
 class TooMany(Exception):
@@ -279,15 +302,15 @@ def _close(texts: DataFrame, trie: Trie, support: int, longest: int, nodes: int,
         found = cut_lineage(_summed(_pass(texts, trie, new_from, first, longest, leap and not first), support))
         if found.count() + len(trie) > 2 * nodes:
             raise TooMany
-        rows = found.toArrow().to_pandas(integer_object_nulls=True)
+        rows = found.toArrow()
         if first:
-            is_total = rows["key"].isna() & rows["word"].isna()
-            totals = {lang: int(n) for lang, n in zip(rows.loc[is_total, "lang"], rows.loc[is_total, "n"])}
-            rows = rows[~is_total]
-            met = rows[rows["key"].notna() & (rows["key"] < 0)]
-            rows = rows[rows["key"].isna() | (rows["key"] >= 0)]
+            is_total = pc.and_(pc.is_null(rows.column("key")), pc.is_null(rows.column("word")))
+            sums = rows.filter(is_total)
+            totals = dict(zip(sums.column("lang").to_pylist(), sums.column("n").to_pylist()))
+            is_known = pc.fill_null(pc.less(rows.column("key"), 0), False)
+            met, rows = rows.filter(is_known), rows.filter(pc.invert(pc.or_(is_total, is_known)))
             trie.count = np.zeros(len(trie), np.int64)
-            trie.count[-1 - met["key"].astype("int64").to_numpy()] = met["n"].to_numpy(np.int64)
+            trie.count[-1 - met.column("key").to_numpy()] = met.column("n").to_numpy()
         if first:
             # Border keys name nodes, so they are added before the nodes are numbered anew.
             old = len(trie)
@@ -296,7 +319,7 @@ def _close(texts: DataFrame, trie: Trie, support: int, longest: int, nodes: int,
             new_from = int(kept[:old].sum())
             trie.keep(kept)
         elif leap:
-            trie.grow_longer([bytes(p) for p in rows["word"]], rows["n"].to_numpy(np.int64))
+            trie.grow_longer(rows.column("word").to_pylist(), rows.column("n").to_numpy())
             new_from = len(trie)
         else:
             new_from = len(trie)
@@ -351,7 +374,7 @@ def frequent_phrases(
     except TooMany:
         return count_by_shuffle(texts, support, longest)
     return (
-        spark.createDataFrame(trie.phrases(), "lang string, phrase string, words int, f bigint"),
+        trie.phrases(spark),
         spark.createDataFrame(list(totals.items()), "lang string, n bigint"),
     )
 

@@ -78,3 +78,23 @@ def test_large_products_stay_exact(spark):
 def test_no_words(spark):
     assert collocations.collocations(empty(spark)).count() == 0
     assert collocations.collocations(docs(spark, [(1, " .\n", "en", "a"), (2, None, None, None)])).count() == 0
+
+
+def test_over_a_million_phrases_need_no_shuffle_of_all(spark, monkeypatch):
+    def shuffled(*_):
+        raise AssertionError("all phrases were shuffled")
+
+    monkeypatch.setattr(collocations, "count_by_shuffle", shuffled)
+    n = 210_000
+    text = " ".join(f"w{i}" for i in range(n))
+    known, totals = collocations.frequent_phrases(docs(spark, [(1, text, "en", "a"), (2, text + ". solo", "en", "a")]), support=2, share=1)
+    known = known.cache()
+    assert known.count() == sum(n - k + 1 for k in range(1, 6)) and totals.collect() == [("en", 2 * n + 1)]
+    some = known.filter(known.phrase.startswith("w777 ") | known.phrase.isin("w777", "solo")).collect()
+    assert sorted(tuple(r) for r in some) == sorted(("en", " ".join(f"w{777 + i}" for i in range(k)), k, 2) for k in range(1, 6))
+
+
+def test_counts_are_sent_in_parts(spark, monkeypatch):
+    rows = made(6)
+    monkeypatch.setattr(collocations, "SENT", 7)
+    assert sorted(map(tuple, collocations.collocations(docs(spark, rows).repartition(3), 4, 5, 50, share=2).collect())) == plain(rows, 4, 5, 50)
